@@ -84,7 +84,7 @@ class RasterService:
         return layer, [*tiles.TILE_IDS, "py", "px"]
 
     def singleband(self, where=None, tile_xyz=None, *, colormap: str | Mapping | None = None, stretch_range=None,
-                   color_transform=None, tile_size=None) -> DataFrame:
+                   color_transform=(), tile_size=None) -> DataFrame:
         pixels, at = self.pixels(where, tile_xyz, preserve_values=isinstance(colormap, Mapping), tile_size=tile_size)
         return render.singleband(pixels, self.catalog.metadata, self.catalog.keys, stretch_range=stretch_range,
                                  colormap=colormap, color_transform=color_transform, at=at)
@@ -97,7 +97,7 @@ class RasterService:
         return {**named, last: sorted(set(last_values))}
 
     def rgb(self, some_keys, rgb_values: Sequence[str], tile_xyz=None, *, stretch_ranges=None,
-            color_transform=None, tile_size=None) -> DataFrame:
+            color_transform=(), tile_size=None) -> DataFrame:
         pixels, at = self.pixels(self._scene(some_keys, rgb_values), tile_xyz, tile_size=tile_size)
         return render.rgb(pixels, self.catalog.metadata, self.catalog.keys, rgb_values,
                           stretch_ranges=stretch_ranges, color_transform=color_transform, at=at)

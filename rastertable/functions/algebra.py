@@ -19,13 +19,16 @@ def _num(x) -> Column:
     """A numeric operand: double, without NaN or infinities."""
     if isinstance(x, (int, float)) and not isinstance(x, bool):
         return F.lit(float(x)) if math.isfinite(x) else F.lit(None).cast("double")
-    return finite(as_column(x).cast("double"))
+    return finite(x)
 
 
 # --- arithmetic -----------------------------------------------------------
 
-def add(a, b) -> Column:
-    return finite(_num(a) + _num(b))
+def add(a, b, *more) -> Column:
+    total = _num(a) + _num(b)
+    for c in more:
+        total = total + _num(c)
+    return finite(total)
 
 
 def subtract(a, b) -> Column:

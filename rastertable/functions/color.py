@@ -25,7 +25,7 @@ def contrast_stretch(v, lo, hi, out_lo, out_hi, clip: bool = True) -> Column:
     scale = F.when(F.abs(span) > FLAT_RANGE, F.try_divide(out_hi - out_lo, span)).otherwise(F.lit(1.0))
     out = (v - lo) * scale + out_lo
     if clip:
-        out = F.when(out.isNull() | F.isnan(out), out).otherwise(F.least(F.greatest(out, out_lo), out_hi))
+        out = F.when(v.isNull() | F.isnan(v), v).otherwise(F.least(F.greatest(out, out_lo), out_hi))
     return out
 
 
@@ -110,49 +110,41 @@ def sigmoidal(v, contrast: float, bias: float) -> Column:
     return a - F.ln(F.lit(1.0) / y - F.lit(1.0)) / b
 
 
-def saturation(r, g, b, proportion: float) -> tuple[Column, Column, Column]:
-    """Scale the chroma of RGB in [0, 1] in CIE LCH, keeping lightness and hue.
-
-    Scaling chroma is scaling the a*, b* axes, so the hue never needs to be
-    computed. Results are cut to [0, 1].
-    """
-    r, g, b = (as_column(c) for c in (r, g, b))
-
-    def linear(c):
-        return F.when(c <= 0.04045, c / F.lit(12.92)).otherwise(
-            F.pow((c + F.lit(0.055)) / F.lit(1.055), F.lit(2.4)))
-
-    def encoded(c):
-        out = F.when(c <= 0.0031308, c * F.lit(12.92)).otherwise(
-            F.lit(1.055) * F.pow(c, F.lit(1 / 2.4)) - F.lit(0.055))
-        return F.when(out.isNull(), out).otherwise(F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)))
-
-    # fixed values: sRGB primaries and D65 white point
-    white = (0.95047, 1.0, 1.08883)
-    to_xyz = ((0.4124564, 0.3575761, 0.1804375),
+# fixed values: sRGB primaries and D65 white point, CIE lightness constants
+WHITE = (0.95047, 1.0, 1.08883)
+RGB_TO_XYZ = ((0.4124564, 0.3575761, 0.1804375),
               (0.2126729, 0.7151522, 0.0721750),
               (0.0193339, 0.1191920, 0.9503041))
-    to_rgb = ((3.2404542, -1.5371385, -0.4985314),
+XYZ_TO_RGB = ((3.2404542, -1.5371385, -0.4985314),
               (-0.9692660, 1.8760108, 0.0415560),
               (0.0556434, -0.2040259, 1.0572252))
-    eps, kappa = 216 / 24389, 24389 / 27
+CIE_EPSILON, CIE_KAPPA = 216 / 24389, 24389 / 27
+
+
+def srgb_to_linear(c) -> Column:
+    c = as_column(c)
+    return F.when(c <= 0.04045, c / F.lit(12.92)).otherwise(F.pow((c + F.lit(0.055)) / F.lit(1.055), F.lit(2.4)))
+
+
+def linear_to_srgb(c) -> Column:
+    c = as_column(c)
+    return F.when(c <= 0.0031308, c * F.lit(12.92)).otherwise(F.lit(1.055) * F.pow(c, F.lit(1 / 2.4)) - F.lit(0.055))
+
+
+def cie_f(t) -> Column:
+    t = as_column(t)
+    return F.when(t > CIE_EPSILON, F.cbrt(t)).otherwise((F.lit(CIE_KAPPA) * t + F.lit(16.0)) / F.lit(116.0))
 
-    def dot(m, cols):
-        return F.lit(m[0]) * cols[0] + F.lit(m[1]) * cols[1] + F.lit(m[2]) * cols[2]
 
-    def f(t):
-        return F.when(t > eps, F.cbrt(t)).otherwise((F.lit(kappa) * t + F.lit(16.0)) / F.lit(116.0))
+def cie_f_inverse(t) -> Column:
+    t = as_column(t)
+    return F.when(t * t * t > CIE_EPSILON, t * t * t).otherwise((F.lit(116.0) * t - F.lit(16.0)) / F.lit(CIE_KAPPA))
 
-    def f_inv(t):
-        return F.when(t * t * t > eps, t * t * t).otherwise((F.lit(116.0) * t - F.lit(16.0)) / F.lit(kappa))
 
-    lin = [linear(c) for c in (r, g, b)]
-    fx, fy, fz = (f(dot(m, lin) / F.lit(w)) for m, w in zip(to_xyz, white))
-    p = F.lit(float(proportion))
-    xyz = [f_inv(fy + (fx - fy) * p) * F.lit(white[0]),
-           f_inv(fy) * F.lit(white[1]),
-           f_inv(fy - (fy - fz) * p) * F.lit(white[2])]
-    return tuple(encoded(dot(m, xyz)) for m in to_rgb)
+def clip_unit(c) -> Column:
+    """Cut to [0, 1]; masked stays masked."""
+    c = as_column(c)
+    return F.when(c < 0, F.lit(0.0)).when(c > 1, F.lit(1.0)).otherwise(c)
 
 
 # --- colours ---------------------------------------------------------------

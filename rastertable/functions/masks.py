@@ -26,10 +26,13 @@ def as_column(x) -> Column:
 
 
 def finite(v) -> Column:
-    """NULL out NaN and both infinities."""
-    v = as_column(v)
-    d = v.cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) < F.lit(INF)), v)
+    """As double, with NaN and both infinities masked.
+
+    The argument is mentioned once, so nesting does not multiply the
+    expression: a remainder by infinity keeps finite values and turns
+    infinities into NaN, and ``nanvl`` turns NaN into NULL.
+    """
+    return F.nanvl(as_column(v).cast("double") % F.lit(INF), F.lit(None).cast("double"))
 
 
 def mask_nodata(v, nodata) -> Column:

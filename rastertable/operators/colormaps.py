@@ -146,16 +146,25 @@ def apply_map(pixels: DataFrame, rows: DataFrame, index: str = "index") -> DataF
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in "rgba"})
 
 
-def color_bar(spark: SparkSession, stretch_range, rows: DataFrame | None = None, num_values: int = MAP_SIZE) -> DataFrame:
-    """Evenly spaced values over the range and their colours: ord, value, r, g, b, a. Grey without a map."""
-    lo, hi = (float(v) for v in stretch_range)
-    i = F.col("ord")
-    step = (hi - lo) / max(num_values - 1, 1)
-    value = F.when((i == num_values - 1) & F.lit(num_values > 1), F.lit(hi)).otherwise(i * F.lit(step) + F.lit(lo))
-    bar = spark.range(num_values).select(F.col("id").cast("int").alias("ord")).withColumn("value", value)
-    bar = bar.withColumn("index", to_uint8("value", F.lit(lo), F.lit(hi)))
+def color_bars(ranges: DataFrame, keys, rows: DataFrame | None = None, num_values: int = MAP_SIZE) -> DataFrame:
+    """A colour bar per row of ``ranges`` (keys, min, max): keys, ord, value, r, g, b, a.
+
+    Values are evenly spaced over the range; without a map the colours are grey.
+    """
+    lo, hi, i = F.col("min").cast("double"), F.col("max").cast("double"), F.col("ord")
+    spaced = i * ((hi - lo) / F.lit(float(max(num_values - 1, 1)))) + lo
+    value = F.when((i == num_values - 1) & F.lit(num_values > 1), hi).otherwise(spaced)
+    bar = (ranges.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(num_values - 1))))
+           .withColumn("value", value).withColumn("index", to_uint8("value", "min", "max")))
     if rows is None:
         bar = bar.withColumns({"r": F.col("index"), "g": F.col("index"), "b": F.col("index"), "a": F.lit(255)})
     else:
         bar = apply_map(bar, rows)
-    return bar.select("ord", "value", "r", "g", "b", "a")
+    return bar.select(*keys, "ord", "value", "r", "g", "b", "a")
+
+
+def color_bar(spark: SparkSession, stretch_range, rows: DataFrame | None = None, num_values: int = MAP_SIZE) -> DataFrame:
+    """The colour bar of one given range."""
+    lo, hi = (float(v) for v in stretch_range)
+    one = spark.range(1).select(F.lit(lo).alias("min"), F.lit(hi).alias("max"))
+    return color_bars(one, [], rows, num_values)

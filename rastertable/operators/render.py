@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rastertable.functions.color import contrast_stretch, grey, label, rgb_alpha, stretch_bound, to_uint8
 from rastertable.operators import colormaps as cmaps
 from rastertable.operators.bands import PIXEL, align_bands
+from rastertable.operators.transforms import Transform, apply_transforms
 
 STATS = ("min", "max", "percentiles")
 
@@ -34,7 +35,7 @@ def _colored(pixels: DataFrame, rows: DataFrame | None) -> DataFrame:
 
 def singleband(pixels: DataFrame, metadata: DataFrame, keys: Sequence[str], *, stretch_range=None,
                colormap: str | Mapping | None = None, colormaps: DataFrame | None = None,
-               color_transform: Callable[[Column], Column] | None = None,
+               color_transform: Sequence[Transform] = (),
                at: Sequence[str] = PIXEL, percentile_base: int = 0) -> DataFrame:
     """Stretch to the dataset's range (each bound can be overridden), transform, quantise, colour.
 
@@ -48,10 +49,9 @@ def singleband(pixels: DataFrame, metadata: DataFrame, keys: Sequence[str], *, s
         labelled = pixels.select(*keys, *at, label("value", list(colormap)).alias("index"))
         return cmaps.apply_map(labelled, cmaps.explicit_map(spark, list(colormap.values())))
     joined = pixels.select(*keys, *at, "value").join(metadata.select(*keys, *STATS), keys)
-    unit = contrast_stretch("value", *_range(stretch_range, percentile_base), F.lit(0.0), F.lit(1.0))
-    if color_transform is not None:
-        unit = color_transform(unit)
-    index = joined.select(*keys, *at, to_uint8(unit, F.lit(0.0), F.lit(1.0)).alias("index"))
+    unit = joined.withColumn("_u", contrast_stretch("value", *_range(stretch_range, percentile_base), F.lit(0.0), F.lit(1.0)))
+    unit = apply_transforms(unit, color_transform, ["_u"])
+    index = unit.select(*keys, *at, to_uint8("_u", F.lit(0.0), F.lit(1.0)).alias("index"))
     return _colored(index, _map_rows(spark, colormap, colormaps))
 
 
@@ -62,14 +62,13 @@ def _map_rows(spark, colormap, colormaps):
 
 
 def rgb(pixels: DataFrame, metadata: DataFrame, keys: Sequence[str], rgb_values: Sequence[str], *,
-        stretch_ranges=None, color_transform: Callable | None = None,
+        stretch_ranges=None, color_transform: Sequence[Transform] = (),
         at: Sequence[str] = PIXEL, percentile_base: int = 0) -> DataFrame:
     """Three values of the last key as red, green and blue.
 
     Each band is stretched by its own metadata. A masked band is 0, a pixel is
     transparent only if all three are. A range whose upper bound is below the
-    lower one fails the job; equal bounds are allowed. ``color_transform``
-    maps three columns in [0, 1] to three columns.
+    lower one fails the job; equal bounds are allowed.
     """
     if len(rgb_values) != 3:
         raise ValueError("an RGB composite needs three values of the last key")
@@ -87,17 +86,15 @@ def rgb(pixels: DataFrame, metadata: DataFrame, keys: Sequence[str], rgb_values:
         joined = bands.join(per_scene, other)
     else:  # one key only: the metadata side is a single row
         joined = bands.withColumn("_all", F.lit(1)).join(F.broadcast(per_scene.withColumn("_all", F.lit(1))), "_all")
-    unit, masks = [], []
+    unit = {}
     for n, r in zip("rgb", ranges):
         lo, hi = _range(r, percentile_base, f"_{n}.")
         checked = F.when(hi < lo, F.raise_error(F.lit("upper stretch bound below lower bound")).cast("double")).otherwise(hi)
-        unit.append(contrast_stretch(n, lo, checked, F.lit(0.0), F.lit(1.0)))
-        masks.append(F.col(n).isNull())
-    if color_transform is not None:
-        # a transform may mix bands; every band keeps its own mask
-        changed = color_transform(*unit)
-        unit = [F.when(~m, c) for m, c in zip(masks, changed)]
-    out = joined.select(*other, *at, *[to_uint8(u, F.lit(0.0), F.lit(1.0)).alias(n) for u, n in zip(unit, "rgb")])
+        unit[f"_u{n}"] = contrast_stretch(n, lo, checked, F.lit(0.0), F.lit(1.0))
+    stretched = apply_transforms(joined.withColumns(unit), color_transform, list(unit))
+    # a transform may mix bands; every band keeps its own mask
+    own = {n: F.when(F.col(n).isNotNull(), F.col(f"_u{n}")) for n in "rgb"}
+    out = stretched.select(*other, *at, *[to_uint8(c, F.lit(0.0), F.lit(1.0)).alias(n) for n, c in own.items()])
     return out.withColumn("a", rgb_alpha("r", "g", "b"))
 
 
@@ -116,6 +113,6 @@ def compute(pixels: DataFrame, keys: Sequence[str], operands: Mapping[str, str],
         raise ValueError("between 1 and 5 operands")
     *other, _ = keys
     bands = align_bands(pixels, keys, operands, at)
-    result = expression(**{name: F.col(name) for name in operands}).cast("double")
-    index = bands.select(*other, *at, to_uint8(result, F.lit(float(lo)), F.lit(float(hi))).alias("index"))
+    result = bands.withColumn("_result", expression(**{name: F.col(name) for name in operands}).cast("double"))
+    index = result.select(*other, *at, to_uint8("_result", F.lit(float(lo)), F.lit(float(hi))).alias("index"))
     return _colored(index, _map_rows(pixels.sparkSession, colormap, colormaps))

@@ -116,11 +116,11 @@ def decimate(cells: DataFrame, grids: DataFrame, keys, max_shape: Sequence[int])
         *grids.columns,
         F.least(F.col("height"), F.lit(rows)).cast("int").alias("_h"),
         F.least(F.col("width"), F.lit(cols)).cast("int").alias("_w"))
-    joined = cells.join(cut.select(*keys, F.col("height").alias("_H"), F.col("width").alias("_W"), "_h", "_w"), keys)
+    joined = cells.join(cut.select(*keys, F.col("height").alias("_rows"), F.col("width").alias("_cols"), "_h", "_w"), keys)
     thin = (
-        joined.withColumn("row", _kept_rank(F.col("row"), F.col("_H"), F.col("_h")).cast("int"))
-        .withColumn("col", _kept_rank(F.col("col"), F.col("_W"), F.col("_w")).cast("int"))
-        .where("row IS NOT NULL AND col IS NOT NULL").drop("_H", "_W", "_h", "_w"))
+        joined.withColumn("row", _kept_rank(F.col("row"), F.col("_rows"), F.col("_h")).cast("int"))
+        .withColumn("col", _kept_rank(F.col("col"), F.col("_cols"), F.col("_w")).cast("int"))
+        .where("row IS NOT NULL AND col IS NOT NULL").drop("_rows", "_cols", "_h", "_w"))
     # same box, larger pixels
     sx, sy = F.col("width") / F.col("_w"), F.col("height") / F.col("_h")
     scaled = {"a": F.col("a") * sx, "d": F.col("d") * sx, "b": F.col("b") * sy, "e": F.col("e") * sy}

@@ -157,12 +157,16 @@ def _utm_meridian(crs: Column) -> Column:
     return (_utm_zone(crs) * 6 - 183).cast("double")
 
 
-def _utm_forward(crs: Column, lon: Column, lat: Column):
-    phi, dlam = F.radians(lat), F.radians(lon - _utm_meridian(crs))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - F.lit(_ECC) * F.atanh(F.lit(_ECC) * s))
-    xi = F.atan2(t, F.cos(dlam))
-    eta = F.atanh(F.sin(dlam) / F.sqrt(F.lit(1.0) + t * t))
+def _utm_t(lat: Column) -> Column:
+    s = F.sin(F.radians(lat))
+    return F.sinh(F.atanh(s) - F.lit(_ECC) * F.atanh(F.lit(_ECC) * s))
+
+
+def _utm_xi_eta(t: Column, dlam: Column) -> tuple[Column, Column]:
+    return F.atan2(t, F.cos(dlam)), F.atanh(F.sin(dlam) / F.sqrt(F.lit(1.0) + t * t))
+
+
+def _utm_series(crs: Column, xi: Column, eta: Column) -> tuple[Column, Column]:
     east, north = eta, xi
     for j, a in enumerate(_ALPHA, 1):
         east = east + F.lit(a) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
@@ -171,20 +175,34 @@ def _utm_forward(crs: Column, lon: Column, lat: Column):
     return k * east + F.lit(UTM_FALSE_EASTING), k * north + _utm_false_northing(crs)
 
 
-def _utm_inverse(crs: Column, x: Column, y: Column):
+def _utm_forward(crs: Column, lon: Column, lat: Column):
+    xi, eta = _utm_xi_eta(_utm_t(lat), F.radians(lon - _utm_meridian(crs)))
+    return _utm_series(crs, xi, eta)
+
+
+def _utm_start(crs: Column, x: Column, y: Column) -> tuple[Column, Column]:
     k = F.lit(UTM_SCALE * _RECTIFYING)
-    xi0 = (y - _utm_false_northing(crs)) / k
-    eta0 = (x - F.lit(UTM_FALSE_EASTING)) / k
+    return (y - _utm_false_northing(crs)) / k, (x - F.lit(UTM_FALSE_EASTING)) / k
+
+
+def _utm_unseries(xi0: Column, eta0: Column) -> tuple[Column, Column]:
     xi, eta = xi0, eta0
     for j, b in enumerate(_BETA, 1):
         xi = xi - F.lit(b) * F.sin(xi0 * (2 * j)) * F.cosh(eta0 * (2 * j))
         eta = eta - F.lit(b) * F.cos(xi0 * (2 * j)) * F.sinh(eta0 * (2 * j))
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    return xi, eta
+
+
+def _utm_unfold(crs: Column, xi: Column, eta: Column, chi: Column) -> tuple[Column, Column]:
     phi = chi
     for j, d in enumerate(_DELTA, 1):
         phi = phi + F.lit(d) * F.sin(chi * (2 * j))
-    lam = F.atan2(F.sinh(eta), F.cos(xi))
-    return F.degrees(lam) + _utm_meridian(crs), F.degrees(phi)
+    return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + _utm_meridian(crs), F.degrees(phi)
+
+
+def _utm_inverse(crs: Column, x: Column, y: Column):
+    xi, eta = _utm_unseries(*_utm_start(crs, x, y))
+    return _utm_unfold(crs, xi, eta, F.asin(F.sin(xi) / F.cosh(eta)))
 
 
 def _is_utm(crs: Column) -> Column:
@@ -232,21 +250,72 @@ def from_lonlat(crs, lon, lat) -> tuple[Column, Column]:
     return _pick(crs, lon, m[0], u[0]), _pick(crs, lat, m[1], u[1])
 
 
-def to_mercator(crs, x, y) -> tuple[Column, Column]:
-    """Project coordinates of ``crs`` to Web Mercator; the identity for Mercator datasets."""
-    lon, lat = to_lonlat(crs, x, y)
-    mx, my = _merc_forward(lon, lat)
-    if isinstance(crs, str):
-        return (as_column(x), as_column(y)) if crs == WEB_MERCATOR else (mx, my)
-    same = crs == WEB_MERCATOR
-    return F.when(same, as_column(x)).otherwise(mx), F.when(same, as_column(y)).otherwise(my)
+# --- projecting tables --------------------------------------------------------
 
+UTM = "UTM"  # a CRS kind: the zone of each row is read from its ``crs`` column
 
-def from_mercator(crs, x, y) -> tuple[Column, Column]:
-    """Project Web Mercator coordinates to ``crs``; the identity for Mercator datasets."""
-    x, y = as_column(x), as_column(y)
-    px, py = from_lonlat(crs, *_merc_inverse(x, y))
-    if isinstance(crs, str):
-        return (x, y) if crs == WEB_MERCATOR else (px, py)
-    same = crs == WEB_MERCATOR
-    return F.when(same, x).otherwise(px), F.when(same, y).otherwise(py)
+
+def crs_kind(crs: Column) -> Column:
+    """WGS84, WEB_MERCATOR, UTM or, for systems not supported, NULL."""
+    crs = normal_crs(crs)
+    return F.when(crs.isin(WGS84, WEB_MERCATOR), crs).when(_is_utm(crs), F.lit(UTM))
+
+
+def once(df, **columns: Column):
+    """Add columns so that each is computed once per row.
+
+    The optimizer copies a projected expression into every place that
+    mentions it once a filter is pushed past it, which multiplies long
+    formulas. It does not push filters past a generator, here one that makes
+    exactly one row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _zone(crs: str) -> Column:
+    return normal_crs("crs") if crs == UTM else F.lit(crs)
+
+
+def _table_to_lonlat(df, crs: str, x: Column, y: Column):
+    """Adds _lon, _lat."""
+    if crs == WGS84:
+        return once(df, _lon=x, _lat=y)
+    if crs == WEB_MERCATOR:
+        lon, lat = _merc_inverse(x, y)
+        return once(df, _lon=lon, _lat=lat)
+    xi0, eta0 = _utm_start(_zone(crs), x, y)
+    df = once(df, _xi0=xi0, _eta0=eta0)
+    xi, eta = _utm_unseries(F.col("_xi0"), F.col("_eta0"))
+    df = once(df, _xi=xi, _eta=eta)
+    df = once(df, _chi=F.asin(F.sin("_xi") / F.cosh("_eta")))
+    lon, lat = _utm_unfold(_zone(crs), F.col("_xi"), F.col("_eta"), F.col("_chi"))
+    return once(df, _lon=lon, _lat=lat).drop("_xi0", "_eta0", "_xi", "_eta", "_chi")
+
+
+def _table_from_lonlat(df, crs: str, out_x: str, out_y: str):
+    """Turns _lon, _lat into out_x, out_y."""
+    lon, lat = F.col("_lon"), F.col("_lat")
+    if crs == WGS84:
+        return df.withColumnsRenamed({"_lon": out_x, "_lat": out_y})
+    if crs == WEB_MERCATOR:
+        x, y = _merc_forward(lon, lat)
+        return once(df, **{out_x: x, out_y: y}).drop("_lon", "_lat")
+    df = once(df, _t=_utm_t(lat))
+    xi, eta = _utm_xi_eta(F.col("_t"), F.radians(lon - _utm_meridian(_zone(crs))))
+    df = once(df, _xi=xi, _eta=eta)
+    x, y = _utm_series(_zone(crs), F.col("_xi"), F.col("_eta"))
+    return once(df, **{out_x: x, out_y: y}).drop("_t", "_xi", "_eta", "_lon", "_lat")
+
+
+def project(df, source: str, target: str, x: Column, y: Column, out_x: str, out_y: str):
+    """Add projected coordinates to a table. Systems are WGS84, WEB_MERCATOR, UTM or one UTM code."""
+    if source == target and source != UTM:
+        return once(df, **{out_x: x, out_y: y})
+    return _table_from_lonlat(_table_to_lonlat(df, source, x, y), target, out_x, out_y)
+
+
+def mercator_to_pixel(df, crs: str, x: Column, y: Column, u: str, v: str):
+    """Add the fractional source column ``u`` and row ``v`` of Web Mercator points, by header columns a..f."""
+    df = project(df, WEB_MERCATOR, crs, x, y, "_px", "_py")
+    cu, cv = xy_to_pixel("_px", "_py")
+    return once(df, **{u: cu, v: cv}).drop("_px", "_py")

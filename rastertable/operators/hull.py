@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rastertable.functions import geo
 from rastertable.functions.masks import finite
+from rastertable.operators.crs import per_crs
 
 CHUNK_ROWS = 1024  # raster rows whose candidates meet in one first-round group
 
@@ -79,16 +80,19 @@ def hull_vertices(cells: DataFrame, keys) -> DataFrame:
     return partial.groupBy(*keys).applyInPandas(reducer(keys), schema(partial, keys))
 
 
-def convex_hull(cells: DataFrame, grids: DataFrame, keys, crs=None) -> DataFrame:
+def convex_hull(cells: DataFrame, grids: DataFrame, keys, crs: str | None = None) -> DataFrame:
     """Hull in degrees: ``hull`` (open ring of lon/lat) and ``convex_hull`` (GeoJSON)."""
     keys = list(keys)
-    crs_col = geo.normal_crs("crs") if crs is None else crs
-    joined = hull_vertices(cells, keys).join(grids.select(*keys, *"abcdef", "crs"), keys)
+    vertices = hull_vertices(cells, keys)
     x, y = geo.pixel_to_xy(F.col("x").cast("double"), F.col("y").cast("double"))
-    lon, lat = geo.to_lonlat(crs_col, F.col("_mx"), F.col("_my"))
-    points = (joined.withColumns({"_mx": x, "_my": y})
-              .select(*keys, "ord", F.struct(lon.alias("lon"), lat.alias("lat")).alias("_pt")))
-    ring = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "_pt"))).alias("_ring"))
+
+    def build(some, kind):
+        placed = vertices.join(some.select(*keys, *"abcdef", "crs"), keys)
+        points = geo.project(placed, kind, geo.WGS84, x, y, "lon", "lat")
+        return points.select(*keys, "ord", F.struct("lon", "lat").alias("_pt"))
+
+    ring = per_crs(grids, build, crs).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("ord", "_pt"))).alias("_ring"))
     return ring.select(*keys, F.col("_ring._pt").alias("hull")).withColumn("convex_hull", geojson("hull"))
 
 

@@ -34,6 +34,10 @@ def level_grids(grids: DataFrame, level: int) -> DataFrame:
                               **{n: F.col(n) * f for n in "abde"}})
 
 
+def _factor():
+    return F.call_function("shiftleft", F.lit(1), F.col("level"))
+
+
 def _half(c: str):
     return F.shiftright(F.col(c), 1)
 
@@ -64,11 +68,11 @@ def pyramid(cells: DataFrame, grids: DataFrame, keys, method: str = "average", b
 
 
 def _nearest_levels(base: DataFrame, keys) -> DataFrame:
-    factor = F.shiftleft(F.lit(1), F.col("level"))
+    factor = _factor()
     return (base.withColumn("level", F.explode(F.sequence(F.lit(1), "levels")))
             .where((F.col("row") % factor == 0) & (F.col("col") % factor == 0))
-            .select(*keys, "level", F.call_function("shiftright", "row", "level").alias("row"),
-                    F.call_function("shiftright", "col", "level").alias("col"), "value"))
+            .select(*keys, "level", F.call_function("shiftright", F.col("row"), F.col("level")).alias("row"),
+                    F.call_function("shiftright", F.col("col"), F.col("level")).alias("col"), "value"))
 
 
 def _average_step(state: DataFrame, keys) -> DataFrame:
@@ -140,8 +144,8 @@ def layout_audit(blocks: DataFrame, grids: DataFrame, keys, size: int = BLOCK_SI
         F.max("block_row").alias("_br"), F.max("block_col").alias("_bc"), F.min("level").alias("_low"))
     found = per_level.join(levelled, keys).select(
         *keys, "level",
-        ((F.col("_br") * size * F.shiftleft(F.lit(1), F.col("level")) >= F.col("height"))
-         | (F.col("_bc") * size * F.shiftleft(F.lit(1), F.col("level")) >= F.col("width"))).alias("_outside"))
+        ((F.col("_br") * size * _factor() >= F.col("height"))
+         | (F.col("_bc") * size * _factor() >= F.col("width"))).alias("_outside"))
     have = found.groupBy(*keys).agg(
         F.array_sort(F.collect_set("level")).alias("_found"), F.max("_outside").alias("_outside"))
     large = (F.col("width") > LARGE_SIDE) & (F.col("height") > LARGE_SIDE)

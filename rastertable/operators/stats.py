@@ -15,6 +15,7 @@ from rastertable.functions import geo
 from rastertable.functions.masks import finite, read_mask
 from rastertable.operators import hull as hulls
 from rastertable.operators import percentiles as pct
+from rastertable.operators.crs import per_crs
 
 # fixed values
 LAZY_SHAPE = (1024, 1024)              # shape cap for statistics filled in on first request
@@ -167,32 +168,36 @@ def corner_box(grids: DataFrame, keys) -> DataFrame:
     return grids.withColumns({"left": F.least(*xs), "bottom": F.least(*ys), "right": F.greatest(*xs), "top": F.greatest(*ys)})
 
 
-def projected_box(boxes: DataFrame, keys, project, names, crs=None) -> DataFrame:
-    """Project the densified edges of left/bottom/right/top and keep the extremes.
-
-    Runs inside one row per dataset: 84 points per box, no shuffle needed
-    beyond the grouping of them.
-    """
-    keys = list(keys)
-    crs = geo.normal_crs("crs") if crs is None else crs
+def box_edges(boxes: DataFrame) -> DataFrame:
+    """Points along the edges of left/bottom/right/top, corners included: _x, _y."""
     t = F.col("_i").cast("double") / F.lit(float(EDGE_POINTS + 1))
     along_x = F.col("left") + (F.col("right") - F.col("left")) * t
     along_y = F.col("bottom") + (F.col("top") - F.col("bottom")) * t
     x = F.when(F.col("_e") < 2, along_x).when(F.col("_e") == 2, F.col("left")).otherwise(F.col("right"))
     y = F.when(F.col("_e") >= 2, along_y).when(F.col("_e") == 0, F.col("bottom")).otherwise(F.col("top"))
-    px, py = project(crs, F.col("_x"), F.col("_y"))
+    return (boxes.withColumn("_e", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+            .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(EDGE_POINTS + 1))))
+            .withColumns({"_x": x, "_y": y}).drop("_e", "_i"))
+
+
+def extremes(points: DataFrame, keys, names) -> DataFrame:
     west, south, east, north = names
-    return (
-        boxes.withColumn("_e", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(EDGE_POINTS + 1))))
-        .withColumns({"_x": x, "_y": y}).withColumns({"_px": px, "_py": py})
-        .groupBy(*keys).agg(F.min("_px").alias(west), F.min("_py").alias(south),
-                            F.max("_px").alias(east), F.max("_py").alias(north)))
+    return points.groupBy(*keys).agg(F.min("_px").alias(west), F.min("_py").alias(south),
+                                     F.max("_px").alias(east), F.max("_py").alias(north))
+
+
+def projected_bounds(grids: DataFrame, keys, target: str, names, crs: str | None = None) -> DataFrame:
+    """Box of every grid in another CRS: its densified edges projected, then the extremes."""
+    def build(some, kind):
+        edges = box_edges(corner_box(some, keys))
+        return extremes(geo.project(edges, kind, target, F.col("_x"), F.col("_y"), "_px", "_py"), keys, names)
+
+    return per_crs(grids, build, crs)
 
 
-def geographic_bounds(grids: DataFrame, keys, crs=None) -> DataFrame:
+def geographic_bounds(grids: DataFrame, keys, crs: str | None = None) -> DataFrame:
     """west, south, east, north of every grid in degrees."""
-    return projected_box(corner_box(grids, keys), keys, geo.to_lonlat, ("west", "south", "east", "north"), crs)
+    return projected_bounds(grids, keys, geo.WGS84, ("west", "south", "east", "north"), crs)
 
 
 # --- everything -------------------------------------------------------------

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from rastertable.functions import geo
 from rastertable.functions.masks import finite
-from rastertable.operators.stats import corner_box, geographic_bounds, projected_box
+from rastertable.operators.crs import per_crs
+from rastertable.operators.stats import box_edges, extremes, geographic_bounds, projected_bounds
 from rastertable.sources.cells import BLOCK_SIZE
 
 # fixed values
@@ -62,13 +63,17 @@ def cubic_weight(t: Column) -> Column:
 def mercator_grids(grids: DataFrame, keys, crs: str | None = None) -> DataFrame:
     """Grids with their Web Mercator box and the resolution that keeps the pixel diagonal."""
     keys = list(keys)
-    code = geo.normal_crs("crs") if crs is None else crs
-    box = projected_box(corner_box(grids, keys), keys, geo.to_mercator, ("ml", "mb", "mr", "mt"), crs)
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
-    x0, y0 = geo.to_mercator(code, *geo.pixel_to_xy(F.lit(0.0), F.lit(0.0)))
-    x1, y1 = geo.to_mercator(code, *geo.pixel_to_xy(w, h))
-    diagonal = F.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) / F.sqrt(w * w + h * h)
-    return grids.withColumn("res", diagonal).join(box, keys)
+
+    def build(some, kind):
+        ends = geo.project(some, kind, geo.WEB_MERCATOR, *geo.pixel_to_xy(F.lit(0.0), F.lit(0.0)), "_x0", "_y0")
+        ends = geo.project(ends, kind, geo.WEB_MERCATOR, *geo.pixel_to_xy(w, h), "_x1", "_y1")
+        dx, dy = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+        res = F.sqrt(dx * dx + dy * dy) / F.sqrt(w * w + h * h)
+        box = projected_bounds(some, keys, geo.WEB_MERCATOR, ("ml", "mb", "mr", "mt"), kind)
+        return ends.withColumn("res", res).drop("_x0", "_y0", "_x1", "_y1").join(box, keys)
+
+    return per_crs(grids, build, crs)
 
 
 def tile_cover(bounds: DataFrame, keys, zooms: Sequence[int]) -> DataFrame:
@@ -151,7 +156,7 @@ def reprojected_frames(grids: DataFrame, keys, crs: str | None = None) -> DataFr
 
 # --- step 1: source blocks to working pixels --------------------------------
 
-def _chunks(frames: DataFrame, keys, ids, reach: int) -> DataFrame:
+def _chunks(frames: DataFrame, keys, ids) -> DataFrame:
     """Chunks of working pixels (inclusive c0..c1, r0..r1) that can touch the dataset."""
     sx = (F.col("right") - F.col("left")) / F.col("vw")
     sy = (F.col("top") - F.col("bottom")) / F.col("vh")
@@ -167,38 +172,33 @@ def _chunks(frames: DataFrame, keys, ids, reach: int) -> DataFrame:
         .withColumn("r0", F.explode(F.sequence("_fr", "_lr", F.lit(CHUNK))))
         .withColumns({"c1": F.least(F.col("c0") + CHUNK - 1, F.col("_lc")),
                       "r1": F.least(F.col("r0") + CHUNK - 1, F.col("_lr"))}))
-    return cut.select(*keys, *ids, *HEADER, "left", "top", "sx", "sy", "c0", "c1", "r0", "r1")
+    return cut.select(*keys, *ids, *HEADER, F.col("left").alias("fl"), F.col("top").alias("ft"),
+                      "sx", "sy", "c0", "c1", "r0", "r1")
 
 
-def _chunk_blocks(chunks: DataFrame, keys, ids, crs, reach: int, size: int) -> DataFrame:
+def _chunk_blocks(chunks: DataFrame, crs: str, reach: int, size: int) -> DataFrame:
     """One row per chunk and source block under it.
 
     The image of a chunk's outline bounds the image of the chunk. The outline
     is sampled every dozen pixels, so one pixel of slack covers its curvature.
     """
-    around = chunks.select(
-        "*", F.struct(*chunks.columns).alias("_chunk")).withColumns({
-            "_ol": F.col("left"), "_ot": F.col("top")}).select(
-        "_chunk", *HEADER,
-        (F.col("_ol") + (F.col("c0") + 0.5) * F.col("sx")).alias("left"),
-        (F.col("_ol") + (F.col("c1") + 0.5) * F.col("sx")).alias("right"),
-        (F.col("_ot") - (F.col("r1") + 0.5) * F.col("sy")).alias("bottom"),
-        (F.col("_ot") - (F.col("r0") + 0.5) * F.col("sy")).alias("top"))
-
-    def to_pixels(code, x, y):
-        return geo.xy_to_pixel(*geo.from_mercator(code, x, y), "_chunk.")
-
-    box = projected_box(around, ["_chunk"], to_pixels, ("u0", "v0", "u1", "v1"), crs)
+    outline = chunks.withColumns({
+        "left": F.col("fl") + (F.col("c0") + 0.5) * F.col("sx"),
+        "right": F.col("fl") + (F.col("c1") + 0.5) * F.col("sx"),
+        "bottom": F.col("ft") - (F.col("r1") + 0.5) * F.col("sy"),
+        "top": F.col("ft") - (F.col("r0") + 0.5) * F.col("sy")})
+    placed = geo.mercator_to_pixel(box_edges(outline), crs, F.col("_x"), F.col("_y"), "_u", "_v")
+    box = extremes(placed.withColumnsRenamed({"_u": "_px", "_v": "_py"}), chunks.columns, ("u0", "v0", "u1", "v1"))
     slack = reach + 1
     block = lambda c, n, d: F.floor(
-        F.greatest(F.lit(0.0), F.least(F.floor(c) + F.lit(d), (F.col(f"_chunk.{n}") - 1).cast("double"))) / size).cast("int")
+        F.greatest(F.lit(0.0), F.least(F.floor(c) + F.lit(d), (F.col(n) - 1).cast("double"))) / size).cast("int")
     near = (F.col("u1") >= -slack) & (F.col("v1") >= -slack) \
-        & (F.col("u0") < F.col("_chunk.width") + slack) & (F.col("v0") < F.col("_chunk.height") + slack)
+        & (F.col("u0") < F.col("width") + slack) & (F.col("v0") < F.col("height") + slack)
     return (
         box.where(near)
-        .withColumn("block_row", F.explode(F.sequence(block(F.col("v0"), "height", -slack), block(F.col("v1"), "height", slack))))
-        .withColumn("block_col", F.explode(F.sequence(block(F.col("u0"), "width", -slack), block(F.col("u1"), "width", slack))))
-        .select("_chunk.*", "block_row", "block_col"))
+        .withColumn("block_row", F.explode(F.sequence(block("v0", "height", -slack), block("v1", "height", slack))))
+        .withColumn("block_col", F.explode(F.sequence(block("u0", "width", -slack), block("u1", "width", slack))))
+        .select(*chunks.columns, "block_row", "block_col"))
 
 
 def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear",
@@ -210,24 +210,24 @@ def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear"
     and falls back to linear where one of them is masked or off the raster.
     """
     keys, ids = list(keys), list(ids)
+    if crs is None:
+        return per_crs(frames, lambda some, kind: warp(blocks, some, keys, ids, method, block_size, kind))
     check_method(method)
     if method == "average":
         raise ValueError("average reduces a working grid; warp with nearest, linear or cubic")
     reach = {"nearest": 0, "linear": 1, "cubic": 2}[method]
     taps = {"nearest": (0,), "linear": (0, 1), "cubic": (-1, 0, 1, 2)}[method]
-    code = geo.normal_crs("crs") if crs is None else crs
     n_cols = F.col("c1") - F.col("c0") + 1
     n_pixels = n_cols * (F.col("r1") - F.col("r0") + 1)
-    pairs = _chunk_blocks(_chunks(frames, keys, ids, reach), keys, ids, crs, reach, block_size)
+    pairs = _chunk_blocks(_chunks(frames, keys, ids), crs, reach, block_size)
     pixels = (
         pairs.join(blocks.select(*keys, "block_row", "block_col", "values"), [*keys, "block_row", "block_col"])
         .withColumn("_i", F.explode(F.sequence(F.lit(0), n_pixels - 1)))
         .withColumn("vc", F.col("c0") + F.col("_i") % n_cols)
         .withColumn("vr", F.col("r0") + F.call_function("div", F.col("_i"), n_cols).cast("int")))
-    x = F.col("left") + (F.col("vc") + 0.5) * F.col("sx")
-    y = F.col("top") - (F.col("vr") + 0.5) * F.col("sy")
-    u, v = geo.xy_to_pixel(*geo.from_mercator(code, x, y))
-    pixels = pixels.withColumns({"_u": u, "_v": v}).where(
+    x = F.col("fl") + (F.col("vc") + 0.5) * F.col("sx")
+    y = F.col("ft") - (F.col("vr") + 0.5) * F.col("sy")
+    pixels = geo.mercator_to_pixel(pixels, crs, x, y, "_u", "_v").where(
         (F.col("_u") >= 0) & (F.col("_u") < F.col("width")) & (F.col("_v") >= 0) & (F.col("_v") < F.col("height")))
     shift = 0.0 if method == "nearest" else 0.5
     base_c, base_r = F.floor(F.col("_u") - shift).cast("int"), F.floor(F.col("_v") - shift).cast("int")
@@ -335,19 +335,25 @@ def frame_pixels(blocks: DataFrame, frames: DataFrame, keys, ids=(), reprojectio
 def tile_layer(blocks: DataFrame, grids: DataFrame, keys, zooms: Sequence[int], tile_size=TILE_SIZE,
                tiles: DataFrame | None = None, crs: str | None = None, **methods) -> DataFrame:
     """Pixels of all tiles of all datasets: keys, z, x, y, py, px, value."""
-    frames = tile_frames(grids, keys, zooms, tile_size, crs, tiles)
-    return frame_pixels(blocks, frames, keys, TILE_IDS, crs=crs, **methods)
+    def build(some, kind):
+        frames = tile_frames(some, keys, zooms, tile_size, kind, tiles)
+        return frame_pixels(blocks, frames, keys, TILE_IDS, crs=kind, **methods)
+
+    return per_crs(grids, build, crs)
 
 
 def previews(blocks: DataFrame, grids: DataFrame, keys, tile_size=TILE_SIZE, crs: str | None = None, **methods) -> DataFrame:
-    return frame_pixels(blocks, preview_frames(grids, keys, tile_size, crs), keys, (), crs=crs, **methods)
+    """Whole datasets, one image each: keys, py, px, value."""
+    return per_crs(grids, lambda some, kind: frame_pixels(
+        blocks, preview_frames(some, keys, tile_size, kind), keys, (), crs=kind, **methods), crs)
 
 
 def reproject(blocks: DataFrame, grids: DataFrame, keys, method: str = "linear",
               block_size: int = BLOCK_SIZE, crs: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Every raster in Web Mercator at its suggested resolution: cells and grids."""
+    cells = per_crs(grids, lambda some, kind: warp(
+        blocks, reprojected_frames(some, keys, kind), keys, (), method, block_size, kind), crs)
     frames = reprojected_frames(grids, keys, crs)
-    cells = warp(blocks, frames, keys, (), method, block_size, crs)
     header = {"a": F.col("res"), "b": F.lit(0.0), "c": F.col("left"), "d": F.lit(0.0),
               "e": -F.col("res"), "f": F.col("top"), "width": F.col("vw"), "height": F.col("vh"),
               "crs": F.lit(geo.WEB_MERCATOR)}

@@ -1,4 +1,4 @@
 """All registered queries; importing the modules registers them."""
 
-from rastertable.plans import algebra_queries, catalog_queries, render_queries, stats_queries  # noqa: F401
+from rastertable.plans import algebra_queries, catalog_queries, geo_queries, render_queries, stats_queries, tile_queries  # noqa: F401
 from rastertable.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -31,7 +31,7 @@ def _a1_meta(spark, d):
 def stretch_sql(v, lo, hi, a, b):
     """Same steps as the Column form; the span is never flat in the test data."""
     a, b = (f"CAST({x} AS DOUBLE)" for x in (a, b))
-    return f"least(greatest(({v} - {lo}) * (({b} - {a}) / ({hi} - {lo})) + {a}, {a}), {b})"
+    return f"CASE WHEN ({v}) IS NOT NULL THEN least(greatest((({v}) - {lo}) * (({b} - {a}) / ({hi} - {lo})) + {a}, {a}), {b}) END"
 
 
 def uint8_sql(v, lo, hi):

@@ -252,6 +252,7 @@ def from_lonlat(crs, lon, lat) -> tuple[Column, Column]:
 
 # --- projecting tables --------------------------------------------------------
 
+SEPARABLE = (WGS84, WEB_MERCATOR)  # boxes stay boxes between these
 UTM = "UTM"  # a CRS kind: the zone of each row is read from its ``crs`` column
 
 
@@ -310,12 +311,25 @@ def _table_from_lonlat(df, crs: str, out_x: str, out_y: str):
 def project(df, source: str, target: str, x: Column, y: Column, out_x: str, out_y: str):
     """Add projected coordinates to a table. Systems are WGS84, WEB_MERCATOR, UTM or one UTM code."""
     if source == target and source != UTM:
-        return once(df, **{out_x: x, out_y: y})
+        return df.withColumns({out_x: x, out_y: y})
     return _table_from_lonlat(_table_to_lonlat(df, source, x, y), target, out_x, out_y)
 
 
 def mercator_to_pixel(df, crs: str, x: Column, y: Column, u: str, v: str):
     """Add the fractional source column ``u`` and row ``v`` of Web Mercator points, by header columns a..f."""
+    if crs in SEPARABLE:
+        px, py = (x, y) if crs == WEB_MERCATOR else _merc_inverse(x, y)
+        cu, cv = xy_to_pixel(px, py)
+        return once(df, **{u: cu, v: cv})
     df = project(df, WEB_MERCATOR, crs, x, y, "_px", "_py")
     cu, cv = xy_to_pixel("_px", "_py")
     return once(df, **{u: cu, v: cv}).drop("_px", "_py")
+
+
+def separable_lonlat(crs: str, x: Column, y: Column) -> tuple[Column, Column]:
+    """Degrees of a point for the systems whose longitude depends on x and latitude on y alone."""
+    return (x, y) if crs == WGS84 else _merc_inverse(x, y)
+
+
+def separable_mercator(crs: str, x: Column, y: Column) -> tuple[Column, Column]:
+    return (x, y) if crs == WEB_MERCATOR else _merc_forward(x, y)

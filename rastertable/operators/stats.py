@@ -169,7 +169,7 @@ def corner_box(grids: DataFrame, keys) -> DataFrame:
 
 
 def box_edges(boxes: DataFrame) -> DataFrame:
-    """Points along the edges of left/bottom/right/top, corners included: _x, _y."""
+    """Points along the edges of left/bottom/right/top, corners included: _e, _i, _x, _y."""
     t = F.col("_i").cast("double") / F.lit(float(EDGE_POINTS + 1))
     along_x = F.col("left") + (F.col("right") - F.col("left")) * t
     along_y = F.col("bottom") + (F.col("top") - F.col("bottom")) * t
@@ -177,27 +177,57 @@ def box_edges(boxes: DataFrame) -> DataFrame:
     y = F.when(F.col("_e") >= 2, along_y).when(F.col("_e") == 0, F.col("bottom")).otherwise(F.col("top"))
     return (boxes.withColumn("_e", F.explode(F.array(*[F.lit(i) for i in range(4)])))
             .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(EDGE_POINTS + 1))))
-            .withColumns({"_x": x, "_y": y}).drop("_e", "_i"))
+            .withColumns({"_x": x, "_y": y}))
 
 
-def extremes(points: DataFrame, keys, names) -> DataFrame:
-    west, south, east, north = names
-    return points.groupBy(*keys).agg(F.min("_px").alias(west), F.min("_py").alias(south),
-                                     F.max("_px").alias(east), F.max("_py").alias(north))
+def located_grids(grids: DataFrame, keys, crs: str | None = None) -> DataFrame:
+    """Grids with west, south, east, north (degrees), ml, mb, mr, mt (Web Mercator box)
+    and ``res``, the Web Mercator resolution that keeps the pixel diagonal.
 
-
-def projected_bounds(grids: DataFrame, keys, target: str, names, crs: str | None = None) -> DataFrame:
-    """Box of every grid in another CRS: its densified edges projected, then the extremes."""
-    def build(some, kind):
-        edges = box_edges(corner_box(some, keys))
-        return extremes(geo.project(edges, kind, target, F.col("_x"), F.col("_y"), "_px", "_py"), keys, names)
-
-    return per_crs(grids, build, crs)
+    Between degrees and Web Mercator a box stays a box, so its corners tell
+    all. UTM boxes are bent: their edges are sampled and the extremes kept.
+    """
+    keys = list(keys)
+    w, h = F.col("width").cast("double"), F.col("height").cast("double")
+    pixel_diagonal = F.sqrt(w * w + h * h)
+    first, last = geo.pixel_to_xy(F.lit(0.0), F.lit(0.0)), geo.pixel_to_xy(w, h)
+
+    def straight(some, kind):
+        low, high = (F.col("left"), F.col("bottom")), (F.col("right"), F.col("top"))
+        (west, south), (east, north) = (geo.separable_lonlat(kind, *p) for p in (low, high))
+        (ml, mb), (mr, mt) = (geo.separable_mercator(kind, *p) for p in (low, high))
+        (x0, y0), (x1, y1) = (geo.separable_mercator(kind, *p) for p in (first, last))
+        res = F.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) / pixel_diagonal
+        return corner_box(some, keys).withColumns({
+            "west": west, "south": south, "east": east, "north": north,
+            "ml": ml, "mb": mb, "mr": mr, "mt": mt, "res": res}).drop("left", "bottom", "right", "top")
+
+    def bent(some, kind):
+        header = F.struct(*[c for c in some.columns if c not in keys])
+        boxed = corner_box(some, keys).withColumn("_grid", header)
+        ends = boxed.withColumn("_end", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({
+            "_x": F.when(F.col("_end") == 0, first[0]).otherwise(last[0]),
+            "_y": F.when(F.col("_end") == 0, first[1]).otherwise(last[1])})
+        columns = [*keys, "_grid", "crs", "_end", "_x", "_y"]
+        points = box_edges(boxed).withColumn("_end", F.lit(None).cast("int")).select(columns).unionByName(ends.select(columns))
+        placed = geo.project(points, kind, geo.WGS84, F.col("_x"), F.col("_y"), "lon_", "lat_")
+        mx, my = geo.separable_mercator(geo.WGS84, F.col("lon_"), F.col("lat_"))
+        placed = placed.withColumns({"_mx": mx, "_my": my})
+        at = lambda c, end: F.max(F.when(F.col("_end") == end, F.col(c)))
+        dx, dy = at("_mx", 1) - at("_mx", 0), at("_my", 1) - at("_my", 0)
+        summed = placed.groupBy(*keys).agg(
+            F.first("_grid").alias("_grid"), F.min("lon_").alias("west"), F.min("lat_").alias("south"),
+            F.max("lon_").alias("east"), F.max("lat_").alias("north"), F.min("_mx").alias("ml"), F.min("_my").alias("mb"),
+            F.max("_mx").alias("mr"), F.max("_my").alias("mt"), F.sqrt(dx * dx + dy * dy).alias("_d"))
+        out = summed.select(*keys, "_grid.*", *[c for c in summed.columns if c not in (*keys, "_grid")])
+        return out.withColumn("res", F.col("_d") / pixel_diagonal).drop("_d")
+
+    return per_crs(grids, lambda some, kind: (straight if kind in geo.SEPARABLE else bent)(some, kind), crs)
 
 
 def geographic_bounds(grids: DataFrame, keys, crs: str | None = None) -> DataFrame:
     """west, south, east, north of every grid in degrees."""
-    return projected_bounds(grids, keys, geo.WGS84, ("west", "south", "east", "north"), crs)
+    return located_grids(grids, keys, crs).select(*keys, "west", "south", "east", "north")
 
 
 # --- everything -------------------------------------------------------------

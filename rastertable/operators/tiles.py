@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from rastertable.functions import geo
 from rastertable.functions.masks import finite
 from rastertable.operators.crs import per_crs
-from rastertable.operators.stats import box_edges, extremes, geographic_bounds, projected_bounds
+from rastertable.operators.stats import box_edges, located_grids
 from rastertable.sources.cells import BLOCK_SIZE
 
 # fixed values
@@ -60,31 +60,14 @@ def cubic_weight(t: Column) -> Column:
 
 # --- frames -----------------------------------------------------------------
 
-def mercator_grids(grids: DataFrame, keys, crs: str | None = None) -> DataFrame:
-    """Grids with their Web Mercator box and the resolution that keeps the pixel diagonal."""
-    keys = list(keys)
-    w, h = F.col("width").cast("double"), F.col("height").cast("double")
-
-    def build(some, kind):
-        ends = geo.project(some, kind, geo.WEB_MERCATOR, *geo.pixel_to_xy(F.lit(0.0), F.lit(0.0)), "_x0", "_y0")
-        ends = geo.project(ends, kind, geo.WEB_MERCATOR, *geo.pixel_to_xy(w, h), "_x1", "_y1")
-        dx, dy = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
-        res = F.sqrt(dx * dx + dy * dy) / F.sqrt(w * w + h * h)
-        box = projected_bounds(some, keys, geo.WEB_MERCATOR, ("ml", "mb", "mr", "mt"), kind)
-        return ends.withColumn("res", res).drop("_x0", "_y0", "_x1", "_y1").join(box, keys)
-
-    return per_crs(grids, build, crs)
-
-
-def tile_cover(bounds: DataFrame, keys, zooms: Sequence[int]) -> DataFrame:
-    """Tiles (z, x, y) under each dataset's lon/lat box. ``bounds``: keys, west, south, east, north."""
+def tile_cover(bounds: DataFrame, zooms: Sequence[int]) -> DataFrame:
+    """Rows of ``bounds`` (west, south, east, north in degrees) times the tiles z, x, y under them."""
     z = F.col("z")
     span = lambda lo, hi: F.sequence(lo.cast("long"), hi.cast("long"))
     return (
         bounds.withColumn("z", F.explode(F.array(*[F.lit(int(v)) for v in zooms])))
         .withColumn("x", F.explode(span(geo.tile_x("west", z), geo.tile_x("east", z))))
-        .withColumn("y", F.explode(span(geo.tile_y("north", z), geo.tile_y("south", z))))
-        .select(*keys, "z", "x", "y"))
+        .withColumn("y", F.explode(span(geo.tile_y("north", z), geo.tile_y("south", z)))))
 
 
 def tiles_in_bounds(requests: DataFrame, bounds: DataFrame, keys) -> DataFrame:
@@ -95,27 +78,26 @@ def tiles_in_bounds(requests: DataFrame, bounds: DataFrame, keys) -> DataFrame:
 
 def tiles_with_datasets(tiles: DataFrame, bounds: DataFrame, keys, zooms: Sequence[int]) -> DataFrame:
     """Which datasets lie under which wanted tiles: tile ranges become rows, then an equi-join."""
-    return tiles.select("z", "x", "y").distinct().join(tile_cover(bounds, keys, zooms), ["z", "x", "y"])
+    return tiles.select("z", "x", "y").distinct().join(tile_cover(bounds, zooms).select(*keys, "z", "x", "y"), ["z", "x", "y"])
 
 
 def _working_size(framed: DataFrame, tile_size) -> DataFrame:
-    """Columns vw, vh (working pixels), tw, th (frame pixels) and ``fine``."""
+    """Adds vw, vh, the working pixels, and ``fine``: the working grid is the frame itself."""
     th, tw = (int(v) for v in tile_size)
     sx, sy = F.col("right") - F.col("left"), F.col("top") - F.col("bottom")
     fine = (sx / tw < F.col("res")) | (sy / th < F.col("res"))
-    pixels = lambda span, own: F.when(fine, F.lit(own)).otherwise(
+    pixels = lambda span, own: F.when(F.col("fine"), F.lit(own)).otherwise(
         F.greatest(F.rint(span / F.col("res")).cast("int"), F.lit(1)))
-    return framed.withColumns({"fine": fine, "vw": pixels(sx, tw), "vh": pixels(sy, th),
-                               "tw": F.lit(tw), "th": F.lit(th)})
+    return framed.withColumn("fine", fine).withColumns({"vw": pixels(sx, tw), "vh": pixels(sy, th)})
 
 
 def _box_ratio() -> Column:
     return geo.cover_ratio(("ml", "mb", "mr", "mt"), ("left", "bottom", "right", "top"))
 
 
-def sparse_tiles(grids_m: DataFrame, tiles: DataFrame, keys) -> DataFrame:
-    """Tiles with their cover ratio and whether the dataset is too small for them."""
-    framed = tiles.join(grids_m, list(keys)).withColumns(geo.tile_bounds("z", "x", "y"))
+def sparse_tiles(grids: DataFrame, keys, zooms: Sequence[int], crs: str | None = None) -> DataFrame:
+    """Tile cover with the cover ratio and whether the dataset is too small for the tile."""
+    framed = tile_cover(located_grids(grids, keys, crs), zooms).withColumns(geo.tile_bounds("z", "x", "y"))
     return framed.withColumn("cover_ratio", _box_ratio()).select(
         *keys, "z", "x", "y", "cover_ratio", (F.col("cover_ratio") < geo.MIN_COVER_RATIO).alias("sparse"))
 
@@ -127,15 +109,15 @@ def tile_frames(grids: DataFrame, keys, zooms: Sequence[int], tile_size=TILE_SIZ
     Tiles outside the dataset's tile range, and tiles it covers too sparsely, are left out.
     """
     keys = list(keys)
-    cover = tile_cover(geographic_bounds(grids, keys, crs), keys, zooms)
+    cover = tile_cover(located_grids(grids, keys, crs), zooms)
     if tiles is not None:
         cover = cover.join(tiles.select(*keys, "z", "x", "y"), [*keys, "z", "x", "y"], "left_semi")
-    framed = cover.join(mercator_grids(grids, keys, crs), keys).withColumns(geo.tile_bounds("z", "x", "y"))
+    framed = cover.withColumns(geo.tile_bounds("z", "x", "y"))
     return _working_size(framed.where(_box_ratio() >= geo.MIN_COVER_RATIO), tile_size)
 
 
 def _own_box(grids: DataFrame, keys, crs) -> DataFrame:
-    return mercator_grids(grids, keys, crs).withColumns(
+    return located_grids(grids, keys, crs).withColumns(
         {"left": F.col("ml"), "bottom": F.col("mb"), "right": F.col("mr"), "top": F.col("mt")})
 
 
@@ -149,9 +131,8 @@ def reprojected_frames(grids: DataFrame, keys, crs: str | None = None) -> DataFr
     size = lambda hi, lo: F.greatest(F.floor((F.col(hi) - F.col(lo)) / F.col("res") + 0.5).cast("int"), F.lit(1))
     own = _own_box(grids, keys, crs).withColumns({"vw": size("mr", "ml"), "vh": size("mt", "mb")})
     # pixels keep the suggested resolution, so the last column and row may end past the box
-    own = own.withColumns({"right": F.col("left") + F.col("vw") * F.col("res"),
-                           "bottom": F.col("top") - F.col("vh") * F.col("res")})
-    return own.withColumns({"tw": F.col("vw"), "th": F.col("vh"), "fine": F.lit(True)})
+    return own.withColumns({"right": F.col("left") + F.col("vw") * F.col("res"),
+                            "bottom": F.col("top") - F.col("vh") * F.col("res")})
 
 
 # --- step 1: source blocks to working pixels --------------------------------
@@ -169,33 +150,45 @@ def _chunks(frames: DataFrame, keys, ids) -> DataFrame:
         {"_fc": first_c, "_lc": last_c, "_fr": first_r, "_lr": last_r})
     cut = (
         ranges.withColumn("c0", F.explode(F.sequence("_fc", "_lc", F.lit(CHUNK))))
-        .withColumn("r0", F.explode(F.sequence("_fr", "_lr", F.lit(CHUNK))))
-        .withColumns({"c1": F.least(F.col("c0") + CHUNK - 1, F.col("_lc")),
-                      "r1": F.least(F.col("r0") + CHUNK - 1, F.col("_lr"))}))
-    return cut.select(*keys, *ids, *HEADER, F.col("left").alias("fl"), F.col("top").alias("ft"),
-                      "sx", "sy", "c0", "c1", "r0", "r1")
+        .withColumn("r0", F.explode(F.sequence("_fr", "_lr", F.lit(CHUNK)))))
+    return cut.select(*keys, *ids, *HEADER, "vw", "vh", F.col("left").alias("fl"), F.col("top").alias("ft"), "sx", "sy", "c0", "r0",
+                      F.least(F.col("c0") + CHUNK - 1, F.col("_lc")).alias("c1"),
+                      F.least(F.col("r0") + CHUNK - 1, F.col("_lr")).alias("r1"))
 
 
-def _chunk_blocks(chunks: DataFrame, crs: str, reach: int, size: int) -> DataFrame:
-    """One row per chunk and source block under it.
+def _source_extent(chunks: DataFrame, crs: str) -> DataFrame:
+    """Source pixels under each chunk, as a range of fractional columns u0..u1 and rows v0..v1.
 
-    The image of a chunk's outline bounds the image of the chunk. The outline
-    is sampled every dozen pixels, so one pixel of slack covers its curvature.
+    Where longitude depends on x and latitude on y alone, source positions are
+    monotone along both axes and the four corners are the extremes. Otherwise
+    the chunk's outline is sampled every dozen pixels; the image of the outline
+    bounds the image of the chunk, and one pixel of slack covers its curvature.
     """
-    outline = chunks.withColumns({
-        "left": F.col("fl") + (F.col("c0") + 0.5) * F.col("sx"),
-        "right": F.col("fl") + (F.col("c1") + 0.5) * F.col("sx"),
-        "bottom": F.col("ft") - (F.col("r1") + 0.5) * F.col("sy"),
-        "top": F.col("ft") - (F.col("r0") + 0.5) * F.col("sy")})
-    placed = geo.mercator_to_pixel(box_edges(outline), crs, F.col("_x"), F.col("_y"), "_u", "_v")
-    box = extremes(placed.withColumnsRenamed({"_u": "_px", "_v": "_py"}), chunks.columns, ("u0", "v0", "u1", "v1"))
+    outline = {"left": F.col("fl") + (F.col("c0") + 0.5) * F.col("sx"), "right": F.col("fl") + (F.col("c1") + 0.5) * F.col("sx"),
+               "bottom": F.col("ft") - (F.col("r1") + 0.5) * F.col("sy"), "top": F.col("ft") - (F.col("r0") + 0.5) * F.col("sy")}
+    if crs in geo.SEPARABLE:
+        ends = [(outline["left"], outline["bottom"]), (outline["right"], outline["top"])]
+        if crs == geo.WGS84:
+            ends = [geo.separable_lonlat(geo.WEB_MERCATOR, *p) for p in ends]
+        (x0, y0), (x1, y1) = ends
+        boxed = geo.once(chunks, _x0=x0, _y0=y0, _x1=x1, _y1=y1)
+        us, vs = zip(*[geo.xy_to_pixel(x, y) for x in ("_x0", "_x1") for y in ("_y0", "_y1")])
+        return boxed.select(*chunks.columns, F.least(*us).alias("u0"), F.greatest(*us).alias("u1"),
+                            F.least(*vs).alias("v0"), F.greatest(*vs).alias("v1"))
+    placed = geo.mercator_to_pixel(box_edges(chunks.withColumns(outline)), crs, F.col("_x"), F.col("_y"), "_u", "_v")
+    return placed.groupBy(*chunks.columns).agg(
+        F.min("_u").alias("u0"), F.max("_u").alias("u1"), F.min("_v").alias("v0"), F.max("_v").alias("v1"))
+
+
+def _chunk_blocks(chunks: DataFrame, crs: str, reach: int, size: int) -> DataFrame:
+    """One row per chunk and source block under it."""
     slack = reach + 1
     block = lambda c, n, d: F.floor(
         F.greatest(F.lit(0.0), F.least(F.floor(c) + F.lit(d), (F.col(n) - 1).cast("double"))) / size).cast("int")
     near = (F.col("u1") >= -slack) & (F.col("v1") >= -slack) \
         & (F.col("u0") < F.col("width") + slack) & (F.col("v0") < F.col("height") + slack)
     return (
-        box.where(near)
+        _source_extent(chunks, crs).where(near)
         .withColumn("block_row", F.explode(F.sequence(block("v0", "height", -slack), block("v1", "height", slack))))
         .withColumn("block_col", F.explode(F.sequence(block("u0", "width", -slack), block("u1", "width", slack))))
         .select(*chunks.columns, "block_row", "block_col"))
@@ -203,7 +196,7 @@ def _chunk_blocks(chunks: DataFrame, crs: str, reach: int, size: int) -> DataFra
 
 def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear",
          block_size: int = BLOCK_SIZE, crs: str | None = None) -> DataFrame:
-    """Working pixels of every frame that have a value: keys, ids, vr, vc, v.
+    """Working pixels of every frame that have a value: keys, ids, vw, vh, vr, vc, v.
 
     A working pixel has a value only if its centre lies on the raster. Linear
     weighs the 4 pixels around it, leaving masked ones out; cubic weighs 16
@@ -244,7 +237,7 @@ def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear"
         & (F.col("_bc") + F.col("_dc") < F.col("width")) & (F.col("_br") + F.col("_dr") < F.col("height")))
     read = finite(F.get("values", F.col("_ir") * block_size + F.col("_ic")))
     tapped = tapped.withColumn("_val", read).where("_val IS NOT NULL")
-    group = [*keys, *ids, "vr", "vc"]
+    group = [*keys, *ids, "vw", "vh", "vr", "vc"]
     if method == "nearest":
         # one tap, held by one block
         return tapped.select(*group, F.col("_val").alias("v"))
@@ -263,7 +256,7 @@ def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear"
 
 # --- step 2: working pixels to frame pixels ---------------------------------
 
-def _spread(c: Column, ratio: Column, n: Column, method: str) -> Column:
+def _spread(c: Column, ratio: Column, n: int, method: str) -> Column:
     """Frame positions a working position contributes to along one axis."""
     lo, hi = c / ratio, (c + 1) / ratio
     if method == "average":
@@ -274,7 +267,7 @@ def _spread(c: Column, ratio: Column, n: Column, method: str) -> Column:
         first, last = F.ceil(mid - radius), F.floor(mid + radius)
         # the position whose nearest pixel this is must be among them
         first, last = F.least(first, F.floor(lo)), F.greatest(last, F.floor(lo))
-    clip = lambda p: F.greatest(F.lit(0), F.least(p.cast("int"), n - 1))
+    clip = lambda p: F.greatest(F.lit(0), F.least(p.cast("int"), F.lit(n - 1)))
     return F.sequence(clip(first), clip(last))
 
 
@@ -291,30 +284,28 @@ def _nearest(t: Column, ratio: Column) -> Column:
     return F.floor((t + 0.5) * ratio).cast("int")
 
 
-def reduce_frames(working: DataFrame, frames: DataFrame, keys, ids, method: str = "average") -> DataFrame:
+def reduce_frames(working: DataFrame, keys, ids, tile_size, method: str = "average") -> DataFrame:
     """Frame pixels with a value: keys, ids, py, px, value.
 
     The mask is read by nearest neighbour whatever the method: a frame pixel
-    is masked when the working pixel nearest to it is. Where the working grid
-    is the frame itself, values pass through.
+    is masked when the working pixel nearest to it is.
     """
     keys, ids = list(keys), list(ids)
     check_method(method)
-    size = frames.select(*keys, *ids, "vw", "vh", "tw", "th", "fine")
-    joined = working.join(size, [*keys, *ids])
-    passed = joined.where("fine").select(*keys, *ids, F.col("vr").alias("py"), F.col("vc").alias("px"), F.col("v").alias("value"))
-    rx, ry = F.col("vw") / F.col("tw"), F.col("vh") / F.col("th")
+    th, tw = (int(v) for v in tile_size)
     spread = (
-        joined.where("NOT fine").withColumns({"_rx": rx, "_ry": ry})
-        .withColumn("px", F.explode(_spread(F.col("vc"), F.col("_rx"), F.col("tw"), method)))
-        .withColumn("py", F.explode(_spread(F.col("vr"), F.col("_ry"), F.col("th"), method))))
+        working.withColumns({"_rx": F.col("vw") / F.lit(tw), "_ry": F.col("vh") / F.lit(th)})
+        .withColumn("px", F.explode(_spread(F.col("vc"), F.col("_rx"), tw, method)))
+        .withColumn("py", F.explode(_spread(F.col("vr"), F.col("_ry"), th, method))))
     near = (_nearest(F.col("px"), F.col("_rx")) == F.col("vc")) & (_nearest(F.col("py"), F.col("_ry")) == F.col("vr"))
+    if method == "nearest":
+        # every frame pixel reads one working pixel: nothing to combine
+        return spread.where(near).select(*keys, *ids, "py", "px", F.col("v").alias("value"))
     w = _weight(F.col("px"), F.col("vc"), F.col("_rx"), method) * _weight(F.col("py"), F.col("vr"), F.col("_ry"), method)
-    summed = spread.groupBy(*keys, *ids, "py", "px").agg(
-        F.sum(w).alias("_w"), F.sum(w * F.col("v")).alias("_wv"), F.max(near).alias("_near"))
-    reduced = summed.where(F.col("_near") & (F.abs("_w") > MIN_WEIGHT)).select(
+    summed = spread.withColumns({"_pw": w, "_near": near}).groupBy(*keys, *ids, "py", "px").agg(
+        F.sum("_pw").alias("_w"), F.sum(F.col("_pw") * F.col("v")).alias("_wv"), F.max("_near").alias("_near"))
+    return summed.where(F.col("_near") & (F.abs("_w") > MIN_WEIGHT)).select(
         *keys, *ids, "py", "px", (F.col("_wv") / F.col("_w")).alias("value"))
-    return passed.unionByName(reduced)
 
 
 # --- layers -----------------------------------------------------------------
@@ -322,14 +313,27 @@ def reduce_frames(working: DataFrame, frames: DataFrame, keys, ids, method: str
 TILE_IDS = ("z", "x", "y")
 
 
-def frame_pixels(blocks: DataFrame, frames: DataFrame, keys, ids=(), reprojection: str = "linear",
+def frame_pixels(blocks: DataFrame, frames: DataFrame, keys, ids, tile_size, crs: str, reprojection: str = "linear",
                  resampling: str = "average", preserve_values: bool = False,
-                 block_size: int = BLOCK_SIZE, crs: str | None = None) -> DataFrame:
-    """Both steps. ``preserve_values`` (categorical data) uses nearest in both."""
+                 block_size: int = BLOCK_SIZE) -> DataFrame:
+    """Both steps for the frames of one CRS kind. ``preserve_values`` (categorical data) uses nearest in both.
+
+    Frames finer than their source need no second step. Whether there are
+    such frames, and others, is looked up in the frame table first, so that
+    only the needed plan is built and no pixel is computed twice.
+    """
     if preserve_values:
         reprojection = resampling = "nearest"
-    working = warp(blocks, frames, keys, ids, reprojection, block_size, crs)
-    return reduce_frames(working, frames, keys, ids, resampling)
+    check_method(resampling)
+    parts = []
+    for fine in sorted(r[0] for r in frames.select("fine").distinct().collect()):  # at most two rows
+        working = warp(blocks, frames.where(F.col("fine") == fine), keys, ids, reprojection, block_size, crs)
+        parts.append(
+            working.select(*keys, *ids, F.col("vr").alias("py"), F.col("vc").alias("px"), F.col("v").alias("value"))
+            if fine else reduce_frames(working, keys, ids, tile_size, resampling))
+    if not parts:
+        parts = [reduce_frames(warp(blocks, frames, keys, ids, "nearest", block_size, crs), keys, ids, tile_size, "nearest")]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def tile_layer(blocks: DataFrame, grids: DataFrame, keys, zooms: Sequence[int], tile_size=TILE_SIZE,
@@ -337,7 +341,7 @@ def tile_layer(blocks: DataFrame, grids: DataFrame, keys, zooms: Sequence[int],
     """Pixels of all tiles of all datasets: keys, z, x, y, py, px, value."""
     def build(some, kind):
         frames = tile_frames(some, keys, zooms, tile_size, kind, tiles)
-        return frame_pixels(blocks, frames, keys, TILE_IDS, crs=kind, **methods)
+        return frame_pixels(blocks, frames, keys, TILE_IDS, tile_size, kind, **methods)
 
     return per_crs(grids, build, crs)
 
@@ -345,7 +349,7 @@ def tile_layer(blocks: DataFrame, grids: DataFrame, keys, zooms: Sequence[int],
 def previews(blocks: DataFrame, grids: DataFrame, keys, tile_size=TILE_SIZE, crs: str | None = None, **methods) -> DataFrame:
     """Whole datasets, one image each: keys, py, px, value."""
     return per_crs(grids, lambda some, kind: frame_pixels(
-        blocks, preview_frames(some, keys, tile_size, kind), keys, (), crs=kind, **methods), crs)
+        blocks, preview_frames(some, keys, tile_size, kind), keys, (), tile_size, kind, **methods), crs)
 
 
 def reproject(blocks: DataFrame, grids: DataFrame, keys, method: str = "linear",

@@ -82,7 +82,8 @@ def tile_bounds(spark, d):
 
 @query("tile_cover", f"WITH {BOUNDS_SQL}, {cover_sql((8, 11, 13))} SELECT scene, z, x, y FROM cover")
 def tile_cover(spark, d):
-    return tiles.tile_cover(stats.geographic_bounds(A.a1_grids(spark, d), A.A1_KEYS), A.A1_KEYS, (8, 11, 13))
+    bounds = stats.geographic_bounds(A.a1_grids(spark, d), A.A1_KEYS)
+    return tiles.tile_cover(bounds, (8, 11, 13)).select("scene", "z", "x", "y")
 
 
 @query("tile_exists", f"""WITH {A.A5_SQL}, {BOUNDS_SQL}, req AS (
@@ -101,10 +102,7 @@ def tile_exists(spark, d):
 ratio AS (SELECT scene, z, x, y, (mr - ml) * (mt - mb) / (({FULL} / power(2.0, z)) * ({FULL} / power(2.0, z))) AS v FROM cover)
 SELECT scene, z, x, y, round(v, 6) AS cover_ratio, v < 0.01 AS sparse FROM ratio""")
 def sparse_filter(spark, d):
-    grids = A.a1_grids(spark, d)
-    cover = tiles.tile_cover(stats.geographic_bounds(grids, A.A1_KEYS), A.A1_KEYS, (6, 8, 9, 10))
-    out = tiles.sparse_tiles(tiles.mercator_grids(grids, A.A1_KEYS), cover, A.A1_KEYS)
-    return out.withColumn("cover_ratio", F.round("cover_ratio", 6))
+    return tiles.sparse_tiles(A.a1_grids(spark, d), A.A1_KEYS, (6, 8, 9, 10)).withColumn("cover_ratio", F.round("cover_ratio", 6))
 
 
 _NEAR = ("(8.9 + (lon + 180) / 250)", "(47.0 + (lat + 85) / 500)")

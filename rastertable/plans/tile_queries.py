@@ -205,7 +205,7 @@ FROM px LEFT JOIN out ON px.scene = out.scene AND px.z = out.z AND px.x = out.x
 def empty_tiles(spark, d):
     grids = A.a1_grids(spark, d)
     pixels = tiles.tile_layer(_blocks(spark, d), grids, A.A1_KEYS, (9, 11), (8, 8), block_size=BLOCK, preserve_values=True)
-    cover = tiles.tile_cover(stats.geographic_bounds(grids, A.A1_KEYS), A.A1_KEYS, (9, 11))
+    cover = tiles.tile_cover(stats.geographic_bounds(grids, A.A1_KEYS), (9, 11))
     wanted = cover.select("scene", "z", F.explode(F.array(F.col("x"), F.col("x") + 1)).alias("x"), "y")
     return tiles.complete_tiles(wanted, pixels, A.A1_KEYS, (8, 8), fill=0.0)
 

@@ -27,15 +27,13 @@ def hull_candidates(cells: DataFrame, keys) -> DataFrame:
             .distinct())
 
 
-def _chain(points: np.ndarray) -> np.ndarray:
-    """Hull vertices of integer (x, y) points, counter-clockwise, collinear points left out."""
-    points = np.unique(points, axis=0)  # sorted by x, then y
-    if len(points) < 3:
-        return points
-
-    def half(seq):
+def _hull_of_points():
+    """Function that reduces integer (x, y) points to hull vertices, counter-clockwise,
+    collinear points left out. Made by a function so that it travels to the
+    executors by value and they need not have this package installed."""
+    def half(points):
         out: list = []
-        for x, y in seq:
+        for x, y in points:
             while len(out) > 1 and (
                 (out[-1][0] - out[-2][0]) * (y - out[-2][1]) - (out[-1][1] - out[-2][1]) * (x - out[-2][0]) <= 0
             ):
@@ -43,8 +41,14 @@ def _chain(points: np.ndarray) -> np.ndarray:
             out.append((x, y))
         return out[:-1]
 
-    pairs = points.tolist()
-    return np.array(half(pairs) + half(pairs[::-1]))
+    def hull(points: np.ndarray) -> np.ndarray:
+        points = np.unique(points, axis=0)  # sorted by x, then y
+        if len(points) < 3:
+            return points
+        pairs = points.tolist()
+        return np.array(half(pairs) + half(pairs[::-1]))
+
+    return hull
 
 
 def hull_vertices(cells: DataFrame, keys) -> DataFrame:
@@ -64,9 +68,11 @@ def hull_vertices(cells: DataFrame, keys) -> DataFrame:
                             for c in ("_lo", "_hi") for d in (0, 1)])).alias("_c"),
     ).select(*keys, "_chunk", "_c.x", "_c.y")
 
+    outer = _hull_of_points()
+
     def reducer(group):
         def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-            hull = _chain(pdf[["x", "y"]].to_numpy(np.int64))
+            hull = outer(pdf[["x", "y"]].to_numpy(np.int64))
             out = pd.DataFrame({c: [pdf[c].iloc[0]] * len(hull) for c in group})
             return out.assign(ord=np.arange(len(hull), dtype=np.int32), x=hull[:, 0], y=hull[:, 1])
         return reduce

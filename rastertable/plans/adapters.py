@@ -33,7 +33,11 @@ def idiv(a, b):
 # --- A1 ---------------------------------------------------------------------
 
 def a1_cells(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").select(
+    return embedding_pixels(table(spark, d, "embeddings"))
+
+
+def embedding_pixels(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(
         F.concat(F.lit("s"), F.col("vec_id") % 8).alias("scene"),
         idiv("vec_id", 8).cast("int").alias("row"),
         F.posexplode("embedding").alias("col", "_v"),

@@ -25,7 +25,7 @@ def _blocks(spark, d):
     return pack_blocks(_cells(spark, d), A.A1_KEYS, BLOCK)
 
 
-CELLS_SQL = f"""{A.A1_SQL}, cells AS (SELECT scene, "row", col, value FROM a1 WHERE value >= CAST('{MASKED_BELOW}' AS DOUBLE))"""
+CELLS_SQL = f"""{A.A1_SQL}, cells AS MATERIALIZED (SELECT scene, "row", col, value FROM a1 WHERE value >= CAST('{MASKED_BELOW}' AS DOUBLE))"""
 
 
 # --- the tile definitions restated in SQL ------------------------------------
@@ -36,7 +36,7 @@ def frames_sql(crs, zooms, size):
     res = "(sqrt((mr - ml) * (mr - ml) + (mt - mb) * (mt - mb)) / sqrt(CAST(width * width + height * height AS DOUBLE)))"
     return f"""{bounds_sql(crs)}, {cover_sql(zooms)},
 boxed AS (SELECT *, {box[0]} AS fl, {box[1]} AS fb, {box[2]} AS fr, {box[3]} AS ft, {res} AS res FROM cover),
-frames AS (
+frames AS MATERIALIZED (
   SELECT *, CASE WHEN fine THEN {tw} ELSE greatest(CAST(round_even((fr - fl) / res, 0) AS INTEGER), 1) END AS vw,
             CASE WHEN fine THEN {th} ELSE greatest(CAST(round_even((ft - fb) / res, 0) AS INTEGER), 1) END AS vh,
             {tw} AS tw, {th} AS th
@@ -53,7 +53,7 @@ def own_frames_sql(crs, size):
   CAST(floor((mt - mb) / res + 0.5) AS INTEGER) AS vh FROM boxed),
 frames AS (SELECT *, ml AS fl, mt - vh * res AS fb, ml + vw * res AS fr, mt AS ft, vw AS tw, vh AS th, true AS fine FROM sized)"""
     th, tw = size
-    return f"""{head}, frames AS (
+    return f"""{head}, frames AS MATERIALIZED (
   SELECT *, CASE WHEN fine THEN {tw} ELSE CAST(round_even((mr - ml) / res, 0) AS INTEGER) END AS vw,
             CASE WHEN fine THEN {th} ELSE CAST(round_even((mt - mb) / res, 0) AS INTEGER) END AS vh,
             {tw} AS tw, {th} AS th, ml AS fl, mb AS fb, mr AS fr, mt AS ft
@@ -61,8 +61,8 @@ frames AS (SELECT *, ml AS fl, mt - vh * res AS fb, ml + vw * res AS fr, mt AS f
 
 
 def _cubic_sql(t):
-    return (f"(CASE WHEN abs({t}) < 1 THEN 1.5 * power(abs({t}), 3) - 2.5 * power(abs({t}), 2) + 1 "
-            f"WHEN abs({t}) < 2 THEN -0.5 * power(abs({t}), 3) + 2.5 * power(abs({t}), 2) - 4 * abs({t}) + 2 ELSE 0 END)")
+    return (f"(CASE WHEN abs({t}) < 1 THEN (1.5 * abs({t}) - 2.5) * {t} * {t} + 1 "
+            f"WHEN abs({t}) < 2 THEN (-0.5 * abs({t}) + 2.5) * {t} * {t} - 4 * abs({t}) + 2 ELSE 0 END)")
 
 
 def _linear_sql(t):
@@ -76,23 +76,23 @@ def warp_sql(crs, method):
     head = f"""pts AS (
   SELECT *, fl + (vc + 0.5) * ((fr - fl) / vw) AS mx, ft - (vr + 0.5) * ((ft - fb) / vh) AS my
   FROM (SELECT *, unnest(range(0, vw)) AS vc FROM (SELECT *, unnest(range(0, vh)) AS vr FROM frames))),
-uv AS (SELECT * FROM (SELECT scene, z, x, y, vr, vc, width, height, ({inverse[0]} - c) / a AS u, ({inverse[1]} - f) / e AS v FROM pts)
+uv AS MATERIALIZED (SELECT * FROM (SELECT scene, z, x, y, vr, vc, width, height, ({inverse[0]} - c) / a AS u, ({inverse[1]} - f) / e AS v FROM pts)
        WHERE u >= 0 AND u < width AND v >= 0 AND v < height)"""
     if method == "nearest":
         return f"""{head}, work AS (SELECT uv.scene, z, x, y, vr, vc, cells.value AS v FROM uv JOIN cells
   ON cells.scene = uv.scene AND cells."row" = CAST(floor(v) AS INTEGER) AND cells.col = CAST(floor(u) AS INTEGER))"""
     offsets = "(0), (1)" if method == "linear" else "(-1), (0), (1), (2)"
-    du, dv = "(u - 0.5 - cells.col)", '(v - 0.5 - cells."row")'
-    wl = f"{_linear_sql(du)} * {_linear_sql(dv)}"
-    wc = f"{_cubic_sql(du)} * {_cubic_sql(dv)}"
-    value = "CASE WHEN w > 1e-9 THEN wv / w END"
+    value, cubic = "CASE WHEN w > 1e-9 THEN wv / w END", ""
     if method == "cubic":
         value = f"CASE WHEN n = 16 THEN cv ELSE {value} END"
-    return f"""{head}, taps AS (
-  SELECT uv.scene, z, x, y, vr, vc, sum({wl}) AS w, sum({wl} * cells.value) AS wv, sum({wc} * cells.value) AS cv, count(*) AS n
-  FROM uv, (VALUES {offsets}) ox(dc), (VALUES {offsets}) oy(dr), cells
-  WHERE cells.scene = uv.scene AND cells."row" = CAST(floor(v - 0.5) AS INTEGER) + dr AND cells.col = CAST(floor(u - 0.5) AS INTEGER) + dc
-  GROUP BY 1, 2, 3, 4, 5, 6),
+        cubic = f", sum({_cubic_sql('du')} * {_cubic_sql('dv')} * value) AS cv, count(*) AS n"
+    wl = f"{_linear_sql('du')} * {_linear_sql('dv')}"
+    return f"""{head}, spots AS MATERIALIZED (
+  SELECT scene, z, x, y, vr, vc, CAST(floor(v - 0.5) AS INTEGER) + dr AS "row", CAST(floor(u - 0.5) AS INTEGER) + dc AS col,
+         u - 0.5 - (floor(u - 0.5) + dc) AS du, v - 0.5 - (floor(v - 0.5) + dr) AS dv
+  FROM uv, (VALUES {offsets}) ox(dc), (VALUES {offsets}) oy(dr)),
+taps AS (SELECT scene, z, x, y, vr, vc, sum({wl}) AS w, sum({wl} * value) AS wv{cubic}
+  FROM spots JOIN cells USING (scene, "row", col) GROUP BY 1, 2, 3, 4, 5, 6),
 work AS (SELECT * FROM (SELECT scene, z, x, y, vr, vc, {value} AS v FROM taps) WHERE v IS NOT NULL)"""
 
 

@@ -3,6 +3,11 @@
 Every helper takes Columns, column names or numbers and returns a Column that
 is NULL (masked) when any argument is masked, unless its text says otherwise.
 Arithmetic is done in DOUBLE, so integer bands do not wrap around.
+
+Values outside a function's domain become NULL or NaN and stay so; comparisons
+and mask functions count NaN and infinities as masked, and ``evaluate`` masks
+what is left of them at the end, so that long expressions stay plain
+arithmetic for the code generator.
 """
 
 from __future__ import annotations
@@ -15,51 +20,57 @@ from pyspark.sql import functions as F
 from rastertable.functions.masks import as_column, finite, guard
 
 
+def _raw(x) -> Column:
+    return as_column(x).cast("double")
+
+
 def _num(x) -> Column:
-    """A numeric operand: double, without NaN or infinities."""
+    """An operand of a comparison or a mask: double, without NaN or infinities."""
     if isinstance(x, (int, float)) and not isinstance(x, bool):
         return F.lit(float(x)) if math.isfinite(x) else F.lit(None).cast("double")
     return finite(x)
 
 
+def evaluate(expression) -> Column:
+    """Finish an expression: mask the NaN and infinite values it produced."""
+    return finite(expression)
+
+
 # --- arithmetic -----------------------------------------------------------
 
-def add(a, b, *more) -> Column:
-    total = _num(a) + _num(b)
-    for c in more:
-        total = total + _num(c)
-    return finite(total)
+def add(a, b) -> Column:
+    return _raw(a) + _raw(b)
 
 
 def subtract(a, b) -> Column:
-    return finite(_num(a) - _num(b))
+    return _raw(a) - _raw(b)
 
 
 def multiply(a, b) -> Column:
-    return finite(_num(a) * _num(b))
+    return _raw(a) * _raw(b)
 
 
 def divide(a, b) -> Column:
     """True division; a zero divisor is masked."""
-    return finite(F.try_divide(_num(a), _num(b)))
+    return F.try_divide(_raw(a), _raw(b))
 
 
 def mod(a, b) -> Column:
     """Remainder with the sign of the divisor; a zero divisor is masked."""
-    a, b = _num(a), _num(b)
-    return finite(a - F.floor(F.try_divide(a, b)).cast("double") * b)
+    a, b = _raw(a), _raw(b)
+    return a - F.floor(F.try_divide(a, b)).cast("double") * b
 
 
 def power(a, b) -> Column:
-    return finite(F.pow(_num(a), _num(b)))
+    return F.pow(_raw(a), _raw(b))
 
 
 def negate(a) -> Column:
-    return -_num(a)
+    return -_raw(a)
 
 
 def absolute(a) -> Column:
-    return F.abs(_num(a))
+    return F.abs(_raw(a))
 
 
 # --- logic ----------------------------------------------------------------
@@ -194,7 +205,7 @@ def maximum(a, b) -> Column:
 
 def _unary(fn):
     def apply(a) -> Column:
-        return finite(fn(_num(a)))
+        return fn(_raw(a))
 
     apply.__name__ = fn.__name__
     return apply
@@ -215,7 +226,10 @@ arccos = _unary(F.acos)
 arctan = _unary(F.atan)
 arcsinh = _unary(F.asinh)
 arccosh = _unary(F.acosh)
-arctanh = _unary(F.atanh)
+
+
+def arctanh(a) -> Column:
+    return finite(F.atanh(_raw(a)))
 
 
 def pi() -> Column:

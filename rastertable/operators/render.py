@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rastertable.functions.algebra import evaluate
 from rastertable.functions.color import contrast_stretch, grey, label, rgb_alpha, stretch_bound, to_uint8
 from rastertable.operators import colormaps as cmaps
 from rastertable.operators.bands import PIXEL, align_bands
@@ -113,6 +114,6 @@ def compute(pixels: DataFrame, keys: Sequence[str], operands: Mapping[str, str],
         raise ValueError("between 1 and 5 operands")
     *other, _ = keys
     bands = align_bands(pixels, keys, operands, at)
-    result = bands.withColumn("_result", expression(**{name: F.col(name) for name in operands}).cast("double"))
+    result = bands.withColumn("_result", evaluate(expression(**{name: F.col(name) for name in operands})))
     index = result.select(*other, *at, to_uint8("_result", F.lit(float(lo)), F.lit(float(hi))).alias("index"))
     return _colored(index, _map_rows(pixels.sparkSession, colormap, colormaps))

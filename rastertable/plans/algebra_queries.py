@@ -29,6 +29,10 @@ def _out(bands, **cols):
     return bands.select(*AT, *[c.alias(n) for n, c in cols.items()])
 
 
+def _done(c, digits=6):
+    return F.round(B.evaluate(c), digits)
+
+
 def _sql(**cols):
     return f'WITH {BANDS_SQL} SELECT scene, "row", col, ' + ", ".join(f"{c} AS {n}" for n, c in cols.items()) + " FROM b"
 
@@ -45,7 +49,7 @@ def band_pivot(spark, d):
     power="round(power(t, 2), 6)", minus_q="-q",
     nd="CASE WHEN q + t <> 0 THEN round((q - t) / (q + t), 6) END"))
 def algebra_arithmetic(spark, d):
-    r = lambda c, n=4: F.round(c, n)
+    r = lambda c, n=4: _done(c, n)
     return _out(_bands(spark, d), plus=r(B.add("q", "p")), minus=r(B.subtract("q", "p")), times=r(B.multiply("q", "t")),
                 ratio=r(B.divide("p", "q"), 7), zero_div=r(B.divide("p", B.subtract("q", 3)), 7),
                 rest=r(B.mod("p", B.subtract("q", 20))), power=r(B.power("t", 2), 6), minus_q=B.negate("q"),
@@ -95,7 +99,7 @@ def algebra_mask(spark, d):
     acsh="CASE WHEN q >= 1 THEN round(ln(q + sqrt(q * q - 1)), 6) END",
     atnh="CASE WHEN abs(t) < 1 THEN round(0.5 * ln((1 + t) / (1 - t)), 6) END"))
 def algebra_math(spark, d):
-    r, m = (lambda c: F.round(c, 6)), B.subtract("q", 20)
+    r, m = _done, B.subtract("q", 20)
     t200 = B.multiply("t", 200)
     return _out(_bands(spark, d), low=B.minimum("q", t200), high=B.maximum("q", t200), size=B.absolute(m),
                 root=r(B.sqrt(m)), ln=r(B.log(m)), lg=r(B.log10(m)), ex=r(B.exp("t")), overflow=r(B.exp("p")),

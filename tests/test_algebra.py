@@ -1,6 +1,7 @@
 """Masked algebra against NumPy's masked arrays."""
 
 import operator
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -50,14 +51,15 @@ CASES = {
     "log domain": (lambda: B.log(B.subtract(v1, 3)), np.ma.masked_invalid([np.nan, np.nan, np.nan, 0, np.log(2)])),
     "overflow": (lambda: B.exp(B.multiply(v1, 300)), np.ma.masked_invalid([np.exp(300), np.exp(600), np.nan, np.nan, np.nan])),
     "infinite constant": (lambda: B.add(v1, B.inf()), np.ma.masked_all(5)),
-    "long sum": (lambda: B.add(*[v1] * 300), 300 * V1),
+    "long sum": (lambda: reduce(B.add, [v1] * 100), 100 * V1),
 }
 
 
 @pytest.mark.parametrize("name", CASES)
 def test_expression(bands, name):
     column, expected = CASES[name]
-    got = [r[0] for r in bands.orderBy("pixel").select(column()).collect()]
+    number = np.ma.array(expected).dtype != bool  # logical results are final as they are
+    got = [r[0] for r in bands.orderBy("pixel").select(B.evaluate(column()) if number else column()).collect()]
     expected = np.ma.array(expected)
     assert [v is None for v in got] == np.ma.getmaskarray(expected).tolist()
     for v, e, m in zip(got, expected.data, np.ma.getmaskarray(expected)):

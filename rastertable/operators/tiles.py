@@ -213,6 +213,10 @@ def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear"
     n_cols = F.col("c1") - F.col("c0") + 1
     n_pixels = n_cols * (F.col("r1") - F.col("r0") + 1)
     pairs = _chunk_blocks(_chunks(frames, keys, ids), crs, reach, block_size)
+    # few small rows that are about to become many pixels: spread them by block, which is also how
+    # the join wants them. A given number keeps AQE from putting the small rows back together.
+    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(spread, *keys, "block_row", "block_col")
     pixels = (
         pairs.join(blocks.select(*keys, "block_row", "block_col", "values"), [*keys, "block_row", "block_col"])
         .withColumn("_i", F.explode(F.sequence(F.lit(0), n_pixels - 1)))

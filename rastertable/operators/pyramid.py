@@ -8,11 +8,15 @@ nothing at all.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rastertable.functions import geo
 from rastertable.functions.masks import finite
-from rastertable.operators.tiles import MIN_WEIGHT, cubic_weight, linear_weight
+from rastertable.operators.stats import located_grids
+from rastertable.operators.tiles import MIN_WEIGHT, TILE_SIZE, cubic_weight, linear_weight, tile_layer
 from rastertable.sources.cells import BLOCK_SIZE, pack_blocks
 
 METHODS = ("average", "nearest", "bilinear", "cubic")
@@ -161,3 +165,32 @@ def layout_audit(blocks: DataFrame, grids: DataFrame, keys, size: int = BLOCK_SI
             (F.exists(got, lambda v: v < 0), "decimation not above 1")),
         "warnings": messages((large & (F.size(missing) > 0), "overviews missing")),
     }).withColumn("valid", (F.size("errors") == 0) & (F.size("warnings") == 0)).select(*keys, "errors", "warnings", "valid")
+
+
+# --- tiles out of a pyramid ----------------------------------------------------
+
+def tile_layer_from_pyramid(blocks: DataFrame, grids: DataFrame, keys, zoom: int, tile_size=TILE_SIZE,
+                            block_size: int = BLOCK_SIZE, crs: str | None = None, **options) -> DataFrame:
+    """Tiles of one zoom level, each dataset read at the coarsest stored level that is still as fine as the tile.
+
+    ``blocks`` has a ``level`` column, 0 being the base. A low zoom then reads
+    a few overview blocks instead of all base pixels. Levels are literals, so
+    other level folders are not read. Where sizes are odd, the last overview
+    pixels reach past the raster by a part of a pixel.
+    """
+    keys = list(keys)
+    tile_res = geo.CIRCUMFERENCE / 2**zoom / max(int(v) for v in tile_size)
+    located = located_grids(grids, keys, crs)
+    fit = F.floor(F.log2(F.lit(tile_res) / F.col("res"))).cast("int")
+    chosen = with_levels(located, block_size).select(
+        *keys, F.greatest(F.least(fit, F.col("levels")), F.lit(0)).alias("_level"))
+    levelled = grids.join(chosen, keys)
+    parts = []
+    for level in sorted(r[0] for r in levelled.select("_level").distinct().collect()):  # about 20 at most
+        some = level_grids(levelled.where(F.col("_level") == level).drop("_level"), level)
+        at_level = blocks.where(F.col("level") == level).drop("level")
+        parts.append(tile_layer(at_level, some, keys, (zoom,), tile_size, crs=crs, block_size=block_size, **options))
+    if not parts:
+        return tile_layer(blocks.where(F.col("level") == 0).drop("level"), grids, keys, (zoom,), tile_size,
+                          crs=crs, block_size=block_size, **options)
+    return reduce(lambda a, b: a.unionByName(b), parts)

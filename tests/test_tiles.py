@@ -171,3 +171,18 @@ def test_written_pyramid_and_audit(spark, tmp_path):
         pyramid.write_pyramid(cells, grids, KEYS, path, size=64)
     level = pyramid.level_grids(grids, 1).first()
     assert (level["height"], level["width"], level["a"]) == (300, 265, 4.0)
+
+
+def test_low_zoom_reads_overviews(spark):
+    y, x = np.indices((256, 256))
+    arrays = {"a": 100 + 10 * np.sin(x / 40.0) + 8 * np.cos(y / 30.0), "b": np.full((32, 32), 7.0)}
+    cells = cells_frame(spark, arrays)
+    grids = grids_frame(spark, arrays, crs="EPSG:3857", pixel=100.0, origin=(1000000.0, 6000000.0))
+    base = cells.select("key", F.lit(0).alias("level"), "row", "col", "value")
+    stored = pyramid.tiled_blocks(base.unionByName(pyramid.pyramid(cells, grids, KEYS, block=16)), KEYS, 16).cache()
+    got = _dict(pyramid.tile_layer_from_pyramid(stored, grids, KEYS, 9, (32, 32), block_size=16), "key", "z", "x", "y", "py", "px")
+    want = _dict(tiles.tile_layer(stored.where("level = 0").drop("level"), grids, KEYS, (9,), (32, 32), block_size=16),
+                 "key", "z", "x", "y", "py", "px")
+    assert len(got) > 50 and len(set(got) ^ set(want)) <= 0.1 * len(want)
+    errors = [abs(got[k] - want[k]) for k in set(got) & set(want)]
+    assert max(errors) < 4 and np.mean(errors) < 0.7

@@ -25,7 +25,7 @@ BITS = 64
 #: Pre-tokens up to this length are remembered, and so many of them, in each Python worker.
 REMEMBERED_CHARS, REMEMBERED = 48, 300_000
 #: Characters with the Unicode property White_Space (fixed values).
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE_SPACE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 class RankQueue:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastertable.llm import bpe
+from rastertable.llm import bpe, licences, secrets
 from rastertable.llm.registry import query
 from rastertable.llm.tables import read_table
 
@@ -19,3 +19,32 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, path, public_tokenizers.PATTERN).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query("op1_secrets")
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id", *(F.size(_of_kinds(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined(_of_kinds(*(r.kind for r in secrets.BASE))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _of_kinds(*kinds: str) -> Column:
+    return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+
+@query("op2_licences")
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered templates in every document; the score is the largest share of a template that is covered."""
+    found = licences.scan(read_table(spark, sf_dir, "documents"))
+    base, starts = F.transform("places", lambda p: p["label"]), F.transform("places", lambda p: p["start"])
+    more = F.transform("spans", lambda s: s["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, more)).alias("labels"),
+        F.greatest(F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)),
+                   F.when(F.size("places") > 0, 1.0).otherwise(0.0)).alias("score"))

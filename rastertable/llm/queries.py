@@ -1,4 +1,4 @@
 """All registered queries of this package; importing the modules registers them."""
 
-from rastertable.llm import text_queries  # noqa: F401
+from rastertable.llm import mixing_queries, text_queries  # noqa: F401
 from rastertable.llm.registry import ORACLES, QUERIES  # noqa: F401

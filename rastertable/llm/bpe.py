@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token that is no token itself is merged with a queue of buckets, one per merge rank. A bucket holds
-the positions (in a linked list of parts) whose pair has that rank; a three-level bitmap over the ranks
-finds the lowest filled bucket by find-first-set. Entries whose pair has changed meanwhile are stale and are
-skipped when they come up, so a merge costs a few dictionary look-ups however long the pre-token is.
+Pre-tokens that are no tokens themselves are merged together, as many as a batch holds, in one linked list of parts.
+A queue has a bucket for each merge rank with the list positions whose pair has that rank; a two-level bitmap over the
+ranks finds the lowest filled bucket by find-first-set. Positions whose pair has changed meanwhile are stale and are
+skipped when their bucket comes up. A bucket's positions are merged at once with NumPy, so long pre-tokens and many short
+ones take a few array operations for each rank that occurs.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 import sys
 import unicodedata
@@ -21,88 +21,137 @@ from pyspark.sql import DataFrame
 
 from rastertable.llm.tables import documents, map_rows
 
-BITS = 64
+BITS = 1024
 #: Pre-tokens up to this length are remembered, and so many of them, in each Python worker.
 REMEMBERED_CHARS, REMEMBERED = 48, 300_000
+#: Bytes of text whose new pre-tokens are merged together.
+BATCH_BYTES = 5 << 20
 #: Characters with the Unicode property White_Space (fixed values).
-WHITE_SPACE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
 class RankQueue:
-    """Positions by merge rank; ``pop`` gives the leftmost position of the lowest rank."""
+    """Arrays of positions by merge rank; ``pop`` gives all of the lowest rank."""
 
     def __init__(self, ranks: int):
         self.words = [0] * (ranks // BITS + 1)
-        self.groups = [0] * (len(self.words) // BITS + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[np.ndarray]] = {}
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, positions: np.ndarray) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
+        if bucket is not None:
+            bucket.append(positions)
             return
-        self.buckets[rank] = [position]
+        self.buckets[rank] = [positions]
         word = rank // BITS
         self.words[word] |= 1 << rank % BITS
-        self.groups[word // BITS] |= 1 << word % BITS
-        self.top |= 1 << word // BITS
+        self.top |= 1 << word
 
-    def pop(self) -> tuple[int, int] | None:
+    def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        starts = [0, *cuts.tolist()]
+        for rank, a, b in zip(ranks[starts].tolist(), starts, [*starts[1:], len(ranks)], strict=True):
+            self.push(rank, positions[a:b])
+
+    def pop(self) -> tuple[int, np.ndarray] | None:
         if not self.top:
             return None
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.groups[group]
-        word = group * BITS + (bits & -bits).bit_length() - 1
+        word = (self.top & -self.top).bit_length() - 1
         bits = self.words[word]
-        rank = word * BITS + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] &= ~(1 << rank % BITS)
-            if not self.words[word]:
-                self.groups[group] &= ~(1 << word % BITS)
-                if not self.groups[group]:
-                    self.top &= ~(1 << group)
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue, longest: int) -> list[int]:
-    """Token ids of one pre-token. ``queue`` is empty before and after."""
-    n = len(piece)
-    end = list(range(1, n + 1))  # of the part that starts here
-    back = list(range(-1, n - 1))  # start of the part before
-    pair = [-1] * n  # rank of this part with the next
-
-    def look(at: int) -> None:
-        if end[at] >= n or (stop := end[end[at]]) - at > longest:
-            pair[at] = -1
-            return
-        rank = ranks.get(piece[at:stop], -1)
-        pair[at] = rank
-        if rank >= 0:
-            queue.push(rank, at)
-
-    for at in range(n - 1):
-        look(at)
-    while (entry := queue.pop()) is not None:
-        rank, at = entry
-        if pair[at] != rank:
-            continue  # stale
-        middle = end[at]
-        end[at] = end[middle]
-        pair[middle] = -1
-        if end[at] < n:
-            back[end[at]] = at
-        look(at)
-        if back[at] >= 0:
-            look(back[at])
-    out, at = [], 0
-    while at < n:
-        out.append(ranks[piece[at:end[at]]])
-        at = end[at]
-    return out
+        low = bits & -bits
+        self.words[word] = bits ^ low
+        if bits == low:
+            self.top ^= 1 << word
+        rank = word * BITS + low.bit_length() - 1
+        bucket = self.buckets.pop(rank)
+        return rank, bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
+
+
+class Merges:
+    """Which rank two neighbouring parts merge to."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        n = max(ranks.values()) + 1
+        left, right, to = [], [], []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
+                    left.append(a)
+                    right.append(b)
+                    to.append(rank)
+        left, right, to = (np.array(x, np.int64) for x in (left, right, to))
+        key = left << 32 | right
+        order = np.argsort(key)
+        self.key, self.to = key[order], to[order].astype(np.int32)
+        #: ranks after whose merge a pair of lower rank may arise
+        self.upset = np.zeros(n, bool)
+        self.upset[left[to < left]] = True
+        self.upset[right[to < right]] = True
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.queue = RankQueue(n)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """-1 where the two do not merge, also for a part -1, which is none."""
+        key = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.to[at], np.int32(-1))
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token (not empty) as little-endian unsigned 32-bit integers."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(data)
+        starts = np.cumsum([0, *map(len, pieces)])
+        part = np.append(self.single[data], np.int32(-1))
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[starts[1:] - 1] = n
+        after[n] = n
+        before[starts[:-1]] = n
+        alive = np.ones(n, bool)
+        pair = np.append(self.rank(part[:n], part[after[:n]]), np.int32(-1))
+        at = np.flatnonzero(pair >= 0)
+        self.queue.push_all(pair[at], at)
+        while (entry := self.queue.pop()) is not None:
+            rank, at = entry
+            at = at[pair[at] == rank]  # the others are stale
+            if len(at) > 1:
+                at = np.unique(at)
+                at, later = self._apart(at, after, starts, rank)
+                if later is not None:
+                    self.queue.push(rank, later)
+            if not len(at):
+                continue
+            gone = after[at]
+            end = after[gone]
+            part[at] = rank
+            after[at], before[end] = end, at
+            alive[gone] = False
+            pair[gone] = -1
+            look = np.concatenate([at, before[at]])
+            look = look[look < n]
+            new = self.rank(part[look], part[after[look]])
+            pair[look] = new
+            look, new = look[new >= 0], new[new >= 0]
+            if len(look):
+                self.queue.push_all(new, look)
+        ids = part[:n][alive].astype("<u4").tobytes()
+        ends = 4 * np.concatenate([[0], np.cumsum(alive)])[starts]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _apart(self, at: np.ndarray, after: np.ndarray, starts: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Positions that can merge at once as if from left to right, and those that have to wait."""
+        if self.upset[rank]:
+            piece = np.searchsorted(starts, at, "right")
+            first = np.concatenate([[True], piece[1:] != piece[:-1]])
+            return at[first], at[~first] if not first.all() else None
+        touching = np.concatenate([[False], after[at[:-1]] == at[1:]])
+        if not touching.any():
+            return at, None
+        count = np.arange(len(at))
+        run = np.maximum.accumulate(np.where(touching, 0, count))
+        return at[(count - run) % 2 == 0], None
 
 
 @lru_cache(maxsize=2)
@@ -112,11 +161,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
 
 
-def _ranges(kind: str) -> str:
+#: Texts are split by the classes of characters below one of these limits; smaller classes match faster.
+LIMITS = (0x80, 0x100, 0x10000, sys.maxunicode + 1)
+
+
+def limit_of(text: str) -> int:
+    if text.isascii():
+        return LIMITS[0]
+    try:
+        text.encode("latin-1")
+        return LIMITS[1]
+    except UnicodeEncodeError:
+        return LIMITS[2] if len(text.encode("utf-16-le")) == 2 * len(text) else LIMITS[3]
+
+
+def _ranges(kind: str, limit: int) -> str:
     """The characters of a general category as the inside of a character class."""
     out, start = [], None
-    for code in range(sys.maxunicode + 2):
-        inside = code <= sys.maxunicode and unicodedata.category(chr(code))[0] == kind
+    for code in range(limit + 1):
+        inside = code < limit and unicodedata.category(chr(code))[0] == kind
         if inside and start is None:
             start = code
         elif not inside and start is not None:
@@ -125,14 +188,11 @@ def _ranges(kind: str) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=4)
-def splitter(pattern: str, ascii_only: bool) -> re.Pattern:
-    r"""The pattern as Python's ``re`` has it: ``\p{L}``, ``\p{N}`` and ``\s`` become explicit classes.
-
-    ASCII texts need only the ASCII part of the classes, which is matched much faster.
-    """
-    letters, digits, space = ("a-zA-Z", "0-9", "\t-\r ") if ascii_only else (_ranges("L"), _ranges("N"), WHITE_SPACE)
-    inside = {r"\p{L}": letters, r"\p{N}": digits, r"\s": space}
+@lru_cache(maxsize=8)
+def splitter(pattern: str, limit: int) -> re.Pattern:
+    r"""The pattern as Python's ``re`` has it, for texts of characters below ``limit``: ``\p{L}``, ``\p{N}`` and ``\s`` become explicit classes."""
+    space = "".join(f"\\U{c:08x}" for c in WHITE_SPACE if c < limit)
+    inside = {r"\p{L}": _ranges("L", limit), r"\p{N}": _ranges("N", limit), r"\s": space}
     out, depth, i = [], 0, 0
     while i < len(pattern):
         if pattern[i] == "\\" and i + 1 < len(pattern):
@@ -156,32 +216,34 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
-        self.longest = max(map(len, self.ranks))
         self.pattern = pattern
-        self.queue = RankQueue(max(self.ranks.values()))
+        self.merges = Merges(self.ranks)
         self.known: dict[str, bytes] = {}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
 
-    def piece(self, text: str) -> bytes:
-        raw = text.encode()
-        rank = self.ranks.get(raw)
-        ids = [rank] if rank is not None else merge(raw, self.ranks, self.queue, self.longest)
-        out = np.array(ids, "<u4").tobytes()
-        if len(text) <= REMEMBERED_CHARS:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[text] = out
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [splitter(self.pattern, limit_of(t)).findall(t) for t in texts]
+        new = {p for pieces in split for p in pieces if p not in self.known}
+        fresh, hard = {}, []
+        for p in new:
+            rank = self.ranks.get(p.encode())
+            if rank is None:
+                hard.append(p)
+            else:
+                fresh[p] = rank.to_bytes(4, "little")
+        if hard:
+            fresh.update(zip(hard, self.merges.merge([p.encode() for p in hard]), strict=True))
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known = {p: self.known[p] for pieces in split for p in pieces if p in self.known}
+        self.known.update(fresh)
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        for p in fresh:
+            if len(p) > REMEMBERED_CHARS:
+                del self.known[p]
         return out
 
-    def encode(self, text: str) -> bytes:
-        pieces = splitter(self.pattern, text.isascii()).findall(text)
-        get, out = self.known.get, []
-        for p in pieces:
-            out.append(get(p) or self.piece(p))
-        return b"".join(out)
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -199,9 +261,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     def run(batch: pa.RecordBatch) -> dict:
         c = codec(path, pattern)
-        return {"doc_id": batch.column(0), "ids": [c.encode(t) for t in batch.column(1).to_pylist()]}
+        return {"doc_id": batch.column(0), "ids": c.encode(batch.column(1).to_pylist())}
 
-    return map_rows(documents(docs), run, "doc_id long, ids binary")
+    return map_rows(documents(docs), run, "doc_id long, ids binary", BATCH_BYTES)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastertable.llm.tables import checkpointed
+from rastertable.llm.tables import checkpointed, join_small
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -98,7 +98,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
                .select("no_source", "name", "source_size", "target", "budget", "blocks", "n", "shards", F.lit(0).alias("all")))
     sources = checkpointed(apportion(sources, ["all"], ["no_source", "name"], "target", "blocks", "budget", "n", "quota"))
     key = ["no_source", "name"]
-    placed = (sized.join(sources.select(*key, "shards"), key)
+    placed = (join_small(sized, sources.select(*key, "shards"), key)
               .withColumn("h", hashed(mix.seed, F.col("doc_id"))).withColumn("shard", number(F.col("h")) % F.col("shards")).drop("shards"))
     per_shard = placed.groupBy(*key, "shard").agg(F.sum("size").alias("shard_size"))
     per_shard = (per_shard.join(sources.select(*key, "source_size", "target", "quota"), key)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastertable.sources.shared import checkpointed, new_folder, shared_dir
 
-__all__ = ["checkpointed", "documents", "first_of_each", "map_rows", "new_folder", "read_table", "shared_dir"]
+__all__ = ["checkpointed", "documents", "join_small", "map_rows", "new_folder", "read_table", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,13 @@ def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         start += rows
 
 
-def first_of_each(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """The smallest ``value`` of each key; summed up in each task before the shuffle."""
-    return df.groupBy(*keys).agg(F.min(value).alias(name))
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], bound: int = 50_000, salts: int = 32) -> DataFrame:
+    """Inner join on ``keys``, of which one may hold a large part of ``big``.
+
+    ``small`` has few rows per key and is counted: up to ``bound`` rows it is broadcast, else each of its rows is
+    repeated under every salt and a key's rows of ``big`` are spread over the salts.
+    """
+    if small.count() <= bound:
+        return big.join(F.broadcast(small), keys)
+    salted = big.withColumn("salt_", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    return salted.join(small.withColumn("salt_", F.explode(F.array(*map(F.lit, range(salts))))), [*keys, "salt_"]).drop("salt_")

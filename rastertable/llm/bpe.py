@@ -86,7 +86,7 @@ class Merges:
         key = left << 32 | right
         order = np.argsort(key)
         self.key, self.to = key[order], to[order].astype(np.int32)
-        #: ranks after whose merge a pair of lower rank may arise
+        #: ranks of parts from which a pair of lower rank may arise
         self.upset = np.zeros(n, bool)
         self.upset[left[to < left]] = True
         self.upset[right[to < right]] = True
@@ -118,8 +118,8 @@ class Merges:
             at = at[pair[at] == rank]  # the others are stale
             if len(at) > 1:
                 at = np.unique(at)
-                at, later = self._apart(at, after, starts, rank)
-                if later is not None:
+                at, later = self._apart(at, part, after, before, starts, rank)
+                if later is not None and len(later):
                     self.queue.push(rank, later)
             if not len(at):
                 continue
@@ -140,18 +140,28 @@ class Merges:
         ends = 4 * np.concatenate([[0], np.cumsum(alive)])[starts]
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-    def _apart(self, at: np.ndarray, after: np.ndarray, starts: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray | None]:
+    def _apart(self, at: np.ndarray, part: np.ndarray, after: np.ndarray, before: np.ndarray, starts: np.ndarray, rank: int):
         """Positions that can merge at once as if from left to right, and those that have to wait."""
-        if self.upset[rank]:
-            piece = np.searchsorted(starts, at, "right")
-            first = np.concatenate([[True], piece[1:] != piece[:-1]])
-            return at[first], at[~first] if not first.all() else None
         touching = np.concatenate([[False], after[at[:-1]] == at[1:]])
-        if not touching.any():
-            return at, None
-        count = np.arange(len(at))
-        run = np.maximum.accumulate(np.where(touching, 0, count))
-        return at[(count - run) % 2 == 0], None
+        own = np.ones(len(at), bool)
+        if touching.any():
+            count = np.arange(len(at))
+            own = (count - np.maximum.accumulate(np.where(touching, 0, count))) % 2 == 0
+        if not self.upset[rank]:
+            return at[own], None
+        # a merge from which a pair of lower rank arises has to come before what is right of it in its pre-token
+        use = at[own]
+        left = part[before[use]]
+        left[1:][after[after[use[:-1]]] == use[1:]] = rank
+        merged = np.full(len(use), rank, np.int32)
+        low = np.minimum(self.rank(left, merged).view(np.uint32), self.rank(merged, part[after[after[use]]]).view(np.uint32)) < rank
+        if not low.any():
+            return use, None
+        piece = np.searchsorted(starts, at, "right")
+        stop = np.full(len(starts) + 1, len(part))
+        np.minimum.at(stop, piece[own][low], use[low])
+        late = at > stop[piece]
+        return at[own & ~late], at[late]
 
 
 @lru_cache(maxsize=2)

@@ -6,7 +6,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from rastertable.llm import bpe
@@ -31,10 +31,10 @@ def test_cases(reference):
         assert bpe.codec(PATH, PATTERN).decode(bpe.codec(PATH, PATTERN).encode([text])[0]) == text.encode()
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(st.characters(exclude_categories=["Cs", "Cn", "Co"]), max_size=60))
-def test_any_text(text):
-    e = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+def test_any_text(reference, text):
+    e = reference
     assert ids(text) == e.encode_ordinary(text)
 
 
@@ -55,3 +55,11 @@ def test_query(spark, reference):
         assert r.n_tokens == len(want)
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in want)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("aeinorstéh ", min_size=1, max_size=120), min_size=1, max_size=8))
+def test_many_at_once(reference, texts):
+    c = bpe.codec(PATH, PATTERN)
+    c.known = {}
+    assert [list(memoryview(x).cast("I")) for x in c.encode(texts)] == [reference.encode_ordinary(t) for t in texts]

@@ -112,7 +112,8 @@ class Merges:
         alive = np.ones(n, bool)
         pair = np.append(self.rank(part[:n], part[after[:n]]), np.int32(-1))
         at = np.flatnonzero(pair >= 0)
-        self.queue.push_all(pair[at], at)
+        if len(at):
+            self.queue.push_all(pair[at], at)
         while (entry := self.queue.pop()) is not None:
             rank, at = entry
             at = at[pair[at] == rank]  # the others are stale

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastertable.llm import bpe, licences, secrets
+from rastertable.llm import bpe, licences, quality, secrets
 from rastertable.llm.registry import query
 from rastertable.llm.tables import read_table
 
@@ -48,3 +48,12 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(base).alias("base_labels"), joined(F.concat(base, more)).alias("labels"),
         F.greatest(F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)),
                    F.when(F.size("places") > 0, 1.0).otherwise(0.0)).alias("score"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.learn(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))

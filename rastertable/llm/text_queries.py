@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastertable.llm import bpe, licences, quality, secrets
+from rastertable.llm import bpe, fingerprints, licences, quality, secrets
 from rastertable.llm.registry import query
 from rastertable.llm.tables import read_table
 
@@ -57,3 +57,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs, quality.learn(docs, read_table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op7_fingerprints")
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))

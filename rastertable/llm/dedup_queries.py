@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rastertable.llm import minhash
+from rastertable.llm import embeddings, minhash
 from rastertable.llm.registry import query
 from rastertable.llm.tables import read_table
 
@@ -28,3 +28,9 @@ SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents, on shingles of four words."""
     return minhash.linked(read_table(spark, sf_dir, "documents"), minhash.Rule(words=4))
+
+
+@query("op5_embeddings")
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings."""
+    return embeddings.linked(read_table(spark, sf_dir, "embeddings"))

@@ -183,3 +183,12 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     folder = new_folder(docs.sparkSession, "sets")
     map_rows(texts, run, "doc_id long, set binary", 2 << 20).filter(F.col("set").isNotNull()).dropDuplicates(["doc_id"]).write.parquet(folder)
     return docs.sparkSession.read.schema("doc_id long, set binary").parquet(folder)
+
+
+def distinct(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that a component's smallest doc_id stands for."""
+    gone = checkpointed(linked(docs, rule).filter(~F.col("kept")).select("doc_id").distinct())
+    small = gone.count() <= 500_000
+    own = docs.withColumn("own_id_", F.col("doc_id").cast("long"))
+    gone = gone.withColumnRenamed("doc_id", "own_id_")
+    return own.join(F.broadcast(gone) if small else gone, "own_id_", "left_anti").drop("own_id_")

@@ -122,3 +122,17 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     taken = F.col("every") * F.col("size") + chosen_before(F.col("until")) - chosen_before(F.col("until") - F.col("size"))
     return at.join(shards, [*key, "shard"]).select(
         "doc_id", F.when(~F.col("no_source"), F.col("name")).alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def resampled(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The rows of ``docs``, all columns, as often as the mix takes them: whole texts, a part of a text by a seeded draw.
+
+    Rows with the same doc_id are taken equally often. Rows without words are not taken.
+    """
+    share = F.coalesce(F.try_divide(F.sum("taken"), F.sum("size")), F.lit(0.0))
+    draw = number(hashed(mix.seed + " copies", F.col("doc_id"))) / float(1 << 60)
+    taken = (mixed(docs, mix).groupBy("doc_id").agg(share.alias("share"))
+             .select(F.col("doc_id").alias("own_id_"), (F.floor("share") + (draw < F.col("share") - F.floor("share")).cast("int")).alias("copies_"))
+             .filter("copies_ > 0"))
+    rows = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["own_id_"]))
+    return rows.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_").cast("long")))).select(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastertable.llm.tables import documents, map_rows
+from rastertable.llm.tables import documents, map_rows, slices
 from rastertable.llm.words import NOT_SPACE, hashes, split, utf8
 
 PASSAGE_WORDS = 64
@@ -186,8 +186,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            good = np.concatenate([model.scores(batch.slice(i, 500).column(at)) for i in range(0, batch.num_rows, 500)] or [np.zeros(0)]) >= threshold
-            yield batch.filter(pa.array(good))
+        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
+            yield batch.filter(pa.array(model.scores(batch.column(at)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

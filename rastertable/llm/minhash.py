@@ -7,8 +7,9 @@ collide within the first ``s - matches + 1`` of a document's ``s`` postings (pre
 wherever a document has enough rare ones. Candidates are confirmed on the full shingle sets.
 
 Equal sets are one document from the start. Within a list, every document is first confirmed against the most central one (whose own
-postings are the most frequent), which links large groups of near copies by one pair per document. Only pairs between
-different components of a list are left to join, those outside the list's largest component against the rest.
+postings are the most frequent), which links large groups of near copies by one pair per document. Pairs around one centre that
+are still apart must share additions to it or enough of it, which is told without pairing all of them; of other lists, pairs
+between different components are joined, those outside the list's largest component against the rest.
 """
 
 from __future__ import annotations
@@ -93,20 +94,29 @@ def _may_link(n: str, m: str, rule: Rule) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * rule.percent
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
-    """Those ``a``, ``b`` of ``pairs`` whose full sets are similar enough."""
+def _compared(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
+    """``a``, ``b``, sizes ``n`` and ``m`` of their full sets, ``i`` of the intersection, whether they are ``good`` enough, and what is ``added`` in a."""
     both = (pairs.join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
             .join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        good = []
+        out: dict = {"a": batch.column(0), "b": batch.column(1), "n": [], "m": [], "i": [], "good": [], "added": []}
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * same >= rule.percent * (len(x) + len(y) - same))
-        return {"a": batch.column(0), "b": batch.column(1), "good": good}
+            same = np.isin(x, y, assume_unique=True)
+            out["n"].append(len(x))
+            out["m"].append(len(y))
+            out["i"].append(i := int(same.sum()))
+            out["good"].append(100 * i >= rule.percent * (len(x) + len(y) - i))
+            out["added"].append(x[~same].view(np.int64))
+        return out
 
-    return checkpointed(map_rows(both, run, "a long, b long, good boolean", 16 << 20).filter("good").select("a", "b"))
+    return map_rows(both, run, "a long, b long, n long, m long, i long, good boolean, added array<long>", 16 << 20)
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
+    """Those ``a``, ``b`` of ``pairs`` whose full sets are similar enough."""
+    return checkpointed(_compared(pairs, full, rule).filter("good").select("a", "b"))
 
 
 def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -146,22 +156,52 @@ def _links(docs: DataFrame, one: DataFrame, rule: Rule) -> DataFrame:
                            .select("post", (-F.col("top.centre")).alias("centre")))
     best = (shared.join(centres, "post").filter("doc_id != centre").groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("c"))
             .groupBy("doc_id").agg(F.max(F.struct("c", "centre")).alias("top")).select(F.col("doc_id").alias("a"), F.col("top.centre").alias("b")))
-    star = _confirmed(_colliding(checkpointed(best.distinct()), posts, rule), full, rule)
-
-    # pairs of the prefixes that are not in one component yet
-    part = components(star).withColumnRenamed("node", "doc_id")
-    heads = checkpointed(shared.filter("prefix").select("doc_id", "n", "post").join(part, "doc_id", "left")
-                         .withColumn("component", F.coalesce("component", "doc_id")))
-    main = (heads.groupBy("post", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("post")
-            .agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-            .select("post", F.col("top.component").alias("main")))
-    open_ = checkpointed(heads.join(checkpointed(main), "post"))
-    other = open_.select("post", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = (open_.filter("component != main").select("post", F.col("doc_id").alias("a"), "n", "component").join(other, "post")
-             .filter((F.col("component") != F.col("other")) & _may_link("n", "m", rule))
-             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    star = checkpointed(_compared(_colliding(checkpointed(best.distinct()), posts, rule), full, rule))
+    part = components(star.filter("good").select("a", "b")).withColumnRenamed("node", "doc_id")
+    own_part = F.coalesce("component", "doc_id").alias("component")
+    family = checkpointed(star.select(F.col("a").alias("doc_id"), F.col("b").alias("family"), "n", "m", "i", "good", "added").join(part, "doc_id", "left")
+                          .select("doc_id", "family", "n", "m", "i", "good", "added", own_part))
+    heads = checkpointed(shared.filter("prefix").select("doc_id", "n", "post").join(part, "doc_id", "left").join(family.select("doc_id", "family"), "doc_id", "left")
+                         .select("doc_id", "n", "post", own_part, F.coalesce("family", "doc_id").alias("family")))
+    pairs = _across(heads, rule).unionByName(_within(family, rule)).distinct()
     rest = _confirmed(_colliding(checkpointed(pairs), posts, rule), full, rule)
-    return star.unionByName(rest)
+    return star.filter("good").select("a", "b").unionByName(rest)
+
+
+def _across(heads: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of a prefix list that are in different components and families: those outside the list's largest component against all."""
+    main = (heads.groupBy("post", "component").agg(F.count(F.lit(1)).alias("c"), F.min("family").alias("low"), F.max("family").alias("high")).groupBy("post")
+            .agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"))
+            .filter("parts > 1 AND low != high").select("post", F.col("top.component").alias("main")))
+    open_ = checkpointed(heads.join(checkpointed(main), "post"))
+    other = open_.select("post", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("family").alias("kin"))
+    return (open_.filter("component != main").select("post", F.col("doc_id").alias("a"), "n", "component", "family").join(other, "post")
+            .filter((F.col("component") != F.col("other")) & (F.col("family") != F.col("kin")) & _may_link("n", "m", rule))
+            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
+def _within(family: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs around one centre that are in different components and may be similar enough.
+
+    What two members share is at most the smaller share that they have of the centre, and what was added to both. So they share enough
+    additions, which are rare and make short lists, or both have enough of the centre, which takes a member smaller than the centre.
+    """
+    p = rule.percent
+    enough = lambda k: (k + F.least("i_a", "i_b")) * (100 + p) >= (F.col("n_a") + F.col("n_b")) * p
+    side = lambda df, x, *more: df.select("family", *more, *(F.col(c).alias(f"{n}_{x}") for c, n in (
+        ("doc_id", "id"), ("n", "n"), ("i", "i"), ("component", "part"))))
+    added = family.select("family", "doc_id", "n", "i", "component", F.explode("added").alias("x"))
+    lists = added.groupBy("family", "x").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("family", "x")
+    added = checkpointed(added.join(lists, ["family", "x"]))
+    by_added = (side(added, "a", "x").join(side(added, "b", "x"), ["family", "x"])
+                .filter((F.col("id_a") > F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & _may_link("n_a", "n_b", rule))
+                .groupBy("id_a", "id_b", "n_a", "n_b", "i_a", "i_b").agg(F.count(F.lit(1)).alias("k")).filter(enough(F.col("k"))))
+    # sizes of linked sets lie in the same class or the next
+    size = F.floor(F.log(F.col("n")) / float(np.log(100 / p) + 1e-9)).cast("int")
+    small = side(family.filter("n < m").withColumn("size", size), "a", "size")
+    loose = side(family.filter("NOT good").withColumn("size", F.explode(F.array(size - 1, size, size + 1))), "b", "size")
+    by_centre = small.join(loose, ["family", "size"]).filter((F.col("id_a") != F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & enough(F.lit(0)))
+    return by_added.select("id_a", "id_b").unionByName(by_centre.select("id_a", "id_b")).select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))
 
 
 def _colliding(pairs: DataFrame, posts: DataFrame, rule: Rule) -> DataFrame:

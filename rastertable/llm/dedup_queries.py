@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rastertable.llm import embeddings, minhash
+from rastertable.llm import embeddings, minhash, repeats
 from rastertable.llm.registry import query
 from rastertable.llm.tables import read_table
 
@@ -34,3 +35,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all embeddings."""
     return embeddings.linked(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_repeats")
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 50 bytes that an earlier one has."""
+    out = repeats.without_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

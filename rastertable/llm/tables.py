@@ -56,13 +56,13 @@ def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         start += rows
 
 
-def join_small(big: DataFrame, small: DataFrame, keys: list[str], bound: int = 50_000, salts: int = 32) -> DataFrame:
-    """Inner join on ``keys``, of which one may hold a large part of ``big``.
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], bound: int = 50_000, salts: int = 32, how: str = "inner") -> DataFrame:
+    """Join (inner or left) on ``keys``, of which one may hold a large part of ``big``.
 
     ``small`` has few rows per key and is counted: up to ``bound`` rows it is broadcast, else each of its rows is
     repeated under every salt and a key's rows of ``big`` are spread over the salts.
     """
     if small.count() <= bound:
-        return big.join(F.broadcast(small), keys)
+        return big.join(F.broadcast(small), keys, how)
     salted = big.withColumn("salt_", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    return salted.join(small.withColumn("salt_", F.explode(F.array(*map(F.lit, range(salts))))), [*keys, "salt_"]).drop("salt_")
+    return salted.join(small.withColumn("salt_", F.explode(F.array(*map(F.lit, range(salts))))), [*keys, "salt_"], how).drop("salt_")

@@ -136,8 +136,9 @@ def _searched(rule: Rule):
             for row, s in zip(member, own["shards"], strict=True):
                 row[:len(s)] = s
             queries = np.flatnonzero(np.arange(len(ids)) % blocks == block)
+            start = np.array([flatgraph.medoid(x)])
             for a in range(0, len(queries), 512):
-                q, node = flatgraph.in_range(x, edges, part := queries[a:a + 512], np.array([flatgraph.medoid(x)]), rule.least)
+                q, node = flatgraph.in_range(x, edges, part := queries[a:a + 512], start, rule.least)
                 q = part[q]
                 # a pair counts in the first shard that holds both
                 both = (member[q][:, :, None] == member[node][:, None, :]).any(2)
@@ -173,12 +174,14 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _links(one: DataFrame, centres: np.ndarray, rule: Rule, overlap: int) -> DataFrame:
     """``vec_id``, ``links`` and ``root``: a row for each vector and shard with its links there, and rows that tie components."""
     rows = checkpointed(sharded(one, centres, overlap, rule.margin))
+    rows = rows.repartition(len(centres), "shard")
     graph = rows.groupBy("shard").applyInPandas(_built(rule), "vec_id long, near array<long>")
     united = graph.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") * F.col("size") / F.lit(rule.cells)).cast("int")
     split = (rows.join(checkpointed(united), "vec_id").join(sizes, "shard").withColumn("blocks", blocks)
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("size"))
+    split = split.repartition(max(len(centres), 2), "shard", "block")
     return checkpointed(split.groupBy("shard", "block", "blocks").applyInPandas(_searched(rule), "vec_id long, links long, root long"))
 
 

@@ -120,7 +120,7 @@ def in_range(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, starts: np.n
     """(query, node) for all nodes found with similarity of at least ``least``. ``queries`` are nodes.
 
     Greedy search from the starts, and the query's own place, gives the first nodes; from then on the neighbours of every node
-    within the range (and a little beyond) are looked at until no new one is.
+    within the range (and a little beyond) are looked at, along edges in either direction, until no new one is.
     """
     n = len(x)
     seen = np.zeros((len(queries), n), bool)
@@ -128,12 +128,11 @@ def in_range(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, starts: np.n
     row, col = np.nonzero((ids != NONE) & (sims >= least - slack))
     q = np.concatenate([np.arange(len(queries)), row])
     node = np.concatenate([queries, ids[row, col]])
+    first, near = neighbours(edges)
     found_q, found_n = [], []
     while len(q):
         key = np.unique(q * n + node)
         q, node = key // n, key % n
-        new = ~seen[q, node]
-        q, node = q[new], node[new]
         seen[q, node] = True
         s = np.empty(len(q))
         for a in range(0, len(q), 1 << 17):
@@ -143,14 +142,26 @@ def in_range(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, starts: np.n
         found_q.append(q[hit])
         found_n.append(node[hit])
         go = s >= least - slack
-        q, node = q[go], node[go]
-        width = edges.shape[1]
-        near = edges[node]
-        q, node = np.repeat(q, width), near.ravel()
-        ok = node != NONE
-        q, node = q[ok], node[ok]
-        ok = ~seen[q, node]
-        q, node = q[ok], node[ok]
+        go_q, go_node, more_q, more_n = q[go], node[go], [], []
+        for a in range(0, len(go_q), 1 << 14):
+            own_q, own = go_q[a:a + (1 << 14)], go_node[a:a + (1 << 14)]
+            count = first[own + 1] - first[own]
+            own_q = np.repeat(own_q, count)
+            own = near[np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            new = ~seen[own_q, own]
+            more = np.unique(own_q[new] * n + own[new])
+            more_q.append(more // n)
+            more_n.append(more % n)
+        q, node = (np.concatenate(m) if m else np.zeros(0, np.int64) for m in (more_q, more_n))
     q, node = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (found_q, found_n))
     other = queries[q] != node
     return q[other], node[other]
+
+
+def neighbours(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges in both directions: of each node, where its neighbours begin (one more at the end), and all neighbours."""
+    n = len(edges)
+    a, col = np.nonzero(edges != NONE)
+    b = edges[a, col]
+    pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
+    return np.searchsorted(pairs // max(1, n), np.arange(n + 1)), pairs % max(1, n)

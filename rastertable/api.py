@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rastertable.operators import colormaps, render, stats, tiles
-from rastertable.operators.catalog import API_PAGE_SIZE, Catalog, CatalogError, request_table, search
+from rastertable.operators.catalog import Catalog, CatalogError, request_table, search
 from rastertable.sources.cells import BLOCK_SIZE
 
 
@@ -36,7 +36,7 @@ class RasterService:
     def keys(self) -> DataFrame:
         return self.catalog.list_keys()
 
-    def datasets(self, where=None, page: int = 0, limit: int | None = API_PAGE_SIZE) -> DataFrame:
+    def datasets(self, where=None, page: int = 0, limit: int | None = None) -> DataFrame:
         return self.catalog.search(where, page, limit).select(*self.catalog.keys)
 
     def metadata(self, keys, columns: Sequence[str] | None = None) -> DataFrame:
@@ -51,9 +51,9 @@ class RasterService:
         rows = None if colormap is None else colormaps.one_map(colormaps.builtin_colormaps(self.spark), colormap)
         return colormaps.color_bar(self.spark, stretch_range, rows, num_values)
 
-    def with_missing_metadata(self, cells: DataFrame) -> RasterService:
-        """Compute statistics for datasets that have none yet, at the reduced shape."""
-        filled = stats.fill_missing(self.catalog.datasets, self.catalog.metadata, cells, self.grids, self.catalog.keys)
+    def with_missing_metadata(self, cells: DataFrame, max_shape: Sequence[int] | None = None) -> RasterService:
+        """Compute statistics for datasets that have none yet, from all pixels unless ``max_shape`` decimates."""
+        filled = stats.fill_missing(self.catalog.datasets, self.catalog.metadata, cells, self.grids, self.catalog.keys, max_shape)
         return RasterService(Catalog(self.catalog.key_names, self.catalog.datasets, filled, self.catalog.catalog_version),
                              self.blocks, self.grids, self.block_size, self.reprojection, self.resampling, self.tile_size)
 

@@ -41,18 +41,18 @@ def mask_nodata(v, nodata) -> Column:
     return F.when(nodata.isNull() | (v != nodata), v)
 
 
-def mask_alpha(v, alpha) -> Column:
-    """NULL out pixels whose alpha is 0 or absent."""
-    return F.when(as_column(alpha) != 0, as_column(v))
+def mask_alpha(v, alpha, has_alpha=True) -> Column:
+    """NULL out pixels whose alpha is 0 or absent, where the raster has alpha at all."""
+    return F.when(~as_column(has_alpha) | (as_column(alpha) != 0), as_column(v))
 
 
-def read_mask(v, nodata=None, alpha=None) -> Column:
+def read_mask(v, nodata=None, alpha=None, has_alpha=True) -> Column:
     """The mask applied on read: nodata, then alpha, then non-finite values."""
     out = as_column(v)
     if nodata is not None:
         out = mask_nodata(out, nodata)
     if alpha is not None:
-        out = mask_alpha(out, alpha)
+        out = mask_alpha(out, alpha, has_alpha)
     return finite(out)
 
 

@@ -16,13 +16,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rastertable.sources.paths import move_key_last
+from rastertable.sources.paths import duplicate_keys, move_key_last
 
 # fixed values
 VERSION = "0.9.0"
 RESERVED_KEYS = ("limit", "page")
-API_PAGE_SIZE = 100
-MAX_BATCH_KEYS = 100
 METADATA_COLUMNS = {
     "west": "double", "south": "double", "east": "double", "north": "double",
     "convex_hull": "string", "valid_percentage": "double", "min": "double", "max": "double",
@@ -36,41 +34,48 @@ class CatalogError(ValueError):
 
 # --- keys -------------------------------------------------------------------
 
-def check_key_names(keys: Sequence[str], descriptions: Mapping[str, str] | None = None) -> None:
-    unknown = set(descriptions or {}) - set(keys)
-    if unknown:
-        raise CatalogError(f"descriptions given for unknown keys: {sorted(unknown)}")
-    bad = [k for k in keys if not re.fullmatch(r"\w+", k)]
-    if bad:
-        raise CatalogError(f"key names must be alphanumeric: {bad}")
-    taken = [k for k in keys if k in RESERVED_KEYS]
-    if taken:
-        raise CatalogError(f"reserved key names: {taken}")
-    if len(set(keys)) != len(keys) or not keys:
-        raise CatalogError("key names must be given once each")
-
-
-def as_key_mapping(key_names: Sequence[str], keys, need_all: bool = False) -> dict:
-    """Keys given as a mapping, or as a sequence that names the first keys in order."""
-    if keys is None:
-        keys = {}
-    if isinstance(keys, Mapping):
-        out = dict(keys)
-    elif isinstance(keys, Sequence) and not isinstance(keys, str):
-        out = dict(zip(key_names, keys))
-    else:
-        raise CatalogError("keys must be a mapping or a sequence")
-    if need_all and len(keys) != len(key_names):
-        raise CatalogError(f"needs exactly the keys {list(key_names)}")
-    unknown = set(out) - set(key_names)
-    if unknown:
-        raise CatalogError(f"unknown keys {sorted(unknown)}, available: {list(key_names)}")
-    return out
+@dataclass(frozen=True)
+class KeySchema:
+    """The ordered key names of a catalog, and the requests that fit them."""
+
+    names: tuple[str, ...]
+
+    @classmethod
+    def declared(cls, names: Sequence[str], described: Mapping[str, str] | None = None) -> KeySchema:
+        """A schema for a new catalog; all that is wrong with it is told at once."""
+        names = tuple(names)
+        faults = [f"{n!r} is not alphanumeric" for n in names if not re.fullmatch(r"\w+", n)]
+        faults += [f"{n!r} is reserved" for n in RESERVED_KEYS if n in names]
+        faults += [f"{n!r} is named twice" for n in dict.fromkeys(names) if names.count(n) > 1]
+        faults += [f"{n!r} is described but no key" for n in described or () if n not in names]
+        if faults or not names:
+            raise CatalogError("; ".join(faults) or "a catalog needs at least one key")
+        return cls(names)
+
+    def some(self, given) -> dict:
+        """Values by key name, from a mapping or from values of the first keys in order."""
+        if given is None:
+            return {}
+        if isinstance(given, Mapping):
+            strange = given.keys() - set(self.names)
+            if strange:
+                raise CatalogError(f"no such keys: {sorted(strange)}; the catalog has {list(self.names)}")
+            return dict(given)
+        if isinstance(given, (str, bytes)) or not isinstance(given, Sequence) or len(given) > len(self.names):
+            raise CatalogError(f"give a mapping or at most {len(self.names)} values, for {list(self.names)}")
+        return {name: given[i] for i, name in enumerate(self.names[:len(given)])}
+
+    def every(self, given) -> tuple[str, ...]:
+        """One value per key, as texts in order."""
+        named = self.some(given)
+        if len(named) < len(self.names):
+            raise CatalogError(f"a dataset has all of the keys {list(self.names)}")
+        return tuple(str(named[n]) for n in self.names)
 
 
 def keys_table(spark: SparkSession, keys: Sequence[str], descriptions=None) -> DataFrame:
     descriptions = descriptions or {}
-    check_key_names(keys, descriptions)
+    KeySchema.declared(keys, descriptions)
     rows = [(k, descriptions.get(k, ""), i) for i, k in enumerate(keys)]
     return spark.createDataFrame(rows, "key_name STRING, description STRING, idx INT")
 
@@ -84,13 +89,13 @@ def list_keys(key_names: DataFrame) -> DataFrame:
 
 def search(datasets: DataFrame, key_names: Sequence[str], where=None) -> DataFrame:
     """Datasets whose keys all match; a list of values means any of them, an empty list none."""
-    for key, values in as_key_mapping(key_names, where).items():
+    for key, values in KeySchema(tuple(key_names)).some(where).items():
         values = values if isinstance(values, (list, tuple, set)) else [values]
         datasets = datasets.where(F.col(key).isin([str(v) for v in values]) if values else F.lit(False))
     return datasets
 
 
-def page_of(datasets: DataFrame, key_names: Sequence[str], page: int = 0, limit: int | None = API_PAGE_SIZE) -> DataFrame:
+def page_of(datasets: DataFrame, key_names: Sequence[str], page: int = 0, limit: int | None = None) -> DataFrame:
     """One page in the order of all key columns, then path. Without a limit the page is ignored."""
     if page < 0 or (limit is not None and limit < 0):
         raise ValueError("page and limit cannot be negative")
@@ -114,8 +119,8 @@ def metadata_columns(metadata: DataFrame, key_names: Sequence[str], columns: Seq
 
 def metadata_of(metadata: DataFrame, key_names: Sequence[str], keys) -> DataFrame:
     """Metadata row of one dataset, by its full key."""
-    for k, v in as_key_mapping(key_names, keys, need_all=True).items():
-        metadata = metadata.where(F.col(k) == F.lit(str(v)))
+    for k, v in zip(key_names, KeySchema(tuple(key_names)).every(keys), strict=True):
+        metadata = metadata.where(F.col(k) == F.lit(v))
     return metadata
 
 
@@ -142,18 +147,11 @@ def metadata_batch(requests: DataFrame, metadata: DataFrame, key_names: Sequence
     return out.orderBy("ordinal")
 
 
-def request_table(spark: SparkSession, key_names: Sequence[str], datasets: Sequence[Sequence[str]],
-                  max_keys: int | None = MAX_BATCH_KEYS) -> DataFrame:
-    """A short list of requested key tuples as a table; longer ones come as a table already."""
-    if max_keys is not None and len(datasets) > max_keys:
-        raise CatalogError(f"at most {max_keys} datasets per request")
-    rows = []
-    for i, keys in enumerate(datasets):
-        named = as_key_mapping(key_names, keys, need_all=True)
-        rows.append((i, *[str(named[k]) for k in key_names]))
-    schema = T.StructType([T.StructField("ordinal", T.IntegerType())]
-                          + [T.StructField(k, T.StringType()) for k in key_names])
-    return spark.createDataFrame(rows, schema)
+def request_table(spark: SparkSession, key_names: Sequence[str], datasets: Sequence[Sequence[str]]) -> DataFrame:
+    """A list of requested key tuples as a table."""
+    schema = KeySchema(tuple(key_names))
+    fields = [T.StructField("ordinal", T.IntegerType()), *(T.StructField(k, T.StringType()) for k in key_names)]
+    return spark.createDataFrame([(i, *schema.every(keys)) for i, keys in enumerate(datasets)], T.StructType(fields))
 
 
 def without_metadata(datasets: DataFrame, metadata: DataFrame, key_names: Sequence[str]) -> DataFrame:
@@ -290,6 +288,10 @@ class Catalog:
         return page_of(search(self.datasets, self.keys, where), self.keys, page, limit)
 
     def metadata_of(self, keys, columns=None) -> DataFrame:
+        """Metadata of one dataset; a dataset that the catalog does not hold is an error, looked up now."""
+        full = KeySchema(tuple(self.keys)).every(keys)
+        if search(self.datasets, self.keys, full).isEmpty():
+            raise CatalogError(f"no dataset with the keys {full}")
         return metadata_columns(metadata_of(self.metadata, self.keys, keys), self.keys, columns)
 
     def metadata_batch(self, requests: DataFrame, columns=None, on_missing="error") -> DataFrame:
@@ -299,9 +301,14 @@ class Catalog:
         return without_metadata(self.datasets, self.metadata, self.keys)
 
     def insert(self, datasets: DataFrame, metadata: DataFrame | None = None, order: str | None = None) -> Catalog:
-        """Upsert datasets. Metadata of replaced datasets is dropped unless given anew, so it is never stale."""
+        """Upsert datasets. Metadata of replaced datasets is dropped unless given anew, so it is never stale.
+
+        Rows with the same keys are an error, found now, unless ``order`` tells which one is last.
+        """
         if set(self.keys) - set(datasets.columns):
             raise CatalogError(f"datasets need the keys {self.keys}")
+        if order is None and not duplicate_keys(datasets, self.keys).isEmpty():
+            raise CatalogError("datasets with the same keys; name a column that tells which comes last")
         kept = remove(self.metadata, datasets, self.keys)
         new_meta = kept if metadata is None else upsert(kept, metadata, self.keys)
         return replace(self, datasets=upsert(self.datasets, datasets, self.keys, order), metadata=new_meta)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rastertable.operators.catalog import Catalog, CatalogError, only_new
 from rastertable.operators.stats import compute_metadata
 from rastertable.sources import paths as path_keys
+from rastertable.sources.shared import checkpointed
 from rastertable.sources.store import CatalogStore
 
 
@@ -46,6 +47,7 @@ def ingest(catalog: Catalog, datasets: DataFrame, cells: DataFrame | None = None
     if not skip_metadata:
         metadata = compute_metadata(keyed_rasters(datasets, cells), keyed_rasters(datasets, grids), keys,
                                     extra=extra, **stats_options)
+        metadata = checkpointed(metadata)  # one row per dataset, used several times from here on
         datasets = datasets.join(metadata.select(*keys), keys, "left_semi")
     if override_paths is not None:
         datasets = (datasets.join(override_paths, "path", "left")

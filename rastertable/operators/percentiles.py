@@ -1,9 +1,7 @@
 """Percentiles 1..99 of the valid pixels of every dataset.
 
-Three ways, by size:
+Two ways, by choice:
 
-* ``small``: Spark's ``percentile`` aggregate. It keeps the distinct values of
-  a dataset in one buffer, so it is only used below a known pixel count.
 * ``exact``: rank selection by repeated histograms. Each pass counts values
   per bucket (combined before the shuffle, at most BUCKETS rows per node and
   task) and keeps the buckets that hold a wanted rank, until every node is
@@ -25,7 +23,7 @@ from rastertable.sources.shared import checkpointed
 # fixed values
 PERCENTS = tuple(range(1, 100))
 APPROX_ACCURACY = 10000
-SMALL_PIXELS = 1 << 20      # buffer bound of the ``small`` way, in pixels per dataset
+NODE_PIXELS = 1 << 14       # pixels that one task ranks together
 BUCKETS = 1 << 14
 BROADCAST_ROWS = 200_000    # histogram nodes are a few dozen bytes each
 
@@ -34,11 +32,6 @@ def _fractions() -> Column:
     return F.array(*[F.lit(p / 100.0) for p in PERCENTS])
 
 
-def small_percentiles(value="value") -> Column:
-    """Aggregate expression; NULL for a group without valid pixels."""
-    return F.percentile(value, _fractions())
-
-
 def approx_percentiles(value="value") -> Column:
     return F.percentile_approx(value, _fractions(), APPROX_ACCURACY)
 
@@ -76,7 +69,7 @@ def _bucket(v: Column, lo: Column, hi: Column, buckets: int) -> Column:
 
 
 def exact_percentiles(cells: DataFrame, keys, value: str = "value",
-                      buckets: int = BUCKETS, node_pixels: int = SMALL_PIXELS) -> DataFrame:
+                      buckets: int = BUCKETS, node_pixels: int = NODE_PIXELS) -> DataFrame:
     """One row per dataset with valid pixels: keys, ``percentiles`` ARRAY<DOUBLE>.
 
     A node is a range of values of one dataset. Nodes are split until each

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastertable.functions import geo
-from rastertable.functions.masks import finite
-from rastertable.operators.stats import located_grids
+from rastertable.operators.stats import located_grids, masked_cells
 from rastertable.operators.tiles import MIN_WEIGHT, TILE_SIZE, cubic_weight, linear_weight, tile_layer
 from rastertable.sources.cells import BLOCK_SIZE, pack_blocks
+from rastertable.sources.shared import checkpointed
 
 METHODS = ("average", "nearest", "bilinear", "cubic")
 LARGE_SIDE = 512  # fixed value: rasters above this on both sides should be tiled and have overviews
@@ -47,12 +47,17 @@ def _half(c: str):
 
 
 def pyramid(cells: DataFrame, grids: DataFrame, keys, method: str = "average", block: int = BLOCK_SIZE) -> DataFrame:
-    """Overview cells of all datasets: keys, level (1..), row, col, value; masked cells are left out."""
+    """Overview cells of all datasets: keys, level (1..), row, col, value; masked cells are left out.
+
+    Masked are the grid's nodata value, pixels without alpha, and non-finite
+    values. Every level is kept in the shared folder, so the base is read once
+    whatever the depth.
+    """
     keys = list(keys)
     if method not in METHODS:
         raise ValueError(f"unknown overview method {method!r}, choose from {METHODS}")
     deep = with_levels(grids, block).select(*keys, "levels", F.col("height").alias("_h"), F.col("width").alias("_w"))
-    base = (cells.withColumn("value", finite("value").cast("double")).where("value IS NOT NULL")
+    base = (masked_cells(cells, grids, keys).where("value IS NOT NULL")
             .join(deep, keys).where("levels > 0"))
     if method == "nearest":
         return _nearest_levels(base, keys)
@@ -63,7 +68,7 @@ def pyramid(cells: DataFrame, grids: DataFrame, keys, method: str = "average", b
                         F.col("value").alias("_s"), F.lit(1.0).alias("_n"))
     out = None
     for level in range(1, top + 1):
-        state = step(state.where(F.col("levels") >= level), keys)
+        state = checkpointed(step(state.where(F.col("levels") >= level), keys))
         rows = state.select(*keys, F.lit(level).alias("level"), "row", "col", (F.col("_s") / F.col("_n")).alias("value"))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -130,7 +135,7 @@ def read_tiled(spark: SparkSession, path: str, level: int | None = None) -> Data
 def write_pyramid(cells: DataFrame, grids: DataFrame, keys, path: str, method: str = "average",
                   size: int = BLOCK_SIZE, mode: str = "errorifexists") -> None:
     """Base level and overviews in one tiled table."""
-    base = cells.select(*keys, F.lit(0).alias("level"), "row", "col", F.col("value").cast("double").alias("value"))
+    base = masked_cells(cells, grids, keys).select(*keys, F.lit(0).alias("level"), "row", "col", F.col("value").cast("double").alias("value"))
     write_tiled(base.unionByName(pyramid(cells, grids, keys, method, size)), keys, path, size, mode)
 
 

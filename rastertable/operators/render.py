@@ -34,6 +34,13 @@ def _colored(pixels: DataFrame, rows: DataFrame | None) -> DataFrame:
     return pixels.withColumn("_g", grey("index")).select("*", *[F.col(f"_g.{c}").alias(c) for c in "rgba"]).drop("_g")
 
 
+def _must_know(joined: DataFrame, known: Column, keys) -> DataFrame:
+    """Fails the job at a pixel whose dataset has no statistics; no layer is left out for the lack of them."""
+    name = F.to_json(F.struct(*keys)) if keys else F.lit("{}")
+    message = F.concat(F.lit("no statistics to stretch by: "), name)
+    return joined.where(F.assert_true(F.coalesce(known, F.lit(False)), message).isNull())
+
+
 def singleband(pixels: DataFrame, metadata: DataFrame, keys: Sequence[str], *, stretch_range=None,
                colormap: str | Mapping | None = None, colormaps: DataFrame | None = None,
                color_transform: Sequence[Transform] = (),
@@ -49,7 +56,10 @@ def singleband(pixels: DataFrame, metadata: DataFrame, keys: Sequence[str], *, s
     if isinstance(colormap, Mapping):
         labelled = pixels.select(*keys, *at, label("value", list(colormap)).alias("index"))
         return cmaps.apply_map(labelled, cmaps.explicit_map(spark, list(colormap.values())))
-    joined = pixels.select(*keys, *at, "value").join(metadata.select(*keys, *STATS), keys)
+    joined = pixels.select(*keys, *at, "value")
+    if stretch_range is None or not all(isinstance(v, (int, float)) for v in stretch_range):
+        known = metadata.select(*keys, *STATS).withColumn("_known", F.lit(True))
+        joined = _must_know(joined.join(known, keys, "left"), F.col("_known"), keys)
     unit = joined.withColumn("_u", contrast_stretch("value", *_range(stretch_range, percentile_base), F.lit(0.0), F.lit(1.0)))
     unit = apply_transforms(unit, color_transform, ["_u"])
     index = unit.select(*keys, *at, to_uint8("_u", F.lit(0.0), F.lit(1.0)).alias("index"))
@@ -84,9 +94,12 @@ def rgb(pixels: DataFrame, metadata: DataFrame, keys: Sequence[str], rgb_values:
     per_scene = own.groupBy(*other).agg(*[
         F.max_by(stats, F.when(F.col(last) == v, F.lit(1))).alias(f"_{n}") for n, v in names.items()])
     if other:
-        joined = bands.join(per_scene, other)
+        joined = bands.join(per_scene, other, "left")
     else:  # one key only: the metadata side is a single row
-        joined = bands.withColumn("_all", F.lit(1)).join(F.broadcast(per_scene.withColumn("_all", F.lit(1))), "_all")
+        joined = bands.withColumn("_all", F.lit(1)).join(F.broadcast(per_scene.withColumn("_all", F.lit(1))), "_all", "left")
+    for n, r in zip("rgb", ranges):  # a band with values needs statistics, unless its range is given in numbers
+        if r is None or not all(isinstance(v, (int, float)) for v in r):
+            joined = _must_know(joined, F.col(n).isNull() | F.col(f"_{n}").isNotNull(), other)
     unit = {}
     for n, r in zip("rgb", ranges):
         lo, hi = _range(r, percentile_base, f"_{n}.")

@@ -18,16 +18,15 @@ from rastertable.operators import percentiles as pct
 from rastertable.operators.crs import per_crs
 
 # fixed values
-LAZY_SHAPE = (1024, 1024)              # shape cap for statistics filled in on first request
-LARGE_RASTER_PIXELS = 10980 * 10980    # above this the reference way is approximate percentiles
-EDGE_POINTS = 21                       # points added per edge when a box is projected
+EDGE_POINTS = 21    # points added per edge when a box is projected
 
 
 def masked_cells(cells: DataFrame, grids: DataFrame, keys) -> DataFrame:
-    """Apply each grid's nodata value, the alpha column if there is one, and the finite rule."""
+    """Apply each grid's nodata value, the alpha column where the grid has alpha, and the finite rule."""
     alpha = "alpha" if "alpha" in cells.columns else None
-    joined = cells.join(grids.select(*keys, F.col("nodata").alias("_nodata")), list(keys))
-    return joined.withColumn("value", read_mask("value", "_nodata", alpha)).drop("_nodata")
+    has_alpha = F.coalesce("has_alpha", F.lit(False)) if "has_alpha" in grids.columns else F.lit(True)
+    joined = cells.join(grids.select(*keys, F.col("nodata").alias("_nodata"), has_alpha.alias("_has_alpha")), list(keys))
+    return joined.withColumn("value", read_mask("value", "_nodata", alpha, "_has_alpha")).drop("_nodata", "_has_alpha")
 
 
 def unmasked_audit(grids: DataFrame, keys) -> DataFrame:
@@ -53,40 +52,23 @@ def _with_share(stats: DataFrame, grids: DataFrame, keys) -> DataFrame:
             .withColumn("valid_percentage", F.col("n_valid") / F.col("_total") * 100).drop("_total"))
 
 
-def dataset_stats(cells: DataFrame, grids: DataFrame, keys, percentiles: str = "auto") -> DataFrame:
+def dataset_stats(cells: DataFrame, grids: DataFrame, keys, percentiles: str = "exact") -> DataFrame:
     """One row per grid: n_valid, min, max, mean, stdev, percentiles, valid_percentage, percentile_method.
 
-    ``percentiles`` is ``none``, ``small``, ``exact``, ``approx`` or ``auto``:
-    small while every grid has at most SMALL_PIXELS pixels, exact up to
-    LARGE_RASTER_PIXELS, approximate for the grids above.
+    ``percentiles`` is ``exact`` (rank selection, at every size), ``approx``
+    (sketches, on demand only) or ``none``.
     """
     keys = list(keys)
-    if percentiles not in ("none", "small", "exact", "approx", "auto"):
+    if percentiles not in ("none", "exact", "approx"):
         raise ValueError(f"unknown percentile method {percentiles!r}")
-    pixels = F.col("width").cast("long") * F.col("height")
-    method, large = percentiles, False
-    if method == "auto":
-        biggest = grids.agg(F.max(pixels)).first()[0] or 0
-        method = "small" if biggest <= pct.SMALL_PIXELS else "exact"
-        large = biggest > LARGE_RASTER_PIXELS
-    if method == "none":
+    if percentiles == "none":
         return _with_share(moments(cells, keys), grids, keys)
-    v = finite("value").cast("double")
-    if method in ("small", "approx"):
-        agg = pct.small_percentiles(v) if method == "small" else pct.approx_percentiles(v)
-        stats = cells.groupBy(*keys).agg(*_moments(), agg.alias("percentiles"))
-        stats = stats.withColumn("percentile_method", F.lit("exact" if method == "small" else "approx"))
-        return _with_share(stats, grids, keys)
-    if not large:
-        ranks = pct.exact_percentiles(cells, keys).withColumn("percentile_method", F.lit("exact"))
+    if percentiles == "approx":
+        sketch = pct.approx_percentiles(finite("value").cast("double"))
+        stats = cells.groupBy(*keys).agg(*_moments(), sketch.alias("percentiles"))
     else:
-        is_large = grids.where(pixels > LARGE_RASTER_PIXELS).select(*keys)
-        rest = cells.join(is_large, keys, "left_anti")
-        sketched = cells.join(is_large, keys, "left_semi").groupBy(*keys).agg(
-            pct.approx_percentiles(v).alias("percentiles"))
-        ranks = pct.exact_percentiles(rest, keys).withColumn("percentile_method", F.lit("exact")).unionByName(
-            sketched.withColumn("percentile_method", F.lit("approx")))
-    return _with_share(moments(cells, keys).join(ranks, keys, "left"), grids, keys)
+        stats = moments(cells, keys).join(pct.exact_percentiles(cells, keys), keys, "left")
+    return _with_share(stats.withColumn("percentile_method", F.lit(percentiles)), grids, keys)
 
 
 def split_empty(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +214,7 @@ def geographic_bounds(grids: DataFrame, keys, crs: str | None = None) -> DataFra
 
 # --- everything -------------------------------------------------------------
 
-def compute_metadata(cells: DataFrame, grids: DataFrame, keys, *, percentiles: str = "auto",
+def compute_metadata(cells: DataFrame, grids: DataFrame, keys, *, percentiles: str = "exact",
                      use_chunks: bool | None = None, max_shape: Sequence[int] | None = None,
                      extra: DataFrame | None = None) -> DataFrame:
     """Metadata rows for all datasets with valid pixels.
@@ -244,8 +226,8 @@ def compute_metadata(cells: DataFrame, grids: DataFrame, keys, *, percentiles: s
     keys = list(keys)
     if use_chunks and max_shape is not None:
         raise ValueError("use_chunks and max_shape exclude each other")
-    if use_chunks is not None and percentiles == "auto":
-        percentiles = "approx" if use_chunks else "exact"
+    if use_chunks:
+        percentiles = "approx"
     bounds = geographic_bounds(grids, keys)
     valid = masked_cells(cells, grids, keys)
     if max_shape is not None:
@@ -263,10 +245,11 @@ def compute_metadata(cells: DataFrame, grids: DataFrame, keys, *, percentiles: s
         F.coalesce("metadata", F.lit("{}")).alias("metadata"))
 
 
-def fill_missing(datasets: DataFrame, metadata: DataFrame, cells: DataFrame, grids: DataFrame, keys) -> DataFrame:
-    """Metadata plus rows for the datasets lacking them, computed at LAZY_SHAPE."""
+def fill_missing(datasets: DataFrame, metadata: DataFrame, cells: DataFrame, grids: DataFrame, keys,
+                 max_shape: Sequence[int] | None = None) -> DataFrame:
+    """Metadata plus rows for the datasets lacking them, computed from all pixels unless ``max_shape`` decimates."""
     keys = list(keys)
     missing = datasets.join(metadata.select(*keys), keys, "left_anti").select(*keys)
     todo_grids = grids.join(missing, keys, "left_semi")
     todo_cells = cells.join(missing, keys, "left_semi")
-    return metadata.unionByName(compute_metadata(todo_cells, todo_grids, keys, max_shape=LAZY_SHAPE))
+    return metadata.unionByName(compute_metadata(todo_cells, todo_grids, keys, max_shape=max_shape))

@@ -77,8 +77,26 @@ def tiles_in_bounds(requests: DataFrame, bounds: DataFrame, keys) -> DataFrame:
 
 
 def tiles_with_datasets(tiles: DataFrame, bounds: DataFrame, keys, zooms: Sequence[int]) -> DataFrame:
-    """Which datasets lie under which wanted tiles: tile ranges become rows, then an equi-join."""
-    return tiles.select("z", "x", "y").distinct().join(tile_cover(bounds, zooms).select(*keys, "z", "x", "y"), ["z", "x", "y"])
+    """Which datasets lie under which wanted tiles.
+
+    A dataset is known by the few coarser tiles under it, at the finest zoom
+    where it reaches over no more than two of them either way; a wanted tile by
+    all its parents. They meet in an equi-join, and tile ranges decide.
+    """
+    z = F.col("z")
+    ranges = bounds.withColumn("z", F.explode(F.array(*[F.lit(int(v)) for v in zooms]))).withColumns({
+        "_x0": geo.tile_x("west", z).cast("long"), "_x1": geo.tile_x("east", z).cast("long"),
+        "_y0": geo.tile_y("north", z).cast("long"), "_y1": geo.tile_y("south", z).cast("long")})
+    reach = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(0).cast("long"))
+    ranges = ranges.withColumn("_up", F.least(F.when(reach > 0, F.length(F.bin(reach))).otherwise(F.lit(0)), z))
+    parent = lambda c, n: F.call_function("shiftright", F.col(c), n)
+    coarse = (ranges.withColumn("_px", F.explode(F.sequence(parent("_x0", F.col("_up")), parent("_x1", F.col("_up")))))
+              .withColumn("_py", F.explode(F.sequence(parent("_y0", F.col("_up")), parent("_y1", F.col("_up"))))))
+    wanted = (tiles.select(z.cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct()
+              .withColumn("_up", F.explode(F.sequence(F.lit(0), z)))
+              .withColumns({"_px": parent("x", F.col("_up")), "_py": parent("y", F.col("_up"))}))
+    return (wanted.join(coarse.select(*keys, "z", "_up", "_px", "_py", "_x0", "_x1", "_y0", "_y1"), ["z", "_up", "_px", "_py"])
+            .where("x BETWEEN _x0 AND _x1 AND y BETWEEN _y0 AND _y1").select("z", "x", "y", *keys))
 
 
 def _working_size(framed: DataFrame, tile_size) -> DataFrame:
@@ -103,17 +121,25 @@ def sparse_tiles(grids: DataFrame, keys, zooms: Sequence[int], crs: str | None =
 
 
 def tile_frames(grids: DataFrame, keys, zooms: Sequence[int], tile_size=TILE_SIZE,
-                crs: str | None = None, tiles: DataFrame | None = None) -> DataFrame:
+                crs: str | None = None, tiles: DataFrame | None = None, min_cover: float = 0.0) -> DataFrame:
     """Frames for the tile cover of every dataset, or for the wanted ``tiles`` (keys, z, x, y).
 
-    Tiles outside the dataset's tile range, and tiles it covers too sparsely, are left out.
+    Tiles outside the dataset's tile range are left out, and so are tiles of
+    which it covers less than ``min_cover``.
     """
     keys = list(keys)
-    cover = tile_cover(located_grids(grids, keys, crs), zooms)
-    if tiles is not None:
-        cover = cover.join(tiles.select(*keys, "z", "x", "y"), [*keys, "z", "x", "y"], "left_semi")
+    located = located_grids(grids, keys, crs)
+    if tiles is None:
+        cover = tile_cover(located, zooms)
+    else:
+        z = F.col("z")
+        cover = (located.join(tiles.where(z.isin([int(v) for v in zooms])).select(*keys, "z", "x", "y").distinct(), keys)
+                 .where(F.col("x").between(geo.tile_x("west", z), geo.tile_x("east", z))
+                        & F.col("y").between(geo.tile_y("north", z), geo.tile_y("south", z))))
     framed = cover.withColumns(geo.tile_bounds("z", "x", "y"))
-    return _working_size(framed.where(_box_ratio() >= geo.MIN_COVER_RATIO), tile_size)
+    if min_cover > 0:
+        framed = framed.where(_box_ratio() >= min_cover)
+    return _working_size(framed, tile_size)
 
 
 def _own_box(grids: DataFrame, keys, crs) -> DataFrame:
@@ -341,10 +367,10 @@ def frame_pixels(blocks: DataFrame, frames: DataFrame, keys, ids, tile_size, crs
 
 
 def tile_layer(blocks: DataFrame, grids: DataFrame, keys, zooms: Sequence[int], tile_size=TILE_SIZE,
-               tiles: DataFrame | None = None, crs: str | None = None, **methods) -> DataFrame:
+               tiles: DataFrame | None = None, crs: str | None = None, min_cover: float = 0.0, **methods) -> DataFrame:
     """Pixels of all tiles of all datasets: keys, z, x, y, py, px, value."""
     def build(some, kind):
-        frames = tile_frames(some, keys, zooms, tile_size, kind, tiles)
+        frames = tile_frames(some, keys, zooms, tile_size, kind, tiles, min_cover)
         return frame_pixels(blocks, frames, keys, TILE_IDS, tile_size, kind, **methods)
 
     return per_crs(grids, build, crs)

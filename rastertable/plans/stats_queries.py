@@ -73,9 +73,8 @@ WITH {A.A1_SQL} SELECT scene, CAST(p AS INTEGER) AS p, true AS within
 FROM (SELECT DISTINCT scene FROM a1), range(1, 100) t(p)""")
 def approx_percentiles(spark, d):
     cells = A.a1_cells(spark, d)
-    both = cells.groupBy("scene").agg(
-        percentiles.approx_percentiles("value").alias("_a"), percentiles.small_percentiles("value").alias("_e"),
-        F.max("value").alias("_max"))
+    exact = percentiles.exact_percentiles(cells, A.A1_KEYS).withColumnRenamed("percentiles", "_e")
+    both = cells.groupBy("scene").agg(percentiles.approx_percentiles("value").alias("_a"), F.max("value").alias("_max")).join(exact, "scene")
     return both.select("scene", "_max", F.posexplode(F.arrays_zip("_a", "_e")).alias("i", "q")).select(
         "scene", (F.col("i") + 1).cast("int").alias("p"),
         (F.abs(F.col("q._a") - F.col("q._e")) <= F.abs("q._e") * 0.02 + F.col("_max") / 100).alias("within"))

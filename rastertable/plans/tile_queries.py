@@ -40,8 +40,7 @@ frames AS MATERIALIZED (
   SELECT *, CASE WHEN fine THEN {tw} ELSE greatest(CAST(round_even((fr - fl) / res, 0) AS INTEGER), 1) END AS vw,
             CASE WHEN fine THEN {th} ELSE greatest(CAST(round_even((ft - fb) / res, 0) AS INTEGER), 1) END AS vh,
             {tw} AS tw, {th} AS th
-  FROM (SELECT *, ((fr - fl) / {tw} < res OR (ft - fb) / {th} < res) AS fine FROM boxed
-        WHERE (mr - ml) / (fr - fl) * (mt - mb) / (ft - fb) >= 0.01))"""
+  FROM (SELECT *, ((fr - fl) / {tw} < res OR (ft - fb) / {th} < res) AS fine FROM boxed))"""
 
 
 def own_frames_sql(crs, size):

@@ -9,7 +9,6 @@ doubled braces stand for themselves. A path matches as a whole.
 from __future__ import annotations
 
 import re
-import string
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 KEY_TEXT = r"([\p{L}\p{N}]+)"
 ANY_TEXT = r"[^/]*?"
+TOKEN = re.compile(r"(?P<brace>\{\{|\}\})|\{(?P<name>[^{}]*)\}|(?P<text>[^{}]+)|(?P<stray>[{}])")
 
 
 @dataclass(frozen=True)
@@ -26,31 +26,59 @@ class PathPattern:
     glob: str
 
 
+@dataclass(frozen=True)
+class Literal:
+    text: str
+
+
+@dataclass(frozen=True)
+class Placeholder:
+    """Without a name it stands for any text."""
+
+    name: str
+
+
+def segments(pattern: str) -> list[Literal | Placeholder]:
+    """The pattern cut into literal text and placeholders."""
+    out: list[Literal | Placeholder] = []
+    for token in TOKEN.finditer(pattern):
+        kind, text = token.lastgroup, token.group(token.lastgroup)
+        if kind == "stray":
+            raise ValueError(f"invalid pattern: single {text!r} at {token.start()}")
+        if kind == "name" and text and not re.fullmatch(r"\w+", text):
+            raise ValueError("placeholder names must be alphanumeric")
+        out.append(Placeholder(text) if kind == "name" else Literal(text[0] if kind == "brace" else text))
+    return out
+
+
+def java_regex(parts: list[Literal | Placeholder]) -> str:
+    """Matches whole paths; group n is the n-th different name."""
+    group: dict[str, int] = {}
+
+    def one(part) -> str:
+        if isinstance(part, Literal):
+            return re.sub(r"(\W)", r"\\\1", part.text)
+        if not part.name:
+            return ANY_TEXT
+        if part.name in group:
+            return f"(?:\\{group[part.name]})"
+        group[part.name] = len(group) + 1
+        return KEY_TEXT
+
+    return f"^{''.join(map(one, parts))}$"
+
+
+def path_glob(parts: list[Literal | Placeholder]) -> str:
+    """Lists at least the paths that the pattern matches."""
+    return "".join(re.sub(r"([*?\[\]{}\\])", r"\\\1", p.text) if isinstance(p, Literal) else "*" for p in parts)
+
+
 def parse_pattern(pattern: str) -> PathPattern:
-    try:
-        pieces = list(string.Formatter().parse(pattern))
-    except ValueError as exc:
-        raise ValueError(f"invalid pattern: {exc}") from None
-    keys: list[str] = []
-    regex, glob = "^", ""
-    for literal, name, _, _ in pieces:
-        regex += "".join(c if c.isalnum() or c == "_" else "\\" + c for c in literal)
-        glob += literal.translate({ord(c): f"\\{c}" for c in "*?[]{}\\"})
-        if name is None:
-            continue
-        glob += "*"
-        if name == "":
-            regex += ANY_TEXT
-        elif name in keys:
-            regex += f"(?:\\{keys.index(name) + 1})"
-        else:
-            keys.append(name)
-            regex += KEY_TEXT
+    parts = segments(pattern)
+    keys = tuple(dict.fromkeys(p.name for p in parts if isinstance(p, Placeholder) and p.name))
     if not keys:
         raise ValueError("pattern needs at least one placeholder with a name")
-    if not all(re.fullmatch(r"\w+", k) for k in keys):
-        raise ValueError("placeholder names must be alphanumeric")
-    return PathPattern(tuple(keys), regex + "$", glob)
+    return PathPattern(keys, java_regex(parts), path_glob(parts))
 
 
 def keys_from_paths(paths: DataFrame, pattern: str, path_col: str = "path") -> DataFrame:

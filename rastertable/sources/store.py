@@ -3,8 +3,10 @@
 Every change writes whole new tables into a folder of their own and then one
 commit record naming the folders. The record is the only thing readers look
 at, so ``datasets`` and ``metadata`` always change together, and a writer that
-dies before its record leaves the catalog as it was. Two writers aiming at the
-same version collide on the record, and the later one gets an error.
+dies before its record leaves the catalog as it was and nothing in the way of
+the next one. Every record has a name of its own. Of two records of one version
+the one written first counts, by file time, then by name; the writer of the
+other finds that out when it reads the record back, and gets an error.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastertable.operators.catalog import Catalog
+from rastertable.operators.catalog import Catalog, CatalogError
 
 TABLES = ("key_names", "datasets", "metadata", "catalog_version")
-COMMIT_SCHEMA = "version LONG, " + ", ".join(f"{t} STRING" for t in TABLES)
+COMMIT_SCHEMA = "version LONG, token STRING, " + ", ".join(f"{t} STRING" for t in TABLES)
 
 
 class CatalogStore:
@@ -31,9 +33,10 @@ class CatalogStore:
                 .json(f"{self.root}/commits"))
 
     def _latest(self):
-        """The newest commit record: one row, whatever the catalog holds."""
+        """The newest commit record that counts: one row, whatever the catalog holds."""
+        order = [F.desc("version"), F.asc("_metadata.file_modification_time"), F.asc("token")]
         try:
-            rows = self._commits().orderBy(F.desc("version")).limit(1).collect()
+            rows = self._commits().orderBy(*order).limit(1).collect()
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
@@ -53,13 +56,20 @@ class CatalogStore:
     def save(self, catalog: Catalog) -> Catalog:
         """Write a new version."""
         last = self._latest()
-        version = 1 if last is None else last["version"] + 1
-        folder = f"tables/{version:08d}-{uuid.uuid4().hex}"
+        version, token = 1 if last is None else last["version"] + 1, uuid.uuid4().hex
+        folder = f"tables/{version:08d}-{token}"
         names = {}
         for t in TABLES:
             getattr(catalog, t).write.parquet(f"{self.root}/{folder}/{t}", mode="errorifexists")
             names[t] = f"{folder}/{t}"
         record = self.spark.range(1).select(
-            F.lit(version).cast("long").alias("version"), *[F.lit(names[t]).alias(t) for t in TABLES])
-        record.coalesce(1).write.json(f"{self.root}/commits/v{version:08d}", mode="errorifexists")
+            F.lit(version).cast("long").alias("version"), F.lit(token).alias("token"), *[F.lit(names[t]).alias(t) for t in TABLES])
+        record.coalesce(1).write.json(f"{self.root}/commits/v{version:08d}-{token}", mode="errorifexists")
+        if self._at(version) != token:
+            raise CatalogError(f"another writer has made version {version}; load the catalog and apply the change again")
         return self.load()
+
+    def _at(self, version: int) -> str:
+        """Token of the record of a version that counts."""
+        order = [F.asc("_metadata.file_modification_time"), F.asc("token")]
+        return self._commits().where(F.col("version") == version).orderBy(*order).limit(1).collect()[0]["token"]

@@ -76,8 +76,9 @@ def test_upsert_replaces_and_drops_stale_metadata(spark, catalog):
         known.metadata_of(("val21", "x"))
     requests = cat.request_table(spark, KEYS, [ROWS[2][:3], ROWS[0][:3], ROWS[2][:3]])
     assert [r["min"] for r in known.metadata_batch(requests, ["min"]).collect()] == [2.0, 0.0, 2.0]
+    assert cat.request_table(spark, KEYS, [ROWS[0][:3]] * 101).count() == 101
     with pytest.raises(CatalogError):
-        cat.request_table(spark, KEYS, [ROWS[0][:3]] * 101)
+        known.metadata_of(("no", "no", "no"))
     missing = cat.request_table(spark, KEYS, [("no", "no", "no")])
     with pytest.raises(Exception, match="no metadata for"):
         known.metadata_batch(missing, ["min"]).collect()
@@ -99,6 +100,30 @@ def test_store(spark, catalog, tmp_path):
     assert CatalogStore(spark, str(tmp_path / "cat")).load().datasets.count() == 3
 
 
+def test_duplicate_keys_need_an_order(spark, catalog):
+    twice = spark.createDataFrame([("x", "y", "z", "p", 1), ("x", "y", "z", "q", 2)], "key1 STRING, akey STRING, key2 STRING, path STRING, n INT")
+    with pytest.raises(CatalogError):
+        catalog.insert(twice.drop("n"))
+    assert catalog.insert(twice, order="n").search({"key1": "x"}).first()["path"] == "q"
+
+
+def test_dead_writer_and_two_writers(spark, catalog, tmp_path, monkeypatch):
+    root = tmp_path / "cat"
+    store = CatalogStore(spark, str(root))
+    store.save(catalog)
+    (root / "commits" / "v00000002").mkdir()  # a writer that died before its record
+    (root / "commits" / "v00000002-dead" / "_temporary").mkdir(parents=True)
+    assert store.save(store.load()).datasets.count() == 4
+    late = CatalogStore(spark, str(root))
+    before = late._latest()
+    gone = spark.createDataFrame([("val11", "x", "val12")], "key1 STRING, akey STRING, key2 STRING")
+    store.save(store.load().delete(gone))
+    monkeypatch.setattr(late, "_latest", lambda: before)  # it has read the catalog before the other one wrote
+    with pytest.raises(CatalogError):
+        late.save(catalog)
+    assert store.load().datasets.count() == 3
+
+
 def test_version_must_match(spark, catalog):
     old = Catalog(catalog.key_names, catalog.datasets, catalog.metadata, spark.createDataFrame([("0.7.5",)], "version STRING"))
     with pytest.raises(CatalogError):

@@ -49,6 +49,17 @@ def test_images(service):
         s.rgb([], ["r", "g", "b"])
 
 
+def test_images_without_metadata_fail(service):
+    s, _ = service
+    bare = RasterService(Catalog(s.catalog.key_names, s.catalog.datasets, s.catalog.metadata.limit(0), s.catalog.catalog_version), s.blocks, s.grids, s.block_size,
+                         tile_size=s.tile_size)
+    with pytest.raises(Exception, match="no statistics"):
+        bare.singleband().collect()
+    assert bare.singleband(stretch_range=(0, 10)).count() == s.singleband(stretch_range=(0, 10)).count() > 0
+    with pytest.raises(CatalogError):
+        bare.metadata(("no", "no"))
+
+
 def test_tiles_and_out_of_bounds(service):
     s, _ = service
     size = 40075016.68557849 / 2**16

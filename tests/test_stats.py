@@ -26,7 +26,7 @@ def _check(row, key, rtol=1e-9):
     np.testing.assert_allclose(row["percentiles"], np.percentile(valid, np.arange(1, 100)), rtol=rtol, atol=valid.max() / 100 if rtol > 1e-3 else 1e-9)
 
 
-@pytest.mark.parametrize("method", ["auto", "small", "exact", "approx"])
+@pytest.mark.parametrize("method", ["exact", "approx"])
 def test_stats(rasters, method):
     _, grids, valid = rasters
     rows = stats.dataset_stats(valid, grids, KEYS, method).collect()
@@ -54,14 +54,21 @@ def test_exact_percentiles_by_refinement(rasters, node_pixels, buckets):
         np.testing.assert_allclose(got[key], np.percentile(values, np.arange(1, 100)), rtol=1e-12, err_msg=key)
 
 
-def test_large_grids_use_sketches(rasters, monkeypatch):
+def test_exact_at_every_size(rasters):
     _, grids, valid = rasters
-    monkeypatch.setattr(percentiles, "SMALL_PIXELS", 10)
-    monkeypatch.setattr(stats, "LARGE_RASTER_PIXELS", 1000)
-    rows = stats.dataset_stats(valid, grids, KEYS).collect()
-    assert {r["percentile_method"] for r in rows} == {"approx"}
-    for row in rows:
-        _check(row, row["key"], 2e-2)
+    wide = grids.withColumn("width", F.lit(20_000)).withColumn("height", F.lit(20_000))
+    for row in stats.dataset_stats(valid, wide, KEYS).collect():
+        assert row["percentile_method"] == "exact"
+        np.testing.assert_allclose(row["percentiles"], np.percentile(masked(RASTERS[row["key"]]).compressed(), np.arange(1, 100)), rtol=1e-9)
+
+
+def test_alpha_only_where_there_is_alpha(rasters):
+    spark = rasters[1].sparkSession
+    cells = spark.createDataFrame([("a", 0, 0, 1.0, None), ("b", 0, 0, 2.0, 1), ("b", 0, 1, 3.0, 0), ("b", 0, 2, float("nan"), 1), ("b", 0, 3, float("-inf"), 1)],
+                                  "key STRING, row INT, col INT, value DOUBLE, alpha INT")
+    grids = spark.createDataFrame([("a", None, False), ("b", None, True)], "key STRING, nodata DOUBLE, has_alpha BOOLEAN")
+    got = {(r["key"], r["col"]): r["value"] for r in stats.masked_cells(cells, grids, KEYS).collect()}
+    assert got == {("a", 0): 1.0, ("b", 0): 2.0, ("b", 1): None, ("b", 2): None, ("b", 3): None}
 
 
 def test_decimated(rasters):

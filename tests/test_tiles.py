@@ -186,3 +186,21 @@ def test_low_zoom_reads_overviews(spark):
     assert len(got) > 50 and len(set(got) ^ set(want)) <= 0.1 * len(want)
     errors = [abs(got[k] - want[k]) for k in set(got) & set(want)]
     assert max(errors) < 4 and np.mean(errors) < 0.7
+
+
+def test_pyramid_leaves_nodata_out(spark):
+    a = np.full((4, 4), 2.0)
+    a[0, :2] = 10000
+    cells, grids = cells_frame(spark, {"a": a}), grids_frame(spark, {"a": a}, nodata=10000.0)
+    got = _dict(pyramid.pyramid(cells, grids, KEYS, block=1).where("level = 1"), "row", "col")
+    assert set(got.values()) == {2.0}
+
+
+def test_wanted_tiles_touch_few_rows(spark):
+    bounds = spark.createDataFrame([("wide", -60.0, -40.0, 60.0, 40.0), ("small", 10.0, 10.0, 10.001, 10.001), ("world", -180.0, -85.0, 180.0, 85.0)],
+                                   "key STRING, west DOUBLE, south DOUBLE, east DOUBLE, north DOUBLE")
+    wanted = spark.createDataFrame([(21, 1 << 20, 1 << 20), (3, 4, 3), (3, 0, 0), (0, 0, 0)], "z INT, x LONG, y LONG")
+    got = {tuple(r) for r in tiles.tiles_with_datasets(wanted, bounds, KEYS, (0, 3, 21)).collect()}
+    cover = {tuple(r) for r in tiles.tile_cover(bounds, (0, 3)).select("z", "x", "y", "key").collect()}
+    assert {t for t in got if t[0] < 21} == {t for t in cover if t[:3] in {(3, 4, 3), (3, 0, 0), (0, 0, 0)}}
+    assert {t[3] for t in got if t[0] == 21} == {"wide", "world"}

@@ -111,7 +111,7 @@ def _compared(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
             out["added"].append(x[~same].view(np.int64))
         return out
 
-    return map_rows(both, run, "a long, b long, n long, m long, i long, good boolean, added array<long>", 16 << 20)
+    return map_rows(both, run, "a long, b long, n long, m long, i long, good boolean, added array<long>", 8 << 20)
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:

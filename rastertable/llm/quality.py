@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastertable.llm.tables import documents, map_rows, slices
+from rastertable.llm.tables import documents, map_rows, release, slices
 from rastertable.llm.words import NOT_SPACE, hashes, split, utf8
 
 PASSAGE_WORDS = 64
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column(0), "score": model.scores(batch.column(1))}
 
-    return map_rows(documents(docs), run, "doc_id long, score double", 4 << 20)
+    return map_rows(documents(docs), run, "doc_id long, score double", 2 << 20)
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -186,7 +186,8 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
             yield batch.filter(pa.array(model.scores(batch.column(at)) >= threshold))
+            release()
 
     return docs.mapInArrow(run, docs.schema)

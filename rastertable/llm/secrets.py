@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rastertable.llm.tables import documents, map_rows, slices
+from rastertable.llm.tables import documents, map_rows, release, slices
 from rastertable.llm.words import lower, utf8
 
 #: Alternatives and characters of a class that are spelled out when a query is derived.
@@ -219,7 +219,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "
     schema = docs.schema
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, 8 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 3 << 20)):
             i = names.index("text")
             spans, texts = find(batch.column(i), rules), batch.column(i).to_pylist()
             sizes = batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
@@ -234,6 +234,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "
                 j = names.index("n_chars")
                 columns[j] = pa.array(sizes, columns[j].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            spans = texts = columns = None
+            release()
 
     return docs.mapInArrow(run, schema)
 

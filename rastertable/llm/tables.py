@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rastertable.sources.shared import checkpointed, new_folder, shared_dir
 
-__all__ = ["checkpointed", "documents", "join_small", "map_rows", "new_folder", "read_table", "shared_dir"]
+__all__ = ["checkpointed", "documents", "join_small", "map_rows", "new_folder", "read_table", "release", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +25,7 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, slice_chars: int = 8 << 20) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, slice_chars: int = 4 << 20) -> DataFrame:
     """Apply ``fn`` to Arrow batches of rows.
 
     ``fn`` gets a batch and returns its columns by name. Batches are cut to about ``slice_chars``
@@ -40,10 +42,19 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, s
                 columns = fn(part)
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in target], schema=target)
+            columns = part = batch = None
+            release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give freed memory back; Python workers stay, with what they hold, for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     start = 0
     while start < batch.num_rows:

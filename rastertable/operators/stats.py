@@ -25,7 +25,8 @@ def masked_cells(cells: DataFrame, grids: DataFrame, keys) -> DataFrame:
     """Apply each grid's nodata value, the alpha column where the grid has alpha, and the finite rule."""
     alpha = "alpha" if "alpha" in cells.columns else None
     has_alpha = F.coalesce("has_alpha", F.lit(False)) if "has_alpha" in grids.columns else F.lit(True)
-    joined = cells.join(grids.select(*keys, F.col("nodata").alias("_nodata"), has_alpha.alias("_has_alpha")), list(keys))
+    nodata = F.col("nodata") if "nodata" in grids.columns else F.lit(None).cast("double")
+    joined = cells.join(grids.select(*keys, nodata.alias("_nodata"), has_alpha.alias("_has_alpha")), list(keys))
     return joined.withColumn("value", read_mask("value", "_nodata", alpha, "_has_alpha")).drop("_nodata", "_has_alpha")
 
 

@@ -47,6 +47,48 @@ def dataset_percentiles(spark, d):
         "scene", "band", (F.col("i") + 1).cast("int").alias("p"), r("q").alias("value"))
 
 
+REFINED_SQL = f"""
+WITH {A.A2_SQL}, ps AS (SELECT unnest(range(1, 100)) AS p)
+SELECT scene, band, CAST(p AS INTEGER) AS p, round(q[p], 6) AS value
+FROM (SELECT scene, band, quantile_cont(value, [{', '.join(f'{p / 100}' for p in range(1, 100))}]) AS q FROM a2 GROUP BY 1, 2), ps"""
+
+
+@query("percentiles_refined", REFINED_SQL)
+def percentiles_refined(spark, d):
+    """Nodes of few pixels, so that histograms are refined several times over."""
+    out = percentiles.exact_percentiles(A.a2_cells(spark, d), A.A2_KEYS, node_pixels=200, buckets=64)
+    return out.select("scene", "band", F.posexplode("percentiles").alias("i", "q")).select(
+        "scene", "band", (F.col("i") + 1).cast("int").alias("p"), r("q").alias("value"))
+
+
+@query("mask_mixed", f"""
+WITH {A.A1_SQL} SELECT scene, "row", col,
+  CASE WHEN "row" % 7 = 3 OR "row" % 7 = 4 OR (scene < 's4' AND col % 3 = 0) OR (scene >= 's4' AND "row" % 7 = 5) THEN NULL ELSE value END AS value
+FROM a1""")
+def mask_mixed(spark, d):
+    """Half of the datasets have alpha, the others a nodata value; all hold NaN and infinities."""
+    row = F.col("row") % 7
+    cells = (A.a1_cells(spark, d)
+             .withColumn("value", F.when(row == 3, F.lit(float("nan"))).when(row == 4, F.lit(float("-inf")))
+                         .when((row == 5) & (F.col("scene") >= "s4"), F.lit(-99.0)).otherwise(F.col("value")))
+             .withColumn("alpha", F.when(F.col("scene") < "s4", (F.col("col") % 3 != 0).cast("int"))))
+    grids = A.a1_grids(spark, d).withColumns({
+        "has_alpha": F.col("scene") < "s4", "nodata": F.when(F.col("scene") >= "s4", F.lit(-99.0))})
+    return stats.masked_cells(cells, grids, A.A1_KEYS).select("scene", "row", "col", "value")
+
+
+@query("lazy_metadata", f"""
+WITH {A.A1_SQL}, {A.a1_grids_sql()}
+SELECT scene, {SQL_MOMENTS.replace('CAST(count(v) AS BIGINT) AS n_valid, ', '')} FROM (SELECT scene, value AS v FROM a1) GROUP BY 1""")
+def lazy_metadata(spark, d):
+    """Statistics of datasets that have none, from all of their pixels."""
+    cells, grids = A.a1_cells(spark, d), A.a1_grids(spark, d)
+    datasets = grids.select("scene", F.lit("p").alias("path"))
+    known = stats.compute_metadata(cells, grids.where("scene = 's0'"), A.A1_KEYS)
+    filled = stats.fill_missing(datasets, known, cells, grids, A.A1_KEYS)
+    return filled.select("scene", *(r(c).alias(c) for c in ("min", "max", "mean", "stdev")))
+
+
 def _kept_sql(axis, size, out):
     """Positions of an axis that a decimated read keeps, as a lookup table."""
     return f"(SELECT scene, CAST(((2 * k + 1) * {size}) // (2 * least({size}, {out})) AS INTEGER) AS {axis} FROM g1, range(0, {out}) t(k) WHERE k < least({size}, {out}))"

@@ -274,6 +274,29 @@ def pyramid_cubic(spark, d):
     return _pyramid(spark, d, "cubic")
 
 
+@query("pyramid_nodata", f"""WITH {DEEP_SQL}
+SELECT scene, level, CAST("row" // (1 << level) AS INTEGER) AS "row", CAST(col // (1 << level) AS INTEGER) AS col, round(avg(value), 6) AS value
+FROM (SELECT scene, "row", col, value, CAST(unnest(range(1, levels + 1)) AS INTEGER) AS level FROM cells JOIN deep USING (scene)
+      WHERE ("row" + col) % 5 <> 0) GROUP BY 1, 2, 3, 4""")
+def pyramid_nodata(spark, d):
+    """A fifth of all pixels hold the nodata value, which no overview averages in."""
+    hole = (F.col("row") + F.col("col")) % 5 == 0
+    cells = _cells(spark, d).withColumn("value", F.when(hole, F.lit(1e6)).otherwise(F.col("value")))
+    grids = A.a1_grids(spark, d).withColumn("nodata", F.lit(1e6))
+    out = Y.pyramid(cells, grids, A.A1_KEYS, "average", BLOCK)
+    return out.select("scene", "level", "row", "col", F.round("value", 6).alias("value"))
+
+
+@query("tile_request", f"""WITH {CELLS_SQL}, {frames_sql('EPSG:4326', (3, 12, 16), (8, 8))}
+SELECT scene, z, x, y FROM frames WHERE (x + y) % 2 = 0""")
+def tile_request(spark, d):
+    """Every second tile of some zooms, and the datasets under it, without the cover of the datasets."""
+    grids = A.a1_grids(spark, d, "EPSG:4326")
+    bounds = stats.geographic_bounds(grids, A.A1_KEYS)
+    wanted = tiles.tile_cover(bounds, (3, 12, 16)).where("(x + y) % 2 = 0").select("z", "x", "y").distinct()
+    return tiles.tiles_with_datasets(wanted, bounds, A.A1_KEYS, (3, 12, 16)).select("scene", "z", "x", "y")
+
+
 @query("tiled_layout", f"""WITH {CELLS_SQL}
 SELECT scene, 0 AS level, CAST("row" // {BLOCK} AS INTEGER) AS block_row, CAST(col // {BLOCK} AS INTEGER) AS block_col,
        {BLOCK * BLOCK} AS n_pixels, CAST(count(*) AS BIGINT) AS n_valid, round(sum(value), 6) AS total FROM cells GROUP BY 1, 2, 3, 4""")

@@ -173,10 +173,14 @@ def _across(heads: DataFrame, rule: Rule) -> DataFrame:
     main = (heads.groupBy("post", "component").agg(F.count(F.lit(1)).alias("c"), F.min("family").alias("low"), F.max("family").alias("high")).groupBy("post")
             .agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"))
             .filter("parts > 1 AND low != high").select("post", F.col("top.component").alias("main")))
-    open_ = checkpointed(heads.join(checkpointed(main), "post"))
-    other = open_.select("post", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("family").alias("kin"))
-    return (open_.filter("component != main").select("post", F.col("doc_id").alias("a"), "n", "component", "family").join(other, "post")
-            .filter((F.col("component") != F.col("other")) & (F.col("family") != F.col("kin")) & _may_link("n", "m", rule))
+    prefixes = heads.groupBy("doc_id").agg(F.collect_set("post").alias("prefix"))
+    open_ = checkpointed(heads.join(checkpointed(main), "post").join(prefixes, "doc_id"))
+    other = open_.select("post", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("family").alias("kin"),
+                         F.col("prefix").alias("prefix_b"))
+    # each pair once: in the first list that both have, and from one side
+    once = ((F.col("other") == F.col("main")) | (F.col("a") > F.col("b"))) & (F.array_min(F.array_intersect("prefix", "prefix_b")) == F.col("post"))
+    return (open_.filter("component != main").select("post", F.col("doc_id").alias("a"), "n", "component", "family", "main", "prefix").join(other, "post")
+            .filter((F.col("component") != F.col("other")) & (F.col("family") != F.col("kin")) & _may_link("n", "m", rule) & once)
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastertable.llm.induced import suffix_order
-from rastertable.llm.tables import checkpointed, documents, join_small, map_rows, new_folder, slices
+from rastertable.llm.tables import checkpointed, documents, join_small, map_rows, new_folder, release, slices
 from rastertable.llm.words import mix, utf8
 
 GRAM = 24
-SLICE, SHARD_BYTES = 3 << 20, 3 << 20
+SLICE, SHARD_BYTES = 2 << 20, 3 << 19
 LAST = (1 << 63) - 1
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -87,6 +87,8 @@ def _keys(buckets: int, length: int):
                 doc = int(docs[mine[k[0]]])
                 out.append((doc % buckets, doc, np.unique(own[k]).tobytes(), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out = key = row = order = owner = bucket = mine = own = None
+            release()
 
     return run
 
@@ -197,6 +199,7 @@ def _resolved(length: int):
                 if size > SHARD_BYTES and row[0] != rows[-1][0]:
                     yield done(rows)
                     rows, size = [], 0
+                    release()
                 rows.append(row)
                 size += len(row[1])
         if rows:

@@ -3,13 +3,12 @@
 Equal texts are settled first. Of the rest, every string of the given length has a key: the least hash of the shorter strings
 within it. Runs of strings with one key are segments; only segments whose key occurs in several documents can hold a repeat. Keys meet in
 buckets, sorted arrays of them, and what is shared goes back to its documents. Segments of shared keys are then counted by content, and the
-contents of each range of keys, a shard, are put in suffix order by induced sorting, where equal strings stand side by
+contents of those keys that have several, a shard for each range of keys, are put in suffix order by induced sorting, where equal strings stand side by
 side; the smallest doc_id of each such class tells for every document which of its strings an earlier one has.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +18,13 @@ from pyspark.sql import functions as F
 
 from rastertable.llm.induced import suffix_order
 from rastertable.llm.tables import checkpointed, documents, join_small, map_rows, new_folder, release, slices
-from rastertable.llm.words import mix, utf8
+from rastertable.llm.words import hashes, mix, utf8
 
-GRAM = 24
+GRAM = 20
+#: Bits of a key within its bucket; a bucket holds far fewer keys, so hardly two of them agree by chance, which would cost only a look.
+BITS = 40
+#: Up to so many keys are broadcast.
+FEW_KEYS = 1_000_000
 SLICE, SHARD_BYTES = 2 << 20, 3 << 19
 LAST = (1 << 63) - 1
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -38,7 +41,7 @@ def segments(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     g = eight[:count] * _M[0]
     g += eight[8:8 + count] * _M[1]
     g ^= g >> np.uint64(31)
-    g += eight[16:16 + count] * _M[2]
+    g += eight[GRAM - 8:GRAM - 8 + count] * _M[2]
     g = mix(g)
     size, low = 1, g
     while size * 2 <= width:
@@ -76,13 +79,15 @@ def _keys(buckets: int, length: int):
             local = row[first] != row[last]
             owner = np.where(local, -1, docs[row[first]])
             unique = key[first]
-            bucket = (mix(unique ^ _M[1]) % np.uint64(buckets)).astype(np.int32)
+            code = codes(unique, buckets)
+            bucket = (code >> np.uint64(BITS)).astype(np.int32)
             order = np.lexsort((row[first], bucket))
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = [(b, None, unique[o].tobytes(), owner[o].tobytes()) for b in range(buckets) if len(o := order[cuts[b]:cuts[b + 1]])]
+            short = code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BITS // 8]
+            out = [(b, None, short[o].tobytes(), owner[o].tobytes()) for b in range(buckets) if len(o := order[cuts[b]:cuts[b + 1]])]
             told = np.repeat(local, last - first + 1)
             order = np.argsort(row[told], kind="stable")
-            mine, own = row[told][order], key[told][order]
+            mine, own = row[told][order], codes(key[told][order], buckets)
             for k in np.split(np.arange(len(mine)), np.flatnonzero(mine[1:] != mine[:-1]) + 1) if len(mine) else ():
                 doc = int(docs[mine[k[0]]])
                 out.append((doc % buckets, doc, np.unique(own[k]).tobytes(), None))
@@ -98,11 +103,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc", pa.int64()), ("keys", pa.binary())])
     keys, owners = [], []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         direct = batch.filter(batch.column("doc").is_valid())
         if direct.num_rows:
             yield pa.RecordBatch.from_arrays([direct.column("doc"), direct.column("keys")], schema=schema)
         rest = batch.filter(batch.column("doc").is_null())
-        keys += [np.frombuffer(k, np.uint64) for k in rest.column("keys").to_pylist()]
+        for b, k in zip(rest.column("bucket").to_pylist(), rest.column("keys").to_pylist(), strict=True):
+            wide = np.zeros((len(k) // (BITS // 8), 8), np.uint8)
+            wide[:, :BITS // 8] = np.frombuffer(k, np.uint8).reshape(len(wide), -1)
+            keys.append(wide.view("<u8").ravel() | np.uint64(b << BITS))
         owners += [np.frombuffer(o, np.int64) for o in rest.column("owners").to_pylist()]
     if keys:
         key, owner = np.concatenate(keys), np.concatenate(owners)
@@ -126,31 +136,40 @@ def _packed(df: DataFrame) -> DataFrame:
         raw = [t.as_buffer() for t in batch.column(2)]
         return {"doc": batch.column(0), "uid": batch.column(1), "size": [r.size for r in raw], "packed": [pa.compress(r, codec="zstd", asbytes=True) if r.size else b"" for r in raw]}
 
-    return map_rows(df.select("doc", "uid", "text"), run, "doc long, uid long, size long, packed binary")
+    return map_rows(df.select("doc", "uid", "text"), run, "doc long, uid int, size long, packed binary")
 
 
 def _unpacked(packed: bytes, size: int) -> bytes:
     return pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
-SEGMENT = "key long, doc long, uid long, start long, content binary"
+SEGMENT = "key long, doc long, uid int, start long, size int, digest long, content binary"
 
 
-def _cut(length: int):
+def codes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A key's bucket, and ``BITS`` bits of it below."""
+    h = mix(keys ^ _M[1])
+    return (h >> np.uint64(BITS)) % np.uint64(buckets) << np.uint64(BITS) | h & np.uint64((1 << BITS) - 1)
+
+
+def _cut(length: int, buckets: int):
     """The segments of a document whose keys are shared."""
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("content", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("uid", pa.int32()), ("start", pa.int64()), ("size", pa.int32()), ("digest", pa.int64()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, uid, size, packed, keys in zip(*(batch.column(n).to_pylist() for n in ("doc", "uid", "size", "packed", "keys")), strict=True):
                 text = _unpacked(packed, size)
-                _, first, last, key = segments(np.frombuffer(text, np.uint8), np.array([0, size]), length)
-                use = np.isin(key, np.frombuffer(b"".join(keys), np.uint64))
+                data = np.frombuffer(text, np.uint8)
+                _, first, last, key = segments(data, np.array([0, size]), length)
+                use = np.isin(codes(key, buckets), np.frombuffer(b"".join(keys), np.uint64))
                 first, last, key = first[use], last[use], key[use]
+                digest = hashes(data, first, last + length).view(np.int64) if len(key) else key.view(np.int64)
                 for a in range(0, len(key), 20_000):
                     part = slice(a, a + 20_000)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(key[part].view(np.int64)), pa.array(np.full(len(key[part]), doc)), pa.array(np.full(len(key[part]), uid)), pa.array(first[part]),
+                        pa.array(key[part].view(np.int64)), pa.array(np.full(len(key[part]), doc)), pa.array(np.full(len(key[part]), uid, np.int32)), pa.array(first[part]),
+                        pa.array((last[part] - first[part] + length).astype(np.int32)), pa.array(digest[part]),
                         pa.array([text[x:y] for x, y in zip(first[part].tolist(), (last[part] + length).tolist(), strict=True)], pa.binary())], schema=schema)
 
     return run
@@ -187,7 +206,7 @@ def earliest(contents: list[bytes], docs: np.ndarray, length: int) -> list[list[
     return out
 
 
-RUNS = "key long, digest string, runs array<struct<at:long,n:long,doc:long>>"
+RUNS = "key long, digest long, runs array<struct<at:long,n:long,doc:long>>"
 
 
 def _resolved(length: int):
@@ -195,7 +214,7 @@ def _resolved(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("key", "content", "low", "high")), strict=True):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("key", "content", "low", "high", "digest")), strict=True):
                 if size > SHARD_BYTES and row[0] != rows[-1][0]:
                     yield done(rows)
                     rows, size = [], 0
@@ -205,14 +224,14 @@ def _resolved(length: int):
         if rows:
             yield done(rows)
 
-    schema = pa.schema([("key", pa.int64()), ("digest", pa.string()), ("runs", pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64()), ("doc", pa.int64())])))])
+    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("runs", pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64()), ("doc", pa.int64())])))])
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
         out = []
-        for (key, content, low, high), runs in zip(rows, earliest([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), length), strict=True):
+        for (key, _, _, high, digest), runs in zip(rows, earliest([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), length), strict=True):
             runs = [{"at": a, "n": n, "doc": d} for a, n, d in runs if d < high]  # some document has an earlier one
             if runs:
-                out.append({"key": key, "digest": hashlib.md5(content).hexdigest(), "runs": runs})
+                out.append({"key": key, "digest": digest, "runs": runs})
         return pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
@@ -244,23 +263,29 @@ def without_repeats(docs: DataFrame, length: int = 50, buckets: int | None = Non
     rows = documents(docs).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.octet_length("text").cast("long").alias("n_bytes"),
                                   F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
     copies = checkpointed(rows.groupBy("sha").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
-    rows = join_small(rows, copies, ["sha"], how="left").withColumn("uid", F.xxhash64("sha"))
+    rows = join_small(rows, copies, ["sha"], how="left").withColumn("uid", F.hash("sha"))
     own = rows.filter(F.col("low").isNull() | (F.col("low") == F.col("doc")))
     texts = own.filter(F.col("n_bytes") >= length).select("doc", "uid", "text")
 
     told = (texts.select("doc", "text").mapInArrow(_keys(buckets, length), "bucket int, doc long, keys binary, owners binary")
             .repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "doc long, keys binary").groupBy("doc").agg(F.collect_list("keys").alias("keys")))
     folder = new_folder(spark, "segments")
-    _packed(texts).join(told, "doc").mapInArrow(_cut(length), SEGMENT).write.parquet(folder)
+    _packed(texts).join(told, "doc").mapInArrow(_cut(length, buckets), SEGMENT).write.option("compression", "zstd").parquet(folder)
     cut = spark.read.schema(SEGMENT).parquet(folder)
-    contents = cut.groupBy("key", "content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    runs = checkpointed(contents.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_resolved(length), RUNS))
+    # a key with one content needs no order: all but its first documents lose the whole segment
+    keys = checkpointed(cut.groupBy("key").agg(F.min("digest").alias("d"), F.max("digest").alias("e"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+                        .filter("high > low").select("key", "low", (F.col("d") != F.col("e")).alias("several")))
+    single = keys.filter("NOT several").select("key", "low")
+    cut_several = join_small(cut, keys.filter("several").select("key"), ["key"], FEW_KEYS)
+    contents = cut_several.groupBy("key", "digest", "content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    runs = checkpointed(contents.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_resolved(length), RUNS))
     span = F.struct((F.col("start") + F.col("run.at")).alias("a"), (F.col("start") + F.col("run.at") + F.col("run.n") - 1 + length).alias("b"))
-    spans = checkpointed(
-        cut.select("key", "doc", "uid", "start", F.md5("content").alias("digest")).join(runs, ["key", "digest"])
-        .select("doc", "uid", "start", F.explode("runs").alias("run")).filter("run.doc < doc").select("doc", "uid", span.alias("span"))
-        .groupBy("doc", "uid").agg(F.collect_list("span").alias("spans")))
-    changed = (map_rows(_packed(texts).join(spans, ["doc", "uid"]), _removed, "doc long, uid long, spans array<struct<a:long,b:long>>, kept binary")
+    places = cut.select("key", "doc", "uid", "start", "size")
+    by_order = (cut_several.select("key", "doc", "uid", "start", "digest").join(runs, ["key", "digest"])
+                .select("doc", "uid", "start", F.explode("runs").alias("run")).filter("run.doc < doc").select("doc", "uid", span.alias("span")))
+    whole_ones = places.join(single, "key").filter("low < doc").select("doc", "uid", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")).alias("span"))
+    spans = checkpointed(by_order.unionByName(whole_ones).groupBy("doc", "uid").agg(F.collect_list("span").alias("spans")))
+    changed = (map_rows(_packed(texts).join(spans, ["doc", "uid"]), _removed, "doc long, uid int, spans array<struct<a:long,b:long>>, kept binary")
                .select("doc", "uid", "spans", F.sha2("kept", 256).alias("kept_sha256")))
     whole = F.when((F.coalesce("low", "doc") < F.col("doc")) & (F.col("n_bytes") >= length), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b"))))
     return rows.select("doc_id", "doc", "uid", "n_bytes", "sha", whole.alias("whole")).join(changed, ["doc", "uid"], "left").select(

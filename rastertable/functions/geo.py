@@ -175,11 +175,6 @@ def _utm_series(crs: Column, xi: Column, eta: Column) -> tuple[Column, Column]:
     return k * east + F.lit(UTM_FALSE_EASTING), k * north + _utm_false_northing(crs)
 
 
-def _utm_forward(crs: Column, lon: Column, lat: Column):
-    xi, eta = _utm_xi_eta(_utm_t(lat), F.radians(lon - _utm_meridian(crs)))
-    return _utm_series(crs, xi, eta)
-
-
 def _utm_start(crs: Column, x: Column, y: Column) -> tuple[Column, Column]:
     k = F.lit(UTM_SCALE * _RECTIFYING)
     return (y - _utm_false_northing(crs)) / k, (x - F.lit(UTM_FALSE_EASTING)) / k
@@ -200,56 +195,15 @@ def _utm_unfold(crs: Column, xi: Column, eta: Column, chi: Column) -> tuple[Colu
     return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + _utm_meridian(crs), F.degrees(phi)
 
 
-def _utm_inverse(crs: Column, x: Column, y: Column):
-    xi, eta = _utm_unseries(*_utm_start(crs, x, y))
-    return _utm_unfold(crs, xi, eta, F.asin(F.sin(xi) / F.cosh(eta)))
-
-
 def _is_utm(crs: Column) -> Column:
     return crs.rlike("^EPSG:32[67](0[1-9]|[1-5][0-9]|60)$")
 
 
-def _unsupported(crs: Column) -> Column:
-    return F.raise_error(F.concat(F.lit("unsupported CRS: "), F.coalesce(crs, F.lit("none")))).cast("double")
-
-
-def _pick(crs, wgs, merc, utm) -> Column:
-    """One coordinate for the dataset's CRS. A CRS given as text keeps one branch only."""
-    if isinstance(crs, str):
-        if crs == WGS84:
-            return wgs
-        if crs == WEB_MERCATOR:
-            return merc
-        return utm
-    return (
-        F.when(crs == WGS84, wgs)
-        .when(crs == WEB_MERCATOR, merc)
-        .when(_is_utm(crs), utm)
-        .otherwise(_unsupported(crs))
-    )
-
-
 def normal_crs(crs) -> Column:
     """``epsg:4326`` and ``EPSG:4326`` name the same system."""
     return F.upper(as_column(crs))
 
 
-def to_lonlat(crs, x, y) -> tuple[Column, Column]:
-    """Project coordinates of ``crs`` (text or Column) to degrees."""
-    x, y = as_column(x), as_column(y)
-    code = F.lit(crs) if isinstance(crs, str) else crs
-    m, u = _merc_inverse(x, y), _utm_inverse(code, x, y)
-    return _pick(crs, x, m[0], u[0]), _pick(crs, y, m[1], u[1])
-
-
-def from_lonlat(crs, lon, lat) -> tuple[Column, Column]:
-    """Project degrees to coordinates of ``crs`` (text or Column)."""
-    lon, lat = as_column(lon), as_column(lat)
-    code = F.lit(crs) if isinstance(crs, str) else crs
-    m, u = _merc_forward(lon, lat), _utm_forward(code, lon, lat)
-    return _pick(crs, lon, m[0], u[0]), _pick(crs, lat, m[1], u[1])
-
-
 # --- projecting tables --------------------------------------------------------
 
 SEPARABLE = (WGS84, WEB_MERCATOR)  # boxes stay boxes between these

@@ -140,8 +140,7 @@ SELECT c_custkey, round({k} * ({east}) + 500000, 3) AS easting, round({k} * ({no
 @query("utm_projection", f"WITH {A.A5_SQL}, {_utm_sql()}")
 def utm_projection(spark, d):
     pts = A.a5_points(spark, d).withColumn("lon", F.lit(15) + F.col("lon") / 40)
-    east, north = geo.from_lonlat("EPSG:32633", "lon", "lat")
-    pts = pts.withColumns({"easting": east, "northing": north})
-    lon, lat = geo.to_lonlat("EPSG:32633", "easting", "northing")
-    back = (F.abs(lon - F.col("lon")) < 1e-7) & (F.abs(lat - F.col("lat")) < 1e-7)
+    pts = geo.project(pts, geo.WGS84, "EPSG:32633", F.col("lon"), F.col("lat"), "easting", "northing")
+    pts = geo.project(pts, "EPSG:32633", geo.WGS84, F.col("easting"), F.col("northing"), "lon_back", "lat_back")
+    back = (F.abs(F.col("lon_back") - F.col("lon")) < 1e-7) & (F.abs(F.col("lat_back") - F.col("lat")) < 1e-7)
     return pts.select("c_custkey", F.round("easting", 3).alias("easting"), F.round("northing", 3).alias("northing"), back.alias("returns"))

@@ -31,8 +31,7 @@ def test_projections(spark, crs, lon, lat, x, y):
     if x is None:
         x, y = _snyder(lon, lat, 31)
     row = spark.createDataFrame([(lon, lat, crs)], "lon DOUBLE, lat DOUBLE, crs STRING")
-    e, n = geo.from_lonlat(crs, "lon", "lat")
-    got = row.select(e.alias("e"), n.alias("n")).first()
+    got = geo.project(row, geo.WGS84, crs, F.col("lon"), F.col("lat"), "e", "n").first()
     assert got["e"] == pytest.approx(x, abs=0.01) and got["n"] == pytest.approx(y, abs=0.01)
     kind = geo.UTM if crs.startswith("EPSG:32") else crs
     placed = geo.project(row, geo.WGS84, kind, F.col("lon"), F.col("lat"), "e", "n")

@@ -16,6 +16,7 @@ from rastertable.functions.masks import finite, read_mask
 from rastertable.operators import hull as hulls
 from rastertable.operators import percentiles as pct
 from rastertable.operators.crs import per_crs
+from rastertable.sources.shared import checkpointed
 
 # fixed values
 EDGE_POINTS = 21    # points added per edge when a box is projected
@@ -131,8 +132,11 @@ def block_states(cells: DataFrame, keys, size: int = 256, sketch: bool = False)
 
 
 def merge_states(states: DataFrame, keys) -> DataFrame:
-    """Merge block states: refreshing one block needs only that block's pixels again."""
-    keys = list(keys)
+    """Merge block states: refreshing one block needs only that block's pixels again.
+
+    States, one row per block, are kept in the shared folder, so what makes them runs once.
+    """
+    keys, states = list(keys), checkpointed(states)
     total = states.groupBy(*keys).agg(
         F.sum("n").alias("n_valid"), F.min("min").alias("min"), F.max("max").alias("max"),
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))

@@ -49,3 +49,22 @@ def ingest_stream(spark, d):
     start_ingest(A.embedding_pixels(files), A.A1_KEYS, root, 16).awaitTermination()
     out = streamed_stats(spark, root, A.A1_KEYS)
     return out.select("scene", F.col("n_valid").cast("long").alias("n_valid"), *[r(c).alias(c) for c in ("min", "max", "mean", "stdev")])
+
+
+@query("ingest_stream_again", f"""WITH {A.A1_SQL}
+SELECT scene, {SQL_MOMENTS} FROM (SELECT scene, value AS v FROM a1) GROUP BY 1""")
+def ingest_stream_again(spark, d):
+    """Files of whole scenes in several micro-batches; one scene comes with wrong values first and replaces them later."""
+    cells, source, root = A.a1_cells(spark, d), new_folder(spark, "cells"), new_folder(spark, "ingest-stream")
+    wrong = cells.withColumn("value", F.when(F.col("scene") == "s3", F.col("value") * 2 + 1).otherwise(F.col("value")))
+
+    def stream():
+        files = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        start_ingest(files, A.A1_KEYS, root, 16).awaitTermination()
+
+    wrong.repartitionByRange(4, "scene").write.parquet(source)
+    stream()
+    cells.where("scene = 's3'").coalesce(1).write.parquet(source, mode="append")
+    stream()
+    out = streamed_stats(spark, root, A.A1_KEYS, newest=True)
+    return out.select("scene", F.col("n_valid").cast("long").alias("n_valid"), *[r(c).alias(c) for c in ("min", "max", "mean", "stdev")])

@@ -20,8 +20,9 @@ from rastertable.operators.stats import block_states, merge_states
 def start_ingest(cells: DataFrame, keys, root: str, block_size: int = 256, available_now: bool = True) -> StreamingQuery:
     """Start reducing a stream of cells (keys, row, col, value) into states under ``root``.
 
-    A pixel is expected once. With ``available_now`` the query ends when the
-    files that exist now are done.
+    With ``available_now`` the query ends when the files that exist now are
+    done. States are read back added up, for pixels that arrive once, or only
+    the newest of each block, for blocks that arrive whole and may come again.
     """
     keys = list(keys)
 
@@ -35,22 +36,28 @@ def start_ingest(cells: DataFrame, keys, root: str, block_size: int = 256, avail
     return writer.start()
 
 
-def read_states(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/states").drop("batch")
+def read_states(spark: SparkSession, root: str, keys, newest: bool = False) -> DataFrame:
+    """All block states, or with ``newest`` the state of each block's last batch."""
+    states = spark.read.parquet(f"{root}/states")
+    if not newest:
+        return states.drop("batch")
+    block = [*keys, "block_row", "block_col"]
+    rest = [c for c in states.columns if c not in (*block, "batch")]
+    return states.groupBy(*block).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*block, "_last.*")
 
 
-def streamed_stats(spark: SparkSession, root: str, keys) -> DataFrame:
+def streamed_stats(spark: SparkSession, root: str, keys, newest: bool = False) -> DataFrame:
     """Statistics of everything seen so far: n_valid, min, max, mean, stdev."""
-    return merge_states(read_states(spark, root), keys)
+    return merge_states(read_states(spark, root, keys, newest), keys)
 
 
-def streamed_percentiles(spark: SparkSession, root: str, keys) -> DataFrame:
+def streamed_percentiles(spark: SparkSession, root: str, keys, newest: bool = False) -> DataFrame:
     """Approximate percentiles 1..99 of everything seen so far, from the merged sketches."""
     ranks = F.array(*[F.lit(p / 100.0) for p in PERCENTS])
-    merged = read_states(spark, root).groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("_sketch"))
+    merged = read_states(spark, root, keys, newest).groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("_sketch"))
     return merged.select(*keys, F.kll_sketch_get_quantile_double("_sketch", ranks).alias("percentiles"))
 
 
 def new_datasets(spark: SparkSession, root: str, keys, existing: DataFrame) -> DataFrame:
     """Keys that have arrived and are not in the catalog yet."""
-    return only_new(read_states(spark, root).select(*keys).distinct(), existing, list(keys))
+    return only_new(read_states(spark, root, keys).select(*keys).distinct(), existing, list(keys))

@@ -23,9 +23,9 @@ from rastertable.llm.tables import documents, map_rows
 
 BITS = 1024
 #: Pre-tokens up to this length are remembered, and so many of them, in each Python worker.
-REMEMBERED_CHARS, REMEMBERED = 48, 300_000
+REMEMBERED_CHARS, REMEMBERED = 32, 120_000
 #: Bytes of text whose new pre-tokens are merged together.
-BATCH_BYTES = 5 << 20
+BATCH_BYTES = 2 << 20
 #: Characters with the Unicode property White_Space (fixed values).
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 

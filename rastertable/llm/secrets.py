@@ -169,7 +169,7 @@ class Segment:
 def _prepared(rules: tuple[Rule, ...]):
     queries = [trigram_query(r.pattern, r.flags) for r in rules]
     wanted = sorted(set().union(*map(trigrams, queries)))
-    table = np.zeros(1 << 24, np.uint16)
+    table = np.zeros(1 << 24, np.uint8 if len(wanted) < 256 else np.uint16)
     for i, t in enumerate(wanted, 1):
         table[int.from_bytes(t)] = i
     # a class repeated without end finds its long runs alike when short ones are left out at once
@@ -219,7 +219,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "
     schema = docs.schema
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, 3 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
             i = names.index("text")
             spans, texts = find(batch.column(i), rules), batch.column(i).to_pylist()
             sizes = batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None

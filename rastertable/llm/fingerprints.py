@@ -4,20 +4,24 @@ All texts share random functions r_j from characters to {0, 1}. A walk reads a t
 that it stands on and moves on if r_j of that character is 1. Walks over texts with a small edit distance soon meet again after an edit
 and then write the same symbols at the same steps, so the Hamming distance of what they write follows the edit distance. A
 fingerprint samples the written symbols, 32 steps of each octave, each as four bits of a hash of what is read next.
-Near documents are found by banding samples of these bits and verified on whole fingerprints.
+Near documents are found by banding samples of these bits and verified on whole fingerprints, every two of a bucket that nothing else ties.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastertable.llm.tables import documents, map_rows
+from rastertable.llm.graph import components
+from rastertable.llm.tables import checkpointed, documents, map_rows
 
 CLASSES, PERIOD, SAMPLES = 256, 1024, 32
 #: Walks of similar length advance together if there are so many of them, else one by one.
@@ -225,30 +229,166 @@ def _compared(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
-def near(prints: DataFrame, least: float = 0.8, bands: int = 12, width: int = 6) -> DataFrame:
-    """``doc_id``, ``leader``, ``likeness``: documents that are like the first one of some bucket that they fall into.
+def _short_classes(least: float) -> list[int]:
+    """Lowest sizes of the classes of fingerprints shorter than two octaves, and what comes after the last; like ones are in a class or the next."""
+    out = [1]
+    while out[-1] < 2 * SAMPLES:
+        out.append(min(2 * SAMPLES, max(out[-1] + 1, math.ceil(out[-1] / least))))
+    return out
+
+
+def buckets(samples: np.ndarray, least: float, bands: int, width: int) -> list[int]:
+    """The buckets of a fingerprint.
 
-    Rows with equal fingerprints meet at the one of smallest doc_id. A band is ``width`` samples of the last two full octaves of
-    the shorter fingerprint; documents that agree in a band share a bucket and are verified against its smallest doc_id, so a bucket of n
-    documents gives n - 1 pairs. Rows without doc_id or with an empty fingerprint are left out.
+    A band is ``width`` samples of the last two full octaves of the shorter of two fingerprints. Fingerprints below two octaves have one band more than
+    like ones can differ in samples, and these share all samples of the smallest one, so like ones agree in a band for certain.
     """
-    known = prints.select("doc_id", "fingerprint").filter(F.col("doc_id").isNotNull() & (F.length("fingerprint") > 0))
-    first = known.groupBy("fingerprint").agg(F.min("doc_id").alias("leader"))
-    octave = F.floor(F.length("fingerprint") / SAMPLES)
+    raw, n, out = samples.tobytes(), len(samples), []
+    put = lambda *key: out.append(int.from_bytes(hashlib.blake2b(b"%d %d %d " % key[:3] + key[3], digest_size=8).digest(), "little", signed=True))
+    octave = n // SAMPLES
+    for b, pick in enumerate(_picks(bands, width)):
+        for o in (octave, octave - 1):
+            if o >= 2:
+                put(0, o, b, samples[(o - 2) * SAMPLES + pick].tobytes())
+    lows = _short_classes(least)
+    for k, (low, high) in enumerate(itertools.pairwise(lows)):
+        # the class of the fingerprint, the one before, and the last class if a longer one may be like its members
+        if low <= n < high or k + 2 < len(lows) and high <= n < lows[k + 2] or high == 2 * SAMPLES <= n and least * weights(n).sum() <= high:
+            parts = int(15 / 16 * (1 - least) * (high - 1) + 1e-9) + 1
+            if parts > low:  # no band is certain: all of the class meet
+                put(1, k, 0, b"")
+                continue
+            for b in range(parts):
+                put(1, k, b, raw[b * low // parts:(b + 1) * low // parts])
+    return out
+
+
+@lru_cache(maxsize=4)
+def _picks(bands: int, width: int) -> list[np.ndarray]:
     rng = np.random.default_rng(7)
-    picks = [sorted(rng.choice(2 * SAMPLES, width, replace=False).tolist()) for _ in range(bands)]
-    values = [F.struct(F.lit(b).alias("band"), (octave - back).alias("octave"), F.concat(*(
-        F.substring("fingerprint", ((octave - back - 2) * SAMPLES + p + 1).cast("int"), F.lit(1)) for p in pick)).alias("value"))
-        for b, pick in enumerate(picks) for back in (0, 1)]
-    at = first.withColumn("at", F.explode(F.array(*values))).select("leader", "fingerprint", "at.*").filter("octave >= 2")
-    leaders = at.groupBy("band", "octave", "value").agg(F.min(F.struct("leader", "fingerprint")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    pairs = (at.join(leaders, ["band", "octave", "value"]).filter(F.col("leader") > F.col("head.leader"))
-             .select(F.col("leader").alias("doc_id"), "fingerprint", F.col("head.leader").alias("leader"), F.col("head.fingerprint").alias("other")).distinct())
+    return [np.sort(rng.choice(2 * SAMPLES, width, replace=False)) for _ in range(bands)]
+
+
+def _forest(parts: list[int], sides: list[int], prints: list[np.ndarray], least: float) -> list[tuple[int, int, float]]:
+    """Like pairs (rows and likeness) that tie what the like pairs between different sides (if there is but one: all) tie, where rows of equal ``parts`` are tied."""
+    n, both = len(parts), len(set(sides)) > 1
+    sizes = np.array([len(x) for x in prints])
+    rows = np.full((n, sizes.max()), 255, np.uint8)
+    for row, x in zip(rows, prints, strict=True):
+        row[:len(x)] = x
+    w = weights(rows.shape[1])
+    upto = np.concatenate([[0.0], np.cumsum(w)])
+    mates: dict[int, list[int]] = {}
+    for k, part in enumerate(parts):
+        mates.setdefault(part, []).append(k)
+    side, free, out = np.array(sides), np.ones(n, bool), []
+    for seed in range(n):
+        if not free[seed]:
+            continue
+        queue = list(mates[parts[seed]])
+        free[queue] = False
+        while queue:
+            k = queue.pop()
+            least_of = np.minimum(sizes, sizes[k])
+            may = free & (upto[least_of] >= least * upto[np.maximum(sizes, sizes[k])])
+            rest = np.flatnonzero(may & (side != side[k]) if both else may)
+            if not len(rest):
+                continue
+            # as in likeness()
+            same = (rows[rest, :sizes[k]] == rows[k, :sizes[k]]) @ w[:sizes[k]]
+            like = np.maximum(0.0, (same - upto[least_of[rest]] / 16) / (15 / 16)) / upto[np.maximum(sizes[rest], sizes[k])]
+            for j, x in zip(rest[like >= least].tolist(), like[like >= least].tolist(), strict=True):
+                if free[j]:
+                    out.append((k, j, x))
+                    free[mates[parts[j]]] = False
+                    queue += mates[parts[j]]
+    return out
 
-    def run(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "leader": batch.column(2), "likeness": [
-            likeness(samples_of(a), samples_of(b)) for a, b in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]}
 
-    like = map_rows(pairs, run, "doc_id long, leader long, likeness double").filter(F.col("likeness") >= least)
-    copies = known.join(first, "fingerprint").filter("doc_id > leader").select("doc_id", "leader", F.lit(1.0).alias("likeness"))
-    return copies.unionByName(like)
+LINK = "doc_id long, leader long, likeness double"
+
+
+def _verified(least: float):
+    """Links of every group (``bucket``, ``a``, ``b``); the rows come by group."""
+    schema = pa.schema([("doc_id", pa.int64()), ("leader", pa.int64()), ("likeness", pa.float64())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "a", "b", "id", "component", "side", "fingerprint")), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for _, group in itertools.groupby(rows(batches), lambda r: r[:3]):
+            _, _, _, ids, parts, sides, prints = zip(*group, strict=True)
+            out += [(max(ids[j], ids[k]), min(ids[j], ids[k]), x) for j, k, x in _forest(parts, sides, [samples_of(p) for p in prints], least)]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Groups (``bucket``, ``a``, ``b``) in which every two rows of a bucket meet that are in different components.
+
+    A bucket of more than ``block`` rows is cut into chunks, each two of which are a group, with a ``side`` for each; a component of that size has chunks of its own,
+    which do not meet each other.
+    """
+    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    totals = checkpointed(sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts"))
+    rows = rows.join(totals, "bucket")
+    hot = checkpointed(rows.filter(F.col("n") > block))
+    cold = rows.filter(F.col("n") <= block).select("bucket", F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0).alias("side"), "id", "component")
+    large = checkpointed(hot.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > block))
+    number = lambda of, n: F.pmod(F.xxhash64(of), F.ceil(F.col(n) / block)).cast("string")
+    own = F.col("c").isNotNull()
+    hot = checkpointed(hot.join(large, ["bucket", "component"], "left").select(
+        "bucket", "id", "component", F.when(own, F.col("component")).alias("whole"),
+        F.when(own, F.concat(F.lit("c"), F.col("component").cast("string"), F.lit(":"), number("id", "c"))).otherwise(F.concat(F.lit("s"), number("component", "n"))).alias("chunk")))
+    chunks = hot.select("bucket", "chunk", "whole").distinct()
+    groups = checkpointed(
+        chunks.select("bucket", F.col("chunk").alias("a"), F.col("whole").alias("p")).join(chunks.select("bucket", F.col("chunk").alias("b"), F.col("whole").alias("q")), "bucket")
+        .filter((F.col("a") <= F.col("b")) & ~F.coalesce(F.col("p") == F.col("q"), F.lit(False))).select("bucket", "a", "b"))
+    for side, name in enumerate("ab"):
+        met = groups if side == 0 else groups.filter("a < b")
+        cold = cold.unionByName(hot.withColumnRenamed("chunk", name).join(met, ["bucket", name]).select("bucket", "a", "b", F.lit(side).alias("side"), "id", "component"))
+    return cold
+
+
+def near(prints: DataFrame, least: float = 0.8, bands: int = 12, width: int = 6, block: int = 256) -> DataFrame:
+    """``doc_id``, ``leader`` (a smaller doc_id), ``likeness``: like documents, enough of them to tie all that share a bucket and are like.
+
+    Rows with equal fingerprints meet at the one of smallest doc_id. Documents that agree in a band share a bucket (``buckets``). They are verified against its
+    smallest doc_id first, which ties large groups of near copies by one pair per document; then all pairs of a bucket that are still in different
+    components are verified, in blocks. Rows without doc_id or with an empty fingerprint are left out.
+    """
+    known = checkpointed(prints.select("doc_id", "fingerprint").filter(F.col("doc_id").isNotNull() & (F.length("fingerprint") > 0)))
+    first = checkpointed(known.groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
+    posted = map_rows(first, lambda batch: {"id": batch.column("id"), "bucket": [
+        buckets(samples_of(p), least, bands, width) for p in batch.column("fingerprint").to_pylist()]}, "id long, bucket array<long>")
+    at = posted.select("id", F.explode("bucket").alias("bucket")).distinct()
+    heads = checkpointed(at.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    at = checkpointed(at.join(heads, "bucket"))
+    one = first.withColumnRenamed("id", "leader").withColumnRenamed("fingerprint", "other")
+    pairs = at.filter("id > head").select("id", F.col("head").alias("leader")).distinct().join(first, "id").join(one, "leader").select("id", "leader", "fingerprint", "other")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch.column(0), "leader": batch.column(1), "likeness": [
+            likeness(samples_of(a), samples_of(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]}
+
+    star = checkpointed(map_rows(pairs, run, LINK).filter(F.col("likeness") >= least))
+    parts = components(star, "doc_id", "leader").withColumnRenamed("node", "id")
+    open_ = at.join(parts, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    groups = _dealt(checkpointed(open_), block).join(first, "id")
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = groups.repartition(n, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(_verified(least), LINK)
+    copies = known.join(first, "fingerprint").filter("doc_id > id").select("doc_id", F.col("id").alias("leader"), F.lit(1.0).alias("likeness"))
+    return copies.unionByName(star).unionByName(rest).filter("doc_id > leader").groupBy("doc_id", "leader").agg(F.max("likeness").alias("likeness"))
+
+
+def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """``doc_id`` and ``class_id`` (the smallest doc_id that links of ``near`` reach) of every row of ``docs``; null without a doc_id."""
+    parts = components(near(fingerprint(docs), least), "doc_id", "leader").withColumnRenamed("node", "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(parts, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))

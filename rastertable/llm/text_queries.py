@@ -63,3 +63,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_near")
+def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents with like fingerprints."""
+    return fingerprints.classes(read_table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+from test_minhash import roots
 
 from rastertable.llm import fingerprints as fp
 from rastertable.llm.queries import QUERIES
@@ -83,6 +84,62 @@ def test_near(spark):
     assert all(a // 3 == b // 3 for a, b in got)
 
 
+def tied(spark, prints, **more):
+    """Classes by links of near(), and by all pairs."""
+    rows = sorted(prints.items())
+    links = [(a, b) for k, (a, x) in enumerate(rows) for b, y in rows[:k] if fp.likeness(x, y) >= 0.8]
+    got = fp.near(spark.createDataFrame([(d, fp.text_of(x)) for d, x in rows], "doc_id long, fingerprint string"), **more).collect()
+    assert all(r.leader < r.doc_id and r.likeness == fp.likeness(prints[r.doc_id], prints[r.leader]) >= 0.8 for r in got)
+    return roots(prints, [(r.doc_id, r.leader) for r in got]), roots(prints, links)
+
+
+def test_near_under_a_leader(spark):
+    rng = np.random.default_rng(5)
+    base, prints = rng.integers(0, 16, 160).astype(np.uint8), {}
+    for k in range(150):  # half like the first one and each other, with a near copy each
+        own = np.where(rng.random(160) < 0.5, base, rng.integers(0, 16, 160)).astype(np.uint8)
+        prints[1 + 2 * k], prints[2 + 2 * k] = own, own.copy()
+        prints[2 + 2 * k][rng.choice(160, 4, replace=False)] ^= 1
+    # like the first one where bands look, so it leads all their buckets, but not elsewhere
+    unseen = np.ones(160, bool)
+    for pick in fp._picks(12, 6):
+        unseen[[*(96 + pick), *(64 + pick)]] = False
+    for k in range(40):
+        own = np.where(unseen, rng.integers(0, 16, 160), base).astype(np.uint8)
+        prints[500 + 2 * k], prints[501 + 2 * k] = own, own.copy()
+        prints[501 + 2 * k][:4] ^= 1
+    for k in range(60):  # a large group of near copies
+        prints[1000 + k] = base.copy()
+        prints[1000 + k][rng.choice(160, 2, replace=False)] ^= 3
+    prints[0] = base
+    got, want = tied(spark, prints, block=16)
+    assert got == want and sum(r != d for d, r in want.items()) > 200
+    assert all(want[501 + 2 * k] > 0 for k in range(40))
+
+
+def test_near_of_short_texts(spark):
+    rng = np.random.default_rng(6)
+    prints = {}
+    for k in range(300):
+        n = int(rng.integers(1, 78))
+        x = rng.integers(0, 16, 90).astype(np.uint8)
+        y = x[:n + int(rng.integers(0, n // 6 + 1))].copy()
+        y[rng.choice(n, n // 8, replace=False)] ^= 5
+        prints[3 * k], prints[3 * k + 1] = x[:n], y
+    got, want = tied(spark, prints)
+    assert got == want and sum(r != d for d, r in want.items()) > 100
+
+
+def test_near_query(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    prints = {d: x for d, x in zip(texts, fp.fingerprints(list(texts.values())), strict=True) if len(x)}
+    got = {r.doc_id: r.class_id for r in QUERIES["op7_near"](spark, sf).collect()}
+    want = tied(spark, prints)[1]
+    assert set(got) == set(texts) and all(want[d] == want[r] for d, r in got.items() if d in prints)
+    assert sum(got[d] != r for d, r in want.items()) <= len(texts) // 100
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()

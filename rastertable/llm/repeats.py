@@ -4,7 +4,8 @@ Equal texts are settled first. Of the rest, every string of the given length has
 within it. Runs of strings with one key are segments; only segments whose key occurs in several documents can hold a repeat. Keys meet in
 buckets, sorted arrays of them, and what is shared goes back to its documents. Segments of shared keys are then counted by content, and the
 contents of those keys that have several, a shard for each range of keys, are put in suffix order by induced sorting, where equal strings stand side by
-side; the smallest doc_id of each such class tells for every document which of its strings an earlier one has.
+side; the smallest doc_id of each such class tells for every document which of its strings an earlier one has. Contents of a key with more segments
+than a shard holds are split into their strings, which meet one by one.
 """
 
 from __future__ import annotations
@@ -237,6 +238,53 @@ def _resolved(length: int):
     return run
 
 
+STRING = "string binary, key long, digest long, low long, high long, places array<long>"
+
+
+def _strings(length: int):
+    """The strings of ``length`` bytes of every content with their places, of at most 65,536 places at a time."""
+    schema = pa.schema([("string", pa.binary()), ("key", pa.int64()), ("digest", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("places", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for key, digest, content, low, high in zip(*(batch.column(n).to_pylist() for n in ("key", "digest", "content", "low", "high")), strict=True):
+                last = len(content) - length + 1
+                for a in range(0, last, 1 << 16):
+                    places: dict[bytes, list[int]] = {}
+                    for i in range(a, min(last, a + (1 << 16))):
+                        places.setdefault(content[i:i + length], []).append(i)
+                    out += [(string, key, digest, low, high, at) for string, at in places.items()]
+                    if len(out) > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _runs(batch: pa.RecordBatch) -> dict:
+    out: list[list[dict]] = []
+    for found in batch.column("found").to_pylist():
+        runs: list[dict] = []
+        for at, doc in sorted((at, f["doc"]) for f in found for at in f["places"]):
+            if runs and runs[-1]["doc"] == doc and runs[-1]["at"] + runs[-1]["n"] == at:
+                runs[-1]["n"] += 1
+            else:
+                runs.append({"at": at, "n": 1, "doc": doc})
+        out.append(runs)
+    return {"key": batch.column("key"), "digest": batch.column("digest"), "runs": out}
+
+
+def _split(contents: DataFrame, length: int) -> DataFrame:
+    """Runs as of ``_resolved``, without a task that holds a whole key."""
+    strings = contents.select("key", "digest", "content", "low", "high").mapInArrow(_strings(length), STRING)
+    least = strings.groupBy("string").agg(F.min("low").alias("doc"))
+    found = (strings.join(least, "string").filter("doc < high").groupBy("key", "digest").agg(F.collect_list(F.struct("places", "doc")).alias("found")))
+    return map_rows(found, _runs, RUNS)
+
+
 def _removed(batch: pa.RecordBatch) -> dict:
     out: dict = {"doc": batch.column("doc"), "uid": batch.column("uid"), "spans": [], "kept": []}
     for size, packed, spans in zip(*(batch.column(n).to_pylist() for n in ("size", "packed", "spans")), strict=True):
@@ -252,11 +300,12 @@ def _removed(batch: pa.RecordBatch) -> dict:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``spans`` (a, b) of removed bytes and the sha256 of what is kept (``kept_sha256``), of every row of ``docs``.
 
     A byte goes if a string of ``length`` bytes (32 at least) around it also starts in a document with a smaller doc_id. Null texts are empty; a null doc_id is larger than
-    all others; rows of the same doc_id do not take from each other. An empty table gives an empty table; other columns are not looked at.
+    all others; rows of the same doc_id do not take from each other. Keys with segments of
+    more than ``shard_bytes`` in all are settled by their strings. An empty table gives an empty table; other columns are not looked at.
     """
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -273,12 +322,15 @@ def without_repeats(docs: DataFrame, length: int = 50, buckets: int | None = Non
     _packed(texts).join(told, "doc").mapInArrow(_cut(length, buckets), SEGMENT).write.option("compression", "zstd").parquet(folder)
     cut = spark.read.schema(SEGMENT).parquet(folder)
     # a key with one content needs no order: all but its first documents lose the whole segment
-    keys = checkpointed(cut.groupBy("key").agg(F.min("digest").alias("d"), F.max("digest").alias("e"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-                        .filter("high > low").select("key", "low", (F.col("d") != F.col("e")).alias("several")))
+    keys = checkpointed(cut.groupBy("key").agg(F.min("digest").alias("d"), F.max("digest").alias("e"), F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum("size").alias("bytes"))
+                        .filter("high > low").select("key", "low", (F.col("d") != F.col("e")).alias("several"), (F.col("bytes") > shard_bytes).alias("hot")))
     single = keys.filter("NOT several").select("key", "low")
-    cut_several = join_small(cut, keys.filter("several").select("key"), ["key"], FEW_KEYS)
-    contents = cut_several.groupBy("key", "digest", "content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    runs = checkpointed(contents.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_resolved(length), RUNS))
+    cut_several = join_small(cut, keys.filter("several").select("key", "hot"), ["key"], FEW_KEYS)
+    contents = cut_several.groupBy("key", "digest", "content", "hot").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    runs = contents.filter("NOT hot").drop("hot").repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_resolved(length), RUNS)
+    if keys.filter("several AND hot").limit(1).count():
+        runs = runs.unionByName(_split(checkpointed(contents.filter("hot").drop("hot")), length))
+    runs = checkpointed(runs)
     span = F.struct((F.col("start") + F.col("run.at")).alias("a"), (F.col("start") + F.col("run.at") + F.col("run.n") - 1 + length).alias("b"))
     places = cut.select("key", "doc", "uid", "start", "size")
     by_order = (cut_several.select("key", "doc", "uid", "start", "digest").join(runs, ["key", "digest"])

@@ -59,6 +59,19 @@ def test_without_repeats(spark):
     assert repeats.without_repeats(df.limit(0)).count() == 0
 
 
+def test_hot_keys(spark):
+    rnd = random.Random(10)
+    text = lambda n: "".join(rnd.choices("abcdefgh", k=n))
+    passage, common = text(300), text(40)
+    rows = [(i, text(rnd.randint(0, 60)) + passage + rnd.choice(["", common]) + text(rnd.randint(0, 60))) for i in range(300)]
+    rows += [(1000 + i, "\0" * (60 + 7 * i) + text(3)) for i in range(40)] + [(2000 + i, "xy" * (100 + i)) for i in range(20)] + [(3000, "\0" * 140_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert got(repeats.without_repeats(df, shard_bytes=2000)) == plain(rows)
+    cut = spark.createDataFrame([(k, k, t.encode(), k, 9) for k, t in enumerate([passage, passage[5:], "q" + passage, "z" * 99])], "key long, digest long, content binary, low long, high long")
+    out = {r.key: [(x.at, x.n, x.doc) for x in r.runs] for r in repeats._split(cut, 50).collect()}
+    assert out == dict(enumerate(repeats.earliest([passage.encode(), passage[5:].encode(), b"q" + passage.encode(), b"z" * 99], np.arange(4), 50)))
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]

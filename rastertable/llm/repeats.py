@@ -64,7 +64,7 @@ def segments(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
 
 def _keys(buckets: int, length: int):
     """Rows ``bucket``, ``doc``, ``keys``, ``owners``. A key that several documents of a slice share is told to them at once (a row with ``doc``), and
-    goes to its bucket only once, without an owner (-1)."""
+    goes to its bucket only once, without an owner (in a row whose ``owners`` are null)."""
     schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,14 +78,14 @@ def _keys(buckets: int, length: int):
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             last = np.append(first[1:], len(key)) - 1
             local = row[first] != row[last]
-            owner = np.where(local, -1, docs[row[first]])
+            owner = docs[row[first]]
             unique = key[first]
             code = codes(unique, buckets)
             bucket = (code >> np.uint64(BITS)).astype(np.int32)
-            order = np.lexsort((row[first], bucket))
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            order = np.lexsort((row[first], local, bucket))
+            cuts = np.searchsorted(2 * bucket[order] + local[order], np.arange(2 * buckets + 1))
             short = code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BITS // 8]
-            out = [(b, None, short[o].tobytes(), owner[o].tobytes()) for b in range(buckets) if len(o := order[cuts[b]:cuts[b + 1]])]
+            out = [(b // 2, None, short[o].tobytes(), None if b % 2 else owner[o].tobytes()) for b in range(2 * buckets) if len(o := order[cuts[b]:cuts[b + 1]])]
             told = np.repeat(local, last - first + 1)
             order = np.argsort(row[told], kind="stable")
             mine, own = row[told][order], codes(key[told][order], buckets)
@@ -102,7 +102,7 @@ def _keys(buckets: int, length: int):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one bucket: ``doc`` and those of its ``keys`` that several slices hold; rows with a document go through."""
     schema = pa.schema([("doc", pa.int64()), ("keys", pa.binary())])
-    keys, owners = [], []
+    keys, owners, owned = [], [], []
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -110,18 +110,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if direct.num_rows:
             yield pa.RecordBatch.from_arrays([direct.column("doc"), direct.column("keys")], schema=schema)
         rest = batch.filter(batch.column("doc").is_null())
-        for b, k in zip(rest.column("bucket").to_pylist(), rest.column("keys").to_pylist(), strict=True):
+        for b, k, o in zip(*(rest.column(n).to_pylist() for n in ("bucket", "keys", "owners")), strict=True):
             wide = np.zeros((len(k) // (BITS // 8), 8), np.uint8)
             wide[:, :BITS // 8] = np.frombuffer(k, np.uint8).reshape(len(wide), -1)
             keys.append(wide.view("<u8").ravel() | np.uint64(b << BITS))
-        owners += [np.frombuffer(o, np.int64) for o in rest.column("owners").to_pylist()]
+            owners.append(np.zeros(len(wide), np.int64) if o is None else np.frombuffer(o, np.int64))
+            owned.append(np.full(len(wide), o is not None))
     if keys:
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        del keys, owners
+        key, owner, own = np.concatenate(keys), np.concatenate(owners), np.concatenate(owned)
+        del keys, owners, owned
         order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
+        key, owner, own = key[order], owner[order], own[order]
         equal = key[1:] == key[:-1]
-        use = (np.append(equal, False) | np.append(False, equal)) & (owner >= 0)
+        use = (np.append(equal, False) | np.append(False, equal)) & own
         key, owner = key[use], owner[use]
         order = np.argsort(owner, kind="stable")
         key, owner = key[order], owner[order]

@@ -72,6 +72,16 @@ def test_hot_keys(spark):
     assert out == dict(enumerate(repeats.earliest([passage.encode(), passage[5:].encode(), b"q" + passage.encode(), b"z" * 99], np.arange(4), 50)))
 
 
+def test_negative_ids(spark):
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choices("abcdefgh", k=n))
+    passages = [text(n) for n in (60, 200, 900)]
+    rows = [(k - 30, text(rnd.randint(0, 90)) + rnd.choice(passages) + text(rnd.randint(0, 90))) for k in range(60)] + [(-(1 << 63), passages[0]), (-1, passages[2])]
+    # partitions of their own, so documents meet in buckets and not within a slice
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    assert got(repeats.without_repeats(df)) == plain(rows)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastertable.llm.tables import checkpointed
+from rastertable.llm.tables import checkpointed, join_small
 
 #: Children of a node, as bits of a place.
 FAN_BITS = 4
@@ -108,7 +108,7 @@ def placed(rows: DataFrame) -> DataFrame:
     same = preceding(same, ["tree", "id_"], "code", "n", "leaf").select(
         "tree", "doc_id", "leaf", "held", F.col("rank"), F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("nth"))
     same = same.select("tree", "doc_id", "leaf", "held", (F.col("rank") + F.col("nth")).alias("rank"))
-    every = once.unionByName(same).join(nulls, "tree")
+    every = join_small(once.unionByName(same), nulls, ["tree"])
     return every.select("tree", "doc_id", "leaf", "held", "size",
                         (F.col("rank") + F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("nulls"))).alias("place"))
 
@@ -176,12 +176,12 @@ def manifest(docs: DataFrame) -> DataFrame:
     subroots, paths = climb(nodes)
     subroots = checkpointed(subroots.withColumnRenamed("top", "subroot"))
     count = subroots.count()
-    ordered = numbered(subroots, "tree").select(F.lit(0).alias("tree"), F.col("tree").alias("source"), "subroot", "place",
+    ordered = numbered(subroots, "tree").select(F.substring("tree", 1, 0).alias("tree"), F.col("tree").alias("source"), "subroot", "place",
                                                 F.col("subroot").alias("node"), F.lit(count).cast("long").alias("size"))
     top, over = climb(ordered.select("tree", "place", "node", "size"))
     above = ordered.join(over, ["tree", "place"]).join(top, "tree").select(
         F.col("source").alias("tree"), "subroot", F.col("top").alias("root"), F.col("steps").alias("over"))
-    whole = runs.join(paths, ["tree", "place"]).join(above, "tree")
+    whole = join_small(runs.join(paths, ["tree", "place"]), above, ["tree"])
     each = whole.select("subroot", "root", "slots", "leaves", F.concat("steps", "over").alias("steps"), F.posexplode("slots").alias("k", "own"))
     first = F.when(F.col("leaves") > 1, F.array(_beside(F.col("slots"), F.col("k"), "leaf"))).otherwise(F.array().cast(_STEPS))
     each = each.select(F.col("own.doc_id").alias("doc_id"), F.col("own.leaf").alias("leaf"), F.col("own.held").alias("held"), "subroot", "root",

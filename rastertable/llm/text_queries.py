@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastertable.llm import bpe, fingerprints, licences, quality, secrets
+from rastertable.llm import bpe, fingerprints, language, licences, quality, secrets
 from rastertable.llm.registry import query
 from rastertable.llm.tables import read_table
 
@@ -59,6 +59,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op13_language")
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from documents that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs)).withColumn("held_out", language.held_out(F.col("doc_id"))).select(
+        "doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 @query("op7_fingerprints")
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""

@@ -33,7 +33,7 @@ def random_model(k=3):
     return L.Model([f"l{i}" for i in range(k)], rng.standard_normal((L.BUCKETS, k)).astype(np.float32), rng.standard_normal(k), 1.5, 0.5)
 
 
-TEXTS = ["", " ", "a", "Ä", "A b", "Hello, wörld! 123 x", "12 % …", "日本語 テキスト", None, "No 1\n\ttabs", "x" * 50, "é İI"]
+TEXTS = ["", " ", "a", "Ä", "A b", "Hello, wörld! 123 x", "12 % …", "日本語 テキスト", None, "No 1\n\ttabs", "x" * 50, "\u00c9t\u00c9 I"]
 
 
 @pytest.mark.parametrize("block", [L.BLOCK, 7])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastertable.llm.tables import checkpointed
+from rastertable.llm.tables import checkpointed, release_shuffles
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,3 +28,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             return own.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
+        del both, least, large
+        release_shuffles(own.sparkSession)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastertable.llm.graph import components
-from rastertable.llm.tables import checkpointed, documents, join_small, map_rows, new_folder
+from rastertable.llm.tables import checkpointed, documents, free_name, join_small, map_rows, new_folder, release_shuffles
 from rastertable.llm.words import NOT_SPACE, hashes, lower, shingles, split, utf8
 
 
@@ -151,36 +151,48 @@ def _links(docs: DataFrame, one: DataFrame, rule: Rule) -> DataFrame:
     full = _full_sets(docs, one.join(shared.select("doc_id").distinct(), "doc_id").select("doc_id", "digest"), rule)
     posts = checkpointed(one.join(shared.select("doc_id").distinct(), "doc_id").select("doc_id", "n", "postings"))
 
-    # each document and the centre that it meets most often
-    centres = checkpointed(shared.groupBy("post").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("centre"))).alias("top"))
-                           .select("post", (-F.col("top.centre")).alias("centre")))
-    best = (shared.join(centres, "post").filter("doc_id != centre").groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("c"))
-            .groupBy("doc_id").agg(F.max(F.struct("c", "centre")).alias("top")).select(F.col("doc_id").alias("a"), F.col("top.centre").alias("b")))
-    star = checkpointed(_compared(_colliding(checkpointed(best.distinct()), posts, rule), full, rule))
-    part = components(star.filter("good").select("a", "b")).withColumnRenamed("node", "doc_id")
+    star = checkpointed(_compared(_colliding(checkpointed(_best(shared)), posts, rule, loose=True), full, rule))
+    # near copies may have found different centres: members of a centre also meet the centre that it meets most often itself
+    heads = checkpointed(star.select(F.col("b").alias("doc_id")).distinct())
+    higher = checkpointed(_best(shared.join(heads, "doc_id")).select(F.col("a").alias("b"), F.col("b").alias("higher")))
+    again = checkpointed(star.select("a", "b").join(higher, "b").filter("a != higher").select("a", F.col("higher").alias("b")).distinct())
+    again = checkpointed(_compared(_colliding(again, posts, rule, loose=True), full, rule))
+    met = checkpointed(star.withColumn("home", F.col("b")).unionByName(again.join(star.select("a", F.col("b").alias("home")), "a").select(*star.columns, "home")))
+    found = checkpointed(met.filter("good").select("a", "b").distinct())
+    part = components(found).withColumnRenamed("node", "doc_id")
     own_part = F.coalesce("component", "doc_id").alias("component")
-    family = checkpointed(star.select(F.col("a").alias("doc_id"), F.col("b").alias("family"), "n", "m", "i", "good", "added").join(part, "doc_id", "left")
-                          .select("doc_id", "family", "n", "m", "i", "good", "added", own_part))
-    heads = checkpointed(shared.filter("prefix").select("doc_id", "n", "post").join(part, "doc_id", "left").join(family.select("doc_id", "family"), "doc_id", "left")
-                         .select("doc_id", "n", "post", own_part, F.coalesce("family", "doc_id").alias("family")))
+    family = checkpointed(met.select(F.col("a").alias("doc_id"), F.col("b").alias("family"), "n", "m", "i", "good", "added", "home").join(part, "doc_id", "left")
+                          .select("doc_id", "family", "home", "n", "m", "i", "good", "added", own_part))
+    kin = met.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("b").alias("kin"))
+    release_shuffles(docs.sparkSession)
+    heads = checkpointed(shared.filter("prefix").select("doc_id", "n", "post").join(part, "doc_id", "left").join(kin, "doc_id", "left")
+                         .select("doc_id", "n", "post", own_part, F.array_union(F.array("doc_id"), F.coalesce("kin", F.array().cast("array<long>"))).alias("kin")))
     pairs = _across(heads, rule).unionByName(_within(family, rule)).distinct()
     rest = _confirmed(_colliding(checkpointed(pairs), posts, rule), full, rule)
-    return star.filter("good").select("a", "b").unionByName(rest)
+    return found.unionByName(rest)
+
+
+def _best(shared: DataFrame) -> DataFrame:
+    """Each document ``a`` and ``b``, of the most central documents of its lists the one that it meets most often."""
+    centres = checkpointed(shared.groupBy("post").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("centre"))).alias("top"))
+                           .select("post", (-F.col("top.centre")).alias("centre")))
+    return (shared.join(centres, "post").filter("doc_id != centre").groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("doc_id").agg(F.max(F.struct("c", "centre")).alias("top")).select(F.col("doc_id").alias("a"), F.col("top.centre").alias("b")))
 
 
 def _across(heads: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of a prefix list that are in different components and families: those outside the list's largest component against all."""
-    main = (heads.groupBy("post", "component").agg(F.count(F.lit(1)).alias("c"), F.min("family").alias("low"), F.max("family").alias("high")).groupBy("post")
+    """Pairs of a prefix list that are in different components and have met no centre in common: those outside the list's largest component against all."""
+    main = (heads.groupBy("post", "component").agg(F.count(F.lit(1)).alias("c"), F.min("kin").alias("low"), F.max("kin").alias("high")).groupBy("post")
             .agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"))
             .filter("parts > 1 AND low != high").select("post", F.col("top.component").alias("main")))
     prefixes = heads.groupBy("doc_id").agg(F.collect_set("post").alias("prefix"))
     open_ = checkpointed(heads.join(checkpointed(main), "post").join(prefixes, "doc_id"))
-    other = open_.select("post", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("family").alias("kin"),
+    other = open_.select("post", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("kin").alias("kin_b"),
                          F.col("prefix").alias("prefix_b"))
     # each pair once: in the first list that both have, and from one side
     once = ((F.col("other") == F.col("main")) | (F.col("a") > F.col("b"))) & (F.array_min(F.array_intersect("prefix", "prefix_b")) == F.col("post"))
-    return (open_.filter("component != main").select("post", F.col("doc_id").alias("a"), "n", "component", "family", "main", "prefix").join(other, "post")
-            .filter((F.col("component") != F.col("other")) & (F.col("family") != F.col("kin")) & _may_link("n", "m", rule) & once)
+    return (open_.filter("component != main").select("post", F.col("doc_id").alias("a"), "n", "component", "kin", "main", "prefix").join(other, "post")
+            .filter((F.col("component") != F.col("other")) & ~F.arrays_overlap("kin", "kin_b") & _may_link("n", "m", rule) & once)
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
@@ -193,27 +205,40 @@ def _within(family: DataFrame, rule: Rule) -> DataFrame:
     p = rule.percent
     enough = lambda k: (k + F.least("i_a", "i_b")) * (100 + p) >= (F.col("n_a") + F.col("n_b")) * p
     side = lambda df, x, *more: df.select("family", *more, *(F.col(c).alias(f"{n}_{x}") for c, n in (
-        ("doc_id", "id"), ("n", "n"), ("i", "i"), ("component", "part"))))
-    added = family.select("family", "doc_id", "n", "i", "component", F.explode("added").alias("x"))
-    lists = added.groupBy("family", "x").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("family", "x")
-    added = checkpointed(added.join(lists, ["family", "x"]))
-    by_added = (side(added, "a", "x").join(side(added, "b", "x"), ["family", "x"])
-                .filter((F.col("id_a") > F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & _may_link("n_a", "n_b", rule))
-                .groupBy("id_a", "id_b", "n_a", "n_b", "i_a", "i_b").agg(F.count(F.lit(1)).alias("k")).filter(enough(F.col("k"))))
+        ("doc_id", "id"), ("n", "n"), ("i", "i"), ("component", "part"), ("home", "home"))))
+    # members that share their first centre are paired there alone
+    first = (F.col("home_a") != F.col("home_b")) | (F.col("family") == F.col("home_a"))
+    added = family.select("family", "doc_id", "home", "n", "i", "component", F.explode("added").alias("x"))
+    lists = added.groupBy("family", "x").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("f")).filter("low != high")
+    own = Window.partitionBy("family", "doc_id")
+    # so many additions a member lacks in any case; rare first, it shares one of the others with all that it can be similar to
+    lacks = F.greatest(F.ceil(F.col("n") * p / 100) - F.col("i"), F.lit(1))
+    added = checkpointed(added.join(lists.select("family", "x", "f"), ["family", "x"])
+                         .withColumns({"nth": F.row_number().over(own.orderBy("f", "x")), "s": F.count(F.lit(1)).over(own)})
+                         .filter(F.col("s") >= lacks).withColumn("prefix", F.col("nth") <= F.col("s") - lacks + 1))
+    more = checkpointed(added.groupBy("family", "doc_id").agg(F.collect_set("x").alias("more")))
+    head = added.filter("prefix")
+    by_added = (side(head, "a", "x").join(side(head, "b", "x"), ["family", "x"])
+                .filter((F.col("id_a") > F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & first & _may_link("n_a", "n_b", rule))
+                .drop("x").distinct()
+                .join(more.select("family", F.col("doc_id").alias("id_a"), F.col("more").alias("more_a")), ["family", "id_a"])
+                .join(more.select("family", F.col("doc_id").alias("id_b"), F.col("more").alias("more_b")), ["family", "id_b"])
+                .filter(enough(F.size(F.array_intersect("more_a", "more_b")))))
     # sizes of linked sets lie in the same class or the next
     size = F.floor(F.log(F.col("n")) / float(np.log(100 / p) + 1e-9)).cast("int")
     small = side(family.filter("n < m").withColumn("size", size), "a", "size")
     loose = side(family.filter("NOT good").withColumn("size", F.explode(F.array(size - 1, size, size + 1))), "b", "size")
-    by_centre = small.join(loose, ["family", "size"]).filter((F.col("id_a") != F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & enough(F.lit(0)))
+    by_centre = small.join(loose, ["family", "size"]).filter((F.col("id_a") != F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & first & enough(F.lit(0)))
     return by_added.select("id_a", "id_b").unionByName(by_centre.select("id_a", "id_b")).select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))
 
 
-def _colliding(pairs: DataFrame, posts: DataFrame, rule: Rule) -> DataFrame:
-    """Those pairs that collide in at least ``matches`` coordinates."""
+def _colliding(pairs: DataFrame, posts: DataFrame, rule: Rule, loose: bool = False) -> DataFrame:
+    """Those pairs that collide in at least ``matches`` coordinates and have fitting sizes; ``loose``: in half as many, of any sizes."""
     left = posts.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("postings").alias("p_a"))
     right = posts.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("postings").alias("p_b"))
-    return checkpointed(pairs.join(left, "a").join(right, "b").filter(_may_link("n_a", "n_b", rule) & (_collisions("p_a", "p_b") >= rule.matches))
-                        .select("a", "b").distinct())
+    both = pairs.join(left, "a").join(right, "b")
+    wanted = _collisions("p_a", "p_b") >= (max(1, rule.matches // 2) if loose else rule.matches)
+    return checkpointed(both.filter(wanted if loose else _may_link("n_a", "n_b", rule) & wanted).select("a", "b").distinct())
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -230,9 +255,12 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
 
 def distinct(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that a component's smallest doc_id stands for."""
+    """The rows of ``docs``, all columns, without those that a component's smallest doc_id stands for.
+
+    Null and empty texts, and rows without a doc_id, are all kept; rows with the same doc_id go or stay together. An empty table stays empty.
+    """
     gone = checkpointed(linked(docs, rule).filter(~F.col("kept")).select("doc_id").distinct())
     small = gone.count() <= 500_000
-    own = docs.withColumn("own_id_", F.col("doc_id").cast("long"))
-    gone = gone.withColumnRenamed("doc_id", "own_id_")
-    return own.join(F.broadcast(gone) if small else gone, "own_id_", "left_anti").drop("own_id_")
+    own = free_name(docs, "own_id")
+    gone = gone.withColumnRenamed("doc_id", own)
+    return docs.withColumn(own, F.col("doc_id").cast("long")).join(F.broadcast(gone) if small else gone, own, "left_anti").drop(own)

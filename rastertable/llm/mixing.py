@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastertable.llm.tables import checkpointed, join_small
+from rastertable.llm.tables import checkpointed, free_name, join_small
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -127,12 +127,14 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def resampled(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of ``docs``, all columns, as often as the mix takes them: whole texts, a part of a text by a seeded draw.
 
-    Rows with the same doc_id are taken equally often. Rows without words are not taken.
+    Rows with the same doc_id are taken equally often. Rows without words (null and empty texts too) are not taken; a null source mixes as a source
+    of its own; an empty table stays empty. Further columns may have any names.
     """
+    own, copies, copy = (free_name(docs, n) for n in ("own_id", "copies", "copy"))
     share = F.coalesce(F.try_divide(F.sum("taken"), F.sum("size")), F.lit(0.0))
     draw = number(hashed(mix.seed + " copies", F.col("doc_id"))) / float(1 << 60)
     taken = (mixed(docs, mix).groupBy("doc_id").agg(share.alias("share"))
-             .select(F.col("doc_id").alias("own_id_"), (F.floor("share") + (draw < F.col("share") - F.floor("share")).cast("int")).alias("copies_"))
-             .filter("copies_ > 0"))
-    rows = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["own_id_"]))
-    return rows.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_").cast("long")))).select(*docs.columns)
+             .select(F.col("doc_id").alias(own), (F.floor("share") + (draw < F.col("share") - F.floor("share")).cast("int")).alias(copies))
+             .filter(F.col(copies) > 0))
+    rows = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken[own]))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies).cast("long")))).select(*docs.columns)

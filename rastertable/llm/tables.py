@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rastertable.sources.shared import checkpointed, new_folder, shared_dir
 
-__all__ = ["checkpointed", "documents", "join_small", "map_rows", "new_folder", "read_table", "release", "shared_dir"]
+__all__ = ["checkpointed", "documents", "free_name", "join_small", "map_rows", "new_folder", "read_table", "release", "release_shuffles", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,20 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of tables that nothing refers to any more; it learns of them only when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     start = 0
     while start < batch.num_rows:

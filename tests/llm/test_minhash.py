@@ -85,3 +85,29 @@ def test_empty(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     assert compare(spark, connect(sf), QUERIES["op9_minhash"], ORACLES["op9_minhash"], sf).startswith("ok")
+
+
+def test_distinct_keeps_columns_of_any_name(spark):
+    text = "one two three four five six seven eight"
+    df = spark.createDataFrame([(1, text, 7, 8), (2, text, 9, 10), (3, None, 1, 2), (None, text, 3, 4)], "doc_id long, text string, own_id long, own_id_ long")
+    assert sorted(map(tuple, minhash.distinct(df).collect()), key=str) == sorted([(1, text, 7, 8), (3, None, 1, 2), (None, text, 3, 4)], key=str)
+
+
+def test_several_centres(spark):
+    """Heavily edited copies around more than one centre, and copies that share additions: links equal those of all pairs."""
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    base = [word() for _ in range(150)]
+    other = base[:110] + [word() for _ in range(40)]
+    texts = [base, other]
+    for k in range(300):
+        copy = list(rnd.choice([base, base, other]))
+        for _ in range(rnd.choice([1, 2, 5, 8, 12, 20])):
+            copy[rnd.randrange(150)] = word()
+        if k % 3 == 0:
+            at = rnd.randrange(120)
+            copy[at:at] = other[120:140]
+        texts.append(copy)
+    rows = [(i, " ".join(t), 0, 0) for i, t in enumerate(texts)]
+    got = sorted((tuple(r) for r in minhash.linked(spark.createDataFrame(rows, "doc_id long, text string, n long, component long"), minhash.Rule(words=4)).collect()), key=str)
+    assert got == plain(rows, 4)

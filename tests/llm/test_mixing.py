@@ -75,3 +75,10 @@ def test_mixed(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     assert compare(spark, connect(sf), QUERIES["op3_mixing"], ORACLES["op3_mixing"], sf).startswith("ok")
+
+
+def test_resampled_keeps_columns_of_any_name(spark):
+    rows = [(i, "w " * i, "a", i, -i, "x") for i in range(40)] + [(None, None, None, 0, 0, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, own_id long, copies long, copy_ string").withColumn("own_id_", mixing.F.lit(5))
+    got = mixing.resampled(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= {tuple(r) for r in df.collect()} and got.count() > 20

@@ -202,7 +202,7 @@ FROM a2 JOIN px USING (scene, "row", col)""")
 def mask_alpha(spark, d):
     cells = A.a2_cells(spark, d)
     alpha = cells.where("band = 'quantity'").select("scene", "row", "col", F.floor(F.col("value") / 11).alias("alpha"))
-    grids = A.a2_grids(spark, d).withColumn("nodata", F.lit(None).cast("double"))
+    grids = A.a2_grids(spark, d).withColumns({"nodata": F.lit(None).cast("double"), "has_alpha": F.lit(True)})
     return stats.masked_cells(cells.join(alpha, ["scene", "row", "col"]), grids, A.A2_KEYS).select(
         "scene", "band", "row", "col", "value")
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from rastertable.functions import geo
 from rastertable.functions.masks import finite
 from rastertable.operators.crs import per_crs
+from rastertable.sources.shared import checkpointed
 
 CHUNK_ROWS = 1024  # raster rows whose candidates meet in one first-round group
 
@@ -58,10 +59,15 @@ def hull_vertices(cells: DataFrame, keys) -> DataFrame:
     pixel is a square, so every row gives four corners. Hulls are built per
     chunk of rows first; the final group of a dataset holds chunk hulls only.
     """
+    rows = (cells.where(finite("value").isNotNull())
+            .groupBy(*keys, "row").agg(F.min("col").alias("lo"), F.max("col").alias("hi")))
+    return vertices_of_rows(rows, keys)
+
+
+def vertices_of_rows(rows: DataFrame, keys) -> DataFrame:
+    """The same from the first and last valid column (``lo``, ``hi``) of each raster row."""
     keys = list(keys)
-    rows = (
-        cells.where(finite("value").isNotNull())
-        .groupBy(*keys, "row").agg(F.min("col").alias("_lo"), (F.max("col") + 1).alias("_hi")))
+    rows = rows.select(*keys, "row", F.col("lo").alias("_lo"), (F.col("hi") + 1).alias("_hi"))
     corners = rows.select(
         *keys, F.floor(F.col("row") / CHUNK_ROWS).cast("long").alias("_chunk"),
         F.explode(F.array(*[F.struct(F.col(c).cast("long").alias("x"), (F.col("row") + d).cast("long").alias("y"))
@@ -88,8 +94,16 @@ def hull_vertices(cells: DataFrame, keys) -> DataFrame:
 
 def convex_hull(cells: DataFrame, grids: DataFrame, keys, crs: str | None = None) -> DataFrame:
     """Hull in degrees: ``hull`` (open ring of lon/lat) and ``convex_hull`` (GeoJSON)."""
-    keys = list(keys)
-    vertices = hull_vertices(cells, keys)
+    return _in_degrees(hull_vertices(cells, keys), grids, keys, crs)
+
+
+def convex_hull_of_rows(rows: DataFrame, grids: DataFrame, keys, crs: str | None = None) -> DataFrame:
+    """The same from the ends of each raster row."""
+    return _in_degrees(vertices_of_rows(rows, keys), grids, keys, crs)
+
+
+def _in_degrees(vertices: DataFrame, grids: DataFrame, keys, crs: str | None) -> DataFrame:
+    keys, vertices = list(keys), checkpointed(vertices)  # a few points per dataset, placed once for each kind of CRS
     x, y = geo.pixel_to_xy(F.col("x").cast("double"), F.col("y").cast("double"))
 
     def build(some, kind):

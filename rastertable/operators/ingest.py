@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastertable.operators.catalog import Catalog, CatalogError, only_new
+from rastertable.operators.states import metadata_of_blocks
 from rastertable.operators.stats import compute_metadata
 from rastertable.sources import paths as path_keys
 from rastertable.sources.shared import checkpointed
@@ -29,11 +30,11 @@ def keyed_rasters(datasets: DataFrame, rasters: DataFrame) -> DataFrame:
 
 
 def ingest(catalog: Catalog, datasets: DataFrame, cells: DataFrame | None = None, grids: DataFrame | None = None, *,
-           skip_metadata: bool = False, skip_existing: bool = False, override_paths: DataFrame | None = None,
+           blocks: DataFrame | None = None, skip_metadata: bool = False, skip_existing: bool = False, override_paths: DataFrame | None = None,
            extra: DataFrame | None = None, **stats_options) -> Catalog:
     """Upsert ``datasets`` (keys, path) with the statistics of their rasters.
 
-    ``cells`` and ``grids`` carry a ``path`` column. The keys must be those of
+    ``cells`` (or stored ``blocks``, whose pixels are read once or twice in all) and ``grids`` carry a ``path`` column. The keys must be those of
     the catalog, in name and order. With statistics, datasets without a valid
     pixel are not inserted. ``override_paths`` (path, override_path) stores
     another path than the one read.
@@ -45,8 +46,8 @@ def ingest(catalog: Catalog, datasets: DataFrame, cells: DataFrame | None = None
         datasets = only_new(datasets, catalog.datasets, keys)
     metadata = None
     if not skip_metadata:
-        metadata = compute_metadata(keyed_rasters(datasets, cells), keyed_rasters(datasets, grids), keys,
-                                    extra=extra, **stats_options)
+        pixels, compute = (cells, compute_metadata) if blocks is None else (blocks, metadata_of_blocks)
+        metadata = compute(keyed_rasters(datasets, pixels), keyed_rasters(datasets, grids), keys, extra=extra, **stats_options)
         metadata = checkpointed(metadata)  # one row per dataset, used several times from here on
         datasets = datasets.join(metadata.select(*keys), keys, "left_semi")
     if override_paths is not None:

@@ -10,6 +10,7 @@ from rastertable.plans import adapters as A
 from rastertable.plans.geo_queries import bounds_sql
 from rastertable.plans.registry import query
 from rastertable.plans.stats_queries import SQL_MOMENTS, r
+from rastertable.sources.cells import pack_blocks
 from rastertable.sources.shared import new_folder
 from rastertable.streaming.ingest import start_ingest, streamed_stats
 
@@ -38,6 +39,32 @@ def ingest_batch(spark, d):
                       F.round(F.get("percentiles", F.lit(49)).cast("double"), 5).alias("p50"))
 
 
+_MASKED = 'CASE WHEN "row" + col >= 12 AND col % 5 <> 2 THEN value END'
+
+
+@query("ingest_blocks", f"""WITH {A.A1_SQL}, {bounds_sql('EPSG:4326')}, ps AS (SELECT unnest(range(1, 100)) AS p)
+SELECT 'europe' AS area, s.scene, '/rasters/europe/' || s.scene || '_v1.tif' AS path, min, max, mean, stdev,
+  round(n_valid / CAST(width * height AS DOUBLE) * 100, 6) AS valid_percentage,
+  round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north,
+  CAST(p AS INTEGER) AS p, round(CAST(CAST(q[p] AS FLOAT) AS DOUBLE), 5) AS value, '{{"sensor":"' || s.scene || '"}}' AS metadata
+FROM (SELECT scene, {SQL_MOMENTS}, quantile_cont(v, [{', '.join(f'{p / 100}' for p in range(1, 100))}]) AS q
+      FROM (SELECT scene, {_MASKED} AS v FROM a1) GROUP BY 1) s
+JOIN bounds USING (scene), ps""")
+def ingest_blocks(spark, d):
+    """Whole metadata rows from stored blocks with nodata and alpha: one scan for states, one more for percentiles."""
+    grids = A.a1_grids(spark, d, "EPSG:4326").withColumns({"path": _path(), "nodata": F.lit(-99.0), "has_alpha": F.lit(True)}).drop("scene")
+    cells = (A.a1_cells(spark, d).withColumn("path", _path()).drop("scene")
+             .withColumn("value", F.when(F.col("row") + F.col("col") < 12, F.lit(-99.0)).otherwise(F.col("value"))))
+    blocks = pack_blocks(cells, ["path"], 32).withColumn("alpha", F.transform("values", lambda v, i: F.when((F.col("block_col") * 32 + i % 32) % 5 == 2, 0).otherwise(255)))
+    datasets = I.datasets_from_paths(grids.select("path"), PATTERN)
+    extra = datasets.select("area", "scene", F.to_json(F.struct(F.col("scene").alias("sensor"))).alias("metadata"))
+    catalog = I.ingest(Catalog.create(spark, ["area", "scene"]), datasets, blocks=blocks, grids=grids, extra=extra, size=32, digest=200)
+    out = catalog.datasets.join(catalog.metadata, ["area", "scene"])
+    rounded = [r(c).alias(c) for c in ("min", "max", "mean", "stdev", "valid_percentage", "west", "south", "east", "north")]
+    return out.select("area", "scene", "path", *rounded, "metadata", F.posexplode("percentiles").alias("i", "q")).select(
+        "*", (F.col("i") + 1).alias("p"), F.round(F.col("q").cast("double"), 5).alias("value")).drop("i", "q")
+
+
 @query("ingest_stream", f"""WITH {A.A1_SQL}
 SELECT scene, {SQL_MOMENTS} FROM (SELECT scene, value AS v FROM a1) GROUP BY 1""")
 def ingest_stream(spark, d):

@@ -6,9 +6,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from rastertable.operators import hull, percentiles, stats
+from rastertable.operators import hull, percentiles, states, stats
 from rastertable.plans import adapters as A
 from rastertable.plans.registry import query
+from rastertable.sources.cells import pack_blocks
+from rastertable.sources.shared import checkpointed
 
 
 def r(c, n=6):
@@ -61,6 +63,48 @@ def percentiles_refined(spark, d):
         "scene", "band", (F.col("i") + 1).cast("int").alias("p"), r("q").alias("value"))
 
 
+@query("percentiles_bracketed", REFINED_SQL)
+def percentiles_bracketed(spark, d):
+    """Percentiles of stored blocks: digests of 64 centroids bracket them, a second scan settles them."""
+    grids = A.a2_grids(spark, d).withColumn("nodata", F.lit(None).cast("double"))
+    blocks = pack_blocks(A.a2_cells(spark, d), A.A2_KEYS, 64)
+    merged = checkpointed(states.merged_states(states.states_of_blocks(blocks, grids, A.A2_KEYS, 64, 64), A.A2_KEYS, 64))
+    out = states.exact_percentiles_of_blocks(blocks, grids, A.A2_KEYS, merged, node=100)
+    return out.select("scene", "band", F.posexplode("percentiles").alias("i", "q")).select(
+        "scene", "band", (F.col("i") + 1).cast("int").alias("p"), r("q").alias("value"))
+
+
+def _digest_sql(name, source, group, most):
+    """Centroids of weighted values (v, w): values that fill a share stay alone, the others are put together by rank."""
+    cols = ", ".join(group)
+    over = f"PARTITION BY {cols}"
+    return f"""{name} AS (
+  SELECT {cols}, sum(v * w) / sum(w) AS v, CAST(sum(w) AS BIGINT) AS w FROM (
+    SELECT *, CASE WHEN kinds <= {most} THEN nth ELSE least(CAST(floor((cum - CAST(w AS DOUBLE) / 2) / n * {most}) AS BIGINT), {most - 1}) END AS share,
+      CASE WHEN kinds <= {most} THEN 0 ELSE count(CASE WHEN w * {most} >= n THEN 1 END) OVER ({over} ORDER BY v) END AS heavy
+    FROM (SELECT *, count(*) OVER ({over}) AS kinds, row_number() OVER ({over} ORDER BY v) AS nth,
+            CAST(sum(w) OVER ({over}) AS DOUBLE) AS n, CAST(sum(w) OVER ({over} ORDER BY v) AS DOUBLE) AS cum
+          FROM (SELECT {cols}, v, sum(w) AS w FROM {source} GROUP BY {cols}, v)))
+  GROUP BY {cols}, share, heavy, kinds > {most} AND w * {most} >= n)"""
+
+
+@query("percentiles_digest", f"""
+WITH {A.A1_SQL}, px1 AS (SELECT scene, "row" // 32 AS br, col // 32 AS bc, value AS v, 1 AS w FROM a1),
+{_digest_sql("block", "px1", ("scene", "br", "bc"), 50)}, {_digest_sql("merged", "block", ("scene",), 50)},
+cum AS (SELECT scene, v, CAST(sum(w) OVER (PARTITION BY scene ORDER BY v) AS BIGINT) AS stop, w, CAST(sum(w) OVER (PARTITION BY scene) AS BIGINT) AS n FROM merged),
+at AS (SELECT scene, p, (n - 1) * p // 100 AS a, (n - 1) * p // 100 + CASE WHEN (n - 1) * p % 100 > 0 THEN 1 ELSE 0 END AS z, ((n - 1) * p % 100) / CAST(100 AS DOUBLE) AS f
+       FROM (SELECT DISTINCT scene, n FROM cum), range(1, 100) t(p))
+SELECT scene, CAST(p AS INTEGER) AS p, round((1 - any_value(f)) * max(CASE WHEN a >= stop - w AND a < stop THEN v END)
+  + any_value(f) * max(CASE WHEN z >= stop - w AND z < stop THEN v END), 6) AS value
+FROM at JOIN cum USING (scene) GROUP BY 1, 2""".replace("at AS (", "spot AS (").replace("FROM at JOIN", "FROM spot JOIN"))
+def percentiles_digest(spark, d):
+    """Percentiles from merged digests of 50 centroids alone; the SQL builds the same digests."""
+    blocks = pack_blocks(A.a1_cells(spark, d), A.A1_KEYS, 32)
+    merged = states.merged_states(states.states_of_blocks(blocks, A.a1_grids(spark, d), A.A1_KEYS, 32, 50), A.A1_KEYS, 50)
+    out = states.digest_percentiles(merged, A.A1_KEYS)
+    return out.select("scene", F.posexplode("percentiles").alias("i", "q")).select("scene", (F.col("i") + 1).cast("int").alias("p"), r("q").alias("value"))
+
+
 @query("mask_mixed", f"""
 WITH {A.A1_SQL} SELECT scene, "row", col,
   CASE WHEN "row" % 7 = 3 OR "row" % 7 = 4 OR (scene < 's4' AND col % 3 = 0) OR (scene >= 's4' AND "row" % 7 = 5) THEN NULL ELSE value END AS value
@@ -171,6 +215,26 @@ def convex_hull(spark, d):
     return hull.hull_vertices(A.a3_cells(spark, d), A.A3_KEYS).select("event_type", "x", "y")
 
 
+_CUT_SQL = """m1 AS (SELECT scene, "row", col FROM a1 WHERE "row" + col >= 12 AND ("row" < 40 OR col < 50))"""
+
+
+@query("hull_geojson", f"""
+WITH {A.a1_grids_sql('EPSG:4326')}, vertices AS ({_HULL_SQL.replace(A.A3_SQL, A.A1_SQL + ", " + _CUT_SQL).replace("FROM a3", "FROM m1").replace("event_type", "scene")})
+SELECT scene, round(c + a * x, 6) AS lon, round(f + e * y, 6) AS lat, CAST(count(*) OVER (PARTITION BY scene) + 1 AS INTEGER) AS ring, true AS closed
+FROM vertices JOIN g1 USING (scene)""")
+def hull_geojson(spark, d):
+    """Hulls in degrees read back from their GeoJSON; the ends of raster rows come from block states."""
+    cells = A.a1_cells(spark, d).where('`row` + col >= 12 AND (`row` < 40 OR col < 50)')
+    grids = A.a1_grids(spark, d, "EPSG:4326")
+    found = states.states_of_blocks(pack_blocks(cells, A.A1_KEYS, 16), grids, A.A1_KEYS, 16)
+    shapes = hull.convex_hull_of_rows(states.row_ends(checkpointed(found), A.A1_KEYS, 16), grids, A.A1_KEYS)
+    ring = F.from_json("convex_hull", "type STRING, coordinates ARRAY<ARRAY<ARRAY<DOUBLE>>>")["coordinates"][0]
+    rings = shapes.select("scene", ring.alias("ring"))
+    points = rings.select("scene", F.size("ring").alias("ring"), (F.element_at("ring", 1) == F.element_at("ring", -1)).alias("closed"),
+                          F.explode(F.slice("ring", F.lit(1), F.size("ring") - 1)).alias("pt"))
+    return points.select("scene", r(F.col("pt")[0]).alias("lon"), r(F.col("pt")[1]).alias("lat"), "ring", "closed")
+
+
 _R = "CAST(6378137 AS DOUBLE)"
 
 

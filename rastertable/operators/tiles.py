@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastertable.functions import geo
-from rastertable.functions.masks import finite
+from rastertable.functions.masks import read_mask
 from rastertable.operators.crs import per_crs
 from rastertable.operators.stats import box_edges, located_grids
 from rastertable.sources.cells import BLOCK_SIZE
@@ -35,6 +35,7 @@ CHUNK = 256           # side of a chunk of working pixels
 MIN_WEIGHT = 1e-9
 
 HEADER = (*"abcdef", "crs", "width", "height")
+MASKS = ("nodata", "has_alpha")  # header columns that not every grid table has
 
 
 def check_method(method: str) -> str:
@@ -177,7 +178,8 @@ def _chunks(frames: DataFrame, keys, ids) -> DataFrame:
     cut = (
         ranges.withColumn("c0", F.explode(F.sequence("_fc", "_lc", F.lit(CHUNK))))
         .withColumn("r0", F.explode(F.sequence("_fr", "_lr", F.lit(CHUNK)))))
-    return cut.select(*keys, *ids, *HEADER, "vw", "vh", F.col("left").alias("fl"), F.col("top").alias("ft"), "sx", "sy", "c0", "r0",
+    masks = [F.col(c) if c in frames.columns else F.lit(None).cast(kind).alias(c) for c, kind in zip(MASKS, ("double", "boolean"))]
+    return cut.select(*keys, *ids, *HEADER, *masks, "vw", "vh", F.col("left").alias("fl"), F.col("top").alias("ft"), "sx", "sy", "c0", "r0",
                       F.least(F.col("c0") + CHUNK - 1, F.col("_lc")).alias("c1"),
                       F.least(F.col("r0") + CHUNK - 1, F.col("_lr")).alias("r1"))
 
@@ -220,13 +222,24 @@ def _chunk_blocks(chunks: DataFrame, crs: str, reach: int, size: int) -> DataFra
         .select(*chunks.columns, "block_row", "block_col"))
 
 
+def _layers(blocks: DataFrame) -> list[str]:
+    return [c for c in ("values", "alpha") if c in blocks.columns]
+
+
+def _read(blocks: DataFrame, at: Column) -> Column:
+    """The pixel at a position of a block's array, masked by the rules of its grid."""
+    alpha = F.get("alpha", at) if "alpha" in blocks.columns else None
+    return read_mask(F.get("values", at), "nodata", alpha, F.coalesce("has_alpha", F.lit(False)))
+
+
 def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear",
          block_size: int = BLOCK_SIZE, crs: str | None = None) -> DataFrame:
     """Working pixels of every frame that have a value: keys, ids, vw, vh, vr, vc, v.
 
     A working pixel has a value only if its centre lies on the raster. Linear
     weighs the 4 pixels around it, leaving masked ones out; cubic weighs 16
-    and falls back to linear where one of them is masked or off the raster.
+    and falls back to linear where one of them is masked or off the raster. Masked are pixels of
+    the grid's nodata value, pixels whose ``alpha`` (an array of the block) is 0 where the grid has alpha, and non-finite ones.
     """
     keys, ids = list(keys), list(ids)
     if crs is None:
@@ -244,7 +257,7 @@ def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear"
     spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.repartition(spread, *keys, "block_row", "block_col")
     pixels = (
-        pairs.join(blocks.select(*keys, "block_row", "block_col", "values"), [*keys, "block_row", "block_col"])
+        pairs.join(blocks.select(*keys, "block_row", "block_col", *_layers(blocks)), [*keys, "block_row", "block_col"])
         .withColumn("_i", F.explode(F.sequence(F.lit(0), n_pixels - 1)))
         .withColumn("vc", F.col("c0") + F.col("_i") % n_cols)
         .withColumn("vr", F.col("r0") + F.call_function("div", F.col("_i"), n_cols).cast("int")))
@@ -265,7 +278,7 @@ def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear"
     tapped = tapped.withColumns({"_ic": in_col, "_ir": in_row}).where(
         F.col("_ic").between(0, block_size - 1) & F.col("_ir").between(0, block_size - 1)
         & (F.col("_bc") + F.col("_dc") < F.col("width")) & (F.col("_br") + F.col("_dr") < F.col("height")))
-    read = finite(F.get("values", F.col("_ir") * block_size + F.col("_ic")))
+    read = _read(blocks, F.col("_ir") * block_size + F.col("_ic"))
     tapped = tapped.withColumn("_val", read).where("_val IS NOT NULL")
     group = [*keys, *ids, "vw", "vh", "vr", "vc"]
     if method == "nearest":

@@ -130,6 +130,30 @@ def _layer(spark, d, crs, zooms, size, **methods):
     return out.withColumn("value", F.round("value", 6))
 
 
+def _masked_tile_sql(hole, crs, zooms, size, reduce=None):
+    """A tile layer whose cells leave out those for which ``hole`` holds."""
+    return tile_sql(crs, zooms, size, "linear", reduce).replace(
+        f"WHERE value >= CAST('{MASKED_BELOW}' AS DOUBLE)", f"WHERE value >= CAST('{MASKED_BELOW}' AS DOUBLE) AND NOT ({hole})")
+
+
+@query("tile_nodata", _masked_tile_sql('("row" + col) % 5 = 0', "EPSG:4326", (13,), (32, 32)))
+def tile_nodata(spark, d):
+    """A fifth of all stored pixels hold the nodata value, which no tile shows or interpolates with."""
+    cells = _cells(spark, d).withColumn("value", F.when((F.col("row") + F.col("col")) % 5 == 0, F.lit(1e6)).otherwise(F.col("value")))
+    grids = A.a1_grids(spark, d, "EPSG:4326").withColumn("nodata", F.lit(1e6))
+    out = tiles.tile_layer(pack_blocks(cells, A.A1_KEYS, BLOCK), grids, A.A1_KEYS, (13,), (32, 32), block_size=BLOCK)
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query("tile_alpha", _masked_tile_sql('col % 7 = 3 AND scene < \'s4\'', "EPSG:3857", (9,), (32, 32), "average"))
+def tile_alpha(spark, d):
+    """Every seventh column is transparent; only some grids have alpha."""
+    blocks = _blocks(spark, d).withColumn("alpha", F.transform("values", lambda v, i: ((F.col("block_col") * BLOCK + i % BLOCK) % 7 != 3).cast("int")))
+    grids = A.a1_grids(spark, d).withColumn("has_alpha", F.col("scene") < "s4")
+    out = tiles.tile_layer(blocks, grids, A.A1_KEYS, (9,), (32, 32), block_size=BLOCK)
+    return out.withColumn("value", F.round("value", 6))
+
+
 @query("tile_layer_nearest", tile_sql("EPSG:4326", (13,), (32, 32), "nearest"))
 def tile_layer_nearest(spark, d):
     return _layer(spark, d, "EPSG:4326", (13,), (32, 32), preserve_values=True)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rastertable.operators import layout, overviews, render, stats, tiles
 from rastertable.operators import pyramid as Y
-from rastertable.operators import render, stats, tiles
 from rastertable.plans import adapters as A
 from rastertable.plans.geo_queries import PI, R, bounds_sql, cover_sql, tile_box_sql
 from rastertable.plans.registry import query
 from rastertable.plans.render_queries import quantised_sql
-from rastertable.sources.cells import pack_blocks
+from rastertable.sources.cells import pack_blocks, unpack_blocks
+from rastertable.sources.shared import new_folder
 
 BLOCK = 16  # small blocks, so the small test rasters span many of them
 MASKED_BELOW = -0.15
@@ -311,6 +312,65 @@ def pyramid_nodata(spark, d):
     return out.select("scene", "level", "row", "col", F.round("value", 6).alias("value"))
 
 
+def _overview_cells(spark, d, method):
+    """Overviews made inside blocks of 4 x 4, so that several rounds of levels are needed, spelled out as cells."""
+    blocks = pack_blocks(_cells(spark, d), A.A1_KEYS, 4)
+    made = overviews.overview_blocks(blocks, A.a1_grids(spark, d), A.A1_KEYS, method, 4)
+    return unpack_blocks(made, [*A.A1_KEYS, "level"], 4).where("value IS NOT NULL").select("scene", "level", "row", "col", F.round("value", 6).alias("value"))
+
+
+_SMALL_DEEP = DEEP_SQL.replace(f"// {BLOCK}", "// 4")
+
+
+@query("pyramid_blocks", f"""WITH {_SMALL_DEEP}
+SELECT scene, level, CAST("row" // (1 << level) AS INTEGER) AS "row", CAST(col // (1 << level) AS INTEGER) AS col, round(avg(value), 6) AS value
+FROM (SELECT scene, "row", col, value, CAST(unnest(range(1, levels + 1)) AS INTEGER) AS level FROM cells JOIN deep USING (scene)) GROUP BY 1, 2, 3, 4""")
+def pyramid_blocks(spark, d):
+    return _overview_cells(spark, d, "average")
+
+
+@query("pyramid_blocks_nearest", f"""WITH {_SMALL_DEEP}
+SELECT scene, level, CAST("row" // (1 << level) AS INTEGER) AS "row", CAST(col // (1 << level) AS INTEGER) AS col, round(value, 6) AS value
+FROM (SELECT scene, "row", col, value, CAST(unnest(range(1, levels + 1)) AS INTEGER) AS level FROM cells JOIN deep USING (scene))
+WHERE "row" % (1 << level) = 0 AND col % (1 << level) = 0""")
+def pyramid_blocks_nearest(spark, d):
+    return _overview_cells(spark, d, "nearest")
+
+
+def _stored(spark, d, crs):
+    """A1 with nodata and alpha, written as a clustered table with masks."""
+    hole = (F.col("row") + F.col("col")) % 5 == 0
+    cells = _cells(spark, d).withColumn("value", F.when(hole, F.lit(1e6)).otherwise(F.col("value")))
+    blocks = pack_blocks(cells, A.A1_KEYS, BLOCK).withColumn("alpha", F.transform("values", lambda v, i: ((F.col("block_row") * BLOCK + F.floor(i / BLOCK)) >= 4).cast("int")))
+    grids = A.a1_grids(spark, d, crs).withColumns({"nodata": F.lit(1e6), "has_alpha": F.col("scene") == "s1"})
+    path = new_folder(spark, "blocks")
+    layout.write_blocks(blocks, grids, A.A1_KEYS, path, files=4)
+    return path, grids
+
+
+_HOLES = '("row" + col) % 5 = 0 OR (scene = \'s1\' AND "row" < 4)'
+
+
+@query("tiled_written", f"""WITH {CELLS_SQL}
+SELECT scene, "row", col, round(value, 6) AS value FROM cells WHERE NOT ({_HOLES})""")
+def tiled_written(spark, d):
+    """Blocks written with their masks and read back as cells."""
+    path, _ = _stored(spark, d, "EPSG:3857")
+    return unpack_blocks(layout.read_blocks(spark, path), A.A1_KEYS, BLOCK).where("value IS NOT NULL").select("scene", "row", "col", F.round("value", 6).alias("value"))
+
+
+@query("tile_from_store", tile_sql("EPSG:4326", (13,), (32, 32), "linear").replace(
+    f"WHERE value >= CAST('{MASKED_BELOW}' AS DOUBLE)", f"WHERE value >= CAST('{MASKED_BELOW}' AS DOUBLE) AND NOT ({_HOLES})") + " WHERE (x + y) % 3 = 0")
+def tile_from_store(spark, d):
+    """Every third tile of a zoom, from the stored blocks that those tiles read alone."""
+    path, grids = _stored(spark, d, "EPSG:4326")
+    cover = tiles.tile_cover(stats.geographic_bounds(grids, A.A1_KEYS), (13,)).where("(x + y) % 3 = 0")
+    frames = tiles.tile_frames(grids, A.A1_KEYS, (13,), (32, 32), tiles=cover)
+    blocks = layout.read_for_frames(spark, path, frames, A.A1_KEYS, tiles.TILE_IDS, block_size=BLOCK)
+    out = tiles.tile_layer(blocks, grids.drop("nodata", "has_alpha"), A.A1_KEYS, (13,), (32, 32), tiles=cover, block_size=BLOCK)
+    return out.withColumn("value", F.round("value", 6))
+
+
 @query("tile_request", f"""WITH {CELLS_SQL}, {frames_sql('EPSG:4326', (3, 12, 16), (8, 8))}
 SELECT scene, z, x, y FROM frames WHERE (x + y) % 2 = 0""")
 def tile_request(spark, d):

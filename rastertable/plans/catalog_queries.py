@@ -9,6 +9,8 @@ from rastertable.operators import stats
 from rastertable.plans import adapters as A
 from rastertable.plans.registry import query
 from rastertable.sources import paths as P
+from rastertable.sources.catalog_log import CatalogLog
+from rastertable.sources.shared import new_folder
 
 KEYS = A.A4_KEYS
 SPLIT = "1998-01-01"  # orders from this day on play the part of new arrivals
@@ -194,3 +196,43 @@ def catalog_upgrade(spark, d):
     old = orders.select(*KEYS, F.col("path").alias("filepath"), F.col("o_totalprice").cast("float").alias("bounds_north"),
                         (F.col("o_totalprice") * 2).cast("float").alias("mean"))
     return cat.rename_bounds(cat.upgrade_metadata_0_8(cat.upgrade_datasets_0_7(old)))
+
+
+# --- the catalog as a log -------------------------------------------------------
+
+_UNIQUE_SQL = f"""{A.A4_SQL}, u AS (
+  SELECT status, priority, customer, max_by(path, o_orderkey) AS path, round(avg(o_totalprice), 4) AS mean, max(o_orderkey) AS k FROM a4 GROUP BY 1, 2, 3)"""
+_CURSOR = ("F", "3-MEDIUM", "5")
+
+
+def _logged(spark, d):
+    """Datasets with statistics, then changed ones without, then deletions, in commits of their own."""
+    keys = A.A4_KEYS
+    unique = A.a4_datasets(spark, d).groupBy(*keys).agg(
+        F.max_by("path", "o_orderkey").alias("path"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.max("o_orderkey").alias("k"))
+    log = CatalogLog.create(spark, new_folder(spark, "catalog-log"), keys, file_rows=500)
+    log.upsert(unique.select(*keys, "path"), unique.select(*keys, "mean"))
+    log.compact()
+    changed = unique.where("k % 3 = 0")
+    log.upsert(changed.select(*keys, F.concat(F.lit("/new"), "path").alias("path")))
+    log.add_metadata(changed.where("k % 2 = 0").select(*keys, (-F.col("mean")).alias("mean")))
+    log.delete(unique.where("k % 5 = 1").select(*keys))
+    return log
+
+
+_LOGGED_SQL = f"""{_UNIQUE_SQL}, l AS (
+  SELECT status, priority, customer, CASE WHEN k % 3 = 0 THEN '/new' || path ELSE path END AS path,
+    CASE WHEN k % 3 <> 0 THEN mean WHEN k % 2 = 0 THEN -mean END AS mean FROM u WHERE k % 5 <> 1)"""
+
+
+@query("catalog_log", f"WITH {_LOGGED_SQL} SELECT * FROM l")
+def catalog_log(spark, d):
+    catalog = _logged(spark, d).load()
+    return catalog.datasets.join(catalog.metadata.select(*A.A4_KEYS, "mean"), A.A4_KEYS, "left")
+
+
+@query("catalog_page_after", f"""WITH {_LOGGED_SQL}
+SELECT status, priority, customer, path FROM l WHERE (status, priority, customer) > {_CURSOR} ORDER BY status, priority, customer LIMIT 200""")
+def catalog_page_after(spark, d):
+    """The page behind a key, from the files of its key range and the changes since."""
+    return _logged(spark, d).page_after(_CURSOR, 200)

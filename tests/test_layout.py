@@ -78,7 +78,9 @@ def test_frames_read_few_blocks(spark, tmp_path):
     frames = tiles.tile_frames(grids, ["key"], (16,), tiles=wanted)
     found = layout.read_for_frames(spark, path, frames, ["key"], tiles.TILE_IDS, block_size=4)
     assert 1 <= found.count() <= 40
-    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    plan = layout.read_for_frames(spark, path, frames, ["key"], tiles.TILE_IDS, block_size=4)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "PushedFilters" in plan and "GreaterThanOrEqual(z_order" in plan and "EqualTo(key,big)" in plan
     whole = tiles.tile_layer(blocks, grids, ["key"], (16,), tiles=wanted, block_size=4)
     some = tiles.tile_layer(found, grids, ["key"], (16,), tiles=wanted, block_size=4)

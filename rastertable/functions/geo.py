@@ -195,6 +195,123 @@ def _utm_unfold(crs: Column, xi: Column, eta: Column, chi: Column) -> tuple[Colu
     return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + _utm_meridian(crs), F.degrees(phi)
 
 
+# --- conformal conics and polar stereographic; Lambert azimuthal equal-area -------
+
+def _isometric(lat: float) -> float:
+    s = math.sin(math.radians(lat))
+    return math.atanh(s) - _ECC * math.atanh(_ECC * s)
+
+
+def _parallel_radius(lat: float) -> float:
+    s = math.sin(math.radians(lat))
+    return math.cos(math.radians(lat)) / math.sqrt(1 - (_ECC * s) ** 2)
+
+
+def conic(lon0: float, x0: float, y0: float, parallels: tuple[float, ...], lat0: float | None = None) -> dict[str, float]:
+    """Constants of a conformal conic: radius c * exp(-n * isometric latitude) about the pole.
+
+    One standard parallel without ``lat0`` is polar stereographic, which is the conic of n = 1 or -1 with its origin at the pole.
+    """
+    if lat0 is None:
+        n = math.copysign(1.0, parallels[0])
+    elif len(parallels) == 2 and parallels[0] != parallels[1]:
+        a, b = parallels
+        n = (math.log(_parallel_radius(a)) - math.log(_parallel_radius(b))) / (_isometric(b) - _isometric(a))
+    else:
+        n = math.sin(math.radians(parallels[0]))
+    c = EARTH_RADIUS * _parallel_radius(parallels[0]) / n * math.exp(n * _isometric(parallels[0]))
+    return {"n": n, "c": c, "rho0": 0.0 if lat0 is None else c * math.exp(-n * _isometric(lat0)), "lon0": lon0, "x0": x0, "y0": y0}
+
+
+def _authalic(s: float) -> float:
+    return (1 - _ECC**2) * (s / (1 - (_ECC * s) ** 2) + math.atanh(_ECC * s) / _ECC)
+
+
+def equal_area(lon0: float, lat0: float, x0: float, y0: float) -> dict[str, float]:
+    """Constants of Lambert's azimuthal equal-area projection about a point off the poles."""
+    pole = _authalic(1.0)
+    beta = math.asin(_authalic(math.sin(math.radians(lat0))) / pole)
+    radius = EARTH_RADIUS * math.sqrt(pole / 2)
+    return {"sb": math.sin(beta), "cb": math.cos(beta), "r": radius, "d": EARTH_RADIUS * _parallel_radius(lat0) / (radius * math.cos(beta)),
+            "qp": pole, "lon0": lon0, "x0": x0, "y0": y0}
+
+
+# fixed values: parameters of the systems, by code
+CONICS = {
+    "EPSG:2154": conic(3.0, 700000.0, 6600000.0, (49.0, 44.0), 46.5),
+    "EPSG:3034": conic(10.0, 4000000.0, 2800000.0, (35.0, 65.0), 52.0),
+    "EPSG:3031": conic(0.0, 0.0, 0.0, (-71.0,)),
+    "EPSG:3413": conic(-45.0, 0.0, 0.0, (70.0,)),
+    "EPSG:3995": conic(0.0, 0.0, 0.0, (71.0,)),
+}
+EQUAL_AREAS = {"EPSG:3035": equal_area(10.0, 52.0, 4321000.0, 3210000.0)}
+_E2 = _ECC**2
+_AUTHALIC = (_E2 / 3 + 31 * _E2**2 / 180 + 517 * _E2**3 / 5040, 23 * _E2**2 / 360 + 251 * _E2**3 / 3780, 761 * _E2**3 / 45360)
+
+
+def _parameter(crs: Column, systems: dict, name: str) -> Column:
+    """A constant of each row's system."""
+    out = None
+    for code, values in systems.items():
+        out = (F if out is None else out).when(crs == code, F.lit(float(values[name])))
+    return out
+
+
+def _gudermann(psi: Column) -> Column:
+    """Latitude (radians) of an isometric latitude."""
+    chi = F.asin(F.tanh(psi))
+    out = chi
+    for j, d in enumerate(_DELTA, 1):
+        out = out + F.lit(d) * F.sin(chi * (2 * j))
+    return out
+
+
+def _conic_to_lonlat(df, x: Column, y: Column):
+    k = {n: _parameter(normal_crs("crs"), CONICS, n) for n in ("n", "c", "rho0", "lon0", "x0", "y0")}
+    df = once(df, _n=k["n"], _dx=x - k["x0"], _dy=k["rho0"] - (y - k["y0"]))
+    side = F.signum("_n")
+    rho = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
+    ratio = F.greatest(side * rho / k["c"], F.lit(1e-300))
+    df = once(df, _psi=-F.ln(ratio) / F.col("_n"), _theta=F.atan2(side * F.col("_dx"), side * F.col("_dy")))
+    return once(df, _lon=F.degrees(F.col("_theta") / F.col("_n")) + k["lon0"], _lat=F.degrees(_gudermann(F.col("_psi")))).drop("_n", "_dx", "_dy", "_psi", "_theta")
+
+
+def _conic_from_lonlat(df, out_x: str, out_y: str):
+    k = {n: _parameter(normal_crs("crs"), CONICS, n) for n in ("n", "c", "rho0", "lon0", "x0", "y0")}
+    s = F.sin(F.radians("_lat"))
+    # the meridian opposite the central one is where the plane is cut
+    turn = F.pmod(F.col("_lon") - k["lon0"] + 180.0, F.lit(360.0)) - 180.0
+    df = once(df, _n=k["n"], _psi=F.atanh(s) - F.lit(_ECC) * F.atanh(F.lit(_ECC) * s), _dl=F.radians(turn))
+    df = once(df, _rho=k["c"] * F.exp(-F.col("_n") * F.col("_psi")), _theta=F.col("_n") * F.col("_dl"))
+    return once(df, **{out_x: k["x0"] + F.col("_rho") * F.sin("_theta"), out_y: k["y0"] + k["rho0"] - F.col("_rho") * F.cos("_theta")}).drop(
+        "_n", "_psi", "_dl", "_rho", "_theta", "_lon", "_lat")
+
+
+def _area_to_lonlat(df, x: Column, y: Column):
+    k = {n: _parameter(normal_crs("crs"), EQUAL_AREAS, n) for n in ("sb", "cb", "r", "d", "lon0", "x0", "y0")}
+    df = once(df, _dx=(x - k["x0"]) / k["d"], _dy=(y - k["y0"]) * k["d"])
+    df = once(df, _rho=F.greatest(F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")), F.lit(1e-9)))
+    df = once(df, _ce=2.0 * F.asin(F.least(F.col("_rho") / (2.0 * k["r"]), F.lit(1.0))))
+    sc, cc = F.sin("_ce"), F.cos("_ce")
+    df = once(df, _beta=F.asin(cc * k["sb"] + F.col("_dy") * sc * k["cb"] / F.col("_rho")),
+              _dl=F.atan2(F.col("_dx") * sc, F.col("_rho") * k["cb"] * cc - F.col("_dy") * k["sb"] * sc))
+    lat = F.col("_beta")
+    for j, a in enumerate(_AUTHALIC, 1):
+        lat = lat + F.lit(a) * F.sin(F.col("_beta") * (2 * j))
+    return once(df, _lon=F.degrees("_dl") + k["lon0"], _lat=F.degrees(lat)).drop("_dx", "_dy", "_rho", "_ce", "_beta", "_dl")
+
+
+def _area_from_lonlat(df, out_x: str, out_y: str):
+    k = {n: _parameter(normal_crs("crs"), EQUAL_AREAS, n) for n in ("sb", "cb", "r", "d", "qp", "lon0", "x0", "y0")}
+    s = F.sin(F.radians("_lat"))
+    q = F.lit(1 - _E2) * (s / (F.lit(1.0) - F.lit(_E2) * s * s) + F.atanh(F.lit(_ECC) * s) / F.lit(_ECC))
+    df = once(df, _sb=q / k["qp"], _dl=F.radians(F.col("_lon") - k["lon0"]))
+    df = once(df, _cb=F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("_sb") * F.col("_sb"))))
+    df = once(df, _b=k["r"] * F.sqrt(2.0 / (1.0 + k["sb"] * F.col("_sb") + k["cb"] * F.col("_cb") * F.cos("_dl"))))
+    return once(df, **{out_x: k["x0"] + F.col("_b") * k["d"] * F.col("_cb") * F.sin("_dl"),
+                       out_y: k["y0"] + F.col("_b") / k["d"] * (k["cb"] * F.col("_sb") - k["sb"] * F.col("_cb") * F.cos("_dl"))}).drop("_sb", "_cb", "_dl", "_b", "_lon", "_lat")
+
+
 def _is_utm(crs: Column) -> Column:
     return crs.rlike("^EPSG:32[67](0[1-9]|[1-5][0-9]|60)$")
 
@@ -208,12 +325,14 @@ def normal_crs(crs) -> Column:
 
 SEPARABLE = (WGS84, WEB_MERCATOR)  # boxes stay boxes between these
 UTM = "UTM"  # a CRS kind: the zone of each row is read from its ``crs`` column
+CONIC, EQUAL_AREA = "CONIC", "EQUAL_AREA"  # likewise: constants by each row's code
 
 
 def crs_kind(crs: Column) -> Column:
-    """WGS84, WEB_MERCATOR, UTM or, for systems not supported, NULL."""
+    """WGS84, WEB_MERCATOR, UTM, CONIC, EQUAL_AREA or, for systems not supported, NULL."""
     crs = normal_crs(crs)
-    return F.when(crs.isin(WGS84, WEB_MERCATOR), crs).when(_is_utm(crs), F.lit(UTM))
+    return (F.when(crs.isin(WGS84, WEB_MERCATOR), crs).when(_is_utm(crs), F.lit(UTM))
+            .when(crs.isin(*CONICS), F.lit(CONIC)).when(crs.isin(*EQUAL_AREAS), F.lit(EQUAL_AREA)))
 
 
 def once(df, **columns: Column):
@@ -238,6 +357,10 @@ def _table_to_lonlat(df, crs: str, x: Column, y: Column):
     if crs == WEB_MERCATOR:
         lon, lat = _merc_inverse(x, y)
         return once(df, _lon=lon, _lat=lat)
+    if crs == CONIC:
+        return _conic_to_lonlat(df, x, y)
+    if crs == EQUAL_AREA:
+        return _area_to_lonlat(df, x, y)
     xi0, eta0 = _utm_start(_zone(crs), x, y)
     df = once(df, _xi0=xi0, _eta0=eta0)
     xi, eta = _utm_unseries(F.col("_xi0"), F.col("_eta0"))
@@ -255,6 +378,10 @@ def _table_from_lonlat(df, crs: str, out_x: str, out_y: str):
     if crs == WEB_MERCATOR:
         x, y = _merc_forward(lon, lat)
         return once(df, **{out_x: x, out_y: y}).drop("_lon", "_lat")
+    if crs == CONIC:
+        return _conic_from_lonlat(df, out_x, out_y)
+    if crs == EQUAL_AREA:
+        return _area_from_lonlat(df, out_x, out_y)
     df = once(df, _t=_utm_t(lat))
     xi, eta = _utm_xi_eta(F.col("_t"), F.radians(lon - _utm_meridian(_zone(crs))))
     df = once(df, _xi=xi, _eta=eta)
@@ -263,8 +390,8 @@ def _table_from_lonlat(df, crs: str, out_x: str, out_y: str):
 
 
 def project(df, source: str, target: str, x: Column, y: Column, out_x: str, out_y: str):
-    """Add projected coordinates to a table. Systems are WGS84, WEB_MERCATOR, UTM or one UTM code."""
-    if source == target and source != UTM:
+    """Add projected coordinates to a table. Systems are WGS84, WEB_MERCATOR, one UTM code, or UTM, CONIC or EQUAL_AREA, whose code is read from ``crs``."""
+    if source == target and source not in (UTM, CONIC, EQUAL_AREA):
         return df.withColumns({out_x: x, out_y: y})
     return _table_from_lonlat(_table_to_lonlat(df, source, x, y), target, out_x, out_y)
 

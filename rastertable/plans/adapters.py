@@ -53,6 +53,7 @@ def _a1_sizes(spark, d) -> DataFrame:
 A1_PLACES = {
     "EPSG:3857": dict(a="250.0", c="1000000.3 + 20000.0 * k", e="-250.0", f="6000000.7 - 3000.0 * k"),
     "EPSG:4326": dict(a="0.0025", c="10.0001 + 0.2 * k", e="-0.0025", f="48.0003 - 0.1 * k"),
+    "EPSG:3035": dict(a="20.0", c="4321000.0 + 2000.0 * k", e="-20.0", f="3210000.0 - 500.0 * k"),
     "EPSG:32637": dict(a="20.0", c="694920.0 + 2000.0 * k", e="-20.0", f="2055666.0 - 500.0 * k"),
 }
 

@@ -106,3 +106,12 @@ def algebra_math(spark, d):
                 sn=r(B.sin("q")), cs=r(B.cos("q")), tn=r(B.tan("t")), snh=r(B.sinh("t")), csh=r(B.cosh("t")), tnh=r(B.tanh("t")),
                 asn=r(B.arcsin(B.subtract("q", 5))), acs=r(B.arccos(B.subtract("q", 5))), atn=r(B.arctan("q")),
                 asnh=r(B.arcsinh("q")), acsh=r(B.arccosh("q")), atnh=r(B.arctanh("t")))
+
+
+@query("algebra_constants", _sql(
+    area="round(q * q * pi(), 6)", none="CAST(NULL AS DOUBLE)", endless="CAST(NULL AS DOUBLE)",
+    chosen="CASE WHEN q IS NOT NULL THEN CASE WHEN q > 20 THEN round(pi(), 6) ELSE q END END", kept="p", below="q IS NOT NULL AND q < 20"))
+def algebra_constants(spark, d):
+    """pi, nan, inf and nomask inside expressions: what becomes NaN or infinite is masked in the end."""
+    return _out(_bands(spark, d), area=_done(B.multiply(B.multiply("q", "q"), B.pi())), none=_done(B.add("q", B.nan())), endless=_done(B.add("p", B.inf())),
+                chosen=_done(B.where(B.greater("q", 20), B.pi(), "q")), kept=B.setmask("p", B.nomask()), below=F.coalesce(B.less("q", 20), F.lit(False)))

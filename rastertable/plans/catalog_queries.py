@@ -236,3 +236,10 @@ SELECT status, priority, customer, path FROM l WHERE (status, priority, customer
 def catalog_page_after(spark, d):
     """The page behind a key, from the files of its key range and the changes since."""
     return _logged(spark, d).page_after(_CURSOR, 200)
+
+
+@query("key_numbering", """SELECT n_name AS key_name, 'of region ' || CAST(n_regionkey AS VARCHAR) AS description, CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER) AS idx FROM nation""")
+def key_numbering(spark, d):
+    """Keys of an old catalog, which had no positions, numbered by another column."""
+    old = A.table(spark, d, "nation").select(F.col("n_name").alias("key"), F.concat(F.lit("of region "), F.col("n_regionkey").cast("string")).alias("description"), "n_nationkey")
+    return cat.upgrade_keys_0_7(old, order="n_nationkey")

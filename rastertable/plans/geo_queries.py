@@ -144,3 +144,91 @@ def utm_projection(spark, d):
     pts = geo.project(pts, "EPSG:32633", geo.WGS84, F.col("easting"), F.col("northing"), "lon_back", "lat_back")
     back = (F.abs(F.col("lon_back") - F.col("lon")) < 1e-7) & (F.abs(F.col("lat_back") - F.col("lat")) < 1e-7)
     return pts.select("c_custkey", F.round("easting", 3).alias("easting"), F.round("northing", 3).alias("northing"), back.alias("returns"))
+
+
+# --- further systems, restated in SQL -------------------------------------------
+
+_ISO = f"(0.5 * ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) - {D(geo._ECC)} * 0.5 * ln((1 + {D(geo._ECC)} * sin(radians(lat))) / (1 - {D(geo._ECC)} * sin(radians(lat)))))"
+
+
+def conic_sql(code):
+    """x and y of ``lon``, ``lat`` in a conformal conic (or polar stereographic) system."""
+    k = {n: D(v) for n, v in geo.CONICS[code].items()}
+    turn = f"radians((lon - {k['lon0']} + 540) - 360 * floor((lon - {k['lon0']} + 540) / 360) - 180)"
+    rho = f"({k['c']} * exp(-{k['n']} * {_ISO}))"
+    return f"({k['x0']} + {rho} * sin({k['n']} * {turn}))", f"({k['y0']} + {k['rho0']} - {rho} * cos({k['n']} * {turn}))"
+
+
+def equal_area_sql(code):
+    """x and y of ``lon``, ``lat`` in an azimuthal equal-area system."""
+    k, e = {n: D(v) for n, v in geo.EQUAL_AREAS[code].items()}, D(geo._ECC)
+    s = "sin(radians(lat))"
+    sb = f"((1 - {e} * {e}) * ({s} / (1 - {e} * {e} * {s} * {s}) + 0.5 * ln((1 + {e} * {s}) / (1 - {e} * {s})) / {e}) / {k['qp']})"
+    cb, dl = f"sqrt(1 - {sb} * {sb})", f"radians(lon - {k['lon0']})"
+    b = f"({k['r']} * sqrt(2 / (1 + {k['sb']} * {sb} + {k['cb']} * {cb} * cos({dl}))))"
+    return (f"({k['x0']} + {b} * {k['d']} * {cb} * sin({dl}))", f"({k['y0']} + {b} / {k['d']} * ({k['cb']} * {sb} - {k['sb']} * {cb} * cos({dl})))")
+
+
+_PLACES = {  # a region of each system, as lon and lat of the points of A5
+    **{code: ("(6 + lon / 20)", "(47 + lat / 20)") for code in ("EPSG:2154", "EPSG:3034", "EPSG:3035")},
+    **{code: ("lon", "(75 + lat / 10)") for code in ("EPSG:3413", "EPSG:3995")}, "EPSG:3031": ("lon", "(-75 - lat / 10)")}
+
+
+def _projected_sql():
+    parts = []
+    for code, (lon, lat) in sorted(_PLACES.items()):
+        x, y = conic_sql(code) if code in geo.CONICS else equal_area_sql(code)
+        parts.append(f"SELECT c_custkey, '{code}' AS crs, round({x}, 3) AS x, round({y}, 3) AS y, true AS returns FROM (SELECT c_custkey, {lon} AS lon, {lat} AS lat FROM a5)")
+    return f"WITH {A.A5_SQL} " + " UNION ALL ".join(parts)
+
+
+@query("projections", _projected_sql())
+def projections(spark, d):
+    """Points in conic, polar stereographic and equal-area systems, and back."""
+    pts, parts = A.a5_points(spark, d), []
+    for kind, systems in ((geo.CONIC, geo.CONICS), (geo.EQUAL_AREA, geo.EQUAL_AREAS)):
+        own = None
+        for code in sorted(systems):
+            lon, lat = (F.expr(e) for e in _PLACES[code])
+            some = pts.select("c_custkey", F.lit(code).alias("crs"), lon.alias("lon"), lat.alias("lat"))
+            own = some if own is None else own.unionByName(some)
+        out = geo.project(own, geo.WGS84, kind, F.col("lon"), F.col("lat"), "x", "y")
+        out = geo.project(out, kind, geo.WGS84, F.col("x"), F.col("y"), "lon_back", "lat_back")
+        turned = F.pmod(F.col("lon_back") - F.col("lon") + 180, F.lit(360.0)) - 180
+        returns = (F.abs(turned) < 1e-7) & (F.abs(F.col("lat_back") - F.col("lat")) < 1e-7)
+        parts.append(out.select("c_custkey", "crs", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), returns.alias("returns")))
+    return parts[0].unionByName(parts[1])
+
+
+def utm_steps_sql(zone, source):
+    """Easting ``gx`` and northing ``gy`` of ``lon``, ``lat`` in a northern UTM zone."""
+    from rastertable.functions.geo import _ALPHA, _RECTIFYING, UTM_SCALE
+
+    k = D(UTM_SCALE * _RECTIFYING)
+    east = " + ".join(["eta"] + [f"{D(a)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1)])
+    north = " + ".join(["xi"] + [f"{D(a)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1)])
+    return f"""SELECT *, {k} * ({east}) + 500000 AS gx, {k} * ({north}) AS gy FROM (
+  SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM (
+    SELECT *, sinh({_ISO}) AS t, radians(lon - {zone * 6 - 183}) AS dl FROM {source}))"""
+
+
+def _utm_bounds_sql():
+    """Boxes in degrees from 22 steps along each edge, by the inverse series of zone 37."""
+    from rastertable.functions.geo import _BETA, _DELTA, _RECTIFYING, UTM_SCALE
+
+    k = D(UTM_SCALE * _RECTIFYING)
+    xi = " - ".join(["xi0"] + [f"{D(b)} * sin({2 * j} * xi0) * cosh({2 * j} * eta0)" for j, b in enumerate(_BETA, 1)])
+    eta = " - ".join(["eta0"] + [f"{D(b)} * cos({2 * j} * xi0) * sinh({2 * j} * eta0)" for j, b in enumerate(_BETA, 1)])
+    lat = " + ".join(["chi"] + [f"{D(v)} * sin({2 * j} * chi)" for j, v in enumerate(_DELTA, 1)])
+    return f"""WITH {A.a1_grids_sql('EPSG:32637')}, own AS (SELECT scene, c AS l, f AS t, c + a * width AS r, f + e * height AS b FROM g1),
+edge AS (SELECT scene, unnest([l + (r - l) * i / 22, l + (r - l) * i / 22, l, r]) AS x, unnest([t, b, b + (t - b) * i / 22, b + (t - b) * i / 22]) AS y
+         FROM own, (SELECT CAST(unnest(range(0, 23)) AS DOUBLE) AS i)),
+s AS (SELECT scene, {xi} AS xi, {eta} AS eta FROM (SELECT scene, y / {k} AS xi0, (x - 500000) / {k} AS eta0 FROM edge)),
+p AS (SELECT scene, degrees(atan2(sinh(eta), cos(xi))) + 39 AS lon, asin(sin(xi) / cosh(eta)) AS chi FROM s)
+SELECT scene, round(min(lon), 6) AS west, round(min(degrees({lat})), 6) AS south, round(max(lon), 6) AS east, round(max(degrees({lat})), 6) AS north FROM p GROUP BY 1"""
+
+
+@query("bounds_utm", _utm_bounds_sql())
+def bounds_utm(spark, d):
+    b = stats.geographic_bounds(A.a1_grids(spark, d, "EPSG:32637"), A.A1_KEYS)
+    return b.select("scene", *[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")])

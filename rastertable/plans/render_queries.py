@@ -202,3 +202,18 @@ def computed_band(spark, d):
         return B.divide(B.subtract(v1, v2), B.add(v1, v2))
 
     return render.compute(A.a2_cells(spark, d), A.A2_KEYS, {"v1": "price", "v2": "discount"}, difference, (-1, 1))
+
+
+@query("colormap_override", f"""
+WITH ids AS (SELECT unnest(range(0, 255)) AS idx),
+own AS (SELECT 'jet' AS name, idx, idx AS r, 254 - idx AS g, CAST(p_size AS INTEGER) AS b FROM ids JOIN part ON p_partkey = idx + 1
+  UNION ALL SELECT 'short', idx, idx, idx, idx FROM ids WHERE idx < 100)
+SELECT name, CAST(count(*) AS BIGINT) AS n_rows, name <> 'short' AS valid, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b FROM own GROUP BY 1""")
+def colormap_override(spark, d):
+    """A shipped map replaced by one made from a table, and one that is too short; the audit tells."""
+    sizes = A.table(spark, d, "part").where("p_partkey BETWEEN 1 AND 255").select((F.col("p_partkey") - 1).cast("int").alias("idx"), F.col("p_size").cast("int").alias("b"))
+    jet = sizes.select(F.lit("JET").alias("name"), "idx", F.col("idx").alias("r"), (254 - F.col("idx")).alias("g"), "b", F.lit(255).alias("a"))
+    short = spark.range(100).select(F.lit("short").alias("name"), *[F.col("id").cast("int").alias(c) for c in ("idx", "r", "g", "b")], F.lit(255).alias("a"))
+    maps = M.override(M.builtin_colormaps(spark, ["jet"]), jet.unionByName(short))
+    sums = maps.groupBy("name").agg(*[F.sum(c).alias(c) for c in "rgb"])
+    return M.colormap_audit(maps).join(sums, "name")

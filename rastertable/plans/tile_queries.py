@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rastertable.operators import layout, overviews, render, stats, tiles
 from rastertable.operators import pyramid as Y
 from rastertable.plans import adapters as A
-from rastertable.plans.geo_queries import PI, R, bounds_sql, cover_sql, tile_box_sql
+from rastertable.plans.geo_queries import PI, R, bounds_sql, cover_sql, equal_area_sql, tile_box_sql, utm_steps_sql
 from rastertable.plans.registry import query
 from rastertable.plans.render_queries import quantised_sql
 from rastertable.sources.cells import pack_blocks, unpack_blocks
@@ -69,14 +69,17 @@ def _linear_sql(t):
     return f"greatest(1 - abs({t}), 0)"
 
 
-def warp_sql(crs, method):
-    """``work``: working pixels with a value."""
+def warp_sql(crs, method, steps=None):
+    """``work``: working pixels with a value. ``steps`` turns a table with lon and lat into one with gx and gy, for systems that need more than one step."""
     inverse = ("mx", "my") if crs == "EPSG:3857" else (
         f"degrees(mx / {R})", f"degrees(2 * atan(exp(my / {R})) - {PI} / 2)")
+    source = "pts"
+    if steps is not None:
+        inverse, source = ("gx", "gy"), f"({steps(f'(SELECT *, degrees(mx / {R}) AS lon, degrees(2 * atan(exp(my / {R})) - {PI} / 2) AS lat FROM pts)')})"
     head = f"""pts AS (
   SELECT *, fl + (vc + 0.5) * ((fr - fl) / vw) AS mx, ft - (vr + 0.5) * ((ft - fb) / vh) AS my
   FROM (SELECT *, unnest(range(0, vw)) AS vc FROM (SELECT *, unnest(range(0, vh)) AS vr FROM frames))),
-uv AS MATERIALIZED (SELECT * FROM (SELECT scene, z, x, y, vr, vc, width, height, ({inverse[0]} - c) / a AS u, ({inverse[1]} - f) / e AS v FROM pts)
+uv AS MATERIALIZED (SELECT * FROM (SELECT scene, z, x, y, vr, vc, width, height, ({inverse[0]} - c) / a AS u, ({inverse[1]} - f) / e AS v FROM {source})
        WHERE u >= 0 AND u < width AND v >= 0 AND v < height)"""
     if method == "nearest":
         return f"""{head}, work AS (SELECT uv.scene, z, x, y, vr, vc, cells.value AS v FROM uv JOIN cells
@@ -175,6 +178,54 @@ def tile_layer_average(spark, d):
     return _layer(spark, d, "EPSG:3857", (9,), (32, 32))
 
 
+def _listed_tiles(lon, lat, zoom, columns, rows):
+    """Tiles of a zoom around a place: those from two to its north-west on."""
+    import math
+
+    n = 1 << zoom
+    x, y = int((lon / 360 + 0.5) * n), int((0.5 - math.asinh(math.tan(math.radians(lat))) / (2 * math.pi)) * n)
+    return [(zoom, x + i, y + j) for i in range(-2, columns) for j in range(-2, rows)]
+
+
+def _listed_sql(crs, wanted, steps):
+    """Tiles of a list, finer than their source."""
+    box = tile_box_sql("z", "x", "y")
+    frames = f"""{A.a1_grids_sql(crs)}, frames AS MATERIALIZED (
+  SELECT *, {box[0]} AS fl, {box[1]} AS fb, {box[2]} AS fr, {box[3]} AS ft, 32 AS vw, 32 AS vh
+  FROM g1, (VALUES {', '.join(map(str, wanted))}) t(z, x, y))"""
+    return f"WITH {CELLS_SQL}, {frames}, {warp_sql(crs, 'linear', steps)}, {FINE_OUT} SELECT {TILE_COLUMNS} FROM out"
+
+
+def _listed_layer(spark, d, crs, wanted):
+    zoom = wanted[0][0]
+    grids = A.a1_grids(spark, d, crs)
+    wanted = spark.createDataFrame(wanted, "z int, x long, y long").crossJoin(grids.select("scene"))  # a short list, for a handful of grids
+    out = tiles.tile_layer(_blocks(spark, d), grids, A.A1_KEYS, (zoom,), (32, 32), tiles=wanted, block_size=BLOCK)
+    return out.withColumn("value", F.round("value", 6))
+
+
+_UTM_TILES, _AREA_TILES = _listed_tiles(40.847, 18.585, 16, 9, 8), _listed_tiles(10.0, 52.0, 16, 9, 8)
+
+
+@query("tile_layer_utm", _listed_sql("EPSG:32637", _UTM_TILES, lambda source: utm_steps_sql(37, source)))
+def tile_layer_utm(spark, d):
+    return _listed_layer(spark, d, "EPSG:32637", _UTM_TILES)
+
+
+@query("tile_layer_equal_area", _listed_sql("EPSG:3035", _AREA_TILES, lambda source: "SELECT *, {} AS gx, {} AS gy FROM {}".format(*equal_area_sql("EPSG:3035"), source)))
+def tile_layer_equal_area(spark, d):
+    return _listed_layer(spark, d, "EPSG:3035", _AREA_TILES)
+
+
+@query("tile_mixed_crs", f"""SELECT * FROM ({tile_sql("EPSG:4326", (13,), (32, 32), "nearest")}) WHERE scene < 's4'
+UNION ALL SELECT * FROM ({tile_sql("EPSG:3857", (13,), (32, 32), "nearest")}) WHERE scene >= 's4'""")
+def tile_mixed_crs(spark, d):
+    """Half of the grids in degrees, half in Web Mercator, in one layer."""
+    grids = A.a1_grids(spark, d, "EPSG:4326").where("scene < 's4'").unionByName(A.a1_grids(spark, d, "EPSG:3857").where("scene >= 's4'"))
+    out = tiles.tile_layer(_blocks(spark, d), grids, A.A1_KEYS, (13,), (32, 32), block_size=BLOCK, preserve_values=True)
+    return out.withColumn("value", F.round("value", 6))
+
+
 def _preview_sql(method):
     return (f"WITH {CELLS_SQL}, {own_frames_sql('EPSG:3857', (24, 20))}, {warp_sql('EPSG:3857', 'nearest')}, {reduce_sql(method)} "
             "SELECT scene, py, px, round(value, 6) AS value FROM out")

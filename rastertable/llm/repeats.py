@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastertable.llm.induced import suffix_order
-from rastertable.llm.tables import checkpointed, documents, join_small, map_rows, new_folder, release, slices
+from rastertable.llm.tables import checkpointed, documents, join_small, map_rows, new_folder, release, release_shuffles, slices
 from rastertable.llm.words import hashes, mix, utf8
 
 GRAM = 20
@@ -138,14 +138,14 @@ def _packed(df: DataFrame) -> DataFrame:
         raw = [t.as_buffer() for t in batch.column(2)]
         return {"doc": batch.column(0), "uid": batch.column(1), "size": [r.size for r in raw], "packed": [pa.compress(r, codec="zstd", asbytes=True) if r.size else b"" for r in raw]}
 
-    return map_rows(df.select("doc", "uid", "text"), run, "doc long, uid int, size long, packed binary")
+    return map_rows(df.select("doc", "uid", "text"), run, "doc long, uid long, size long, packed binary")
 
 
 def _unpacked(packed: bytes, size: int) -> bytes:
     return pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
-SEGMENT = "key long, doc long, uid int, start long, size int, digest long, content binary"
+SEGMENT = "key long, doc long, uid long, start long, size int, digest long, content binary"
 
 
 def codes(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -156,7 +156,7 @@ def codes(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _cut(length: int, buckets: int):
     """The segments of a document whose keys are shared."""
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("uid", pa.int32()), ("start", pa.int64()), ("size", pa.int32()), ("digest", pa.int64()), ("content", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("digest", pa.int64()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +170,7 @@ def _cut(length: int, buckets: int):
                 for a in range(0, len(key), 20_000):
                     part = slice(a, a + 20_000)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(key[part].view(np.int64)), pa.array(np.full(len(key[part]), doc)), pa.array(np.full(len(key[part]), uid, np.int32)), pa.array(first[part]),
+                        pa.array(key[part].view(np.int64)), pa.array(np.full(len(key[part]), doc)), pa.array(np.full(len(key[part]), uid, np.int64)), pa.array(first[part]),
                         pa.array((last[part] - first[part] + length).astype(np.int32)), pa.array(digest[part]),
                         pa.array([text[x:y] for x, y in zip(first[part].tolist(), (last[part] + length).tolist(), strict=True)], pa.binary())], schema=schema)
 
@@ -313,7 +313,7 @@ def without_repeats(docs: DataFrame, length: int = 50, buckets: int | None = Non
     rows = documents(docs).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.octet_length("text").cast("long").alias("n_bytes"),
                                   F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
     copies = checkpointed(rows.groupBy("sha").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
-    rows = join_small(rows, copies, ["sha"], how="left").withColumn("uid", F.hash("sha"))
+    rows = join_small(rows, copies, ["sha"], how="left").withColumn("uid", F.xxhash64("sha"))
     own = rows.filter(F.col("low").isNull() | (F.col("low") == F.col("doc")))
     texts = own.filter(F.col("n_bytes") >= length).select("doc", "uid", "text")
 
@@ -321,6 +321,8 @@ def without_repeats(docs: DataFrame, length: int = 50, buckets: int | None = Non
             .repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "doc long, keys binary").groupBy("doc").agg(F.collect_list("keys").alias("keys")))
     folder = new_folder(spark, "segments")
     _packed(texts).join(told, "doc").mapInArrow(_cut(length, buckets), SEGMENT).write.option("compression", "zstd").parquet(folder)
+    del told
+    release_shuffles(spark)
     cut = spark.read.schema(SEGMENT).parquet(folder)
     # a key with one content needs no order: all but its first documents lose the whole segment
     keys = checkpointed(cut.groupBy("key").agg(F.min("digest").alias("d"), F.max("digest").alias("e"), F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum("size").alias("bytes"))
@@ -332,13 +334,17 @@ def without_repeats(docs: DataFrame, length: int = 50, buckets: int | None = Non
     if keys.filter("several AND hot").limit(1).count():
         runs = runs.unionByName(_split(checkpointed(contents.filter("hot").drop("hot")), length))
     runs = checkpointed(runs)
+    del contents
+    release_shuffles(spark)
     span = F.struct((F.col("start") + F.col("run.at")).alias("a"), (F.col("start") + F.col("run.at") + F.col("run.n") - 1 + length).alias("b"))
     places = cut.select("key", "doc", "uid", "start", "size")
     by_order = (cut_several.select("key", "doc", "uid", "start", "digest").join(runs, ["key", "digest"])
                 .select("doc", "uid", "start", F.explode("runs").alias("run")).filter("run.doc < doc").select("doc", "uid", span.alias("span")))
     whole_ones = places.join(single, "key").filter("low < doc").select("doc", "uid", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")).alias("span"))
     spans = checkpointed(by_order.unionByName(whole_ones).groupBy("doc", "uid").agg(F.collect_list("span").alias("spans")))
-    changed = (map_rows(_packed(texts).join(spans, ["doc", "uid"]), _removed, "doc long, uid int, spans array<struct<a:long,b:long>>, kept binary")
+    del by_order, whole_ones, runs
+    release_shuffles(spark)
+    changed = (map_rows(_packed(texts).join(spans, ["doc", "uid"]), _removed, "doc long, uid long, spans array<struct<a:long,b:long>>, kept binary")
                .select("doc", "uid", "spans", F.sha2("kept", 256).alias("kept_sha256")))
     whole = F.when((F.coalesce("low", "doc") < F.col("doc")) & (F.col("n_bytes") >= length), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b"))))
     return rows.select("doc_id", "doc", "uid", "n_bytes", "sha", whole.alias("whole")).join(changed, ["doc", "uid"], "left").select(

@@ -21,6 +21,8 @@ from rastertable.llm.words import NOT_SPACE, hashes, split, utf8
 PASSAGE_WORDS = 64
 #: Labelled rows that the model is fitted on at most: those whose doc_ids have the smallest digests.
 SAMPLE_ROWS = 3000
+#: Passages that a sampled text is learned from at most, evenly spread over it; scoring reads all passages.
+SAMPLE_PASSAGES = 64
 THRESHOLD = 0.3
 BUCKETS = 128
 #: Byte classes: each of these sets is one, other bytes are the last one (fixed values).
@@ -154,7 +156,8 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``sample_rows`` rows of ``labels`` that are not held out and have a label 0 or 1, and the texts of their doc_ids.
 
-    The sample, not the corpus, comes to the driver: a matrix of passages for each of its rows.
+    The sample, not the corpus, comes to the driver: a matrix of up to SAMPLE_PASSAGES passages for each of its rows. Null labels and doc_ids are left
+    out; a doc_id that occurs again gives one text; without labels, or with labels all alike, the model scores every text alike.
     """
     chosen = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
               .filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
@@ -164,7 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
 
     def run(batch: pa.RecordBatch) -> dict:
         x, first = encode(batch.column(2))
-        return {"doc_id": batch.column(0), "y": batch.column(1), "bag": [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]}
+        own = [x[np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(np.int64))] for a, b in zip(first[:-1], first[1:], strict=True)]
+        return {"doc_id": batch.column(0), "y": batch.column(1), "bag": [bag.tobytes() for bag in own]}
 
     rows = sorted(map_rows(texts, run, "doc_id long, y int, bag binary").collect(), key=lambda r: (r.doc_id, r.y))
     return fit([np.frombuffer(r.bag, np.float32).reshape(-1, WIDTH) for r in rows], np.array([r.y for r in rows]))
@@ -182,7 +186,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``.
+
+    Null and empty texts are scored as one empty passage; repeated rows are decided alike; an empty table stays empty. Texts of any length are scored whole.
+    """
     at = docs.columns.index("text")
 
     def run(batches):

@@ -59,3 +59,23 @@ def test_held_out_accuracy(spark):
     bad = [p for y, p in held if y == 0]
     print(len(good), np.mean(good), len(bad), np.mean(bad))
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.05
+
+
+def test_scores_equal_plain_loop(spark):
+    """One passage after the other in plain loops, over texts of many passages, one of them very long."""
+    rng = np.random.default_rng(5)
+    words = ["Word", "a", "of,", "x1", "END.", "ü", "(b)"]
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 64, 65, 700, 40_000)]
+    x, first = quality.encode(pa.array(texts))
+    w = {k: rng.standard_normal(s) * 0.3 for k, s in {"W": (quality.WIDTH, 4), "b": 4, "V": (4, 3), "U": (4, 3), "w": 3, "c": 4, "d": ()}.items()}
+    model = quality.Model(0.5, x.mean(0), x.std(0) + 1e-3, w)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in quality.score(df, model).collect():
+        codes, weights = [], []
+        for k in range(first[r.doc_id], first[r.doc_id + 1]):
+            h = np.tanh(((x[k] - model.mean) / model.scale) @ w["W"] + w["b"])
+            gate = [1 / (1 + np.exp(-sum(h[i] * w["U"][i, j] for i in range(4)))) for j in range(3)]
+            weights.append(np.exp(sum(np.tanh(sum(h[i] * w["V"][i, j] for i in range(4))) * gate[j] * w["w"][j] for j in range(3))))
+            codes.append(h)
+        z = sum(a * h for a, h in zip(weights, codes, strict=True)) / sum(weights)
+        assert np.isclose(r.score, 1 / (1 + np.exp(-(z @ w["c"] + w["d"]))), rtol=1e-4)

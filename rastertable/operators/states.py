@@ -330,15 +330,26 @@ def metadata_of_blocks(blocks: DataFrame, grids: DataFrame, keys, *, percentiles
     One scan makes the states, from which all but exact percentiles of datasets with many different values follows; those take one more scan,
     rarely two. ``percentiles`` is ``exact`` or ``approx`` (from the digests alone).
     """
-    from rastertable.operators import hull as hulls
-    from rastertable.operators.stats import geographic_bounds
-
     keys = list(keys)
     if percentiles not in ("exact", "approx"):
         raise ValueError(f"unknown percentile method {percentiles!r}")
     states = checkpointed(states_of_blocks(blocks, grids, keys, size, digest))
     merged = checkpointed(merged_states(states, keys, digest))
     ranks = exact_percentiles_of_blocks(blocks, grids, keys, merged) if percentiles == "exact" else digest_percentiles(merged, keys)
+    return _metadata(states, merged, ranks, grids, keys, size, extra)
+
+
+def metadata_of_states(states: DataFrame, grids: DataFrame, keys, size: int = BLOCK_SIZE, digest: int = DIGEST, extra: DataFrame | None = None) -> DataFrame:
+    """The same from states alone (checkpointed), without any pixel: percentiles are those of the digests."""
+    keys = list(keys)
+    merged = checkpointed(merged_states(states, keys, digest))
+    return _metadata(states, merged, digest_percentiles(merged, keys), grids, keys, size, extra)
+
+
+def _metadata(states: DataFrame, merged: DataFrame, ranks: DataFrame, grids: DataFrame, keys, size: int, extra: DataFrame | None) -> DataFrame:
+    from rastertable.operators import hull as hulls
+    from rastertable.operators.stats import geographic_bounds
+
     total = (F.col("width").cast("long") * F.col("height")).cast("double")
     hull = hulls.convex_hull_of_rows(row_ends(states, keys, size), grids, keys)
     out = (moments_of(merged, keys).join(grids.select(*keys, total.alias("_total")), keys).withColumn("valid_percentage", F.col("n_valid") / F.col("_total") * 100)

@@ -10,8 +10,10 @@ from rastertable.plans import adapters as A
 from rastertable.plans.geo_queries import bounds_sql
 from rastertable.plans.registry import query
 from rastertable.plans.stats_queries import SQL_MOMENTS, r
+from rastertable.sources.catalog_log import CatalogLog
 from rastertable.sources.cells import pack_blocks
 from rastertable.sources.shared import new_folder
+from rastertable.streaming.catalog import start_catalog_ingest
 from rastertable.streaming.ingest import start_ingest, streamed_stats
 
 PATTERN = "/rasters/{area}/{scene}_{}.tif"
@@ -95,3 +97,26 @@ def ingest_stream_again(spark, d):
     stream()
     out = streamed_stats(spark, root, A.A1_KEYS, newest=True)
     return out.select("scene", F.col("n_valid").cast("long").alias("n_valid"), *[r(c).alias(c) for c in ("min", "max", "mean", "stdev")])
+
+
+@query("ingest_stream_catalog", f"""WITH {A.A1_SQL}, {A.a1_grids_sql('EPSG:4326')}
+SELECT scene, '/rasters/europe/' || scene || '_v1.tif' AS path, n_valid, min, max, mean, stdev, round(n_valid / CAST(width * height AS DOUBLE) * 100, 6) AS valid_percentage
+FROM (SELECT scene, {SQL_MOMENTS} FROM (SELECT scene, value * CASE WHEN scene = 's2' THEN 3 ELSE 1 END AS v FROM a1
+      WHERE NOT (scene = 's3' AND "row" < 16 AND col BETWEEN 16 AND 31) AND scene <> 's5') GROUP BY 1) JOIN g1 USING (scene)""")
+def ingest_stream_catalog(spark, d):
+    """Three micro-batches into the catalog log: all blocks; then one block and one dataset that are masked now, and one dataset changed; then the second batch repeated."""
+    grids = A.a1_grids(spark, d, "EPSG:4326").withColumn("path", _path())
+    blocks, source, root = pack_blocks(A.a1_cells(spark, d), A.A1_KEYS, 16), new_folder(spark, "blocks"), new_folder(spark, "stream")
+    log = CatalogLog.create(spark, new_folder(spark, "catalog"), A.A1_KEYS)
+    masked = F.transform("values", lambda v: F.lit(float("nan")))
+    some = blocks.where("scene IN ('s2', 's5') OR (scene = 's3' AND block_row = 0 AND block_col = 1)").withColumn(
+        "values", F.when(F.col("scene") == "s2", F.transform("values", lambda v: v * 3)).otherwise(masked))
+    for batch in (blocks, some, some):
+        batch.coalesce(1).write.parquet(source, mode="append")
+        files = spark.readStream.schema(blocks.schema).parquet(source)
+        start_catalog_ingest(files, grids, A.A1_KEYS, log, root, 16).awaitTermination()
+    catalog = log.load()
+    out = catalog.datasets.join(catalog.metadata, A.A1_KEYS)
+    count = A.a1_grids(spark, d).select("scene", (F.col("width").cast("long") * F.col("height")).alias("total"))
+    n = F.rint(F.col("valid_percentage") * F.col("total") / 100).cast("long").alias("n_valid")
+    return out.join(count, "scene").select("scene", "path", n, *[r(c).alias(c) for c in ("min", "max", "mean", "stdev", "valid_percentage")])

@@ -93,10 +93,15 @@ class CatalogLog:
     def _folder(self) -> str:
         return f"{self.root}/tables/{uuid.uuid4().hex}"
 
-    def _commit(self, folder: str, again: bool = True) -> int:
+    def _commit(self, folder: str, again: bool = True, tag: tuple[str, int] | None = None) -> int:
         for _ in range(ATTEMPTS):
             last = self.record()
-            if self._claim({**last, "version": last["version"] + 1, "deltas": [*last["deltas"], folder]}):
+            tags = dict(last.get("tags", {}))
+            if tag is not None:
+                if tags.get(tag[0], -1) >= tag[1]:
+                    return last["version"]
+                tags[tag[0]] = tag[1]
+            if self._claim({**last, "version": last["version"] + 1, "deltas": [*last["deltas"], folder], "tags": tags}):
                 if len(last["deltas"]) + 1 >= self.compact_after:
                     self.compact()
                 return last["version"] + 1
@@ -134,6 +139,19 @@ class CatalogLog:
         self._write(folder, "metadata", metadata, stale, keys)
         return self._commit(folder)
 
+    def apply(self, datasets: DataFrame, metadata: DataFrame, gone: DataFrame, tag: tuple[str, int]) -> int:
+        """Upsert datasets with their metadata and remove others, present or not, once: a ``tag`` (name, number) that the log has seen, or a later
+        number of the same name, changes nothing. For writers that may run a step again."""
+        record = self.record()
+        if record.get("tags", {}).get(tag[0], -1) >= tag[1]:
+            return record["version"]
+        keys, folder = record["keys"], self._folder()
+        self._checked(datasets, keys, "datasets")
+        self._checked(metadata, keys, "metadata rows")
+        self._write(folder, "datasets", datasets, gone, keys)
+        self._write(folder, "metadata", metadata, gone, keys)
+        return self._commit(folder, tag=tag)
+
     def add_metadata(self, metadata: DataFrame) -> int:
         keys = self.record()["keys"]
         self._checked(metadata, keys, "metadata rows")

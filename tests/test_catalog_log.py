@@ -117,3 +117,13 @@ def test_pages_by_key(spark, tmp_path):
     assert [tuple(r)[:2] for r in some] == [k for k in sorted(data) if k[0] in ("s2", "s4")][:5]
     read = log.page_after(sorted(data)[90], 5)
     assert sum(log.record()["base"] in f for f in set(read.inputFiles())) <= 2
+
+
+def test_tagged_steps_count_once(spark, tmp_path):
+    log = CatalogLog.create(spark, str(tmp_path / "c"), KEYS)
+    rows, none = frame(spark, [(("a", "1"), "x"), (("a", "2"), "y")]), spark.createDataFrame([], "sensor string, date string")
+    assert log.apply(rows, meta(spark, [(("a", "1"), 1.0)]), none, ("s", 4)) == 2
+    assert log.apply(frame(spark, [(("a", "1"), "again")]), meta(spark, []), none, ("s", 4)) == 2
+    assert log.apply(frame(spark, []), meta(spark, []), spark.createDataFrame([("a", "2"), ("no", "no")], "sensor string, date string"), ("s", 5)) == 3
+    assert content(log.load()) == ({("a", "1"): "x"}, {("a", "1"): 1.0})
+    assert log.apply(frame(spark, [(("b", "1"), "z")]), meta(spark, []), none, ("other", 0)) == 4

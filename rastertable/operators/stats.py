@@ -116,19 +116,20 @@ def decimate(cells: DataFrame, grids: DataFrame, keys, max_shape: Sequence[int])
 
 # --- mergeable states -------------------------------------------------------
 
-def block_states(cells: DataFrame, keys, size: int = 256, sketch: bool = False) -> DataFrame:
+def block_states(cells: DataFrame, keys, size: int = 256, sketch: bool = False, masked: bool = False) -> DataFrame:
     """One mergeable state per block: count, min, max, mean and the squared deviations from it.
 
     ``sketch`` adds a quantile sketch; sketches are randomised, so equal input
-    gives equal results only within their error.
+    gives equal results only within their error. ``masked`` keeps blocks without any valid pixel, with a count of 0.
     """
     v = finite("value").cast("double")
     more = [F.kll_sketch_agg_double(v).alias("sketch")] if sketch else []
-    return cells.groupBy(
+    states = cells.groupBy(
         *keys, F.floor(F.col("row") / size).cast("int").alias("block_row"),
         F.floor(F.col("col") / size).cast("int").alias("block_col"),
     ).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
-          (F.var_pop(v) * F.count(v)).alias("m2"), *more).where("n > 0")
+          (F.var_pop(v) * F.count(v)).alias("m2"), *more)
+    return states if masked else states.where("n > 0")
 
 
 def merge_states(states: DataFrame, keys) -> DataFrame:
@@ -136,7 +137,7 @@ def merge_states(states: DataFrame, keys) -> DataFrame:
 
     States, one row per block, are kept in the shared folder, so what makes them runs once.
     """
-    keys, states = list(keys), checkpointed(states)
+    keys, states = list(keys), checkpointed(states.where("n > 0"))
     total = states.groupBy(*keys).agg(
         F.sum("n").alias("n_valid"), F.min("min").alias("min"), F.max("max").alias("max"),
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))

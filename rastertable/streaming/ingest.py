@@ -22,12 +22,12 @@ def start_ingest(cells: DataFrame, keys, root: str, block_size: int = 256, avail
 
     With ``available_now`` the query ends when the files that exist now are
     done. States are read back added up, for pixels that arrive once, or only
-    the newest of each block, for blocks that arrive whole and may come again.
+    the newest of each block, for blocks that arrive whole and may come again; one that is wholly masked then replaces what was there.
     """
     keys = list(keys)
 
     def reduce_batch(batch: DataFrame, number: int) -> None:
-        block_states(batch, keys, block_size, sketch=True).write.parquet(
+        block_states(batch, keys, block_size, sketch=True, masked=True).write.parquet(
             f"{root}/states/batch={number}", mode="overwrite")
 
     writer = cells.writeStream.foreachBatch(reduce_batch).option("checkpointLocation", f"{root}/checkpoint")
@@ -54,10 +54,10 @@ def streamed_stats(spark: SparkSession, root: str, keys, newest: bool = False) -
 def streamed_percentiles(spark: SparkSession, root: str, keys, newest: bool = False) -> DataFrame:
     """Approximate percentiles 1..99 of everything seen so far, from the merged sketches."""
     ranks = F.array(*[F.lit(p / 100.0) for p in PERCENTS])
-    merged = read_states(spark, root, keys, newest).groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("_sketch"))
+    merged = read_states(spark, root, keys, newest).where("n > 0").groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("_sketch"))
     return merged.select(*keys, F.kll_sketch_get_quantile_double("_sketch", ranks).alias("percentiles"))
 
 
 def new_datasets(spark: SparkSession, root: str, keys, existing: DataFrame) -> DataFrame:
     """Keys that have arrived and are not in the catalog yet."""
-    return only_new(read_states(spark, root, keys).select(*keys).distinct(), existing, list(keys))
+    return only_new(read_states(spark, root, keys).where("n > 0").select(*keys).distinct(), existing, list(keys))

@@ -88,3 +88,14 @@ def test_stream_equals_batch(spark, tmp_path):
     np.testing.assert_allclose(p["a"], np.percentile(arrays["a"], np.arange(1, 100)), atol=0.05)
     known = spark.createDataFrame([("a",)], "key STRING")
     assert [r["key"] for r in new_datasets(spark, root, ["key"], known).collect()] == ["b"]
+
+
+def test_masked_block_replaces_the_one_before(spark, tmp_path):
+    """A block that comes again wholly masked takes its pixels out of the statistics."""
+    schema, source, root = "key STRING, row INT, col INT, value DOUBLE", str(tmp_path / "in"), str(tmp_path / "out")
+    for values in ([5.0, 7.0], [None, None]):
+        spark.createDataFrame([("a", 0, i, v) for i, v in enumerate(values)] + [("b", 0, 0, 1.0)], schema).coalesce(1).write.parquet(source, mode="append")
+        start_ingest(spark.readStream.schema(schema).parquet(source), ["key"], root, 4).awaitTermination()
+    got = {r.key: r.n_valid for r in streamed_stats(spark, root, ["key"], newest=True).collect()}
+    assert got == {"b": 1}
+    assert {r.key for r in streamed_percentiles(spark, root, ["key"], newest=True).collect()} == {"b"}

@@ -174,6 +174,18 @@ def layout_audit(blocks: DataFrame, grids: DataFrame, keys, size: int = BLOCK_SI
 
 # --- tiles out of a pyramid ----------------------------------------------------
 
+def levels_for_zoom(grids: DataFrame, keys, zoom: int, tile_size=TILE_SIZE, block_size: int = BLOCK_SIZE, crs: str | None = None) -> dict[int, DataFrame]:
+    """Grids by the coarsest level that is still as fine as the tiles of a zoom, as headers of that level."""
+    keys = list(keys)
+    tile_res = geo.CIRCUMFERENCE / 2**zoom / max(int(v) for v in tile_size)
+    located = located_grids(grids, keys, crs)
+    fit = F.floor(F.log2(F.lit(tile_res) / F.col("res"))).cast("int")
+    chosen = with_levels(located, block_size).select(*keys, F.greatest(F.least(fit, F.col("levels")), F.lit(0)).alias("_level"))
+    levelled = grids.join(chosen, keys)
+    found = sorted(r[0] for r in levelled.select("_level").distinct().collect())  # about 20 at most
+    return {level: level_grids(levelled.where(F.col("_level") == level).drop("_level"), level) for level in found}
+
+
 def tile_layer_from_pyramid(blocks: DataFrame, grids: DataFrame, keys, zoom: int, tile_size=TILE_SIZE,
                             block_size: int = BLOCK_SIZE, crs: str | None = None, **options) -> DataFrame:
     """Tiles of one zoom level, each dataset read at the coarsest stored level that is still as fine as the tile.
@@ -183,16 +195,8 @@ def tile_layer_from_pyramid(blocks: DataFrame, grids: DataFrame, keys, zoom: int
     other level folders are not read. Where sizes are odd, the last overview
     pixels reach past the raster by a part of a pixel.
     """
-    keys = list(keys)
-    tile_res = geo.CIRCUMFERENCE / 2**zoom / max(int(v) for v in tile_size)
-    located = located_grids(grids, keys, crs)
-    fit = F.floor(F.log2(F.lit(tile_res) / F.col("res"))).cast("int")
-    chosen = with_levels(located, block_size).select(
-        *keys, F.greatest(F.least(fit, F.col("levels")), F.lit(0)).alias("_level"))
-    levelled = grids.join(chosen, keys)
-    parts = []
-    for level in sorted(r[0] for r in levelled.select("_level").distinct().collect()):  # about 20 at most
-        some = level_grids(levelled.where(F.col("_level") == level).drop("_level"), level)
+    keys, parts = list(keys), []
+    for level, some in levels_for_zoom(grids, keys, zoom, tile_size, block_size, crs).items():
         at_level = blocks.where(F.col("level") == level).drop("level")
         parts.append(tile_layer(at_level, some, keys, (zoom,), tile_size, crs=crs, block_size=block_size, **options))
     if not parts:

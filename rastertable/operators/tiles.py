@@ -417,3 +417,13 @@ def complete_tiles(wanted: DataFrame, pixels: DataFrame, keys, tile_size=TILE_SI
             .withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(th - 1))))
             .withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(tw - 1)))))
     return grid.join(pixels.select(*on, value), on, "left").withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
+
+
+def complete_images(images: DataFrame, rendered: DataFrame, tile_size=TILE_SIZE) -> DataFrame:
+    """Every pixel of every image (rows of keys and, for tiles, z, x, y): those that were not rendered are transparent black."""
+    th, tw = (int(v) for v in tile_size)
+    on = [*images.columns, "py", "px"]
+    grid = (images.withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(th - 1))))
+            .withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(tw - 1)))))
+    colors = [c for c in rendered.columns if c not in on]
+    return grid.join(rendered, on, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in colors})

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rastertable.api import RasterService
 from rastertable.operators import layout, overviews, render, stats, tiles
 from rastertable.operators import pyramid as Y
+from rastertable.operators.catalog import Catalog
 from rastertable.plans import adapters as A
 from rastertable.plans.geo_queries import PI, R, bounds_sql, cover_sql, equal_area_sql, tile_box_sql, utm_steps_sql
 from rastertable.plans.registry import query
@@ -422,6 +424,56 @@ def tile_from_store(spark, d):
     return out.withColumn("value", F.round("value", 6))
 
 
+def _service(spark, d, crs, blocks):
+    """A service over a catalog that holds no statistics yet."""
+    grids = A.a1_grids(spark, d, crs)
+    catalog = Catalog.create(spark, A.A1_KEYS).insert(grids.select("scene", F.concat(F.lit("/"), "scene").alias("path")))
+    return RasterService(catalog, blocks, grids, BLOCK, tile_size=(32, 32))
+
+
+_LEVEL_GRIDS = """), g1 AS (SELECT scene, CAST((width + 1) // 2 AS INTEGER) AS width, CAST((height + 1) // 2 AS INTEGER) AS height, a * 2 AS a, c, e * 2 AS e, f FROM g0),"""
+
+
+def _level_sql():
+    """Tiles of zoom 11 out of the first overview level, which is the coarsest one that is as fine as they are."""
+    sql = tile_sql("EPSG:3857", (11,), (32, 32), "linear", "average").replace("cells AS MATERIALIZED", "base AS MATERIALIZED", 1)
+    head, tail = sql.split("g1 AS (", 1)
+    grids, rest = tail.split("GROUP BY 1)", 1)
+    cells = 'cells AS MATERIALIZED (SELECT scene, CAST("row" // 2 AS INTEGER) AS "row", CAST(col // 2 AS INTEGER) AS col, avg(value) AS value FROM base GROUP BY 1, 2, 3)'
+    return f"{head}{cells}, g0 AS ({grids}GROUP BY 1){_LEVEL_GRIDS} {rest.removeprefix(')').lstrip(', ')}"
+
+
+@query("tile_from_overviews", _level_sql())
+def tile_from_overviews(spark, d):
+    """A low zoom from a stored table with overviews, through the service."""
+    blocks, grids = _blocks(spark, d), A.a1_grids(spark, d)
+    levels = overviews.overview_blocks(blocks, grids, A.A1_KEYS, "average", BLOCK)
+    base = blocks.withColumn("level", F.lit(0))
+    path = new_folder(spark, "levels")
+    layout.write_blocks(base.unionByName(levels.select(*base.columns)), grids, A.A1_KEYS, path, files=4)
+    wanted = tiles.tile_cover(stats.geographic_bounds(grids, A.A1_KEYS), (11,)).select("z", "x", "y").distinct()
+    pixels, at = _service(spark, d, "EPSG:3857", path).pixels(None, wanted)
+    return pixels.select("scene", *at, F.round("value", 6).alias("value"))
+
+
+@query("service_tiles", f"""WITH {CELLS_SQL}, {frames_sql('EPSG:3857', (13,), (32, 32))}, {warp_sql('EPSG:3857', 'linear')}, {FINE_OUT},
+m AS (SELECT scene, min(value) AS lo, max(value) AS hi FROM cells GROUP BY 1),
+q AS (SELECT scene, z, x, y, py, px, {quantised_sql('value', 'lo', 'hi')} AS index FROM out JOIN m USING (scene)),
+asked AS (SELECT DISTINCT z, x, y FROM cover WHERE scene = 's1' AND (x + y) % 2 = 0 UNION SELECT 13, 0, 0),
+image AS (SELECT s.scene, asked.*, unnest(range(0, 32)) AS px FROM asked, (VALUES ('s1'), ('s2')) s(scene)),
+px AS (SELECT *, unnest(range(0, 32)) AS py FROM image)
+SELECT scene, CAST(px.z AS INTEGER) AS z, CAST(px.x AS BIGINT) AS x, CAST(px.y AS BIGINT) AS y, CAST(px.py AS INTEGER) AS py, CAST(px.px AS INTEGER) AS px,
+  coalesce(index, 0) AS index, coalesce(index, 0) AS r, coalesce(index, 0) AS g, coalesce(index, 0) AS b, CASE WHEN coalesce(index, 0) = 0 THEN 0 ELSE 255 END AS a
+FROM px LEFT JOIN q USING (scene, z, x, y, py, px)""")
+def service_tiles(spark, d):
+    """Complete tiles of two datasets, also where these do not reach; their statistics are computed on the way."""
+    service = _service(spark, d, "EPSG:3857", _blocks(spark, d))
+    bounds = stats.geographic_bounds(A.a1_grids(spark, d).where("scene = 's1'"), A.A1_KEYS)
+    wanted = tiles.tile_cover(bounds, (13,)).where("(x + y) % 2 = 0").select(F.col("z").cast("int").alias("z"), "x", "y")
+    wanted = wanted.unionByName(spark.sql("SELECT 13 AS z, 0L AS x, 0L AS y")).distinct()
+    return service.singleband({"scene": ["s1", "s2"]}, wanted, complete=True)
+
+
 @query("tile_request", f"""WITH {CELLS_SQL}, {frames_sql('EPSG:4326', (3, 12, 16), (8, 8))}
 SELECT scene, z, x, y FROM frames WHERE (x + y) % 2 = 0""")
 def tile_request(spark, d):

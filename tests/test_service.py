@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rastertable.api import RasterService
 from rastertable.functions import algebra as B
-from rastertable.operators import stats
+from rastertable.operators import layout, overviews, stats
 from rastertable.operators.catalog import Catalog, CatalogError
 from rastertable.sources.cells import pack_blocks
 from rastertable.streaming.ingest import new_datasets, start_ingest, streamed_percentiles, streamed_stats
@@ -49,15 +49,39 @@ def test_images(service):
         s.rgb([], ["r", "g", "b"])
 
 
-def test_images_without_metadata_fail(service):
+def test_statistics_on_demand(service):
+    """Datasets without statistics get them from their blocks; unknown datasets and bands are errors."""
     s, _ = service
     bare = RasterService(Catalog(s.catalog.key_names, s.catalog.datasets, s.catalog.metadata.limit(0), s.catalog.catalog_version), s.blocks, s.grids, s.block_size,
                          tile_size=s.tile_size)
-    with pytest.raises(Exception, match="no statistics"):
-        bare.singleband().collect()
+    assert sorted(map(tuple, bare.singleband({"band": "r"}).collect())) == sorted(map(tuple, s.singleband({"band": "r"}).collect()))
+    assert sorted(map(tuple, bare.rgb(["s"], ["r", "g", "b"]).collect())) == sorted(map(tuple, s.rgb(["s"], ["r", "g", "b"]).collect()))
     assert bare.singleband(stretch_range=(0, 10)).count() == s.singleband(stretch_range=(0, 10)).count() > 0
-    with pytest.raises(CatalogError):
-        bare.metadata(("no", "no"))
+    for wrong in (lambda: bare.metadata(("no", "no")), lambda: s.singleband({"band": "no"}), lambda: s.rgb(["s"], ["r", "g", "no"]),
+                  lambda: s.compute(lambda v1: v1, ["s"], {"v1": "no"}, (0, 1))):
+        with pytest.raises(CatalogError):
+            wrong()
+
+
+def test_stored_service_and_complete_tiles(spark, service, tmp_path):
+    """A service over a stored table with overviews answers as one over a table in memory; complete tiles have all their pixels."""
+    s, _ = service
+    base = s.blocks.withColumn("level", F.lit(0))
+    levels = base.unionByName(overviews.overview_blocks(s.blocks, s.grids, KEYS, "average", 32).select(*base.columns))
+    path = str(tmp_path / "t")
+    layout.write_blocks(levels, s.grids, KEYS, path)
+    stored, leveled = (RasterService(s.catalog, b, s.grids, 32, tile_size=(16, 16)) for b in (path, levels))
+    at = lambda z: (int((1000000 + 20037508.34) // (40075016.68557849 / 2**z)), int((20037508.34 - 6000000) // (40075016.68557849 / 2**z)), z)
+    for z in (12, 16):
+        some = [at(z), (0, 0, z)]
+        want = sorted(map(tuple, leveled.singleband({"band": ["r", "g"]}, some).collect()))
+        assert want and want == sorted(map(tuple, stored.singleband({"band": ["r", "g"]}, some).collect()))
+    full = stored.singleband({"band": ["r", "g"]}, some, complete=True).collect()
+    assert len(full) == 2 * 2 * 256 and sorted(tuple(r) for r in full if r["a"]) == [r for r in want if r[-1]]
+    assert {(r["index"], r["a"]) for r in full if r["x"] == 0} == {(0, 0)}
+    rgb = stored.rgb(["s"], ["r", "g", "b"], some, complete=True).collect()
+    assert len(rgb) == 2 * 256 and {tuple(r)[-4:] for r in rgb if r["x"] == 0} == {(0, 0, 0, 0)}
+    assert len(stored.compute(lambda v1: v1, ["s"], {"v1": "r"}, (0, 100), complete=True).collect()) == 256
 
 
 def test_tiles_and_out_of_bounds(service):

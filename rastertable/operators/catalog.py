@@ -309,11 +309,19 @@ class Catalog:
             raise CatalogError(f"datasets need the keys {self.keys}")
         if order is None and not duplicate_keys(datasets, self.keys).isEmpty():
             raise CatalogError("datasets with the same keys; name a column that tells which comes last")
+        if metadata is not None:
+            self._once(metadata)
         kept = remove(self.metadata, datasets, self.keys)
         new_meta = kept if metadata is None else upsert(kept, metadata, self.keys)
         return replace(self, datasets=upsert(self.datasets, datasets, self.keys, order), metadata=new_meta)
 
+    def _once(self, metadata: DataFrame) -> None:
+        """Two rows of one dataset would double its pixels in every join; found now."""
+        if not duplicate_keys(metadata, self.keys).isEmpty():
+            raise CatalogError("metadata rows with the same keys")
+
     def add_metadata(self, metadata: DataFrame) -> Catalog:
+        self._once(metadata)
         return replace(self, metadata=upsert(self.metadata, metadata, self.keys))
 
     def delete(self, gone: DataFrame) -> Catalog:

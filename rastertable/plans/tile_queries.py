@@ -495,18 +495,16 @@ def tiled_layout(spark, d):
         F.round(F.aggregate(valid, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
-# the audit sees A1 stretched to rasters above 512 pixels by their block size;
-# events of one type lose their overviews to show a failing dataset
-@query("layout_audit", f"""WITH {A.A2_SQL.split(',' + chr(10) + 'a2 AS')[0]},
-g AS (SELECT scene, 640 AS width, max("row") * 16 + 640 AS height FROM px GROUP BY 1)
-SELECT scene, scene = 'N' AS missing, scene <> 'N' AS valid FROM g""")
+# the audit sees A2 stretched to rasters above 512 pixels by their block size;
+# the bands of one scene lose their overviews to show failing datasets
+@query("layout_audit", f"""WITH {A.A2_SQL.split(',' + chr(10) + 'a2 AS')[0]}
+SELECT scene, band, scene = 'N' AS missing, scene <> 'N' AS valid FROM (SELECT DISTINCT scene FROM px), (VALUES {', '.join(f"('{b}')" for b in A.BANDS)}) t(band)""")
 def layout_audit(spark, d):
-    cells = A.a2_cells(spark, d).where("band = 'price'").select(
-        "scene", (F.col("row") * 16).alias("row"), (F.col("col") * 5).alias("col"), "value")
-    grids = cells.groupBy("scene").agg((F.max("row") + 640).alias("height")).select("scene", F.lit(640).alias("width"), "height")
-    overviews = Y.pyramid(cells, grids, ["scene"], "average", 64).where("NOT (scene = 'N' AND level > 1)")
-    base = cells.select("scene", F.lit(0).alias("level"), "row", "col", "value")
-    index = base.unionByName(overviews).select(
-        "scene", "level", F.floor(F.col("row") / 64).alias("block_row"), F.floor(F.col("col") / 64).alias("block_col")).distinct()
-    audit = Y.layout_audit(index, grids, ["scene"], 64)
-    return audit.select("scene", (F.size("warnings") > 0).alias("missing"), "valid")
+    cells = A.a2_cells(spark, d).select(*A.A2_KEYS, (F.col("row") * 16).alias("row"), (F.col("col") * 5).alias("col"), "value")
+    grids = cells.groupBy(*A.A2_KEYS).agg((F.max("row") + 640).alias("height")).select(*A.A2_KEYS, F.lit(640).alias("width"), "height")
+    made = overviews.overview_blocks(pack_blocks(cells, A.A2_KEYS, 64), grids, A.A2_KEYS, "average", 64).where("NOT (scene = 'N' AND level > 1)")
+    place = lambda c: F.floor(F.col(c) / 64).alias(f"block_{c}")
+    base = cells.select(*A.A2_KEYS, F.lit(0).alias("level"), place("row"), place("col")).distinct()
+    index = base.unionByName(made.select(*base.columns))
+    audit = Y.layout_audit(index, grids, A.A2_KEYS, 64)
+    return audit.select(*A.A2_KEYS, (F.size("warnings") > 0).alias("missing"), "valid")

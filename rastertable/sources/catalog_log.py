@@ -13,11 +13,11 @@ import json
 import uuid
 from collections.abc import Mapping, Sequence
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastertable.operators.catalog import Catalog, CatalogError, duplicate_keys, only_new, search
+from rastertable.sources.shared import create_once
 
 TABLES = ("datasets", "metadata")
 COMPACT_AFTER = 16   # deltas that a reader merges before a commit compacts them
@@ -57,25 +57,7 @@ class CatalogLog:
 
     def _claim(self, record: dict) -> bool:
         """Make a record under its version's name; False if another writer has made it already."""
-        spare, fs = self._fs(f"{self.root}/log/.{uuid.uuid4().hex}")
-        fs.mkdirs(spare.getParent())
-        out = fs.create(spare, False)
-        out.write(bytearray(json.dumps(record).encode()))
-        out.close()
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        final, _ = self._fs(f"{self.root}/log/v{record['version']:010d}.json")
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        none = gateway.new_array(rename, 1)
-        none[0] = rename.NONE
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(spare.toUri() if spare.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        try:
-            context.rename(spare, final, none)
-        except Py4JJavaError as exc:
-            fs.delete(spare, False)
-            if "FileAlreadyExists" in exc.java_exception.getClass().getName():
-                return False
-            raise
-        return True
+        return create_once(self.spark, f"{self.root}/log/v{record['version']:010d}.json", json.dumps(record))
 
     # --- commits ----------------------------------------------------------------
 

@@ -4,13 +4,13 @@ Every change writes whole new tables into a folder of their own and then one
 commit record naming the folders. The record is the only thing readers look
 at, so ``datasets`` and ``metadata`` always change together, and a writer that
 dies before its record leaves the catalog as it was and nothing in the way of
-the next one. Every record has a name of its own. Of two records of one version
-the one written first counts, by file time, then by name; the writer of the
-other finds that out when it reads the record back, and gets an error.
+the next one. The record of a version has one name, which only one writer can
+make; the writer of another record of that version gets an error.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastertable.operators.catalog import Catalog, CatalogError
+from rastertable.sources.shared import create_once
 
 TABLES = ("key_names", "datasets", "metadata", "catalog_version")
 COMMIT_SCHEMA = "version LONG, token STRING, " + ", ".join(f"{t} STRING" for t in TABLES)
@@ -62,14 +63,7 @@ class CatalogStore:
         for t in TABLES:
             getattr(catalog, t).write.parquet(f"{self.root}/{folder}/{t}", mode="errorifexists")
             names[t] = f"{folder}/{t}"
-        record = self.spark.range(1).select(
-            F.lit(version).cast("long").alias("version"), F.lit(token).alias("token"), *[F.lit(names[t]).alias(t) for t in TABLES])
-        record.coalesce(1).write.json(f"{self.root}/commits/v{version:08d}-{token}", mode="errorifexists")
-        if self._at(version) != token:
+        record = {"version": version, "token": token, **names}
+        if not create_once(self.spark, f"{self.root}/commits/v{version:08d}.json", json.dumps(record)):
             raise CatalogError(f"another writer has made version {version}; load the catalog and apply the change again")
         return self.load()
-
-    def _at(self, version: int) -> str:
-        """Token of the record of a version that counts."""
-        order = [F.asc("_metadata.file_modification_time"), F.asc("token")]
-        return self._commits().where(F.col("version") == version).orderBy(*order).limit(1).collect()[0]["token"]

@@ -208,7 +208,7 @@ def computed_band(spark, d):
 WITH ids AS (SELECT unnest(range(0, 255)) AS idx),
 own AS (SELECT 'jet' AS name, idx, idx AS r, 254 - idx AS g, CAST(p_size AS INTEGER) AS b FROM ids JOIN part ON p_partkey = idx + 1
   UNION ALL SELECT 'short', idx, idx, idx, idx FROM ids WHERE idx < 100)
-SELECT name, CAST(count(*) AS BIGINT) AS n_rows, name <> 'short' AS valid, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b FROM own GROUP BY 1""")
+SELECT name, CAST(count(*) AS BIGINT) AS n_rows, count(*) = 255 AS valid, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b FROM own GROUP BY 1""")
 def colormap_override(spark, d):
     """A shipped map replaced by one made from a table, and one that is too short; the audit tells."""
     sizes = A.table(spark, d, "part").where("p_partkey BETWEEN 1 AND 255").select((F.col("p_partkey") - 1).cast("int").alias("idx"), F.col("p_size").cast("int").alias("b"))

@@ -10,7 +10,7 @@ too few of their links were found, all is done again with more overlap.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,28 +20,37 @@ from pyspark.sql import functions as F
 
 from rastertable.llm import flatgraph
 from rastertable.llm.graph import components
-from rastertable.llm.tables import checkpointed, map_rows
+from rastertable.llm.tables import checkpointed, join_small, map_rows, release_shuffles
 
 SALTS = 16
+CUTS = 3         # times that a shard is cut; what is still over the bound is sliced
+SHIFT = 13       # bits of a shard's number for each of its parts
+NOWHERE = np.iinfo(np.int64).max
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Pairs link from ``least`` on. ``sample`` bounds the vectors that centroids are fitted on and ``audited`` those compared with all;
-    a cluster is meant to have ``cluster`` vectors, of each vector's ``overlap`` nearest clusters those within ``margin`` hold it. Queries of a
-    shard are split so that a block of them times the shard's vectors is at most ``cells``."""
+    """Pairs link from ``least`` on. ``sample`` (rows) and ``sample_bytes`` bound the vectors that centroids are fitted on, ``fitted`` those of a
+    shard that is cut. ``audited`` vectors are compared with all; the share of their links found, pooled and as a mean of vectors, is at least ``recall``.
+    A cluster is meant to have ``cluster`` vectors; of each vector's ``overlap`` nearest clusters those within ``margin`` hold it. A graph
+    has about ``slice`` vectors at most, however many a shard holds."""
 
     least: float = 0.9
     sample: int = 1 << 16
+    sample_bytes: int = 128 << 20
+    fitted: int = 2048
     cluster: int = 800
     overlap: int = 3
     margin: float = 0.25
-    audited: int = 256
+    audited: int = 1024
     recall: float = 0.97
-    cells: int = 32 << 20
+    slice: int = 4096
     degree: int = 16
     beam: int = 24
 
+    def wider(self) -> Rule:
+        return replace(self, overlap=2 * self.overlap, margin=min(2.0, 1.5 * self.margin), degree=self.degree + 8, beam=2 * self.beam)
+
 
 def prepared(vectors: DataFrame) -> DataFrame:
     """``vec_id``, ``digest`` and ``vec`` (doubles of unit length); the latter null for vectors that link with nothing."""
@@ -86,20 +95,79 @@ def _fit(x: np.ndarray, width: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, max(0, width - x.shape[1]))))[:, :width]
 
 
-def sharded(one: DataFrame, centres: np.ndarray, overlap: int, margin: float) -> DataFrame:
+def nearest(x: np.ndarray, centres: np.ndarray, rule: Rule) -> list[list[int]]:
+    """The clusters that hold each vector, ascending."""
+    s = _fit(x, centres.shape[1]).astype(np.float32) @ centres.T
+    best = np.argsort(-s, axis=1, kind="stable")[:, :rule.overlap]
+    top = np.take_along_axis(s, best, 1)
+    return [sorted(b[t >= t[0] - rule.margin].tolist()) for b, t in zip(best, top, strict=True)]
+
+
+def sharded(one: DataFrame, centres: np.ndarray, rule: Rule) -> DataFrame:
     """``shard``, ``vec_id``, ``copies``, ``vec``, ``shards`` (all of the vector's, ascending): a row for each."""
     def run(batch: pa.RecordBatch) -> dict:
-        s = _fit(matrix(batch.column(2).to_pylist()), centres.shape[1]).astype(np.float32) @ centres.T
-        best = np.argsort(-s, axis=1, kind="stable")[:, :overlap]
-        top = np.take_along_axis(s, best, 1)
-        own = [sorted(b[t >= t[0] - margin].tolist()) for b, t in zip(best, top, strict=True)]
+        own = nearest(matrix(batch.column(2).to_pylist()), centres, rule)
         return {"vec_id": batch.column(0), "copies": batch.column(1), "vec": batch.column(2), "shards": own}
 
-    wide = map_rows(one.select("vec_id", "copies", "vec"), run, "vec_id long, copies long, vec binary, shards array<int>")
+    wide = map_rows(one.select("vec_id", "copies", "vec"), run, "vec_id long, copies long, vec binary, shards array<long>")
     return wide.select(F.explode("shards").alias("shard"), "vec_id", "copies", "vec", "shards")
 
 
-def _same_length(x: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+def _finer(rule: Rule):
+    """Centroids of a shard from a sample of it; none where linked vectors of the sample would be parted or no part is small."""
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        shard, size = (int(k) for k in key)
+        x = matrix(group["vec"])
+        k = min(-(-size // rule.cluster), len(x) // 8)
+        found = pd.DataFrame({"shard": [shard], "parts": [-(-size // rule.slice)], "width": [x.shape[1]], "centres": [b""]})
+        if k < 2:
+            return found[:0]
+        centres = centroids(x, k)
+        member = np.zeros((len(x), k), np.float32)
+        for row, own in zip(member, nearest(x, centres, rule), strict=True):
+            row[own] = 1
+        linked_ = np.triu(x @ x.T >= rule.least, 1)
+        together = (linked_ & (member @ member.T > 0)).sum()
+        if 2 * together < (1 + rule.recall) * linked_.sum() or member.mean(0).max() > 0.5:
+            return found[:0]
+        return found.assign(centres=[centres.astype(np.float32).tobytes()])
+    return run
+
+
+def _dealt(rule: Rule):
+    def run(key: tuple, group: pd.DataFrame, finer: pd.DataFrame) -> pd.DataFrame:
+        if group.empty:
+            return group[["shard", "vec_id", "copies", "vec"]]
+        centres = np.frombuffer(finer["centres"].iloc[0], np.float32).reshape(-1, int(finer["width"].iloc[0]))
+        own = nearest(matrix(group["vec"]), centres, rule)
+        rows = np.repeat(np.arange(len(group)), [len(o) for o in own])
+        base = (int(key[0]) + 1) << SHIFT
+        return group.iloc[rows][["vec_id", "copies", "vec"]].assign(shard=base + np.concatenate(own).astype(np.int64))
+    return run
+
+
+def cut(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``sharded`` rows, those of shards over ``slice`` vectors dealt out to finer shards where that parts few links."""
+    for _ in range(CUTS):
+        large = checkpointed(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > rule.slice))
+        drawn = F.pmod(F.xxhash64("vec_id", "shard"), F.lit(1 << 30)) < F.lit(rule.fitted * float(1 << 30)) / F.col("size")
+        sample = join_small(rows.select("shard", "vec_id", "vec"), large, ["shard"]).filter(drawn)
+        finer = checkpointed(sample.groupBy("shard", "size").applyInPandas(_finer(rule), "shard long, parts int, width int, centres binary"))
+        if finer.isEmpty():
+            return rows
+        marked = join_small(rows, finer.select("shard", "parts"), ["shard"], how="left")
+        salted = marked.filter("parts IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+        spread = finer.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(
+            _dealt(rule), "shard long, vec_id long, copies long, vec binary")
+        rows = marked.filter("parts IS NULL").select(*dealt.columns).unionByName(dealt).withColumn("sum", F.xxhash64("vec"))
+        rows = checkpointed(rows)
+        held = rows.groupBy("vec_id", "sum").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
+        rows = checkpointed(rows.join(held, ["vec_id", "sum"]).select("shard", "vec_id", "copies", "vec", "shards"))
+    return rows
+
+
+def _same_length(lengths: np.ndarray) -> list[np.ndarray]:
     return [np.flatnonzero(lengths == n) for n in np.unique(lengths)]
 
 
@@ -107,7 +175,7 @@ def _built(rule: Rule):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ids, parts = group["vec_id"].to_numpy(), []
         lengths = group["vec"].map(len).to_numpy()
-        for rows in _same_length(None, lengths):
+        for rows in _same_length(lengths):
             edges = flatgraph.build(matrix(group["vec"].iloc[rows]), rule.degree, rule.beam)
             own = ids[rows]
             parts.append(pd.DataFrame({"vec_id": own, "near": [own[e[e >= 0]] for e in edges]}))
@@ -115,38 +183,44 @@ def _built(rule: Rule):
     return run
 
 
+def _lists(lists, fill: int) -> np.ndarray:
+    out = np.full((len(lists), max(1, *map(len, lists)) if len(lists) else 1), fill, np.int64)
+    for row, own in zip(out, lists, strict=True):
+        row[:len(own)] = own
+    return out
+
+
 def _searched(rule: Rule):
+    """Links of the rows ``asked`` among those that are a ``node`` (of a slice)."""
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        shard, block, blocks = (int(k) for k in key)
-        parts = []
+        shard = int(key[0])
+        parts = [pd.DataFrame({"vec_id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})]
         lengths = group["vec"].map(len).to_numpy()
-        for rows in _same_length(None, lengths):
-            own = group.iloc[rows].sort_values("vec_id")
-            ids, copies = own["vec_id"].to_numpy(), own["copies"].to_numpy()
-            x = matrix(own["vec"])
-            near = own["near"].tolist()
-            width = max(1, max(len(e) for e in near))
-            edges = np.full((len(ids), width), flatgraph.NONE, np.int64)
-            for row, e in zip(edges, near, strict=True):
-                e = np.asarray(e, np.int64)
-                at = np.minimum(np.searchsorted(ids, e), len(ids) - 1)
-                at = at[ids[at] == e]  # of the united list, those in this shard
-                row[:len(at)] = at
-            member = np.full((len(ids), max(map(len, own["shards"]))), 1 << 30, np.int64)
-            for row, s in zip(member, own["shards"], strict=True):
-                row[:len(s)] = s
-            queries = np.flatnonzero(np.arange(len(ids)) % blocks == block)
-            start = np.array([flatgraph.medoid(x)])
-            for a in range(0, len(queries), 512):
-                q, node = flatgraph.in_range(x, edges, part := queries[a:a + 512], start, rule.least)
-                q = part[q]
+        for rows in _same_length(lengths):
+            alike = group.iloc[rows]
+            nodes, asked = alike[alike["node"]].sort_values("vec_id"), alike[alike["asked"]].sort_values("vec_id")
+            if not len(nodes) or not len(asked):
+                continue
+            ids, copies, x = nodes["vec_id"].to_numpy(), nodes["copies"].to_numpy(), matrix(nodes["vec"])
+            at = lambda e: np.minimum(np.searchsorted(ids, e), len(ids) - 1)
+            # of the united lists, those in this slice
+            edges = _lists([a[ids[a] == e] for e in map(np.asarray, nodes["near"]) for a in [at(e)]], flatgraph.NONE)
+            asked_ids, vectors = asked["vec_id"].to_numpy(), matrix(asked["vec"])
+            place = at(asked_ids)
+            place = np.where(ids[place] == asked_ids, place, flatgraph.NONE)
+            held, holds = _lists(nodes["shards"].tolist(), NOWHERE), _lists(asked["shards"].tolist(), NOWHERE)
+            start, step = np.array([flatgraph.medoid(x)]), max(16, (1 << 20) // len(ids))
+            for a in range(0, len(asked_ids), step):
+                q, node = flatgraph.in_range(x, edges, vectors[a:a + step], place[a:a + step], start, rule.least)
+                q += a
                 # a pair counts in the first shard that holds both
-                both = (member[q][:, :, None] == member[node][:, None, :]).any(2)
-                mine = np.where(both, member[q], 1 << 30).min(1, initial=1 << 30) == shard
+                both = (holds[q][:, :, None] == held[node][:, None, :]).any(2)
+                mine = np.where(both, holds[q], NOWHERE).min(1, initial=NOWHERE) == shard
                 q, node = q[mine], node[mine]
-                parts.append(pd.DataFrame({"vec_id": ids[part], "links": np.bincount(q, copies[node], len(ids))[part].astype(np.int64), "root": ids[part]}))
-                a_, b_ = _forest(q, node)
-                parts.append(pd.DataFrame({"vec_id": ids[a_], "links": np.zeros(len(a_), np.int64), "root": ids[b_]}))
+                some, row = np.unique(q, return_inverse=True)
+                parts.append(pd.DataFrame({"vec_id": asked_ids[some], "links": np.bincount(row, copies[node], len(some)).astype(np.int64), "root": asked_ids[some]}))
+                a_, b_ = _forest(asked_ids[q], ids[node])
+                parts.append(pd.DataFrame({"vec_id": a_, "links": np.zeros(len(a_), np.int64), "root": b_}))
         return pd.concat(parts)
     return run
 
@@ -171,25 +245,32 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _links(one: DataFrame, centres: np.ndarray, rule: Rule, overlap: int) -> DataFrame:
-    """``vec_id``, ``links`` and ``root``: a row for each vector and shard with its links there, and rows that tie components."""
-    rows = checkpointed(sharded(one, centres, overlap, rule.margin))
-    rows = rows.repartition(len(centres), "shard")
-    graph = rows.groupBy("shard").applyInPandas(_built(rule), "vec_id long, near array<long>")
+def _links(one: DataFrame, centres: np.ndarray, rule: Rule) -> DataFrame:
+    """``vec_id``, ``links`` and ``root``: a row for each vector and slice with its links there, and rows that tie components."""
+    rows = cut(checkpointed(sharded(one, centres, rule)), rule)
+    sizes = checkpointed(rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(rule.slice)).cast("int").alias("slices")))
+    tasks = lambda column: min(20_000, max(2, int(sizes.agg(F.sum(column)).first()[0])))
+    rows = join_small(rows, sizes, ["shard"]).withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int"))
+    grouped = rows.repartition(tasks(F.col("slices")), "shard", "slice").groupBy("shard", "slice")
+    graph = grouped.applyInPandas(_built(rule), "vec_id long, near array<long>")
     united = graph.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") * F.col("size") / F.lit(rule.cells)).cast("int")
-    split = (rows.join(checkpointed(united), "vec_id").join(sizes, "shard").withColumn("blocks", blocks)
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("size"))
-    split = split.repartition(max(len(centres), 2), "shard", "block")
-    return checkpointed(split.groupBy("shard", "block", "blocks").applyInPandas(_searched(rule), "vec_id long, links long, root long"))
-
-
-def audit(one: DataFrame, links: DataFrame, rule: Rule) -> tuple[int, int]:
-    """Links found and links there are (copies counted) of the ``audited`` vectors with the smallest digests, compared with all vectors."""
+    # a row is a node of its slice wherever that is searched, and is asked for in all slices of its shard
+    every = F.sequence(F.lit(0), F.col("slices") - 1)
+    own = rows.join(checkpointed(united), "vec_id").withColumn("of", F.explode(every)).select(
+        "shard", "slice", "of", "vec_id", "copies", "vec", "shards", "near", F.lit(True).alias("node"), (F.col("of") == F.col("slice")).alias("asked"))
+    other = (rows.filter("slices > 1").withColumn("at", F.explode(F.array_remove(every, F.col("slice")))).select(
+        "shard", F.col("at").alias("slice"), F.col("slice").alias("of"), "vec_id", "copies", "vec", "shards",
+        F.lit(None).cast("array<long>").alias("near"), F.lit(False).alias("node"), F.lit(True).alias("asked")))
+    split = own.unionByName(other).repartition(tasks(F.col("slices") * F.col("slices")), "shard", "slice", "of")
+    return checkpointed(split.groupBy("shard", "slice", "of").applyInPandas(_searched(rule), "vec_id long, links long, root long"))
+
+
+def audit(one: DataFrame, links: DataFrame, rule: Rule) -> float:
+    """Share of their links (copies counted) found for the ``audited`` vectors with the smallest digests, compared with all vectors: the
+    smaller one of all links together and of the mean of vectors, so that neither a large group nor many small ones can hide the rest. 1 without links."""
     asked = one.orderBy("digest").limit(rule.audited).select("vec_id", "vec").collect()
     if not asked:
-        return 0, 0
+        return 1.0
     ids = [r.vec_id for r in asked]
     vecs = [bytes(r.vec) for r in asked]
     least = rule.least
@@ -207,9 +288,11 @@ def audit(one: DataFrame, links: DataFrame, rule: Rule) -> tuple[int, int]:
                     total[mine] += hits @ copies[rows]
             yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "n": pa.array(total)})
 
-    there = one.select("vec_id", "copies", "vec").mapInArrow(run, "vec_id long, n long").agg(F.sum("n")).first()[0] or 0
-    found = links.filter(F.col("vec_id").isin(ids)).agg(F.sum("links")).first()[0] or 0
-    return int(found), int(there)
+    there = one.select("vec_id", "copies", "vec").mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n")).filter("n > 0")
+    found = links.filter(F.col("vec_id").isin(ids)).groupBy("vec_id").agg(F.sum("links").alias("links"))
+    share = F.coalesce("links", F.lit(0)) / F.col("n")
+    pooled, mean = there.join(found, "vec_id", "left").agg(F.sum(F.coalesce("links", F.lit(0))) / F.sum("n"), F.avg(share)).first()
+    return 1.0 if pooled is None else min(pooled, mean)
 
 
 def linked(vectors: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -225,15 +308,18 @@ def linked(vectors: DataFrame, rule: Rule = Rule()) -> DataFrame:
     n = one.count()
     told = one.withColumns({"links": F.lit(0).cast("long"), "component": F.col("vec_id")})
     if n:
-        sample = matrix([r.vec for r in one.select("digest", "vec").orderBy("digest").limit(rule.sample).select("vec").collect()])
+        width = one.agg(F.max(F.length("vec"))).first()[0]
+        taken = max(1024, min(rule.sample, rule.sample_bytes // width))
+        sample = matrix([r.vec for r in one.select("digest", "vec").orderBy("digest").limit(taken).select("vec").collect()])
         centres = centroids(sample, int(min(max(1, -(-n // rule.cluster)), max(1, len(sample) // 8))))
-        overlap = rule.overlap
         while True:
-            found = _links(one, centres, rule, overlap)
-            have, there = audit(one, found, rule)
-            if have >= rule.recall * there or overlap >= len(centres):
+            found = _links(one, centres, rule)
+            if (share := audit(one, found, rule)) >= rule.recall:
                 break
-            overlap *= 2
+            if rule.overlap >= len(centres) and rule.margin >= 2 and rule.beam >= 512:
+                raise RuntimeError(f"{share:.4f} of the audited links were found, {rule.recall} are asked for")
+            rule = rule.wider()
+            release_shuffles(one.sparkSession)
         parts = components(found.filter("vec_id != root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
         told = (one.join(found.groupBy("vec_id").agg(F.sum("links").alias("links")), "vec_id", "left")
                 .join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left"))

@@ -22,12 +22,13 @@ def _top(ids: np.ndarray, sims: np.ndarray, keep: int) -> tuple[np.ndarray, np.n
 
 
 def greedy(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query, greedy search from ``starts``: the nodes of its final beam and their similarities, all queries side by side."""
+    """For each query, greedy search from ``starts``: the nodes of its final beam and their similarities, all queries side by side. It
+    ends when all nodes of all beams have been looked at; a node that left a beam is too far to come back."""
     n = len(queries)
     ids = np.tile(starts[None, :], (n, 1))
     sims = queries @ x[starts].T
     done = np.zeros_like(ids, bool)
-    for _ in range(8 * beam):
+    while True:
         open_ = np.where(done | (ids == NONE), -np.inf, sims)
         pick = open_.argmax(1)
         live = np.isfinite(open_[np.arange(n), pick])
@@ -42,6 +43,7 @@ def greedy(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, starts: np.nda
         # a node met again keeps the mark of the place that it has
         all_done = np.concatenate([done[rows], np.zeros_like(near, bool)], 1)
         kept, s, chosen = _top(all_ids, all_sims - 1e-9 * ~all_done, min(beam, all_ids.shape[1]))
+        s = np.where(kept == NONE, -np.inf, np.take_along_axis(all_sims, chosen, 1))
         if kept.shape[1] > ids.shape[1]:
             pad = kept.shape[1] - ids.shape[1]
             ids = np.pad(ids, ((0, 0), (0, pad)), constant_values=NONE)
@@ -115,19 +117,21 @@ def _add(x: np.ndarray, edges: np.ndarray, sources: np.ndarray, targets: np.ndar
         edges[nodes[~full]] = np.take_along_axis(rest, np.argsort(rest == NONE, axis=1, kind="stable"), 1)[:, :degree]
 
 
-def in_range(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, starts: np.ndarray, least: float, slack: float = 0.05,
+def in_range(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, places: np.ndarray, starts: np.ndarray, least: float, slack: float = 0.05,
              beam: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) for all nodes found with similarity of at least ``least``. ``queries`` are nodes.
+    """(query, node) for all nodes found with similarity of at least ``least``. ``queries`` are vectors; ``places`` are the nodes that
+    they are, or NONE.
 
     Greedy search from the starts, and the query's own place, gives the first nodes; from then on the neighbours of every node
     within the range (and a little beyond) are looked at, along edges in either direction, until no new one is.
     """
     n = len(x)
     seen = np.zeros((len(queries), n), bool)
-    ids, sims = greedy(x, edges, x[queries], starts, beam)
+    ids, sims = greedy(x, edges, queries, starts, beam)
     row, col = np.nonzero((ids != NONE) & (sims >= least - slack))
-    q = np.concatenate([np.arange(len(queries)), row])
-    node = np.concatenate([queries, ids[row, col]])
+    placed = np.flatnonzero(places != NONE)
+    q = np.concatenate([placed, row])
+    node = np.concatenate([places[placed], ids[row, col]])
     first, near = neighbours(edges)
     found_q, found_n = [], []
     while len(q):
@@ -137,7 +141,7 @@ def in_range(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, starts: np.n
         s = np.empty(len(q))
         for a in range(0, len(q), 1 << 17):
             part = slice(a, a + (1 << 17))
-            s[part] = np.einsum("kd,kd->k", x[queries[q[part]]], x[node[part]])
+            s[part] = np.einsum("kd,kd->k", queries[q[part]], x[node[part]])
         hit = s >= least
         found_q.append(q[hit])
         found_n.append(node[hit])
@@ -154,7 +158,7 @@ def in_range(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, starts: np.n
             more_n.append(more % n)
         q, node = (np.concatenate(m) if m else np.zeros(0, np.int64) for m in (more_q, more_n))
     q, node = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (found_q, found_n))
-    other = queries[q] != node
+    other = places[q] != node
     return q[other], node[other]
 
 

@@ -20,7 +20,7 @@ def test_graph():
     assert ((edges >= -1) & (edges < len(x))).all() and (edges != np.arange(len(x))[:, None]).all()
     ids, sims = flatgraph.greedy(x, edges, x, np.array([flatgraph.medoid(x)]), 24)
     assert (ids[:, 0] == np.arange(len(x))).mean() > 0.97
-    q, node = flatgraph.in_range(x, edges, np.arange(len(x)), np.array([flatgraph.medoid(x)]), 0.9)
+    q, node = flatgraph.in_range(x, edges, x, np.arange(len(x)), np.array([flatgraph.medoid(x)]), 0.9)
     s = x @ x.T
     np.fill_diagonal(s, 0)
     want = set(zip(*np.nonzero(s >= 0.9), strict=True))
@@ -49,7 +49,7 @@ def test_linked(spark):
     rows += [(20_000, None), (20_001, []), (20_002, [0.0] * 24), (20_003, [1.0, None] * 12), (20_004, [float("nan")] + [1.0] * 23), (20_005, [float("inf")] * 24), (None, rows[7][1]),
              (20_006, [1.0, 2.0]), (20_007, [2.0, 4.0]), (20_008, [1e200] * 24), (20_009, [1e-200] * 24)]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, n_links string")
-    got = {tuple(r) for r in embeddings.linked(df, embeddings.Rule(cluster=60, cells=4000)).collect()}
+    got = {tuple(r) for r in embeddings.linked(df, embeddings.Rule(cluster=60, slice=64)).collect()}
     exact = want(rows)
     assert len(got) == len(exact) and len(got & exact) > 0.95 * len(exact)
     assert {r for r in got if (r[0] or 0) >= 10_000} == {r for r in exact if (r[0] or 0) >= 10_000}
@@ -57,6 +57,38 @@ def test_linked(spark):
     assert {r.kept for r in embeddings.linked(df.filter("vec_id = 20002")).collect()} == {True}
 
 
+def test_dense_shard(spark):
+    """One group that no cut can part without losing links is searched slice by slice; a loose table is cut."""
+    rng = np.random.default_rng(3)
+    dense = rng.standard_normal(16) + 0.05 * rng.standard_normal((300, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([dense, rng.standard_normal((200, 16))]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rule = embeddings.Rule(cluster=20, slice=100, sample=16)  # two centroids
+    assert {tuple(r) for r in embeddings.linked(df, rule).collect()} == want(rows)
+    assert len([r for r in want(rows) if r[1] >= 299]) == 300
+    one = embeddings.prepared(df).withColumn("copies", embeddings.F.lit(1).cast("long"))
+    whole = embeddings.sharded(one, np.ones((1, 16), np.float32), rule)
+    sizes = lambda rows: sorted(r["count"] for r in rows.groupBy("shard").count().collect())
+    assert sizes(whole) == [500] and sizes(embeddings.cut(whole.filter("vec_id < 300"), rule)) == [300]
+    loose = embeddings.cut(whole.filter("vec_id >= 300"), rule).collect()
+    assert {r.vec_id for r in loose} == set(range(300, 500)) and len({r.shard for r in loose}) > 1
+    shards = {}
+    for r in loose:
+        shards.setdefault(r.vec_id, set()).add(r.shard)
+    assert all(r.shards == sorted(shards[r.vec_id]) for r in loose)
+
+
+def test_audit(spark):
+    """Links that are missed show up, and more overlap that does not find them is an error."""
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(cloud(rng, 120))]
+    one = embeddings.prepared(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).withColumn("copies", embeddings.F.lit(1).cast("long"))
+    told = spark.createDataFrame([r[:2] for r in want(rows)], "vec_id long, links long")
+    assert embeddings.audit(one, told, embeddings.Rule()) == 1.0
+    assert embeddings.audit(one, told.filter("vec_id % 2 = 0"), embeddings.Rule()) < 0.9
+    assert embeddings.audit(one.limit(0), told, embeddings.Rule()) == 1.0
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]

@@ -138,7 +138,7 @@ def _dealt(rule: Rule):
     def run(key: tuple, group: pd.DataFrame, finer: pd.DataFrame) -> pd.DataFrame:
         if group.empty:
             return group[["shard", "vec_id", "copies", "vec"]]
-        centres = np.frombuffer(finer["centres"].iloc[0], np.float32).reshape(-1, int(finer["width"].iloc[0]))
+        centres = np.frombuffer(finer["points"].iloc[0], np.float32).reshape(-1, int(finer["wide"].iloc[0]))
         own = nearest(matrix(group["vec"]), centres, rule)
         rows = np.repeat(np.arange(len(group)), [len(o) for o in own])
         base = (int(key[0]) + 1) << SHIFT
@@ -155,12 +155,13 @@ def cut(rows: DataFrame, rule: Rule) -> DataFrame:
         finer = checkpointed(sample.groupBy("shard", "size").applyInPandas(_finer(rule), "shard long, parts int, width int, centres binary"))
         if finer.isEmpty():
             return rows
-        marked = join_small(rows, finer.select("shard", "parts"), ["shard"], how="left")
-        salted = marked.filter("parts IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-        spread = finer.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(
+        marked = join_small(rows, finer.select("shard", F.col("parts").alias("salts")), ["shard"], how="left")
+        salted = marked.filter("salts IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int"))
+        spread = finer.select(F.col("shard").alias("of"), F.col("width").alias("wide"), F.col("centres").alias("points"),
+                              F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        dealt = salted.groupBy("shard", "salt").cogroup(spread.groupBy("of", "part")).applyInPandas(
             _dealt(rule), "shard long, vec_id long, copies long, vec binary")
-        rows = marked.filter("parts IS NULL").select(*dealt.columns).unionByName(dealt).withColumn("sum", F.xxhash64("vec"))
+        rows = marked.filter("salts IS NULL").select(*dealt.columns).unionByName(dealt).withColumn("sum", F.xxhash64("vec"))
         rows = checkpointed(rows)
         held = rows.groupBy("vec_id", "sum").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
         rows = checkpointed(rows.join(held, ["vec_id", "sum"]).select("shard", "vec_id", "copies", "vec", "shards"))

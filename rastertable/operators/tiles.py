@@ -235,28 +235,19 @@ def _read(blocks: DataFrame, at: Column) -> Column:
     return read_mask(F.get("values", at), "nodata", alpha, F.coalesce("has_alpha", F.lit(False)))
 
 
-def _sampled(pixels: DataFrame, group: list[str], method: str, size: int) -> DataFrame:
-    """Linear or cubic values of pixels (``_u``, ``_v``) in the block that holds the pixel left of and above them, out of its ``pad``."""
-    reach = {"linear": 1, "cubic": 2}[method]
+def _linear(pixels: DataFrame, group: list[str], size: int) -> DataFrame:
+    """Linear values of pixels (``_u``, ``_v``) in the block that holds the pixel left of and above them, out of its ``pad``."""
     base = lambda c: F.floor(F.col(c) - 0.5).cast("int")
     owner = lambda c: F.call_function("div", F.greatest(base(c), F.lit(0)), F.lit(size))
     mine = pixels.where((owner("_v") == F.col("block_row")) & (owner("_u") == F.col("block_col")))
     placed = geo.once(mine, _fc=F.col("_u") - 0.5 - base("_u"), _fr=F.col("_v") - 0.5 - base("_v"),
-                      _at=(base("_v") - F.col("block_row") * size + reach) * (size + 2 * reach) + base("_u") - F.col("block_col") * size + reach)
-    taps = range(1 - reach, reach + 1)
-    tap = lambda r, c: f"_t{r - taps[0]}{c - taps[0]}"
-    read = lambda r, c: F.coalesce(F.get("pad", F.col("_at") + (r * (size + 2 * reach) + c)), F.lit(float("nan")))
-    tapped = geo.once(placed, **{tap(r, c): read(r, c) for r in taps for c in taps})
-    near = [(F.col(tap(r, c)), linear_weight(F.col("_fr") - r) * linear_weight(F.col("_fc") - c)) for r in (0, 1) for c in (0, 1)]
+                      _at=(base("_v") - F.col("block_row") * size + 1) * (size + 2) + base("_u") - F.col("block_col") * size + 1)
+    read = lambda r, c: F.coalesce(F.get("pad", F.col("_at") + (r * (size + 2) + c)), F.lit(float("nan")))
+    tapped = geo.once(placed, **{f"_t{r}{c}": read(r, c) for r in (0, 1) for c in (0, 1)})
+    near = [(F.col(f"_t{r}{c}"), linear_weight(F.col("_fr") - r) * linear_weight(F.col("_fc") - c)) for r in (0, 1) for c in (0, 1)]
     some = lambda terms: reduce(add, [F.when(F.isnan(v), 0.0).otherwise(x) for v, x in terms])
-    sums = {"_w": some([(v, w) for v, w in near]), "_wv": some([(v, w * v) for v, w in near])}
-    if method == "cubic":  # NaN where one of the 16 is missing
-        across = [cubic_weight(F.col("_fc") - c) for c in taps]
-        sums["_cv"] = reduce(add, [cubic_weight(F.col("_fr") - r) * reduce(add, [w * F.col(tap(r, c)) for c, w in zip(taps, across)]) for r in taps])
-    out = F.when(F.col("_w") > MIN_WEIGHT, F.col("_wv") / F.col("_w"))
-    if method == "cubic":
-        out = F.when(~F.isnan("_cv"), F.col("_cv")).otherwise(out)
-    return geo.once(tapped, **sums).select(*group, out.alias("v")).where("v IS NOT NULL")
+    summed = geo.once(tapped, _w=some(near), _wv=some([(v, w * v) for v, w in near]))
+    return summed.select(*group, F.when(F.col("_w") > MIN_WEIGHT, F.col("_wv") / F.col("_w")).alias("v")).where("v IS NOT NULL")
 
 
 def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear",
@@ -268,7 +259,8 @@ def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear"
     and falls back to linear where one of them is masked or off the raster. Masked are pixels of
     the grid's nodata value, pixels whose ``alpha`` (an array of the block) is 0 where the grid has alpha, and non-finite ones.
 
-    Only blocks under the frames exchange margins, and each working pixel is made by one block.
+    For linear, blocks under the frames exchange margins, and each working pixel is made by one block. The 16 pixels of cubic are summed over
+    the blocks that hold them: read from one row, they make code too long for the JVM to compile, which took more than twice the time.
     """
     keys, ids = list(keys), list(ids)
     if crs is None:
@@ -277,6 +269,7 @@ def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear"
     if method == "average":
         raise ValueError("average reduces a working grid; warp with nearest, linear or cubic")
     reach = {"nearest": 0, "linear": 1, "cubic": 2}[method]
+    taps = {"nearest": (0,), "cubic": (-1, 0, 1, 2)}.get(method)
     at, group = [*keys, "block_row", "block_col"], [*keys, *ids, "vw", "vh", "vr", "vc"]
     n_cols = F.col("c1") - F.col("c0") + 1
     n_pixels = n_cols * (F.col("r1") - F.col("r0") + 1)
@@ -286,7 +279,7 @@ def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear"
     spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.repartition(spread, *at)
     read = blocks.select(*at, *_layers(blocks))
-    if reach:
+    if method == "linear":
         wanted = pairs.select(*at, "width", "height", *MASKS).distinct()
         alpha = F.col("alpha") if "alpha" in blocks.columns else None
         # spread like the pairs, which is how strips and blocks meet; once: eight strips and the block itself are made of it
@@ -301,11 +294,34 @@ def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear"
     y = F.col("ft") - (F.col("vr") + 0.5) * F.col("sy")
     pixels = geo.mercator_to_pixel(pixels, crs, x, y, "_u", "_v").where(
         (F.col("_u") >= 0) & (F.col("_u") < F.col("width")) & (F.col("_v") >= 0) & (F.col("_v") < F.col("height")))
-    if reach:
-        return _sampled(pixels, group, method, block_size)
-    col, row = F.floor("_u").cast("int") - F.col("block_col") * block_size, F.floor("_v").cast("int") - F.col("block_row") * block_size
-    own = pixels.withColumns({"_ic": col, "_ir": row}).where(F.col("_ic").between(0, block_size - 1) & F.col("_ir").between(0, block_size - 1))
-    return own.select(*group, _read(blocks, F.col("_ir") * block_size + F.col("_ic")).alias("v")).where("v IS NOT NULL")
+    if method == "linear":
+        return _linear(pixels, group, block_size)
+    shift = 0.0 if method == "nearest" else 0.5
+    base_c, base_r = F.floor(F.col("_u") - shift).cast("int"), F.floor(F.col("_v") - shift).cast("int")
+    tapped = pixels.withColumns({"_bc": base_c, "_br": base_r})
+    if len(taps) > 1:
+        tapped = tapped.withColumn("_dc", F.explode(F.array(*[F.lit(t) for t in taps]))).withColumn(
+            "_dr", F.explode(F.array(*[F.lit(t) for t in taps])))
+    else:
+        tapped = tapped.withColumns({"_dc": F.lit(0), "_dr": F.lit(0)})
+    in_col = F.col("_bc") + F.col("_dc") - F.col("block_col") * block_size
+    in_row = F.col("_br") + F.col("_dr") - F.col("block_row") * block_size
+    tapped = tapped.withColumns({"_ic": in_col, "_ir": in_row}).where(
+        F.col("_ic").between(0, block_size - 1) & F.col("_ir").between(0, block_size - 1)
+        & (F.col("_bc") + F.col("_dc") < F.col("width")) & (F.col("_br") + F.col("_dr") < F.col("height")))
+    read = _read(blocks, F.col("_ir") * block_size + F.col("_ic"))
+    tapped = tapped.withColumn("_val", read).where("_val IS NOT NULL")
+    if method == "nearest":
+        # one tap, held by one block
+        return tapped.select(*group, F.col("_val").alias("v"))
+    du = F.col("_u") - 0.5 - F.col("_bc") - F.col("_dc")
+    dv = F.col("_v") - 0.5 - F.col("_br") - F.col("_dr")
+    wl = linear_weight(du) * linear_weight(dv)
+    summed = tapped.groupBy(*group).agg(
+        F.sum(wl).alias("_w"), F.sum(wl * F.col("_val")).alias("_wv"),
+        F.sum(cubic_weight(du) * cubic_weight(dv) * F.col("_val")).alias("_cv"), F.count("*").alias("_n"))
+    out = F.when(F.col("_n") == 16, F.col("_cv")).when(F.col("_w") > MIN_WEIGHT, F.col("_wv") / F.col("_w"))
+    return summed.select(*group, out.alias("v")).where("v IS NOT NULL")
 
 
 # --- step 2: working pixels to frame pixels ---------------------------------

@@ -260,7 +260,7 @@ def warp(blocks: DataFrame, frames: DataFrame, keys, ids, method: str = "linear"
     the grid's nodata value, pixels whose ``alpha`` (an array of the block) is 0 where the grid has alpha, and non-finite ones.
 
     For linear, blocks under the frames exchange margins, and each working pixel is made by one block. The 16 pixels of cubic are summed over
-    the blocks that hold them: read from one row, they make code too long for the JVM to compile, which took more than twice the time.
+    the blocks that hold them: read from one row, they were slower (probably code too long for the JVM to compile well).
     """
     keys, ids = list(keys), list(ids)
     if crs is None:

@@ -72,8 +72,8 @@ SELECT scene, {SQL_MOMENTS} FROM (SELECT scene, value AS v FROM a1) GROUP BY 1""
 def ingest_stream(spark, d):
     """The same statistics from a stream of files, reduced batch by batch."""
     schema = A.table(spark, d, "embeddings").schema
-    files = (spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet")
-             .option("maxFilesPerTrigger", 1).parquet(d))
+    # as a pattern, the table may be one file or a folder of files; a stream refuses the plain path of a file
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{{embeddings.parquet}}")
     root = new_folder(spark, "ingest-stream")
     start_ingest(A.embedding_pixels(files), A.A1_KEYS, root, 16).awaitTermination()
     out = streamed_stats(spark, root, A.A1_KEYS)

@@ -21,7 +21,7 @@ from rastertable.sources.shared import create_once
 
 TABLES = ("datasets", "metadata")
 COMPACT_AFTER = 16   # deltas that a reader merges before a commit compacts them
-FILE_ROWS = 100_000  # rows of a file of the base, about
+FILE_ROWS = 100_000  # rows of a file of the base at most
 ATTEMPTS = 20
 
 
@@ -184,14 +184,13 @@ class CatalogLog:
         """Merge the deltas into a new base, in files by key range. Readers of older versions keep theirs; a faster writer's change makes this a no-op."""
         last = self.record()
         folder, keys = self._folder(), last["keys"]
-        for table in TABLES:
-            rows = self._merged(last, table)
-            files = max(1, -(-rows.count() // self.file_rows))
-            rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.parquet(f"{folder}/{table}")
+        for table in TABLES:  # a task writes many files: tasks and the sample of their ranges, which the driver gets, do not grow with the files
+            rows = self._merged(last, table).repartitionByRange(*keys).sortWithinPartitions(*keys)
+            rows.write.option("maxRecordsPerFile", self.file_rows).parquet(f"{folder}/{table}")
         whole = F.struct(*keys)
         index = (self.spark.read.parquet(f"{folder}/datasets").groupBy(F.col("_metadata.file_path").alias("file"))
                  .agg(F.min(whole).alias("low"), F.max(whole).alias("high"), F.count(F.lit(1)).alias("n")))
-        index.coalesce(1).write.parquet(f"{folder}/index")  # one row per file
+        index.write.parquet(f"{folder}/index")  # one row per file
         record = {**last, "version": last["version"] + 1, "base": folder, "deltas": []}
         return record["version"] if self._claim(record) else last["version"]
 

@@ -210,12 +210,13 @@ def _brackets(merged: DataFrame, keys) -> DataFrame:
 
 
 def _scan(blocks: DataFrame, brackets: DataFrame, keys) -> DataFrame:
-    """Read all pixels of the datasets that have brackets: keys, ``p``, ``v`` and ``n``, values inside with their number, and with v null the number below."""
+    """Read all pixels of the datasets that have brackets: rows with ``p``, the numbers of values below ``lo``, inside, and below ``hi`` (``below``, ``n``, ``under``);
+    and rows with ``v`` (p null), each value inside any bracket once, however many brackets it lies in, with its number ``n``."""
     keys = list(keys)
     wanted = checkpointed(brackets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "lo", "hi"))).alias("_wanted")))  # 99 at most
-    few = wanted.limit(BROADCAST_DATASETS + 1).count() <= BROADCAST_DATASETS
-    joined = blocks.join(F.broadcast(wanted) if few else wanted, keys)
-    schema = T.StructType([blocks.schema[c] for c in keys] + [T.StructField("p", T.IntegerType()), T.StructField("v", T.DoubleType()), T.StructField("n", T.LongType())])
+    joined = blocks.join(_few(wanted), keys)
+    counts = ("below", "n", "under")
+    schema = T.StructType([blocks.schema[c] for c in keys] + [T.StructField("p", T.IntegerType()), T.StructField("v", T.DoubleType()), *(T.StructField(c, T.LongType()) for c in counts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -227,27 +228,49 @@ def _scan(blocks: DataFrame, brackets: DataFrame, keys) -> DataFrame:
                 own = wanted[i].values
                 p, lo, hi = (own.field(k).to_numpy() for k in range(3))
                 cum = np.concatenate([[0], np.cumsum(counts)])
-                a, b = np.searchsorted(values, lo, side="left"), np.searchsorted(values, hi, side="right")
-                size = b - a
-                inside = np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                columns = [np.concatenate([p, np.repeat(p, size)]), None, np.concatenate([cum[a], counts[inside]])]
-                found = pa.array(np.concatenate([np.zeros(len(p)), values[inside]]), pa.float64(), mask=np.arange(len(p) + len(inside)) < len(p))
-                rows = len(found)
+                a, b, c = np.searchsorted(values, lo, side="left"), np.searchsorted(values, hi, side="right"), np.searchsorted(values, hi, side="left")
+                steps = np.zeros(len(values) + 1, np.int64)
+                np.add.at(steps, a, 1)
+                np.add.at(steps, np.maximum(a, b), -1)
+                inside = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+                none, rows = np.zeros(len(inside), np.int64), len(p) + len(inside)
+                of_value = np.arange(rows) >= len(p)
+                numbers = ((cum[a], none), (np.maximum(cum[b] - cum[a], 0), counts[inside]), (cum[c], none))
                 head = [pa.repeat(batch.column(batch.schema.get_field_index(k))[i], rows) for k in keys]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(columns[0], pa.int32()), found, pa.array(columns[2], pa.int64())], schema=target)
+                yield pa.RecordBatch.from_arrays([*head, pa.array(np.concatenate([p, none]).astype(np.int32), mask=of_value),
+                                                  pa.array(np.concatenate([np.zeros(len(p)), values[inside]]), mask=~of_value),
+                                                  *(pa.array(np.concatenate(x).astype(np.int64)) for x in numbers)], schema=target)
 
-    return joined.mapInArrow(run, schema).groupBy(*keys, "p", "v").agg(F.sum("n").alias("n"))
+    return joined.mapInArrow(run, schema).groupBy(*keys, "p", "v").agg(*(F.sum(c).alias(c) for c in counts))
+
+
+def _few(per_dataset: DataFrame) -> DataFrame:
+    """Broadcast hint behind a count of datasets (checkpointed, a row of at most 99 brackets each)."""
+    return F.broadcast(per_dataset) if per_dataset.limit(BROADCAST_DATASETS + 1).count() <= BROADCAST_DATASETS else per_dataset
 
 
 def _placed(scanned: DataFrame, brackets: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
-    """Brackets with ``start`` (rank of the first value inside), ``inside`` (their number) and whether both ranks were ``hit``; values inside."""
-    on = [*keys, "p"]
+    """Brackets with ``start`` (rank of the first value inside), ``inside`` (their number), ``under`` (the number below ``hi``) and whether both ranks were ``hit``; values inside any."""
     scanned = checkpointed(scanned)
-    sums = scanned.groupBy(*on).agg(F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("start"),
-                                    F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0).cast("long")).alias("inside"))
+    sums = scanned.where("p IS NOT NULL").select(*keys, "p", F.col("below").alias("start"), F.col("n").alias("inside"), "under")
     lower, upper, _ = _ranks(F.col("total"), F.col("p"))
     hit = (F.col("start") <= lower) & (upper < F.col("start") + F.col("inside"))
-    return checkpointed(brackets.join(sums, on).withColumn("hit", hit)), scanned.where("v IS NOT NULL")
+    return checkpointed(brackets.join(sums, [*keys, "p"]).withColumn("hit", hit)), scanned.where("p IS NULL").select(*keys, "v", "n")
+
+
+def _narrowed(placed: DataFrame, keys) -> DataFrame:
+    """Hit brackets cut down to the nearest of all known ends around their ranks, so that overlapping ones share little: one row per dataset with ``_own``, an
+    array of p, total, start, size, lo and hi."""
+    ends = placed.groupBy(*keys).agg(F.flatten(F.collect_list(F.array(
+        F.struct(F.col("lo").alias("x"), F.col("start").alias("below"), F.lit(None).cast("long").alias("upto")),
+        F.struct(F.col("hi").alias("x"), F.col("under").alias("below"), (F.col("start") + F.col("inside")).alias("upto"))))).alias("_ends"))
+    lower, upper, _ = _ranks(F.col("total"), F.col("p"))
+    low = F.array_max(F.transform(F.filter("_ends", lambda e: e["below"] <= lower), lambda e: F.struct(e["x"], e["below"])))
+    high = F.array_min(F.transform(F.filter("_ends", lambda e: e["upto"] > upper), lambda e: F.struct(e["x"], e["upto"])))
+    each = placed.where("hit").join(ends, list(keys)).select(*keys, "p", "total", low.alias("_low"), high.alias("_high"))
+    own = F.struct("p", "total", F.col("_low.below").alias("start"), (F.col("_high.upto") - F.col("_low.below")).alias("size"),
+                   F.col("_low.x").alias("lo"), F.col("_high.x").alias("hi"))
+    return each.groupBy(*keys).agg(F.collect_list(own).alias("_own"))
 
 
 def _gaps(placed: DataFrame, merged: DataFrame, keys) -> DataFrame:
@@ -265,8 +288,8 @@ def _selected(values: DataFrame, placed: DataFrame, keys, node: int) -> DataFram
     """Interpolated percentile for each hit bracket: keys, p, q. Brackets of many values are halved into buckets until few are left around the ranks."""
     on = [*keys, "p"]
     lower, upper, weight = _ranks(F.col("total"), F.col("p"))
-    own = placed.where("hit").select(*on, "total", "start", F.col("inside").alias("size"), "lo", "hi")
-    rows = values.join(_size_checked(checkpointed(own)), on)
+    own = F.filter("_own", lambda b: F.col("v").between(b["lo"], b["hi"]))
+    rows = values.join(_few(checkpointed(_narrowed(placed, keys))), list(keys)).select(*keys, "v", "n", F.explode(own).alias("_b")).select(*keys, "v", "n", "_b.*")
     while not rows.where((F.col("size") > node) & (F.col("lo") < F.col("hi"))).isEmpty():
         rows = rows.withColumn("_b", _bucket(F.col("v"), F.col("lo"), F.col("hi"), HISTOGRAM))
         hist = rows.groupBy(*on, "_b", "total", "start").agg(F.sum("n").alias("size"), F.min("v").alias("lo"), F.max("v").alias("hi"))

@@ -10,7 +10,7 @@ from rastertable.operators import hull, percentiles, states, stats
 from rastertable.plans import adapters as A
 from rastertable.plans.registry import query
 from rastertable.sources.cells import pack_blocks
-from rastertable.sources.shared import checkpointed
+from rastertable.sources.shared import checkpointed, new_folder
 
 
 def r(c, n=6):
@@ -67,7 +67,9 @@ def percentiles_refined(spark, d):
 def percentiles_bracketed(spark, d):
     """Percentiles of stored blocks: digests of 64 centroids bracket them, a second scan settles them."""
     grids = A.a2_grids(spark, d).withColumn("nodata", F.lit(None).cast("double"))
-    blocks = pack_blocks(A.a2_cells(spark, d), A.A2_KEYS, 64)
+    path = new_folder(spark, "blocks")
+    pack_blocks(A.a2_cells(spark, d), A.A2_KEYS, 64).write.parquet(path)  # packed once, scanned two or three times
+    blocks = spark.read.parquet(path)
     merged = checkpointed(states.merged_states(states.states_of_blocks(blocks, grids, A.A2_KEYS, 64, 64), A.A2_KEYS, 64))
     out = states.exact_percentiles_of_blocks(blocks, grids, A.A2_KEYS, merged, node=100)
     return out.select("scene", "band", F.posexplode("percentiles").alias("i", "q")).select(

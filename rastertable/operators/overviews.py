@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from rastertable.operators.pyramid import with_levels
 from rastertable.operators.states import _valid, with_masks
-from rastertable.sources.cells import BLOCK_SIZE
+from rastertable.sources.cells import BATCH_PIXELS, BLOCK_SIZE, whole_groups
 from rastertable.sources.shared import checkpointed
 
 _DOUBLES = T.ArrayType(T.DoubleType())
@@ -115,15 +115,24 @@ def _next_levels(blocks: DataFrame, keys, base: int, depth: int, size: int, meth
     shares = T.StructType([blocks.schema[c] for c in (*keys, "levels")] + shares.fields[len(own):])
     whole = T.StructType([*shares.fields[:len(own) + 3], *arrays])
 
-    def assemble(group_rows: pa.Table) -> pa.Table:
-        values, weights = np.full((size, size), np.nan), np.zeros((size, size))
-        columns = [group_rows[c].to_numpy(zero_copy_only=False) for c in (*place, "values", "weights")]
-        side = size >> int(group_rows["level"][0].as_py()) - base
-        for r, c, v, w in zip(*columns, strict=True):
-            v, w = (np.asarray(x).reshape(side, side) for x in (v, w))
-            at = np.s_[r * side:(r + 1) * side, c * side:(c + 1) * side]
-            values[at], weights[at] = np.where(w > 0, v, np.nan), w
-        head = [group_rows[f.name].slice(0, 1).combine_chunks() for f in whole.fields[:len(own) + 3]]
-        return pa.Table.from_batches([_rows(head, [f.name for f in whole.fields[:len(own) + 3]], [(values, weights)])])
-
-    return blocks.mapInArrow(halve, shares).groupBy(*group).applyInArrow(assemble, whole)
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in whole.fields[:len(own) + 3]]
+        at_once = max(1, BATCH_PIXELS // (size * size))
+        for rows, starts in whole_groups(batches, group):
+            column = lambda c: rows.column(rows.schema.get_field_index(c))
+            level, r, c = (column(x).to_numpy() for x in ("level", *place))
+            shares = [(x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy()) for x in (column("values"), column("weights"))]
+            ends = np.append(starts[1:], rows.num_rows)
+            for i in range(0, len(starts), at_once):
+                blocks = []
+                for first, end in zip(starts[i:i + at_once], ends[i:i + at_once], strict=True):
+                    values, weights = np.full((size, size), np.nan), np.zeros((size, size))
+                    side = size >> int(level[first]) - base
+                    for k in range(first, end):
+                        v, w = (x[at[k]:at[k + 1]].reshape(side, side) for x, at in shares)
+                        spot = np.s_[r[k] * side:(r[k] + 1) * side, c[k] * side:(c[k] + 1) * side]
+                        values[spot], weights[spot] = np.where(w > 0, v, np.nan), w
+                    blocks.append((values, weights))
+                yield _rows([column(x).take(pa.array(starts[i:i + at_once])) for x in names], names, blocks)
+
+    return blocks.mapInArrow(halve, shares).repartition(*group).sortWithinPartitions(*group).mapInArrow(assemble, whole)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from rastertable.operators import states as S
 from rastertable.sources.catalog_log import CatalogLog
+from rastertable.sources.cells import pack_blocks, unpack_blocks
 
 
 def test_stream_reads_a_folder_of_files(spark, tmp_path):
@@ -34,3 +38,32 @@ def test_compaction_writes_many_files_in_few_tasks(spark, tmp_path):
     index = spark.read.parquet(f"{base}/index").orderBy("low").collect()
     assert len(index) == len(files) and sum(r.n for r in index) == 2000 and max(r.n for r in index) <= 10
     assert all(a.high < b.low for a, b in zip(index, index[1:]))
+
+
+def test_blocks_are_laid_out_many_at_a_time(spark):
+    """No Python call per block; groups that reach over Arrow batches, and null keys, stay whole."""
+    cells = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("key"), (F.col("id") / 50).cast("int").alias("row"),
+                                     (F.col("id") % 50).cast("int").alias("col"), F.col("id").cast("double").alias("value"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        blocks = pack_blocks(cells, ["key"], 8)
+        assert "FlatMapGroupsInArrow" not in blocks._jdf.queryExecution().toString()
+        assert blocks.count() == blocks.select("key", "block_row", "block_col").distinct().count()
+        got = {(r.key, r.row, r.col, r.value) for r in unpack_blocks(blocks, ["key"], 8).where("value IS NOT NULL").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {tuple(r) for r in cells.collect()}
+
+
+def test_scan_sends_a_value_once(spark):
+    """Brackets overlap when digests are small; a value goes out once, not once per bracket."""
+    cells = spark.range(64 * 64).select(F.lit("k").alias("key"), (F.col("id") / 64).cast("int").alias("row"), (F.col("id") % 64).cast("int").alias("col"),
+                                        (F.col("id") * 7919 % 4099).cast("double").alias("value"))
+    grids = spark.sql("SELECT 'k' AS key, 64 AS width, 64 AS height")
+    blocks = pack_blocks(cells, ["key"], 64)
+    merged = S.checkpointed(S.merged_states(S.states_of_blocks(blocks, grids, ["key"], 64, 20), ["key"], 20))
+    brackets = S.checkpointed(S._brackets(merged, ["key"]))
+    scanned = S._scan(S.with_masks(blocks, grids, ["key"]), brackets, ["key"])
+    assert scanned.count() <= 64 * 64 + 99
+    got = S.exact_percentiles_of_blocks(blocks, grids, ["key"], merged, node=10).first().percentiles
+    assert got == pytest.approx(np.percentile([i * 7919 % 4099 for i in range(4096)], range(1, 100)).tolist())

@@ -2,7 +2,8 @@
 
 A block of side 2^k holds all pixels of its own share of levels 1 to k, so those are halved in place, one after the other, without moving
 a pixel. The shares of one overview block then meet in one shuffle for all k levels: 4^l shares of level l, together never more than a
-block. Level k is again a table of such blocks, which gives the next k levels.
+block. Level k is again a table of such blocks, which gives the next k levels. A share carries its valid pixels alone, each with its place
+in the overview block, so a sparse raster moves what it holds; blocks are laid out in full only a few at a time.
 """
 
 from __future__ import annotations
@@ -16,19 +17,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rastertable.operators.pyramid import with_levels
+from rastertable.operators.percentiles import _size_checked
 from rastertable.operators.states import _valid, with_masks
 from rastertable.sources.cells import BATCH_PIXELS, BLOCK_SIZE, whole_groups
-from rastertable.sources.shared import checkpointed
+from rastertable.sources.shared import checkpointed, new_folder
 
-_DOUBLES = T.ArrayType(T.DoubleType())
+_PIXELS = {"places": "<u4", "found": "<f8", "weighed": "<f8"}  # of the valid pixels of a share: where they go, their values and weights
+_SLICE_PIXELS = BATCH_PIXELS // 4  # pixels of the blocks that are halved, or put together, at a time
 
 
 def _halved(values: np.ndarray, weights: np.ndarray, method: str) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted means of 2 x 2 pixels (or their first pixel) and their weights."""
+    """Weighted means of 2 x 2 pixels (or their first pixel) and their weights, of many blocks."""
     if method == "nearest":
-        return values[::2, ::2], weights[::2, ::2]
-    n = len(values) // 2
-    quarters = lambda a: a.reshape(n, 2, n, 2).sum((1, 3))
+        return values[:, ::2, ::2], weights[:, ::2, ::2]
+    quarters = lambda a: a[:, ::2, ::2] + a[:, ::2, 1::2] + a[:, 1::2, ::2] + a[:, 1::2, 1::2]
     total = quarters(weights)
     return quarters(values * weights) / np.maximum(total, 1), total
 
@@ -44,95 +46,140 @@ def overview_blocks(blocks: DataFrame, grids: DataFrame, keys, method: str = "av
     depth = size.bit_length() - 1
     if size != 1 << depth or depth < 1:
         raise ValueError("the side of a block must be a power of two")
-    levels = with_levels(grids, size).select(*keys, "levels")
+    grids = checkpointed(with_levels(grids.select([c for c in (*keys, "width", "height", "nodata", "has_alpha") if c in grids.columns]), size))
     own = [c for c in (*keys, "block_row", "block_col", "values", "alpha") if c in blocks.columns]
-    now = _base(with_masks(blocks.select(own), grids, keys), keys, size).join(levels, keys).where("levels > 0")
-    top = levels.agg(F.max("levels")).first()[0] or 0  # one number, at most about 20
+    now = with_masks(blocks.select(own), grids, keys).join(_size_checked(grids.select(*keys, "levels")), keys).where("levels > 0")
+    top = grids.agg(F.max("levels")).first()[0] or 0  # one number, at most about 20
     out = None
     for base in range(0, max(top, 1), depth):
-        now = _next_levels(now.where(F.col("levels") > base), keys, base, depth, size, method)
-        if base + depth < top:
-            now = checkpointed(now)  # read again as the base of the levels above
-        part = now.select(*keys, "level", "block_row", "block_col", "values")
+        shares = _shares(now.where(F.col("levels") > base), keys, base, depth, size, method)
+        merge, schema = _merged([*keys, "level", "block_row", "block_col"]), shares.schema
+        if base + depth < top:  # kept as valid pixels: read again as the base of the levels above
+            folder = new_folder(blocks.sparkSession, "overviews")
+            shares.mapInArrow(merge, schema).write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(folder)
+            kept = blocks.sparkSession.read.schema(schema).parquet(folder)
+            part = kept.mapInArrow(_laid_out(keys, size), _blocks_schema(schema, keys))
+            now = kept.where(F.col("level") == base + depth).select(*keys, "levels", "block_row", "block_col", *_PIXELS)
+        else:
+            lay_out = _laid_out(keys, size)
+            part = shares.mapInArrow(lambda batches, merge=merge, lay_out=lay_out: lay_out(merge(batches)), _blocks_schema(schema, keys))
         out = part if out is None else out.unionByName(part)
-        now = now.where(F.col("level") == base + depth).drop("level")
     return out
 
 
-def _base(masked: DataFrame, keys, size: int) -> DataFrame:
-    head = [*keys, "block_row", "block_col"]
-    schema = T.StructType([masked.schema[c] for c in head] + [T.StructField(c, _DOUBLES) for c in ("values", "weights")])
+def _base_pixels(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values (0 where masked) and weights of base blocks under the rules of their grids."""
+    lists, none, alpha = (batch.column(batch.schema.get_field_index(c)) for c in ("values", "_nodata", "_has_alpha"))
+    if lists.null_count or any(alpha.to_pylist()):
+        pixels = list(_valid(batch))
+        values, good = (np.array([p[k] for p in pixels]).reshape(-1, size, size) for k in range(2))
+    else:
+        values = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, size, size)
+        good = np.isfinite(values)
+        if none.null_count < len(none):
+            good &= values != none.to_numpy(zero_copy_only=False)[:, None, None]  # null is NaN here, which no value equals
+    return np.where(good, values, 0.0), good.astype(float)
+
+
+def _level_pixels(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of overview blocks."""
+    at = batch.schema.get_field_index
+    (places, count), (found, _), (weighed, _) = (_numbers(batch.column(at(c)), kind) for c, kind in _PIXELS.items())
+    values, weights = np.zeros((2, batch.num_rows, size * size))
+    block = np.repeat(np.arange(batch.num_rows), count)
+    values[block, places], weights[block, places] = found, weighed
+    return values.reshape(-1, size, size), weights.reshape(-1, size, size)
+
+
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that a binary column holds, end to end, and how many each row has."""
+    _, where, data = column.buffers()
+    ends = np.frombuffer(where, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
+def _shares(blocks: DataFrame, keys, base: int, depth: int, size: int, method: str) -> DataFrame:
+    """Shares of the blocks of levels base+1 to base+depth that blocks of level ``base`` hold, sorted by the block that they make."""
+    group = [*keys, "level", "block_row", "block_col"]
+    pixels_of = _level_pixels if base else _base_pixels
+    at_once = max(1, _SLICE_PIXELS // (size * size))
 
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, at_once):
+                batch = whole.slice(a, at_once)
+                at = batch.schema.get_field_index
+                levels, row, col = (batch.column(at(c)).to_numpy() for c in ("levels", "block_row", "block_col"))
+                v, w = pixels_of(batch, size)
+                which, out = np.arange(len(levels)), []
+                for k in range(1, depth + 1):
+                    deep = levels[which] >= base + k
+                    if not deep.all():
+                        which, v, w = which[deep], v[deep], w[deep]
+                    v, w = _halved(v, w, method)
+                    some = w.any((1, 2))
+                    if not some.all():
+                        which, v, w = which[some], v[some], w[some]
+                    if not len(which):
+                        break
+                    share, r, c = np.nonzero(w)
+                    side, inner = size >> k, (1 << k) - 1
+                    places = ((row[which] & inner) * side)[share] + r
+                    places = places * size + ((col[which] & inner) * side)[share] + c
+                    numbers = (np.full(len(which), base + k), row[which] >> k, col[which] >> k)
+                    out.append((which, numbers, np.bincount(share, minlength=len(which)), (places, v[share, r, c], w[share, r, c])))
+                if out:
+                    taken = pa.array(np.concatenate([o[0] for o in out]))
+                    columns = [batch.column(at(c)).take(taken) for c in (*keys, "levels")]
+                    columns += [pa.array(np.concatenate([o[1][k] for o in out]).astype(np.int32)) for k in range(3)]
+                    ends = np.concatenate([[0], np.cumsum(np.concatenate([o[2] for o in out]))])
+                    for k, kind in enumerate(_PIXELS.values()):
+                        data = np.concatenate([o[3][k] for o in out]).astype(kind)
+                        columns.append(pa.Array.from_buffers(pa.binary(), len(taken), [None, pa.py_buffer((ends * data.itemsize).astype(np.int32)), pa.py_buffer(data)]))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*keys, "levels", *group[len(keys):], *_PIXELS])
+
+    integers = [F.col(c).cast("int").alias(c) for c in ("levels", "block_row", "block_col")]
+    blocks = blocks.select(*keys, *integers, *(c for c in blocks.columns if c not in (*keys, "levels", "block_row", "block_col")))
+    schema = T.StructType([blocks.schema[c] for c in (*keys, "levels")] + [T.StructField(c, T.IntegerType()) for c in group[len(keys):]]
+                          + [T.StructField(c, T.BinaryType()) for c in _PIXELS])
+    return blocks.mapInArrow(halve, schema).repartition(*group).sortWithinPartitions(*group)
+
+
+def _merged(group: list[str]):
+    """Shares of one block, which lie side by side, as one row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pixels = [(np.where(good, v, np.nan), good.astype(float)) for v, good in _valid(batch)]
-            yield _rows([batch.column(batch.schema.get_field_index(c)) for c in head], head, pixels)
+        for rows, starts in whole_groups(batches, group):
+            columns, first = [], pa.array(starts)
+            for name, column in zip(rows.schema.names, rows.columns, strict=True):
+                if name not in _PIXELS:
+                    columns.append(column.take(first))
+                    continue
+                data, count = _numbers(column, "u1")
+                ends = np.concatenate([[0], np.cumsum(np.add.reduceat(count, starts))]).astype(np.int32)
+                columns.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+            yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
 
-    return masked.mapInArrow(run, schema)
+    return run
 
 
-def _rows(head: list[pa.Array], names: list[str], pixels: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """A batch of the columns ``head`` and two arrays of numbers in each row."""
-    lists = []
-    for k in range(2):
-        own = [np.ravel(p[k]) for p in pixels]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-        lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own) if own else np.zeros(0))))
-    return pa.RecordBatch.from_arrays([*head, *lists], names=[*names, "values", "weights"])
+def _blocks_schema(shares: T.StructType, keys) -> T.StructType:
+    return T.StructType([*(shares[c] for c in (*keys, "level", "block_row", "block_col")), T.StructField("values", T.ArrayType(T.DoubleType()))])
 
 
-def _next_levels(blocks: DataFrame, keys, base: int, depth: int, size: int, method: str) -> DataFrame:
-    """Blocks of levels base+1 to base+depth out of those of level ``base`` (values, weights, levels)."""
-    group = [*keys, "level", "block_row", "block_col"]
-    place = ["sub_row", "sub_col"]
-    integers = lambda names: [T.StructField(c, T.IntegerType()) for c in names]
-    own = [blocks.schema[c] for c in (*keys, "levels")]
-    arrays = [T.StructField(c, _DOUBLES) for c in ("values", "weights")]
-    shares = T.StructType(own + integers(["level", "block_row", "block_col", *place]) + arrays)
+def _laid_out(keys, size: int):
+    """Blocks in full out of their valid pixels."""
+    head, at_once = [*keys, "level", "block_row", "block_col"], max(1, _SLICE_PIXELS // (size * size))
 
-    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index
-            levels, row, col = (batch.column(at(c)).to_numpy() for c in ("levels", "block_row", "block_col"))
-            arrays = [[x.values.to_numpy(zero_copy_only=False) for x in batch.column(at(c))] for c in ("values", "weights")]
-            which, numbers, pixels = [], [], []
-            for i, (v, w) in enumerate(zip(*arrays, strict=True)):
-                v, w = np.nan_to_num(v).reshape(size, size), w.reshape(size, size)
-                for k in range(1, min(depth, int(levels[i]) - base) + 1):
-                    v, w = _halved(v, w, method)
-                    if not w.any():
-                        break
-                    which.append(i)
-                    numbers.append((base + k, row[i] >> k, col[i] >> k, row[i] & (1 << k) - 1, col[i] & (1 << k) - 1))
-                    pixels.append((v, w))
-            if which:
-                head = [batch.column(at(c)).take(pa.array(which)) for c in (*keys, "levels")]
-                head += [pa.array(np.array(c, np.int32)) for c in zip(*numbers, strict=True)]
-                yield _rows(head, [*keys, "levels", "level", "block_row", "block_col", *place], pixels)
-
-    blocks = blocks.select(*keys, F.col("levels").cast("int").alias("levels"), F.col("block_row").cast("int").alias("block_row"),
-                           F.col("block_col").cast("int").alias("block_col"), "values", "weights")
-    shares = T.StructType([blocks.schema[c] for c in (*keys, "levels")] + shares.fields[len(own):])
-    whole = T.StructType([*shares.fields[:len(own) + 3], *arrays])
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.name for f in whole.fields[:len(own) + 3]]
-        at_once = max(1, BATCH_PIXELS // (size * size))
-        for rows, starts in whole_groups(batches, group):
-            column = lambda c: rows.column(rows.schema.get_field_index(c))
-            level, r, c = (column(x).to_numpy() for x in ("level", *place))
-            shares = [(x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy()) for x in (column("values"), column("weights"))]
-            ends = np.append(starts[1:], rows.num_rows)
-            for i in range(0, len(starts), at_once):
-                blocks = []
-                for first, end in zip(starts[i:i + at_once], ends[i:i + at_once], strict=True):
-                    values, weights = np.full((size, size), np.nan), np.zeros((size, size))
-                    side = size >> int(level[first]) - base
-                    for k in range(first, end):
-                        v, w = (x[at[k]:at[k + 1]].reshape(side, side) for x, at in shares)
-                        spot = np.s_[r[k] * side:(r[k] + 1) * side, c[k] * side:(c[k] + 1) * side]
-                        values[spot], weights[spot] = np.where(w > 0, v, np.nan), w
-                    blocks.append((values, weights))
-                yield _rows([column(x).take(pa.array(starts[i:i + at_once])) for x in names], names, blocks)
-
-    return blocks.mapInArrow(halve, shares).repartition(*group).sortWithinPartitions(*group).mapInArrow(assemble, whole)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, at_once):
+                batch = whole.slice(a, at_once)
+                column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+                (places, count), (found, _) = (_numbers(column(c), _PIXELS[c]) for c in ("places", "found"))
+                pixels = np.full((batch.num_rows, size * size), np.nan)
+                pixels[np.repeat(np.arange(batch.num_rows), count), places] = found
+                offsets = np.arange(0, (batch.num_rows + 1) * size * size, size * size, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*map(column, head), pa.ListArray.from_arrays(pa.array(offsets), pa.array(pixels.ravel()))], names=[*head, "values"])
+
+    return run

@@ -1,6 +1,9 @@
 """Overviews in blocks and stored blocks against the forms that work on cells."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import cells_frame, grids_frame
 from pyspark.sql import functions as F
@@ -36,6 +39,52 @@ def test_one_shuffle_for_all_levels_of_a_block(spark):
     assert 1 <= exchanges(plan(16)) <= 3  # the joins with the grids may add one each; levels add none
 
 
+def test_a_batch_of_blocks_is_halved_a_few_at_a_time(spark, monkeypatch):
+    """Spark's batches hold 64 MB of blocks: less than a batch is in Python's memory besides it."""
+    n, size, steps = 1000, 64, []
+    values = np.full((n, size * size), np.nan)
+    values[:, 70], values[:, 4000] = np.arange(n), 1.0
+    own = "key STRING, block_row INT, block_col INT, values ARRAY<DOUBLE>"
+    blocks, grids = spark.createDataFrame([], own), spark.sql(f"SELECT 'a' AS key, {size} AS width, {n * size} AS height")
+    frame = type(blocks)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, to=frame.mapInArrow, **k: steps.append(f) or to(self, f, *a, **k))
+    overviews.overview_blocks(blocks, grids, ["key"], "average", size)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * size * size, size * size, dtype=np.int32)), pa.array(values.ravel()))
+    batch = pa.RecordBatch.from_pydict({"key": ["a"] * n, "levels": pa.array([6] * n, pa.int32()), "block_row": pa.array(range(n), pa.int32()), "block_col": pa.array([0] * n, pa.int32()),
+                                        "values": lists, "_nodata": pa.nulls(n, pa.float64()), "_has_alpha": [False] * n})
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in steps[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= n and peak < batch.nbytes
+
+
+def test_sparse_blocks_in_two_rounds_of_levels(spark):
+    cells = spark.range(64 * 64).select(F.lit("a").alias("key"), (F.floor(F.col("id") / 64) * 16 + 5).cast("int").alias("row"), (F.col("id") % 64 * 16 + 3).cast("int").alias("col"),
+                                        (F.col("id") % 7).cast("double").alias("value"))
+    grids = spark.sql("SELECT 'a' AS key, 1024 AS width, 1024 AS height")
+    made = overviews.overview_blocks(pack_blocks(cells, ["key"], 16), grids, ["key"], "average", 16)
+    got = {(r.level, r.row, r.col): r.value for r in unpack_blocks(made, ["key", "level"], 16).where("value IS NOT NULL").collect()}
+    want = {(r.level, r.row, r.col): r.value for r in pyramid.pyramid(cells, grids, ["key"], "average", 16).collect()}
+    assert got.keys() == want.keys() and max(k[0] for k in got) == 6 and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+@pytest.mark.parametrize("odd", ["alpha", "null"])
+def test_overviews_mask_many_blocks_at_a_time(spark, odd):
+    """Nodata and alpha of several grids within one batch, and null pixels."""
+    rows = [(k, r, c, [float((r * 7 + c * 3 + i) % 5) if odd == "alpha" or (i + c) % 3 else None for i in range(16)], [(i + r) % 2 for i in range(16)]) for k in "ab" for r in range(3) for c in range(2)]
+    blocks = spark.createDataFrame(rows, "key STRING, block_row INT, block_col INT, values ARRAY<DOUBLE>, alpha ARRAY<INT>").coalesce(1)
+    grids = spark.createDataFrame([("a", 8, 12, 2.0, False), ("b", 8, 12, None, odd == "alpha")], "key STRING, width INT, height INT, nodata DOUBLE, has_alpha BOOLEAN")
+    got = {(r.key, r.level, r.row, r.col): r.value for r in unpack_blocks(overviews.overview_blocks(blocks, grids, ["key"], "average", 4), ["key", "level"], 4).where("value IS NOT NULL").collect()}
+    want = {}
+    for key, r, c, values, alpha in rows:
+        for i, (v, a) in enumerate(zip(values, alpha, strict=True)):
+            if v is not None and (key == "b" or v != 2.0) and (key == "a" or odd == "null" or a):
+                for level in (1, 2):
+                    want.setdefault((key, level, r * 4 + i // 4 >> level, c * 4 + i % 4 >> level), []).append(v)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(np.mean(v)) for k, v in want.items())
+
+
 def test_refuses(spark):
     data = {"a": np.ones((4, 4))}
     blocks, grids = pack_blocks(cells_frame(spark, data), ["key"], 4), grids_frame(spark, data)

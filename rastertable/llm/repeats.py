@@ -24,8 +24,8 @@ from rastertable.llm.words import hashes, mix, utf8
 GRAM = 20
 #: Bits of a key within its bucket; a bucket holds far fewer keys, so hardly two of them agree by chance, which would cost only a look.
 BITS = 40
-#: Up to so many keys are broadcast.
-FEW_KEYS = 1_000_000
+#: Up to so many keys, and documents that are copies of an earlier one, are broadcast.
+FEW_KEYS, FEW_COPIES = 100_000, 2_000_000
 SLICE, SHARD_BYTES = 2 << 20, 3 << 19
 LAST = (1 << 63) - 1
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -328,42 +328,67 @@ def without_repeats(docs: DataFrame, length: int = 50, buckets: int | None = Non
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents(docs).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.octet_length("text").cast("long").alias("n_bytes"),
-                                  F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
-    copies = checkpointed(rows.groupBy("sha").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
-    rows = join_small(rows, copies, ["sha"], how="left").withColumn("uid", F.xxhash64("sha"))
-    own = rows.filter(F.col("low").isNull() | (F.col("low") == F.col("doc")))
-    texts = own.filter(F.col("n_bytes") >= length).select("doc", "uid", "text")
-
-    told = (texts.select("doc", "text").mapInArrow(_keys(buckets, length), "bucket int, doc long, keys binary, owners binary")
-            .repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "doc long, keys binary").groupBy("doc").agg(F.collect_list("keys").alias("keys")))
+                                  F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "text").withColumn("uid", F.xxhash64("sha"))
+    # copies are found, and joined, without their texts
+    ids = checkpointed(rows.drop("text"))
+    copies = checkpointed(ids.groupBy("sha").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
+    ids = checkpointed(join_small(ids, copies, ["sha"], how="left"))
+    texts = rows.filter(F.col("n_bytes") >= length).select("doc", "uid", "text")
+    texts = _originals(texts, checkpointed(ids.groupBy("doc").agg(F.bool_and(F.coalesce(F.col("low") < F.col("doc"), F.lit(False))).alias("copy")).filter("copy").select("doc")))
+    del copies
+    told = checkpointed(texts.select("doc", "text").mapInArrow(_keys(buckets, length), "bucket int, doc long, keys binary, owners binary")
+                        .repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "doc long, keys binary").groupBy("doc").agg(F.collect_list("keys").alias("keys")))
+    release_shuffles(spark)  # the keys go before the texts are sent
     folder = new_folder(spark, "segments")
     _packed(texts).join(told, "doc").mapInArrow(_cut(length, buckets), SEGMENT).write.option("compression", "zstd").parquet(folder)
     del told
     release_shuffles(spark)
     cut = spark.read.schema(SEGMENT).parquet(folder)
-    # a key with one content needs no order: all but its first documents lose the whole segment
-    keys = checkpointed(cut.groupBy("key").agg(F.min("digest").alias("d"), F.max("digest").alias("e"), F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum("size").alias("bytes"))
-                        .filter("high > low").select("key", "low", (F.col("d") != F.col("e")).alias("several"), (F.col("bytes") > shard_bytes).alias("hot")))
-    single = keys.filter("NOT several").select("key", "low")
-    cut_several = join_small(cut, keys.filter("several").select("key", "hot"), ["key"], FEW_KEYS)
-    contents = cut_several.groupBy("key", "digest", "content", "hot").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    runs = contents.filter("NOT hot").drop("hot").repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_resolved(length), RUNS)
-    if keys.filter("several AND hot").limit(1).count():
-        runs = runs.unionByName(_split(checkpointed(contents.filter("hot").drop("hot")), length))
-    runs = checkpointed(runs)
-    del contents
+    keys = checkpointed(cut.groupBy("key").agg(F.min("digest").alias("digest"), F.max("digest").alias("e"), F.min("doc").alias("low"), F.max("doc").alias("high"),
+                                               F.max("size").alias("size"), F.sum("size").alias("bytes"))
+                        .filter("high > low").select("key", "digest", "low", "size", (F.col("digest") != F.col("e")).alias("several"), (F.col("bytes") > shard_bytes).alias("hot")))
+    release_shuffles(spark)
+    runs = checkpointed(_runs_of(cut.select("key", "digest", "content", "doc"), keys, length))
     release_shuffles(spark)
+    # a key with one content needs no order: all but its first documents lose the whole segment
+    run = F.struct(F.lit(0).cast("long").alias("at"), (F.col("size") - length + 1).cast("long").alias("n"), F.col("low").alias("doc"))
+    runs = runs.unionByName(keys.filter("NOT several").select("key", "digest", F.array(run).alias("runs")))
+    del keys
     span = F.struct((F.col("start") + F.col("run.at")).alias("a"), (F.col("start") + F.col("run.at") + F.col("run.n") - 1 + length).alias("b"))
-    places = cut.select("key", "doc", "uid", "start", "size")
-    by_order = (cut_several.select("key", "doc", "uid", "start", "digest").join(runs, ["key", "digest"])
-                .select("doc", "uid", "start", F.explode("runs").alias("run")).filter("run.doc < doc").select("doc", "uid", span.alias("span")))
-    whole_ones = places.join(single, "key").filter("low < doc").select("doc", "uid", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")).alias("span"))
-    spans = checkpointed(by_order.unionByName(whole_ones).groupBy("doc", "uid").agg(F.collect_list("span").alias("spans")))
-    del by_order, whole_ones, runs
+    found = (cut.select("key", "doc", "uid", "start", "digest").join(runs, ["key", "digest"])
+             .select("doc", "uid", "start", F.explode("runs").alias("run")).filter("run.doc < doc").select("doc", "uid", span.alias("span")))
+    spans = checkpointed(found.groupBy("doc", "uid").agg(F.collect_list("span").alias("spans")))
+    del found, runs
     release_shuffles(spark)
     changed = (map_rows(_packed(texts).join(spans, ["doc", "uid"]), _removed, "doc long, uid long, spans array<struct<a:long,b:long>>, kept binary")
                .select("doc", "uid", "spans", F.sha2("kept", 256).alias("kept_sha256")))
     whole = F.when((F.coalesce("low", "doc") < F.col("doc")) & (F.col("n_bytes") >= length), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b"))))
-    return rows.select("doc_id", "doc", "uid", "n_bytes", "sha", whole.alias("whole")).join(changed, ["doc", "uid"], "left").select(
+    return ids.select("doc_id", "doc", "uid", "n_bytes", "sha", whole.alias("whole")).join(changed, ["doc", "uid"], "left").select(
         "doc_id", "n_bytes", F.coalesce("whole", "spans", F.array().cast("array<struct<a:long,b:long>>")).alias("spans"),
-        F.when(F.col("whole").isNotNull(), F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
+        F.when(F.col("whole").isNotNull(), F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"))
+
+
+def _originals(texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """Texts without the documents ``copies``, of which an earlier document has every text. They would lose all and take from nobody, so leaving them out saves work only."""
+    if copies.count() <= FEW_COPIES:
+        return texts.join(F.broadcast(copies), "doc", "left_anti")
+    folder = new_folder(texts.sparkSession, "texts")  # sent once, not for each step that reads it
+    texts.join(copies, "doc", "left_anti").write.option("compression", "zstd").parquet(folder)
+    release_shuffles(texts.sparkSession)
+    return texts.sparkSession.read.schema(texts.schema).parquet(folder)
+
+
+def _runs_of(pieces: DataFrame, keys: DataFrame, length: int) -> DataFrame:
+    """Runs of the contents of ``keys`` that have several. Segments (``pieces``) meet many keys once, by key; hot ones, of which there is one at most for each
+    shard that the segments fill, are kept out of that."""
+    hot, several = keys.filter("hot").select("key", "several"), keys.filter("several AND NOT hot").select("key")
+    contents = lambda own: own.groupBy("key", "digest", "content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    if several.count() <= FEW_KEYS:
+        own = pieces.join(F.broadcast(several), "key")
+    else:
+        own = pieces.join(F.broadcast(hot.select("key")), "key", "left_anti").join(several, "key")
+    runs = contents(own).repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_resolved(length), RUNS)
+    hot = hot.filter("several").select("key")
+    if hot.limit(1).count():
+        runs = runs.unionByName(_split(checkpointed(contents(pieces.join(F.broadcast(hot), "key"))), length))
+    return runs

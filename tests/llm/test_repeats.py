@@ -72,6 +72,23 @@ def test_hot_keys(spark):
     assert out == dict(enumerate(repeats.earliest([passage.encode(), passage[5:].encode(), b"q" + passage.encode(), b"z" * 99], np.arange(4), 50)))
 
 
+def test_many_copies_and_keys_meet_without_texts(spark, monkeypatch):
+    """Beyond the bounds of broadcasts no text or content is spread over salts, and the result is the same."""
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choices("abcdefgh", k=n))
+    passage, common = text(300), text(60)
+    rows = [(i, text(rnd.randint(0, 60)) + passage[rnd.randint(0, 20):] + rnd.choice(["", common]) + text(rnd.randint(0, 60))) for i in range(60)]
+    rows += [(100 + i, rows[i % 9][1]) for i in range(30)] + [(5, rows[3][1]), (None, rows[4][1]), (None, common), (70, rows[0][1]), (70, text(80) + common), (-4, rows[8][1])]
+    seen, join = [], repeats.join_small
+    for name in ("FEW_KEYS", "FEW_COPIES"):
+        monkeypatch.setattr(repeats, name, 0, raising=False)
+    monkeypatch.setattr(repeats, "join_small", lambda big, small, keys, bound=0, **k: seen.append(big.columns) or join(big, small, keys, 0, **k))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for shard in (repeats.SHARD_BYTES, 2000):
+        assert got(repeats.without_repeats(df, shard_bytes=shard)) == plain(rows)
+    assert seen and not {"text", "content"} & {c for columns in seen for c in columns}
+
+
 def test_negative_ids(spark):
     rnd = random.Random(11)
     text = lambda n: "".join(rnd.choices("abcdefgh", k=n))

@@ -26,6 +26,8 @@ GRAM = 20
 BITS = 40
 #: Up to so many keys, and documents that are copies of an earlier one, are broadcast.
 FEW_KEYS, FEW_COPIES = 100_000, 2_000_000
+#: More keys meet their segments in so many rounds, a share of the keys in each, so that only a share of the segments is on its way at a time.
+ROUNDS = 4
 SLICE, SHARD_BYTES = 2 << 20, 3 << 19
 LAST = (1 << 63) - 1
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -348,8 +350,7 @@ def without_repeats(docs: DataFrame, length: int = 50, buckets: int | None = Non
                                                F.max("size").alias("size"), F.sum("size").alias("bytes"))
                         .filter("high > low").select("key", "digest", "low", "size", (F.col("digest") != F.col("e")).alias("several"), (F.col("bytes") > shard_bytes).alias("hot")))
     release_shuffles(spark)
-    runs = checkpointed(_runs_of(cut.select("key", "digest", "content", "doc"), keys, length))
-    release_shuffles(spark)
+    runs = _runs_of(cut.select("key", "digest", "content", "doc"), keys, length)
     # a key with one content needs no order: all but its first documents lose the whole segment
     run = F.struct(F.lit(0).cast("long").alias("at"), (F.col("size") - length + 1).cast("long").alias("n"), F.col("low").alias("doc"))
     runs = runs.unionByName(keys.filter("NOT several").select("key", "digest", F.array(run).alias("runs")))
@@ -379,16 +380,23 @@ def _originals(texts: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def _runs_of(pieces: DataFrame, keys: DataFrame, length: int) -> DataFrame:
-    """Runs of the contents of ``keys`` that have several. Segments (``pieces``) meet many keys once, by key; hot ones, of which there is one at most for each
+    """Runs, computed now, of the contents of ``keys`` that have several. Segments (``pieces``) meet many keys once, by key; hot ones, of which there is one at most for each
     shard that the segments fill, are kept out of that."""
     hot, several = keys.filter("hot").select("key", "several"), keys.filter("several AND NOT hot").select("key")
     contents = lambda own: own.groupBy("key", "digest", "content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     if several.count() <= FEW_KEYS:
-        own = pieces.join(F.broadcast(several), "key")
+        parts = [pieces.join(F.broadcast(several), "key")]
     else:
-        own = pieces.join(F.broadcast(hot.select("key")), "key", "left_anti").join(several, "key")
-    runs = contents(own).repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_resolved(length), RUNS)
+        share = lambda df, k: df.filter(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == k)
+        cold = pieces.join(F.broadcast(hot.select("key")), "key", "left_anti")
+        parts = [share(cold, k).join(share(several, k), "key") for k in range(ROUNDS)]
+    parts = [contents(own).repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_resolved(length), RUNS) for own in parts]
     hot = hot.filter("several").select("key")
     if hot.limit(1).count():
-        runs = runs.unionByName(_split(checkpointed(contents(pieces.join(F.broadcast(hot), "key"))), length))
+        parts.append(_split(checkpointed(contents(pieces.join(F.broadcast(hot), "key"))), length))
+    runs = None
+    while parts:
+        part = checkpointed(parts.pop())
+        runs = part if runs is None else runs.unionByName(part)
+        release_shuffles(pieces.sparkSession)
     return runs

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -57,9 +58,17 @@ def release() -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files and checkpoints of tables that nothing refers to any more; it learns of them only when the driver collects garbage."""
+    """Let Spark delete the shuffle files and checkpoints of tables that nothing refers to any more; it learns of them only when the driver collects garbage.
+
+    What Python lets go of reaches the driver's JVM through a queue that is read once a second, and a first collection there leaves some of it."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    queue = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    until = time.monotonic() + 3
+    while queue and time.monotonic() < until:
+        time.sleep(0.05)
+    for _ in range(2):
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def free_name(df: DataFrame, name: str) -> str:
